@@ -49,7 +49,7 @@ def lines_of_edits(text: Column, correction: Column) -> Column:
         )
 
     return bind(
-        strip(correction),
+        strip(F.coalesce(correction, F.lit("null"))),
         lambda c: F.when(c == "null", "NULL")
         .when((c == "") | (strip(text) == c), "OK")
         .otherwise(read(c)),

@@ -35,7 +35,7 @@ def with_shared(sql: str) -> str:
 
     def visit(text: str) -> None:
         for name in SHARED:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
                 visit(SHARED[name])
                 if name not in needed:
                     needed.append(name)
