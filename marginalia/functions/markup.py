@@ -62,97 +62,87 @@ def parse_markup(correction: Column) -> Column:
     )
 
 
-def _assemble(s: Column) -> Column:
-    raw, old, new, tag = s["raw"], s["old"], s["new"], s["tag"]
+def _assemble(g: Column) -> Column:
+    def segment(x: Column, i: Column) -> Column:
+        old, new, tag = at(g["old"], i), at(g["new"], i), at(g["tag"], i)
+        is_edit = tag != ""
+        fault = (
+            F.when(x == "[", "malformed_edit")
+            .when(is_edit & ~tag.isin(TAGS), "unknown_tag")
+            .when(is_edit & (old == "") & (new == ""), "empty_edit")
+        )
+        return F.struct(
+            F.when(is_edit, old).otherwise(x).alias("shown"),
+            new.alias("new"),
+            tag.alias("tag"),
+            (is_edit & (old == "")).alias("insert"),
+            fault.alias("fault"),
+        )
 
-    def is_edit(i: Column) -> Column:
-        return at(tag, i) != ""
+    def checked(segs: Column) -> Column:
+        bad = first_match(segs, lambda s: s["fault"].isNotNull())["fault"]
+        failed = F.struct(
+            F.lit(None).cast("string").alias("text"), no_edits().alias("edits"), bad.alias("error")
+        )
+        return F.when(bad.isNotNull(), failed).otherwise(
+            bind(each(segs, lambda s, i: _piece(segs, s, i)), lambda p: _finish(segs, p))
+        )
 
-    def is_insert(i: Column) -> Column:
-        return is_edit(i) & (at(old, i) == "")
+    return bind(each(g["raw"], segment), checked)
 
-    def fault(x: Column, i: Column) -> Column:
-        return (
-            F.when(x == "[", "malformed_edit")
-            .when(is_edit(i) & ~at(tag, i).isin(TAGS), "unknown_tag")
-            .when(is_insert(i) & (at(new, i) == ""), "empty_edit")
-        )
 
-    def visible(i: Column) -> Column:
-        return F.when(is_edit(i), at(old, i)).otherwise(at(raw, i))
+def _after_blank(segs: Column, i: Column) -> Column:
+    """Is the text before the insert at ``i`` empty or ending in a blank?
 
-    def after_blank(i: Column) -> Column:
-        """Is the text before insert ``i`` empty or ending in a blank?
+    The neighbour decides unless it is an insert too; then the last segment that shows text
+    does. A blank taken away by an earlier insert was itself preceded by one.
+    """
+    before = at(segs, i - 1)
+    earlier = F.filter(F.slice(segs, F.lit(1), i), lambda s: ~s["insert"])
+    last = F.try_element_at(earlier, F.lit(-1))["shown"]
+    return (
+        F.when(i == 0, True)
+        .when(~before["insert"], F.endswith(before["shown"], F.lit(" ")))
+        .otherwise(F.coalesce(F.endswith(last, F.lit(" ")), F.lit(True)))
+    )
 
-        The neighbour decides unless it is an insert too; then the last segment that shows
-        text does. A blank taken away by an earlier insert was itself preceded by one.
-        """
-        earlier = F.filter(
-            F.transform(
-                F.slice(raw, F.lit(1), i),
-                lambda x, j: F.when(is_insert(j), None).otherwise(visible(j)),
-            ),
-            lambda x: x.isNotNull(),
-        )
-        return (
-            F.when(i == 0, True)
-            .when(~is_insert(i - 1), F.endswith(visible(i - 1), F.lit(" ")))
-            .otherwise(
-                F.coalesce(
-                    F.endswith(F.try_element_at(earlier, F.lit(-1)), F.lit(" ")), F.lit(True)
-                )
-            )
-        )
 
-    def piece(x: Column, i: Column) -> Column:
-        swallowed = (
-            (i > 0) & is_insert(i - 1) & F.startswith(x, F.lit(" ")) & after_blank(i - 1)
-        )
-        return (
-            F.when(is_edit(i), unescape(at(old, i)))
-            .when(swallowed, unescape(F.substring(x, 2, 1 << 30)))
-            .otherwise(unescape(x))
-        )
+def _piece(segs: Column, s: Column, i: Column) -> Column:
+    """What a segment adds to the text; a blank after a mid-sentence insert goes with it."""
+    blank = (s["tag"] == "") & F.startswith(s["shown"], F.lit(" "))
+    swallowed = (i > 0) & blank & at(segs, i - 1)["insert"] & _after_blank(segs, i - 1)
+    return unescape(F.when(swallowed, F.substring(s["shown"], 2, 1 << 30)).otherwise(s["shown"]))
 
-    def finish(p: Column) -> Column:
-        last = F.size(raw) - 1
-        joined = F.array_join(p, "")
-        trimmed = is_insert(last) & F.endswith(joined, F.lit(" "))
-        text = F.when(trimmed, F.substring(joined, F.lit(1), F.length(joined) - 1)).otherwise(
-            joined
-        )
-        starts = running_total(F.transform(p, F.length))
-
-        def edits(st: Column) -> Column:
-            def edit(x: Column, i: Column) -> Column:
-                back = F.when(trimmed & (i == last), 1).otherwise(0)
-                return F.struct(
-                    x.alias("original"),
-                    unescape(at(new, i)).alias("replacement"),
-                    at(tag, i).alias("tag"),
-                    (at(st, i) - back).alias("start"),
-                    (at(st, i + 1) - back).alias("end"),
-                )
-
-            return F.filter(each(p, edit), lambda e: e["tag"] != "").cast(
-                f"array<{EDIT.simpleString()}>"
+
+def _finish(segs: Column, pieces: Column) -> Column:
+    last = F.size(pieces) - 1
+    parts = F.struct(
+        F.array_join(pieces, "").alias("joined"),
+        running_total(F.transform(pieces, F.length)).alias("at"),
+    )
+
+    def placed(p: Column) -> Column:
+        trimmed = at(segs, last)["insert"] & F.endswith(p["joined"], F.lit(" "))
+        cut = F.substring(p["joined"], F.lit(1), F.length(p["joined"]) - 1)
+
+        def edit(s: Column, i: Column) -> Column:
+            back = F.when(trimmed & (i == last), 1).otherwise(0)
+            return F.struct(
+                at(pieces, i).alias("original"),
+                unescape(s["new"]).alias("replacement"),
+                s["tag"].alias("tag"),
+                (at(p["at"], i) - back).alias("start"),
+                (at(p["at"], i + 1) - back).alias("end"),
             )
 
+        edits = F.filter(each(segs, edit), lambda e: e["tag"] != "")
         return F.struct(
-            text.alias("text"),
-            bind(starts, edits).alias("edits"),
+            F.when(trimmed, cut).otherwise(p["joined"]).alias("text"),
+            edits.cast(f"array<{EDIT.simpleString()}>").alias("edits"),
             F.lit(None).cast("string").alias("error"),
         )
 
-    def decide(error: Column) -> Column:
-        failed = F.struct(
-            F.lit(None).cast("string").alias("text"),
-            no_edits().alias("edits"),
-            error.alias("error"),
-        )
-        return F.when(error.isNotNull(), failed).otherwise(bind(each(raw, piece), finish))
-
-    return bind(first_match(each(raw, fault), lambda e: e.isNotNull()), decide)
+    return bind(parts, placed)
 
 
 def render_markup(text: Column, edits: Column) -> Column:

@@ -90,18 +90,22 @@ def read_lines(output: Column) -> Column:
 
 def fault_of_spans(read: Column, n_units: Column) -> Column:
     """First fault of parsed line edits in their given order; ``valid`` when there is none."""
-    top = n_units + 1
-
-    def fault(e: Column, i: Column) -> Column:
-        before = F.when(i > 0, at(read["spans"], i - 1)["end"]).otherwise(F.lit(-1))
-        return (
-            F.when((e["start"] < 1) | (e["start"] > top), "start_out_of_bounds")
-            .when((e["end"] < e["start"]) | (e["end"] > top), "invalid_span")
-            .when(~e["tag"].isin(TAGS), "invalid_tag")
-            .when(e["start"] < before, "overlapping_span")
-        )
 
-    found = first_match(each(read["spans"], fault), lambda f: f.isNotNull())
+    def first_fault(s: Column) -> Column:
+        spans, top = s["spans"], s["top"]
+
+        def fault(e: Column, i: Column) -> Column:
+            before = F.when(i > 0, at(spans, i - 1)["end"]).otherwise(F.lit(-1))
+            return (
+                F.when((e["start"] < 1) | (e["start"] > top), "start_out_of_bounds")
+                .when((e["end"] < e["start"]) | (e["end"] > top), "invalid_span")
+                .when(~e["tag"].isin(TAGS), "invalid_tag")
+                .when(e["start"] < before, "overlapping_span")
+            )
+
+        return first_match(each(spans, fault), lambda f: f.isNotNull())
+
+    found = bind(F.struct(read["spans"].alias("spans"), (n_units + 1).alias("top")), first_fault)
     return F.when(read["signal"].isNotNull(), "valid").otherwise(F.coalesce(found, F.lit("valid")))
 
 

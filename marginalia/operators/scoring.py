@@ -13,7 +13,7 @@ from marginalia.functions.arrays import bind, total
 from marginalia.functions.markup import corrected_text, triples
 from marginalia.functions.spans import SPAN, fault_of_spans, lines_of_edits, read_lines
 from marginalia.functions.text import n_words, strip, units
-from marginalia.operators.grading import check_rows
+from marginalia.operators.grading import check_rows, with_columns_once
 from marginalia.schemas import (
     GROUPS,
     MAX_BAND,
@@ -139,10 +139,12 @@ def _confusions(p: Column, g: Column) -> Column:
 
 
 def _paired(df: DataFrame) -> DataFrame:
-    sets = df.select(
-        triples(F.col("pred_edits")).alias("p"), triples(F.col("gold_edits")).alias("g")
+    sets = with_columns_once(
+        df.select("pred_edits", "gold_edits"),
+        p=triples(F.col("pred_edits")),
+        g=triples(F.col("gold_edits")),
     )
-    return sets.withColumn("pairs", _confusions(F.col("p"), F.col("g")))
+    return with_columns_once(sets, pairs=_confusions(F.col("p"), F.col("g")))
 
 
 def correction_scores(df: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
@@ -231,10 +233,11 @@ def span_f05_scores(df: DataFrame) -> DataFrame:
     lines = F.when(marked, lines_of_edits(F.col("text"), F.col("reference"))).otherwise(
         F.col("reference")
     )
-    read = rows.select(
-        read_lines(F.col("prediction")).alias("p"),
-        read_lines(lines).alias("g"),
-        F.size(units(F.col("text"))).alias("n_units"),
+    read = with_columns_once(
+        rows,
+        p=read_lines(F.col("prediction")),
+        g=read_lines(lines),
+        n_units=F.size(units(F.col("text"))),
     )
 
     def full(side: str) -> Column:
@@ -332,13 +335,17 @@ def rewrite_scores(df: DataFrame) -> DataFrame:
         words = F.transform(units(F.col(side)), lambda u: u["token"])
         return F.when(usable, words)
 
-    source = F.transform(units(F.col("text")), lambda u: u["token"])
     scored = ~F.col("gold_null")
-    sets = rows.select(
-        "*",
-        _align(source, tokens("pred", scored & ~F.col("pred_null"))).alias("pa"),
-        _align(source, tokens("gold", scored)).alias("ga"),
-    ).withColumns({"pa": F.array_distinct("pa"), "ga": F.array_distinct("ga")})
+    cut = with_columns_once(
+        rows,
+        _s=F.transform(units(F.col("text")), lambda u: u["token"]),
+        _p=tokens("pred", scored & ~F.col("pred_null")),
+        _g=tokens("gold", scored),
+    )
+    aligned = cut.withColumn("_pa", _align("_s", "_p")).withColumn("_ga", _align("_s", "_g"))
+    sets = with_columns_once(
+        aligned.drop("_s", "_p", "_g"), pa=F.array_distinct("_pa"), ga=F.array_distinct("_ga")
+    )
     both_read = scored & ~F.col("pred_null")
     clean_gold = both_read & (F.col("gold") == F.col("text"))
     sums = sets.agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import spans as S
 from marginalia.functions.arrays import at, each
 from marginalia.functions.text import units
+from marginalia.operators.grading import with_columns_once
 from marginalia.schemas import TAGS, literal_rows
 
 
@@ -44,8 +45,8 @@ def spans_to_edits(df: DataFrame) -> DataFrame:
 
 def validate_spans(df: DataFrame) -> DataFrame:
     """Add ``span_fault``: bounds, tags and overlaps of ``span_lines`` over ``text``."""
+    read = with_columns_once(df, _r=S.read_lines(F.col("span_lines")))
     fault = S.fault_of_spans(F.col("_r"), F.size(units(F.col("text"))))
-    read = df.withColumn("_r", S.read_lines(F.col("span_lines")))
     return read.withColumn("span_fault", fault).drop("_r")
 
 
@@ -58,7 +59,7 @@ def overlap_check(df: DataFrame, edits: str = "edits") -> DataFrame:
     def early(e: Column, i: Column) -> Column:
         return (i > 0) & (e["start"] < at(F.col("_o"), i - 1)["end"])
 
-    out = df.withColumn("_o", ordered)
+    out = with_columns_once(df, _o=ordered)
     out = out.withColumn("overlapping", F.exists(each(F.col("_o"), early), lambda x: x))
     return out.drop("_o")
 

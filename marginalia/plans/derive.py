@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.plans.registry import SHARED, table
+from marginalia.plans.registry import SHARED, spread, table
 from marginalia.schemas import TAGS
 
 TAG_LIST = "[" + ", ".join(f"'{t}'" for t in TAGS) + "]"
@@ -21,7 +21,7 @@ def tag_at(n: Column) -> Column:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "text")
     ).select(

@@ -57,3 +57,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder, for files a query writes and reads."""
     return f"{ready_checkpoints(spark)}/files-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work on an input that came in few pieces.
+
+    A table with at least as many splits as the cluster has cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if pieces >= cores else df.repartition(cores)
