@@ -7,24 +7,35 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import at, bind, each, first_match
 from marginalia.functions.markup import escape, parse_markup, render_markup
-from marginalia.functions.text import LINE_BREAK, strip, units
+from marginalia.functions.text import LINE_BREAK, WS, strip, units
 from marginalia.schemas import TAGS
 
 SPAN = "array<struct<start:bigint,end:bigint,tag:string,replacement:string>>"
-_LINE = r"(?Us)^([+-]?\d+)[\s\x1c-\x1f]+([+-]?\d+)[\s\x1c-\x1f]+([^\s\x1c-\x1f]+)(?:[\s\x1c-\x1f]+(.*))?$"
 
 
 def lines_of_edits(text: Column, correction: Column) -> Column:
     """Line edits for a marked-up correction; ``OK`` for none, ``NULL`` for unreadable."""
 
-    def lines(s: Column) -> Column:
-        us = s["units"]
+    def edges(us: Column, edits: Column) -> Column:
+        return F.struct(
+            F.transform(us, lambda u: u["start"]).alias("starts"),
+            F.transform(us, lambda u: u["end"]).alias("ends"),
+            edits.alias("edits"),
+        )
 
+    def lines(s: Column) -> Column:
         def line(e: Column) -> Column:
-            first = F.size(F.filter(us, lambda u: u["end"] <= e["start"])) + 1
-            before_end = F.size(F.filter(us, lambda u: u["start"] < e["end"]))
-            last = F.when(before_end > 0, before_end + 1).otherwise(first)
-            gap = F.size(F.filter(us, lambda u: u["start"] < e["start"])) + 1
+            # Most edits begin and end with a unit; only the others need a count.
+            at_start = F.array_position(s["starts"], e["start"]).cast("int")
+            at_end = F.array_position(s["ends"], e["end"]).cast("int")
+            ended = F.size(F.filter(s["ends"], lambda x: x <= e["start"]))
+            begun = F.size(F.filter(s["starts"], lambda x: x < e["end"]))
+            before = F.size(F.filter(s["starts"], lambda x: x < e["start"]))
+            first = F.when(at_start > 0, at_start).otherwise(ended + 1)
+            last = (
+                F.when(at_end > 0, at_end + 1).when(begun > 0, begun + 1).otherwise(ended + 1)
+            )
+            gap = F.when(at_start > 0, at_start).otherwise(before + 1)
             insert = e["start"] == e["end"]
             head = F.concat_ws(
                 " ",
@@ -44,7 +55,7 @@ def lines_of_edits(text: Column, correction: Column) -> Column:
             lambda p: F.when(p["error"].isNotNull(), "NULL")
             .when(F.size(p["edits"]) == 0, "OK")
             .otherwise(
-                bind(F.struct(units(p["text"]).alias("units"), p["edits"].alias("edits")), lines)
+                bind(units(p["text"]), lambda us: bind(edges(us, p["edits"]), lines))
             ),
         )
 
@@ -59,20 +70,26 @@ def lines_of_edits(text: Column, correction: Column) -> Column:
 def read_lines(output: Column) -> Column:
     """``struct(signal, spans)``: the signal is OK or NULL, or null when there are spans."""
 
+    def number(x: Column) -> Column:
+        return F.when(F.rlike(x, F.lit(r"^[+-]?\d+$")), x.try_cast("bigint"))
+
     def spans(t: Column) -> Column:
         found = F.transform(
             F.split(t, LINE_BREAK),
             lambda raw: bind(
-                strip(raw),
-                lambda ln: F.struct(
-                    F.regexp_extract(ln, _LINE, 1).try_cast("bigint").alias("start"),
-                    F.regexp_extract(ln, _LINE, 2).try_cast("bigint").alias("end"),
-                    F.regexp_extract(ln, _LINE, 3).alias("tag"),
-                    F.regexp_extract(ln, _LINE, 4).alias("replacement"),
+                F.split(strip(raw), rf"(?U){WS}++", 4),
+                lambda x: F.struct(
+                    number(at(x, F.lit(0))).alias("start"),
+                    number(at(x, F.lit(1))).alias("end"),
+                    at(x, F.lit(2)).alias("tag"),
+                    F.coalesce(at(x, F.lit(3)), F.lit("")).alias("replacement"),
                 ),
             ),
         )
-        return F.filter(found, lambda s: s["start"].isNotNull() & s["end"].isNotNull()).cast(SPAN)
+        whole = F.filter(
+            found, lambda s: s["start"].isNotNull() & s["end"].isNotNull() & s["tag"].isNotNull()
+        )
+        return whole.cast(SPAN)
 
     def decide(t: Column) -> Column:
         return bind(

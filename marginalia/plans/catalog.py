@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.plans import curation, markup, scores  # noqa: F401
+from marginalia.plans import curation, logs, markup, scores  # noqa: F401
 from marginalia.plans import registry
 
 QUERIES = registry.QUERIES
