@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,14 @@ def running_total(values: Column, block: int = 32) -> Column:
 
 def first_match(values: Column, keep: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(values, keep), F.lit(0))
+
+
+def with_columns_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add expensive columns so that later steps do not evaluate them again.
+
+    They come out of a one-element ``inline``. The optimizer neither pushes a filter on a
+    generated column below its generator nor copies the expression into what reads it, which
+    a plain projection allows.
+    """
+    made = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    return df.select("*", F.inline(made))

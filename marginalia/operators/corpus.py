@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import hashing
-from marginalia.functions.arrays import at, bind, each, first_match, running_total
+from marginalia.functions.arrays import at, bind, each, first_match, running_total, with_columns_once
 from marginalia.functions.markup import parse_markup, render_markup
 from marginalia.functions.text import n_words, words
 from marginalia.operators.curate import cap_strata, dedupe_first, drop_fragments, edit_bucket, row_split
-from marginalia.operators.grading import with_columns_once
+from marginalia.operators.ranking import cut_lineage
 from marginalia.operators.tally import tally
 from marginalia.schemas import (
     EDIT,
@@ -226,6 +226,7 @@ def import_corpus(
         "row_uid", "text", "correction", "tags", "n_edits", "n_words", "cefr", "edit_bucket",
         "source",
     )
-    kept = drop_fragments(dedupe_first(rows, "row_uid", "source"), min_words)
+    # Capping reads the rows several times, so they are converted once and written down.
+    kept = cut_lineage(drop_fragments(dedupe_first(rows, "row_uid", "source"), min_words))
     capped = cap_strata(kept, ["edit_bucket"], max_stratum_share, seed)
     return row_split(capped, "row_uid", seed, val_share)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import hashing
+from marginalia.functions.arrays import with_columns_once
 from marginalia.functions.text import fold_case, n_words, squeeze, strip
 from marginalia.operators.ranking import attach, take_smallest
 from marginalia.operators.tally import tally
@@ -76,14 +77,19 @@ def sense_quarantine(
     if min_definition_chars < 1:
         raise ValueError("min_definition_chars must be positive")
     raw_pos = F.coalesce(F.col("pos"), F.lit(""))
-    tidy = df.select(
-        F.col("source_sense_id"),
-        strip(F.coalesce(F.col("definition"), F.lit(""))).alias("definition"),
-        strip(F.coalesce(F.col("headword"), F.lit(""))).alias("target"),
-        raw_pos.alias("raw_pos"),
-        pos_of(raw_pos).alias("pos"),
-        F.when(F.col("cefr_level") != "", F.col("cefr_level")).alias("cefr"),
-    ).withColumn(
+    clean = with_columns_once(
+        df.select(
+            "source_sense_id",
+            F.col("definition").alias("_d"),
+            F.col("headword").alias("_h"),
+            raw_pos.alias("raw_pos"),
+            F.when(F.col("cefr_level") != "", F.col("cefr_level")).alias("cefr"),
+        ),
+        definition=strip(F.coalesce("_d", F.lit(""))),
+        target=strip(F.coalesce("_h", F.lit(""))),
+        pos=pos_of(F.col("raw_pos")),
+    )
+    tidy = clean.drop("_d", "_h").withColumn(
         "reason",
         F.when(F.col("definition") == "", "empty_definition")
         .when(F.length("definition") < min_definition_chars, "definition_too_short")
@@ -187,19 +193,19 @@ def cap_strata(
     max_stratum_share: float,
     seed: int,
     uid: str = "row_uid",
-    total: int | None = None,
     **limits: int,
 ) -> DataFrame:
     """Keep at most ``int(n * share)`` rows per stratum, chosen by seeded digest.
 
-    The cap comes from the row count before capping; strata below it are kept whole. Pass
-    ``total`` when the count is already known.
+    The cap comes from the row count before capping; strata below it are kept whole.
     """
     if not 0 < max_stratum_share <= 1:
         raise ValueError("max_stratum_share must be in (0, 1]")
-    n = df.count() if total is None else total
-    cap = max(1, int(n * max_stratum_share))
     keyed = df.withColumn("_order", hashing.seeded(seed, F.col(uid).cast("string")))
+
+    def cap(rows: int) -> int:
+        return max(1, int(rows * max_stratum_share))
+
     return take_smallest(keyed, strata, "_order", cap, **limits).drop("_order")
 
 

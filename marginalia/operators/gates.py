@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.markup import parse_markup
 from marginalia.operators.scoring import edit_f1, quadratic_weighted_kappa
-from marginalia.operators.grading import with_columns_once
+from marginalia.functions.arrays import with_columns_once
 from marginalia.operators.ranking import one_row
 from marginalia.schemas import CEILING_KEYS, WEAK_METRICS, literal_map, literal_rows
 

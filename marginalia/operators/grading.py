@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import at, bind, each, first_match, running_total
+from marginalia.functions.arrays import (
+    at,
+    bind,
+    each,
+    first_match,
+    running_total,
+    with_columns_once,
+)
 from marginalia.functions.markup import (
     band_of,
     corrected_text,
@@ -19,16 +26,6 @@ from marginalia.operators.log import request_of
 from marginalia.schemas import GROUPS, LABELS, MAX_BAND, MIN_BAND
 
 
-def with_columns_once(df: DataFrame, **cols: Column) -> DataFrame:
-    """Add expensive columns so that later filters on them do not evaluate them again.
-
-    They come out of a one-element ``inline``; the optimizer does not push a filter on a
-    generated column below its generator.
-    """
-    made = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
-    return df.select("*", F.inline(made))
-
-
 def parse_corrections(df: DataFrame, col: str = "correction") -> DataFrame:
     """Add ``parsed_text``, ``edits`` and ``parse_error``."""
     return with_columns_once(df, _p=parse_markup(F.col(col))).select(

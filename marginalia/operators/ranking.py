@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -116,7 +117,7 @@ def take_smallest(
     df: DataFrame,
     by: list[str],
     order: str,
-    quota: int | dict[tuple, int],
+    quota: int | dict[tuple, int] | Callable[[int], int],
     digits: int = 4,
     small_groups: int = SMALL_ROWS,
     hot_rows: int = HOT_ROWS,
@@ -127,13 +128,16 @@ def take_smallest(
     Rows below the cut are kept without moving, and only the few rows sharing the prefix of
     the cut are ranked. Where there are too many groups to hold the cuts in a broadcast
     table, groups up to ``hot_rows`` are ranked by a window, and only larger ones get a cut.
-    A ``quota`` given as a dict is for the groups it names; other groups are kept whole.
+    A ``quota`` given as a dict is for the groups it names, other groups being kept whole; a
+    function gets the number of all rows.
     """
+    prefix = F.substring(F.col(order), 1, digits)
+    hist = cut_lineage(df.groupBy(*by, prefix.alias("_p")).agg(F.count("*").alias("_c")))
+    if callable(quota):
+        quota = quota(hist.agg(F.sum("_c")).first()[0] or 0)
     limit = (
         F.lit(quota).cast("long") if isinstance(quota, int) else _quota_column(quota, by)
     )
-    prefix = F.substring(F.col(order), 1, digits)
-    hist = cut_lineage(df.groupBy(*by, prefix.alias("_p")).agg(F.count("*").alias("_c")))
     counts = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
     if checked_small(counts, small_groups) is not None:
         return _cut(df, by, order, limit, hist, prefix, hot_rows)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import hashing
-from marginalia.functions.arrays import bind
+from marginalia.functions.arrays import bind, with_columns_once
 from marginalia.functions.text import mentions, ngrams, shape_fault, strip, tokens
 from marginalia.operators.ranking import attach, checked_small, global_positions, take_smallest
 from marginalia.operators.tally import tally
@@ -80,9 +80,8 @@ def draw_cells(
         )
 
     drawn = F.slice(F.array_sort(F.transform(cells, arrival)), 1, k)
-    return senses.withColumn(
-        "cells", F.transform(drawn, lambda c: F.struct(c["meaning_req"], c["error_spec"]))
-    )
+    cells = F.transform(drawn, lambda c: F.struct(c["meaning_req"], c["error_spec"]))
+    return with_columns_once(senses, cells=cells)
 
 
 def draw_profile(df: DataFrame, profiles: DataFrame, seed: int) -> DataFrame:
@@ -113,7 +112,8 @@ def draw_profile(df: DataFrame, profiles: DataFrame, seed: int) -> DataFrame:
             F.when(c["meaning_req"] >= 3, of(everyone)).otherwise(of(learners)).alias("profile_id"),
         )
 
-    return df.withColumn("cells", F.transform("cells", pick))
+    drawn = with_columns_once(df, _with=F.transform("cells", pick))
+    return drawn.drop("cells").withColumnRenamed("_with", "cells")
 
 
 def flatten_specs(df: DataFrame, seed: int = 0) -> DataFrame:
@@ -133,7 +133,8 @@ def flatten_specs(df: DataFrame, seed: int = 0) -> DataFrame:
     batch = F.substring(
         hashing.digest(F.concat_ws("|", F.col("sense_uid"), F.array_join(ids, "|"))), 1, 16
     )
-    rows = df.withColumn("specs", F.transform("cells", named)).withColumn("batch_uid", batch)
+    named_specs = with_columns_once(df, specs=F.transform("cells", named))
+    rows = with_columns_once(named_specs, batch_uid=batch)
     rows = rows.drop("cells").select("*", F.inline("specs")).withColumn("seed", F.lit(seed))
     return rows.select([F.col(f.name).cast(f.dataType) for f in SPECS])
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import with_columns_once
 from marginalia.functions.markup import parse_markup
-from marginalia.operators.grading import check_rows, with_columns_once
+from marginalia.operators.grading import check_rows
 from marginalia.operators.ranking import attach, one_row
 from marginalia.operators.scoring import chrf, edit_f1
 from marginalia.schemas import MAX_BAND, MIN_BAND, PROBABILITY_FLOOR, STD_FLOOR

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.functions.arrays import bind, total
+from marginalia.functions.arrays import bind, total, with_columns_once
 from marginalia.functions.markup import corrected_text, triples
 from marginalia.functions.spans import SPAN, fault_of_spans, lines_of_edits, read_lines
 from marginalia.functions.text import n_words, strip, units
-from marginalia.operators.grading import check_rows, with_columns_once
+from marginalia.operators.grading import check_rows
 from marginalia.schemas import (
     GROUPS,
     MAX_BAND,

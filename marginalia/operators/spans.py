@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import spans as S
-from marginalia.functions.arrays import at, each
+from marginalia.functions.arrays import at, each, with_columns_once
 from marginalia.functions.text import units
-from marginalia.operators.grading import with_columns_once
 from marginalia.schemas import TAGS, literal_rows
 
 

@@ -224,7 +224,7 @@ WHERE m.gold IS NOT NULL GROUP BY m.req_uid, g.grp
 def paired_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marked lines with parsed ``gold_edits`` and ``pred_edits``."""
     from marginalia.functions.markup import parse_markup
-    from marginalia.operators.grading import with_columns_once
+    from marginalia.functions.arrays import with_columns_once
 
     return with_columns_once(
         marked(spark, sf_dir),
@@ -378,7 +378,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("group_id"),
         key.alias("rollout_id"),
-        F.when(constant, 1.5).otherwise(F.col("o_totalprice") / 100000.0).alias("reward"),
+        F.when(constant, 1.5).otherwise(F.col("o_totalprice") / 1000.0).alias("reward"),
         (F.col("o_custkey") % 4).cast("double").alias("empty_reward"),
         (key % 300).cast("int").alias("tokens"),
     )
@@ -386,6 +386,6 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SHARED["rollouts"] = """
 SELECT o_custkey AS group_id, o_orderkey AS rollout_id,
-  CASE WHEN o_custkey % 6 = 0 THEN 1.5::DOUBLE ELSE o_totalprice / 100000.0::DOUBLE END AS reward,
+  CASE WHEN o_custkey % 6 = 0 THEN 1.5::DOUBLE ELSE o_totalprice / 1000.0::DOUBLE END AS reward,
   CAST(o_custkey % 4 AS DOUBLE) AS empty_reward, CAST(o_orderkey % 300 AS INTEGER) AS tokens FROM orders
 """

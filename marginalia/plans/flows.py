@@ -6,9 +6,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import with_columns_once
 from marginalia.functions.markup import no_edits, parse_markup
 from marginalia.operators import calibration, curate, gates, joins, scoring
-from marginalia.operators.grading import check_rows, derive_bands, with_columns_once
+from marginalia.operators.grading import check_rows, derive_bands
 
 
 def process_dataset(
@@ -39,7 +40,6 @@ def process_dataset(
         max_stratum_share,
         seed,
         uid="req_uid",
-        total=gate["rows"] - gate["rejected"],
     )
     split = curate.group_split(capped, group, seed, version=version)
     crossing = curate.contamination(split).first()["cross_split_text_hashes"]

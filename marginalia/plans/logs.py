@@ -292,7 +292,7 @@ def variance_across_runs(spark: SparkSession, d: str) -> DataFrame:
 def systems(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("c_custkey")
     return table(spark, d, "customer").select(
-        F.col("c_name").alias("system"), (F.abs("c_acctbal") / 10000.0).alias("qwk"),
+        F.col("c_name").alias("system"), (F.abs("c_acctbal") / 100.0).alias("qwk"),
         (key % 9).cast("double").alias("e2e_p95_s"), F.when(key % 13 != 0, (key % 5).cast("double")).alias("cost"),
         F.when(key % 10 == 3, "no accelerator").alias("skipped"),
     )
@@ -300,7 +300,7 @@ def systems(spark: SparkSession, d: str) -> DataFrame:
 
 SHARED["systems"] = """
 SELECT *, CASE WHEN skipped IS NULL AND cost <> 0 THEN CASE WHEN e2e_p95_s > 6 THEN 0.0::DOUBLE ELSE qwk / cost END END AS quality_per_dollar FROM (
-  SELECT c_name AS system, abs(c_acctbal) / 10000.0::DOUBLE AS qwk, CAST(c_custkey % 9 AS DOUBLE) AS e2e_p95_s,
+  SELECT c_name AS system, abs(c_acctbal) / 100.0::DOUBLE AS qwk, CAST(c_custkey % 9 AS DOUBLE) AS e2e_p95_s,
     CASE WHEN c_custkey % 13 <> 0 THEN CAST(c_custkey % 5 AS DOUBLE) END AS cost, CASE WHEN c_custkey % 10 = 3 THEN 'no accelerator' END AS skipped FROM customer)
 """
 

@@ -395,11 +395,11 @@ def reliability_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT round(sum(count * abs(mean_confidence - accuracy)) / sum(count), 6) AS ece, CAST(sum(count) AS BIGINT) AS n,
-  round(sum(count * mean_confidence) / sum(count), 6) AS mean_confidence, round(sum(count * accuracy) / sum(count), 6) AS accuracy FROM rel_bins
+SELECT round(sum(count * abs(mean_confidence - accuracy)) / sum(count), 5) AS ece, CAST(sum(count) AS BIGINT) AS n,
+  round(sum(count * mean_confidence) / sum(count), 5) AS mean_confidence, round(sum(count * accuracy) / sum(count), 5) AS accuracy FROM rel_bins
 """)
 def ece(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(B.ece(bins(spark, d)))
+    return rounded(B.ece(bins(spark, d)), 5)
 
 
 SHARED["quintiles"] = """
