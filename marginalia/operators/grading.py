@@ -202,9 +202,8 @@ def parse_responses(df: DataFrame, col: str = "reply") -> DataFrame:
     kinds = {}
     for field in ("correction", "meaning", "feedback"):
         kind = F.schema_of_variant(F.try_variant_get("_v", f"$.{field}", "variant"))
-        whole = (kind == "BIGINT") | F.rlike(kind, F.lit(r"^DECIMAL\(\d+,0\)$"))
-        literal = F.try_variant_get("_v", f"$.{field}", "string")
-        whole = whole & ~F.contains(F.coalesce(literal, F.lit("")), F.lit("."))
+        # A variant drops a zero fraction, so only a decimal too long for a bigint is whole.
+        whole = (kind == "BIGINT") | F.rlike(kind, F.lit(r"^DECIMAL\((19|[2-9]\d),0\)$"))
         kinds[field] = (
             F.when(kind == "STRING", "string")
             .when(whole, "int")
@@ -221,9 +220,10 @@ def parse_responses(df: DataFrame, col: str = "reply") -> DataFrame:
         *[c for c in df.columns if c not in ("correction", "meaning", "feedback")],
         keys.alias("payload_keys"),
         text_of("correction").alias("correction"),
-        F.when(kinds["meaning"] == "int", F.try_variant_get("_v", "$.meaning", "bigint")).alias(
-            "meaning"
-        ),
+        F.when(
+            kinds["meaning"] == "int",
+            F.coalesce(F.try_variant_get("_v", "$.meaning", "bigint"), F.lit((1 << 63) - 1)),
+        ).alias("meaning"),
         text_of("feedback").alias("feedback"),
         *[kinds[f].alias(f"{f}_type") for f in kinds],
     )

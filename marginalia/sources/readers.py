@@ -114,12 +114,15 @@ def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
     missing = F.array_except(
         F.array(*[F.lit(k) for k in ("req_uid", "text", "gold", "prediction")]), keys
     )
-    complaint = F.raise_error(F.concat(F.lit("predictions line is missing "), F.array_join(missing, ", ")))
-    whole = F.when(F.size(missing) == 0, F.col("value")).otherwise(complaint.cast("string"))
-    rows = lines.select(F.from_json(whole, PREDICTIONS, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-    if rows.isEmpty():
+    n, absent = lines.agg(
+        F.count("*"), F.max(F.when(F.size(missing) > 0, F.array_join(missing, ", ")))
+    ).first()
+    if not n:
         raise ValueError(f"{path} holds no predictions")
-    return rows
+    if absent is not None:
+        raise ValueError(f"a predictions line is missing {absent}")
+    parsed = F.from_json("value", PREDICTIONS, {"mode": "FAILFAST"})
+    return lines.select(parsed.alias("r")).select("r.*")
 
 
 def scan_rows(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
