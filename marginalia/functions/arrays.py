@@ -31,34 +31,43 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
-def running_total(values: Column, block: int = 32) -> Column:
+def running_total(values: Column, block: int = 16) -> Column:
     """Exclusive prefix sums of an int array: one more entry than the input.
 
-    Totals of fixed-size blocks are folded first, so position ``i`` adds at most one block of
-    elements instead of all ``i`` of them.
+    Each block of elements is folded into its own prefix sums, and the blocks are then moved
+    by the totals before them; so a step copies at most one block, not the whole prefix.
     """
 
-    def with_blocks(v: Column) -> Column:
-        n_blocks = F.ceil(F.size(v) / F.lit(block)).cast("int")
-        sums = F.transform(
-            F.sequence(F.lit(0), n_blocks),
-            lambda b: total(F.slice(v, b * block + 1, F.lit(block))),
-        )
-        starts = F.aggregate(
-            sums,
+    def fold(v: Column) -> Column:
+        return F.aggregate(
+            v,
             F.array(F.lit(0)),
-            lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)),
+            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
         )
+
+    def moved(blocks: Column) -> Column:
+        starts = fold(F.transform(blocks, lambda p: F.element_at(p, -1)))
+
+        def shift(p: Column, start: Column) -> Column:
+            return F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: x + start)
+
         return bind(
             starts,
-            lambda st: F.transform(
-                F.sequence(F.lit(0), F.size(v)),
-                lambda i: at(st, (i / block).cast("int"))
-                + total(F.slice(v, (i / block).cast("int") * block + 1, i % block)),
+            lambda st: F.concat(
+                F.flatten(each(blocks, lambda p, i: bind(at(st, i), lambda s: shift(p, s)))),
+                F.slice(st, F.lit(-1), F.lit(1)),
             ),
         )
 
-    return bind(values, with_blocks)
+    def blocked(v: Column) -> Column:
+        last = F.ceil(F.size(v) / F.lit(block)).cast("int") - 1
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda b: fold(F.slice(v, b * block + 1, F.lit(block))),
+        )
+        return F.when(F.size(v) <= block, fold(v)).otherwise(bind(blocks, moved))
+
+    return bind(values, blocked)
 
 
 def first_match(values: Column, keep: Callable[[Column], Column]) -> Column:

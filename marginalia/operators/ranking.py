@@ -15,6 +15,12 @@ SMALL_ROWS = 10_000
 HOT_ROWS = 1_000_000
 
 
+def constant_array(values: list, kind: str) -> Column:
+    """A literal array built from text in one call, however long it is."""
+    cells = ", ".join("NULL" if v is None else repr(v) for v in values)
+    return F.expr(f"CAST(ARRAY({cells}) AS ARRAY<{kind}>)")
+
+
 def ready_checkpoints(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a local session may get its own."""
     context = spark.sparkContext
@@ -56,6 +62,8 @@ def attach(
     is small; otherwise keys above ``hot_rows`` are (few can exist) and the rest is shuffled.
     The output has the columns of both sides except ``count``.
     """
+    # Computed once: the size check, the hot keys and the join all read the written table.
+    per_key = cut_lineage(per_key)
     small = checked_small(per_key)
     if small is not None:
         return rows.join(small.drop(count), key, "left")
@@ -96,11 +104,12 @@ def global_positions(
     by_part = sorted((r["part"], r["size"]) for r in sizes.collect())
     if not by_part:
         return ranged.withColumn(name, F.lit(0).cast("long")).drop(place)
-    starts = [0, *accumulate(size for _, size in by_part)]
-    offsets = F.create_map(
-        *[F.lit(x).cast("long") for (p, _), s in zip(by_part, starts) for x in (p, s)]
-    )
-    return ranged.withColumn(name, (local + offsets[part]).cast("long")).drop(place)
+    # One entry per partition number, empty partitions included, so a lookup is an index.
+    size_of = dict(by_part)
+    filled = [size_of.get(p, 0) for p in range(by_part[-1][0] + 1)]
+    starts = list(accumulate(filled, initial=0))[:-1]
+    offset = F.get(constant_array(starts, "bigint"), part.cast("int"))
+    return ranged.withColumn(name, (local + offset).cast("long")).drop(place)
 
 
 def _quota_column(quotas: dict[tuple, int], by: list[str]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators.ranking import (
     checked_small,
+    constant_array,
     exact_percentiles,
     global_positions,
     one_row,
@@ -153,17 +154,14 @@ def _records(best: DataFrame) -> DataFrame:
     size = max(1000, -(-n // 4000))
     block = (F.col("_pos") / size).cast("long")
     tops = placed.groupBy(block.alias("b")).agg(F.max("_q").alias("top"))
-    seen, before = None, {}
-    for r in sorted(tops.collect(), key=lambda r: r["b"]):
-        before[r["b"]] = seen
-        seen = r["top"] if seen is None else max(seen, r["top"])
+    found = {r["b"]: float(r["top"]) for r in tops.collect()}
+    # Positions have no gaps, so every block up to the last one is there.
+    before = [None]
+    for b in range(len(found) - 1):
+        before.append(found[b] if before[-1] is None else max(before[-1], found[b]))
     earlier = Window.partitionBy(block).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.max("_q").over(earlier)
-    known = {b: v for b, v in before.items() if v is not None}
-    outside = F.lit(None).cast("double")
-    if known:
-        entries = [F.lit(x) for b, v in known.items() for x in (int(b), float(v))]
-        outside = F.try_element_at(F.create_map(*entries), block)
+    outside = F.get(constant_array(before, "double"), block.cast("int"))
     record = F.greatest(inside.cast("double"), outside)
     kept = placed.withColumn("_best", record)
     return kept.where(F.col("_best").isNull() | (F.col("_q") > F.col("_best"))).select("_t", "_q")
