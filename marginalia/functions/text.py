@@ -10,6 +10,8 @@ from marginalia.functions.arrays import at, bind, each, running_total
 # Whitespace and word characters are spelled out because the defaults of the regex engine
 # are ASCII-only.
 WS = r"[\s\x1c-\x1f]"
+# Every whitespace character but the plain blank; each becomes one blank of equal length.
+OTHER_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = r"[\p{L}\p{N}_]"
 UNIT = (
     r"[\p{L}\p{Nl}\p{No}]+?(?=n't(?!" + WORD + r"))"
@@ -88,26 +90,20 @@ def units(value: Column) -> Column:
     """Word and punctuation units with character offsets, in order.
 
     Every character is either whitespace or part of a unit, so the offsets are the running
-    sums of the blank and unit lengths.
+    sums of the lengths of units with the blanks before them.
     """
-    pattern = F.lit(rf"(?U)({WS}*+)({UNIT})")
-    found = F.struct(
-        F.regexp_extract_all(value, pattern, F.lit(1)).alias("gap"),
-        F.regexp_extract_all(value, pattern, F.lit(2)).alias("token"),
-    )
+    flat = F.regexp_replace(value, OTHER_WS, " ")
+    found = F.regexp_extract_all(flat, F.lit(rf"(?U) *+(?:{UNIT})"), F.lit(0))
+
+    def with_offsets(led: Column) -> Column:
+        def unit(token: Column, end: Column) -> Column:
+            return F.struct(
+                token.alias("token"), (end - F.length(token)).alias("start"), end.alias("end")
+            )
 
-    def with_offsets(s: Column) -> Column:
-        lengths = each(s["token"], lambda t, i: F.length(at(s["gap"], i)) + F.length(t))
         return bind(
-            running_total(lengths),
-            lambda ends: each(
-                s["token"],
-                lambda t, i: F.struct(
-                    t.alias("token"),
-                    (at(ends, i + 1) - F.length(t)).alias("start"),
-                    at(ends, i + 1).alias("end"),
-                ),
-            ),
+            running_total(F.transform(led, F.length)),
+            lambda ends: each(led, lambda x, i: unit(F.ltrim(x), at(ends, i + 1))),
         )
 
     return bind(found, with_offsets)

@@ -138,13 +138,13 @@ def tag_skew_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT tag, 'unknown_tag' AS problem, count(*) AS n FROM (
-  SELECT CASE WHEN tag = 'word' THEN 'lexis' ELSE tag END AS tag FROM gold_pairs) WHERE tag = 'lexis' GROUP BY tag
+  SELECT CASE WHEN tag = 'word' THEN 'vocab' ELSE tag END AS tag FROM gold_pairs) WHERE tag = 'vocab' GROUP BY tag
 UNION ALL SELECT tag, 'no_weight', 0 FROM weights WHERE tag = 'word' OR tag NOT IN (SELECT tag FROM gold_pairs)
 """)
 def tag_closure(spark: SparkSession, d: str) -> DataFrame:
     """The edits with one tag renamed, against the weights of the tags still in use."""
     gold = edits(spark, d)[1]
-    renamed = gold.withColumn("tag", F.when(F.col("tag") == "word", "lexis").otherwise(F.col("tag")))
+    renamed = gold.withColumn("tag", F.when(F.col("tag") == "word", "vocab").otherwise(F.col("tag")))
     used = renamed.groupBy("tag").agg(F.lit(1).alias("weight"))
     return E.tag_closure(renamed, used)
 
