@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm.mixing import mix
 from marginalia.llm.registry import query
+from marginalia.llm.secrets import secret_spans
 from marginalia.llm.simhash import simhash_components
+from marginalia.llm.url_rules import judged_urls
 from marginalia.llm.vector_links import vector_groups
 
 
@@ -18,6 +21,21 @@ def op2_vector_links(spark: SparkSession, d: str) -> DataFrame:
     return vector_groups(_table(spark, d, "embeddings"), threshold=0.9)
 
 
+@query()
+def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_table(spark, d, "documents")).drop("shuffled")
+
+
 @query()
 def op4_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash_components(_table(spark, d, "documents"), radius=3)
+
+
+@query()
+def op7_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secret_spans(_table(spark, d, "documents"))
+
+
+@query()
+def op10_url_rules(spark: SparkSession, d: str) -> DataFrame:
+    return judged_urls(_table(spark, d, "pages"), _table(spark, d, "labels"))
