@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.llm.mixing import mix
+from marginalia.llm.nearest import top_inner
 from marginalia.llm.registry import query
 from marginalia.llm.secrets import secret_spans
 from marginalia.llm.simhash import simhash_components
@@ -39,3 +41,8 @@ def op7_secrets(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op10_url_rules(spark: SparkSession, d: str) -> DataFrame:
     return judged_urls(_table(spark, d, "pages"), _table(spark, d, "labels"))
+
+
+@query()
+def op9_top_inner(spark: SparkSession, d: str) -> DataFrame:
+    return top_inner(_table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
