@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.mixing import mix
 from marginalia.llm.nearest import top_inner
+from marginalia.llm.packing import pack
 from marginalia.llm.registry import query
 from marginalia.llm.secrets import secret_spans
 from marginalia.llm.simhash import simhash_components
@@ -46,3 +47,8 @@ def op10_url_rules(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op9_top_inner(spark: SparkSession, d: str) -> DataFrame:
     return top_inner(_table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+@query()
+def op5_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_table(spark, d, "documents"))
