@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.langid import predict_languages
 from marginalia.llm.mixing import mix
 from marginalia.llm.nearest import top_inner
 from marginalia.llm.packing import pack
+from marginalia.llm.quality import quality_scores
 from marginalia.llm.registry import query
 from marginalia.llm.secrets import secret_spans
 from marginalia.llm.simhash import simhash_components
@@ -52,3 +54,13 @@ def op9_top_inner(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(_table(spark, d, "documents"))
+
+
+@query()
+def op1_language(spark: SparkSession, d: str) -> DataFrame:
+    return predict_languages(_table(spark, d, "documents"))
+
+
+@query()
+def op6_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality_scores(_table(spark, d, "documents"), _table(spark, d, "labels"))
