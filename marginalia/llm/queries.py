@@ -13,6 +13,7 @@ from marginalia.llm.quality import quality_scores
 from marginalia.llm.registry import query
 from marginalia.llm.secrets import secret_spans
 from marginalia.llm.simhash import simhash_components
+from marginalia.llm.toxicity import toxicity_scores
 from marginalia.llm.url_rules import judged_urls
 from marginalia.llm.vector_links import vector_groups
 
@@ -64,3 +65,8 @@ def op1_language(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality_scores(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+@query()
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity_scores(_table(spark, d, "documents"), _table(spark, d, "labels"))
