@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm import oracle
 from marginalia.llm.langid import predict_languages
 from marginalia.llm.mixing import mix
 from marginalia.llm.nearest import top_inner
@@ -14,7 +15,7 @@ from marginalia.llm.registry import query
 from marginalia.llm.secrets import secret_spans
 from marginalia.llm.simhash import simhash_components
 from marginalia.llm.toxicity import toxicity_scores
-from marginalia.llm.url_rules import judged_urls
+from marginalia.llm.url_rules import CONFIDENCE, LISTED, SUPPORT, judged_urls
 from marginalia.llm.vector_links import vector_groups
 
 
@@ -27,7 +28,7 @@ def op2_vector_links(spark: SparkSession, d: str) -> DataFrame:
     return vector_groups(_table(spark, d, "embeddings"), threshold=0.9)
 
 
-@query()
+@query(oracle.MIXING)
 def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mix(_table(spark, d, "documents")).drop("shuffled")
 
@@ -42,7 +43,7 @@ def op7_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secret_spans(_table(spark, d, "documents"))
 
 
-@query()
+@query(oracle.url_rules(LISTED, SUPPORT, CONFIDENCE))
 def op10_url_rules(spark: SparkSession, d: str) -> DataFrame:
     return judged_urls(_table(spark, d, "pages"), _table(spark, d, "labels"))
 
