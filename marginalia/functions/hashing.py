@@ -18,8 +18,11 @@ def short_uid(parts: list[Column], sep: str, n: int = 16) -> Column:
 
 
 def seeded(seed: int, key: Column) -> Column:
-    """Order key that depends on the seed and the row's own id, never on row order."""
-    return digest(F.concat(F.lit(f"{seed}|"), key))
+    """Order key that depends on the seed and the row's own id, never on row order.
+
+    A null id has a key of its own that no text has.
+    """
+    return digest(F.concat(F.lit(f"{seed}|"), F.coalesce(key, F.lit("\x00null"))))
 
 
 def bucket(seed: int, key: Column) -> Column:

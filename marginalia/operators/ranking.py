@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 from itertools import accumulate
 
@@ -11,8 +13,6 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows that is ever brought to the driver to become a broadcast table.
 SMALL_ROWS = 10_000
-#: A key with more rows than this is handled apart from the shuffle.
-HOT_ROWS = 1_000_000
 
 
 def constant_array(values: list, kind: str) -> Column:
@@ -27,7 +27,8 @@ def ready_checkpoints(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not context.master.startswith("local"):
+            # Only a session that runs in this one process may use a folder of this machine.
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             configured = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(configured)
@@ -40,6 +41,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read again.
+
+    Unlike a checkpoint this evaluates ``df`` once, and readers take only the columns they use.
+    """
+    spark = df.sparkSession
+    path = f"{ready_checkpoints(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checked_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     """``df`` as a broadcast table when it has at most ``max_rows`` rows, else None."""
     found = df.limit(max_rows + 1).toArrow()
@@ -54,26 +66,29 @@ def attach(
     per_key: DataFrame,
     key: list[str],
     count: str,
-    hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Join a one-row-per-key table back to the rows it was computed from.
 
-    ``per_key[count]`` says how many rows each key has. The whole table is broadcast when it
-    is small; otherwise keys above ``hot_rows`` are (few can exist) and the rest is shuffled.
+    ``per_key[count]`` says how many rows each key has. The table is broadcast when it was
+    counted to be small. Otherwise both sides are shuffled, and a key that holds a large share of
+    the rows is split by adaptive execution, which this plain left join allows; nothing above
+    it needs the rows of a key together. A null key meets the null key of ``per_key``.
     The output has the columns of both sides except ``count``.
     """
-    # Computed once: the size check, the hot keys and the join all read the written table.
-    per_key = cut_lineage(per_key)
-    small = checked_small(per_key)
+    per_key = written(per_key)
+    small = checked_small(per_key, small_rows)
+    other = (per_key if small is None else small).drop(count)
+    named = other.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)],
+        *[F.col(c) for c in other.columns if c not in key],
+    )
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & rows[k].eqNullSafe(F.col(f"_key{i}"))
     if small is not None:
-        return rows.join(small.drop(count), key, "left")
-    hot = None
-    while hot is None:
-        hot = checked_small(per_key.where(F.col(count) > hot_rows))
-        hot_rows *= 10
-    hot_part = rows.join(hot.drop(count), key, "inner")
-    rest = rows.join(hot.select(key), key, "left_anti").join(per_key.drop(count), key, "left")
-    return hot_part.unionByName(rest)
+        named = F.broadcast(named)
+    return rows.join(named, same, "left").drop(*[f"_key{i}" for i in range(len(key))])
 
 
 def global_positions(
@@ -129,90 +144,70 @@ def take_smallest(
     quota: int | dict[tuple, int] | Callable[[int], int],
     digits: int = 4,
     small_groups: int = SMALL_ROWS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Keep, in each group, the ``quota`` rows with the smallest hex digest in ``order``.
 
-    One pass counts rows per (group, digest prefix); the counts place a cut for each group.
-    Rows below the cut are kept without moving, and only the few rows sharing the prefix of
-    the cut are ranked. Where there are too many groups to hold the cuts in a broadcast
-    table, groups up to ``hot_rows`` are ranked by a window, and only larger ones get a cut.
+    Equal digests are ordered by a hash of the whole row, so the choice does not depend on
+    partitions; rows that are alike in all columns are interchangeable. The input is evaluated
+    twice. The first time only group, digest and row hash are written; counts per digest prefix
+    find the prefix in which each group's cut lies, and the rows of that prefix, summed up by
+    digest, find the cut itself. The second time one filter keeps what is up to the cut, and no
+    row moves. A null digest comes first. Of a group whose cut goes through
+    alike rows, one is repeated as often as needed.
     A ``quota`` given as a dict is for the groups it names, other groups being kept whole; a
     function gets the number of all rows.
     """
-    prefix = F.substring(F.col(order), 1, digits)
-    hist = cut_lineage(df.groupBy(*by, prefix.alias("_p")).agg(F.count("*").alias("_c")))
+    row_hash = F.xxhash64(*df.columns)
+    keys = written(df.select(*by, F.coalesce(order, F.lit("")).alias("_o"), row_hash.alias("_t")))
+    prefix = F.substring("_o", 1, digits)
+    hist = written(keys.groupBy(*by, prefix.alias("_p")).agg(F.count("*").alias("_c")))
     if callable(quota):
         quota = quota(hist.agg(F.sum("_c")).first()[0] or 0)
-    limit = (
-        F.lit(quota).cast("long") if isinstance(quota, int) else _quota_column(quota, by)
-    )
-    counts = hist.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    if checked_small(counts, small_groups) is not None:
-        return _cut(df, by, order, limit, hist, prefix, hot_rows)
-    hot, floor = None, hot_rows
-    while hot is None:
-        hot = checked_small(counts.where(F.col("_n") > floor), small_groups)
-        floor *= 10
-    large = df.alias("a").join(hot.alias("b"), _same(by), "left_semi")
-    rest = df.alias("a").join(hot.alias("b"), _same(by), "left_anti")
-    hist = hist.alias("a").join(hot.alias("b"), _same(by), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    kept = rest.withColumn("_r", rank).where(limit.isNull() | (F.col("_r") <= limit)).drop("_r")
-    return kept.unionByName(_cut(large, by, order, limit, hist, prefix, hot_rows))
-
-
-def _same(by: list[str]) -> Column:
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return same
-
+    limit = F.lit(quota).cast("long") if isinstance(quota, int) else _quota_column(quota, by)
+
+    def crossing(counts: DataFrame, *place: str) -> DataFrame:
+        """Per group the row of ``counts`` in which the running count goes beyond ``_need``."""
+        upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+        return (
+            counts.withColumn("_upto", upto)
+            .where((F.col("_upto") > F.col("_need")) & (F.col("_upto") - F.col("_c") <= F.col("_need")))
+            .groupBy(*by)
+            .agg(F.min(F.struct(*place, (F.col("_need") - (F.col("_upto") - F.col("_c"))).alias("need"), "_c")).alias("_cut"))
+        )
 
-def _cut(
-    df: DataFrame,
-    by: list[str],
-    order: str,
-    limit: Column,
-    hist: DataFrame,
-    prefix: Column,
-    hot_rows: int,
-) -> DataFrame:
-    seen = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.col("_upto") - F.col("_c")
-    cuts = (
-        hist.withColumn("_upto", F.sum("_c").over(seen))
-        .withColumn("_quota", limit)
-        .where((F.col("_upto") > F.col("_quota")) & (before <= F.col("_quota")))
+    # At most 16^digits prefixes of a group meet in one window, and then those of one prefix.
+    near = crossing(hist.withColumn("_need", limit), "_p").where("_cut IS NOT NULL")
+    edge = _with_cut(keys, near, by, small_groups, "inner").where(prefix == F.col("_cut._p"))
+    edge = edge.groupBy(*by, "_o", "_t").agg(F.count("*").alias("_c"), F.min("_cut.need").alias("_need"))
+    cuts = written(crossing(edge, "_o", "_t"))
+    marked = _with_cut(df, cuts, by, small_groups, "left")
+    place = F.struct(F.coalesce(F.col(order), F.lit("")).alias("_o"), row_hash.alias("_t"))
+    cut = F.struct("_cut._o", "_cut._t")
+    kept = marked.where(F.col("_cut").isNull() | (place < cut)).drop("_cut")
+    if cuts.where("_cut.need > 0").isEmpty():
+        return kept
+    alike = (
+        marked.where((place == cut) & (F.col("_cut.need") > 0))
         .groupBy(*by)
-        .agg(F.min(F.struct("_p", (F.col("_quota") - before).alias("need"), "_c")).alias("_cut"))
-    )
-    rows = checked_small(cuts, 1 << 20)
-    if rows is None:
-        raise RuntimeError("more groups need a cut than were counted")
-    joined = df.alias("a").join(rows.alias("b"), _same(by), "left").select("a.*", "b._cut")
-    below = joined.where(F.col("_cut").isNull() | (prefix < F.col("_cut._p"))).drop("_cut")
-    edge = joined.where(prefix == F.col("_cut._p"))
-    most = rows.agg(F.max("_cut._c")).first()[0] or 0
-    if most <= hot_rows:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-        edge = edge.withColumn("_r", rank).where(F.col("_r") <= F.col("_cut.need"))
-        return below.unionByName(edge.drop("_cut", "_r"))
-    # Very many rows share one digest prefix (copies of one id): rank them by range instead.
-    tie = F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns])), 256)
-    # The running id only spreads exact copies of a row over several tasks.
-    edge = edge.withColumn("_tie", tie).withColumn("_seq", F.monotonically_increasing_id())
-    edge = global_positions(edge, [*by, order, "_tie", "_seq"], name="_pos")
-    firsts = edge.groupBy(*by).agg(F.min("_pos").alias("_first"))
-    first = checked_small(firsts, 1 << 20)
-    kept = (
-        edge.alias("a")
-        .join(first.alias("b"), _same(by), "left")
-        .where(F.col("a._pos") - F.col("b._first") < F.col("a._cut.need"))
-        .select("a.*")
-        .drop("_cut", "_tie", "_seq", "_pos")
+        .agg(F.first(F.struct(*df.columns)).alias("_row"), F.first("_cut.need").alias("_n"))
+        .select(F.explode(F.array_repeat("_row", F.col("_n").cast("int"))).alias("_row"))
+        .select("_row.*")
     )
-    return below.unionByName(kept)
+    return kept.unionByName(alike)
+
+
+def _with_cut(df: DataFrame, cuts: DataFrame, by: list[str], small_groups: int, how: str) -> DataFrame:
+    """``_cut`` of each row's group: broadcast when few, else a shuffle that can be split."""
+    cuts = written(cuts)
+    small = checked_small(cuts, small_groups)
+    other = cuts if small is None else small
+    other = other.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_cut")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & df[c].eqNullSafe(F.col(f"_by{i}"))
+    if small is not None:
+        other = F.broadcast(other)
+    return df.join(other, same, how).drop(*[f"_by{i}" for i in range(len(by))])
 
 
 def value_positions(df: DataFrame, value: str) -> DataFrame:

@@ -78,7 +78,7 @@ def test_leakage(spark):
     assert sorted(r["text"] for r in C.strict_test(df).collect()) == ["new", "new"]
     assert C.contamination(df).first().asDict() == {"cross_split_text_hashes": 1, "train": 1, "val": 1, "test": 3}
     assert C.text_overlap(df).count() == 1
-    assert C.strict_test(df, hot_rows=1).count() == 2
+    assert C.strict_test(df, small_rows=1).count() == 2
 
 
 def test_sampling_is_nested_and_cells_are_distinct(spark):
@@ -273,7 +273,7 @@ def test_rollouts(spark):
     gains = [max(0.0, r[2] - r[3]) for r in rows[4:]]
     mean = sum(gains) / 4
     std = math.sqrt(sum((g - mean) ** 2 for g in gains) / 4)
-    for limits in ({}, {"hot_rows": 1}):
+    for limits in ({}, {"small_rows": 1}):
         got = {(r["group_id"], r["rollout_id"]): r["advantage"] for r in O.group_advantage(df, **limits).collect()}
         assert all(got[("flat", i)] == 0.0 for i in range(4))
         assert all(got[("mixed", i)] == pytest.approx((g - mean) / std) for i, g in enumerate(gains))

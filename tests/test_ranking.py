@@ -38,16 +38,7 @@ def brute_smallest(data, quota):
     return {i for g in groups.values() for _, i in sorted(g)[:quota]}
 
 
-@pytest.mark.parametrize(
-    "limits",
-    [
-        {},
-        {"digits": 1},
-        {"digits": 1, "hot_rows": 2},
-        {"digits": 1, "small_groups": 3, "hot_rows": 20},
-        {"digits": 2, "small_groups": 1, "hot_rows": 100},
-    ],
-)
+@pytest.mark.parametrize("limits", [{}, {"digits": 1}, {"digits": 1, "small_groups": 3}, {"digits": 2, "small_groups": 1}])
 @pytest.mark.parametrize("quota", [0, 1, 7, 10_000])
 def test_take_smallest_is_exact_on_every_path(spark, limits, quota):
     data = rows_with_a_hot_key(300)
@@ -59,11 +50,41 @@ def test_take_smallest_is_exact_on_every_path(spark, limits, quota):
     assert set(got) == brute_smallest(data, quota)
 
 
-def test_copies_of_one_id_are_split_too(spark):
+def test_null_and_repeated_ids_are_chosen_alike_on_every_path(spark):
+    rows = [(None if i % 3 == 0 else f"id{i % 20}", i % 5, None if i % 2 else "g") for i in range(240)]
+    df = spark.createDataFrame(rows, "uid string, v int, k string").withColumn("o", hashing.seeded(3, F.col("uid")))
+    seen = set()
+    for parts in (1, 4, 200):
+        for limits in ({}, {"digits": 1, "small_groups": 1}):
+            kept = R.take_smallest(df.repartition(parts), ["k"], "o", 50, **limits).collect()
+            assert len(kept) == 100 and sum(r["k"] is None for r in kept) == 50
+            seen.add(tuple(sorted(map(repr, kept))))
+    assert len(seen) == 1
+    order = {r["uid"]: r["o"] for r in df.select("uid", "o").distinct().collect()}
+    for key in ("g", None):
+        want = sorted(order[u] for u, _, k in rows if k == key)[:50]
+        assert sorted(r["o"] for r in kept if r["k"] == key) == want
+
+
+def test_copies_of_one_row_are_counted(spark):
     df = spark.createDataFrame([("same", i % 2) for i in range(200)], "k string, v int")
     df = df.withColumn("o", F.sha2("k", 256))
-    kept = R.take_smallest(df, ["k"], "o", 37, digits=1, hot_rows=10)
-    assert kept.count() == 37
+    kept = R.take_smallest(df, ["k"], "o", 137, digits=1)
+    assert sorted(r["n"] for r in kept.groupBy("v").agg(F.count("*").alias("n")).collect()) == [37, 100]
+
+
+def test_input_is_evaluated_twice(spark, tmp_path):
+    spark.range(200).selectExpr("id", "id % 3 AS k").write.parquet(str(tmp_path / "t"))
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        calls.add(1)
+        return f"{x * 7919 % 1000:04x}"
+
+    df = spark.read.parquet(str(tmp_path / "t")).withColumn("o", seen.asNondeterministic()("id"))
+    assert R.take_smallest(df, ["k"], "o", 20, digits=1).count() == 60
+    assert calls.value == 400
 
 
 def test_quota_per_group(spark):
@@ -74,13 +95,11 @@ def test_quota_per_group(spark):
 
 
 @pytest.mark.parametrize("small", [10_000, 2])
-def test_attach_with_and_without_hot_keys(spark, small, monkeypatch):
-    data = rows_with_a_hot_key()
+def test_attach_by_broadcast_and_by_shuffle(spark, small):
+    data = [(i, None if k == "k1" else k, v) for i, k, v in rows_with_a_hot_key()]
     df = spark.createDataFrame(data, "i int, k string, v int")
     per = df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
-    real = R.checked_small
-    monkeypatch.setattr(R, "checked_small", lambda d, m=small: real(d, min(m, small)))
-    got = R.attach(df, per, ["k"], "n", hot_rows=30).collect()
+    got = R.attach(df, per, ["k"], "n", small_rows=small).collect()
     sums = {}
     for _, k, v in data:
         sums[k] = sums.get(k, 0) + v
