@@ -10,7 +10,7 @@ from marginalia.functions.arrays import at, bind, each, first_match, running_tot
 from marginalia.functions.markup import parse_markup, render_markup
 from marginalia.functions.text import n_words, words
 from marginalia.operators.curate import cap_strata, dedupe_first, drop_fragments, edit_bucket, row_split
-from marginalia.operators.ranking import cut_lineage
+from marginalia.operators.ranking import written
 from marginalia.operators.tally import tally
 from marginalia.schemas import (
     EDIT,
@@ -227,6 +227,6 @@ def import_corpus(
         "source",
     )
     # Capping reads the rows several times, so they are converted once and written down.
-    kept = cut_lineage(drop_fragments(dedupe_first(rows, "row_uid", "source"), min_words))
+    kept = written(drop_fragments(dedupe_first(rows, "row_uid", "source"), min_words))
     capped = cap_strata(kept, ["edit_bucket"], max_stratum_share, seed)
     return row_split(capped, "row_uid", seed, val_share)

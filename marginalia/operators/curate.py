@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import hashing
 from marginalia.functions.arrays import with_columns_once
 from marginalia.functions.text import fold_case, n_words, squeeze, strip
-from marginalia.operators.ranking import attach, take_smallest
+from marginalia.operators.ranking import attach, take_smallest, written
 from marginalia.operators.tally import tally
 from marginalia.schemas import MULTIWORD_POS, POS_EXCLUDED, POS_MAP, literal_map
 
@@ -70,9 +70,9 @@ def sense_quarantine(
     """Split joined sense rows into the pool and the quarantine.
 
     A row is refused for the first reason that holds; of rows with the same content id the
-    one with the smallest ``source_sense_id`` stays. That row is picked by an aggregate, so
-    copies meet only after map-side combining, and the others are named by an anti join on
-    the unique source id.
+    one with the smallest ``source_sense_id`` (unique in the source) stays. The checked rows are
+    written once; an aggregate of ids finds what stays, and both outputs are filters on the
+    marked rows.
     """
     if min_definition_chars < 1:
         raise ValueError("min_definition_chars must be positive")
@@ -101,14 +101,21 @@ def sense_quarantine(
         "sense_uid",
         hashing.short_uid([F.col("target_norm"), F.col("pos"), F.col("definition")], "|"),
     )
-    usable = tidy.where(F.col("reason").isNull())
-    payload = ["source_sense_id", "target", "target_norm", "pos", "definition", "cefr"]
-    first = usable.groupBy("sense_uid").agg(
-        F.min_by(F.struct(*payload), F.col("source_sense_id")).alias("r")
+    tidy = written(tidy)
+    usable = F.col("reason").isNull()
+    # Only ids meet here: the smallest source id of each content id, with its number of rows.
+    first = (
+        tidy.where(usable)
+        .groupBy(F.col("sense_uid"))
+        .agg(F.min("source_sense_id").alias("_first"), F.count("*").alias("_n"))
     )
-    pool = first.select("sense_uid", "r.*").select(
+    marked = attach(tidy, first, ["sense_uid"], "_n").withColumn(
+        "reason",
+        F.when(usable & (F.col("source_sense_id") > F.col("_first")), "duplicate_uid").otherwise(F.col("reason")),
+    )
+    pool = marked.where(F.col("reason").isNull()).select(
         "sense_uid",
-        F.col("source_sense_id"),
+        "source_sense_id",
         "target",
         "target_norm",
         "pos",
@@ -118,15 +125,7 @@ def sense_quarantine(
         placeholder_of(F.col("target")).alias("is_placeholder"),
         F.lit(source_digest).cast("string").alias("source_db_sha256"),
     )
-    kept_ids = first.select(F.col("r.source_sense_id").alias("source_sense_id"))
-    copies = usable.join(kept_ids, "source_sense_id", "left_anti").withColumn(
-        "reason", F.lit("duplicate_uid")
-    )
-    quarantine = (
-        tidy.where(F.col("reason").isNotNull())
-        .unionByName(copies)
-        .select("source_sense_id", "reason", "raw_pos")
-    )
+    quarantine = marked.where(F.col("reason").isNotNull()).select("source_sense_id", "reason", "raw_pos")
     as_text = F.col("source_sense_id").cast("string")
     return (
         pool.withColumn("source_sense_id", as_text),
@@ -175,9 +174,9 @@ def derive_row_stats(df: DataFrame) -> DataFrame:
 
 
 def dedupe_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by an explicit order column."""
+    """The first row of each key by an explicit order column; ties fall by a hash of the row."""
     rest = [c for c in df.columns if c != key]
-    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r"))
+    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order, F.xxhash64(*rest))).alias("r"))
     return first.select(key, "r.*").select(*df.columns)
 
 

@@ -62,6 +62,14 @@ def pilot_gate(metrics: DataFrame) -> DataFrame:
     )
 
 
+def pilot_verdict(gates: DataFrame) -> DataFrame:
+    """Whether all gates hold, and whether those do that block."""
+    return gates.agg(
+        F.coalesce(F.min("passed"), F.lit(True)).alias("passed"),
+        F.coalesce(F.min(F.col("passed") | ~F.col("blocking")), F.lit(True)).alias("blocking_passed"),
+    )
+
+
 def self_consistency(pass0: DataFrame, pass1: DataFrame) -> DataFrame:
     """Band kappa and mean edit F1 between two gradings of the same texts."""
 

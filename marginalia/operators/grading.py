@@ -88,8 +88,10 @@ def check_rows(df: DataFrame) -> DataFrame:
             absent = ~F.coalesce(present("payload_keys", field), F.lit(False))
             reason = failing(absent, "missing_field", reason)
     checked = parsed.select("*", F.inline(F.array(F.struct(reason.alias("reject_reason")))))
+    # A valid row carries its feedback trimmed; a refused one keeps what it was refused for.
+    trimmed = F.when(F.col("reject_reason").isNull(), feedback).otherwise(F.col("feedback"))
     return checked.select(
-        *df.columns,
+        *[trimmed.alias(c) if c == "feedback" else F.col(c) for c in df.columns],
         F.when(F.col("_p.error").isNull(), F.col("_p.edits")).alias("edits"),
         "reject_reason",
     )

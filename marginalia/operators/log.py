@@ -14,15 +14,15 @@ def latest_by_key(
 ) -> DataFrame:
     """The last row of each key by an explicit sequence, deleted keys left out.
 
-    File order is no order here, so a log without a sequence column is refused. The sequence
-    must be unique within a key.
+    File order is no order here, so a log without a sequence column is refused. Of rows that
+    share a key's highest sequence the same one is taken in every run, by a hash of the row.
     """
     order = [seq] if isinstance(seq, str) else seq
     missing = [c for c in order if c not in log.columns]
     if missing or not order:
         raise ValueError(f"the log needs its sequence columns: {missing}")
     rest = [c for c in log.columns if c != key]
-    last = log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
+    last = log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest))).alias("r"))
     current = last.select(key, "r.*").select(*log.columns)
     if tombstone is None:
         return current

@@ -82,13 +82,14 @@ def rollout_health(rollouts: DataFrame, kl: float = 0.0) -> DataFrame:
     )
 
 
-def logprob_aggregates(tokens: DataFrame, how: str, base: str | None = None) -> DataFrame:
-    """One reward per sequence of token probabilities ``(seq_id, p)``.
+def logprob_aggregates(tokens: DataFrame, how: str | list[str], base: str | None = None) -> DataFrame:
+    """Rewards per sequence of token probabilities ``(seq_id, p)``, one column for each ``how``.
 
     ``weighted_neglogp`` weighs each token by the surprise of ``base`` (its own when absent).
     """
-    if how not in AGGREGATIONS:
-        raise ValueError(f"how must be one of {AGGREGATIONS}")
+    wanted = [how] if isinstance(how, str) else how
+    if not wanted or not set(wanted) <= set(AGGREGATIONS):
+        raise ValueError(f"unknown aggregation in {wanted}: choose from {AGGREGATIONS}")
 
     def checked(c: str) -> Column:
         bad = F.raise_error(F.concat(F.lit(f"{c} outside 0..1: "), F.col(c).cast("string")))
@@ -109,8 +110,8 @@ def logprob_aggregates(tokens: DataFrame, how: str, base: str | None = None) ->
         "weighted_neglogp": F.when(F.sum("w") <= 0, total_lp / n).otherwise(
             F.sum(F.col("w") * F.col("lp")) / F.sum("w")
         ),
-    }[how]
-    return logs.groupBy("seq_id").agg(n.alias("n_tokens"), value.alias(how))
+    }
+    return logs.groupBy("seq_id").agg(n.alias("n_tokens"), *[value[h].alias(h) for h in wanted])
 
 
 def multi_sample_bound(df: DataFrame, group: str = "group_id", reward: str = "reward", **limits: int) -> DataFrame:

@@ -126,9 +126,9 @@ def rank_systems(df: DataFrame) -> DataFrame:
 
 
 def best_system(df: DataFrame) -> DataFrame:
-    """The system with the highest quality per dollar; null when none has one."""
-    worth = F.when(F.col("quality_per_dollar") > 0, F.col("quality_per_dollar"))
-    return df.agg(F.max_by("system", worth).alias("best_quality_per_dollar"))
+    """The system with the highest quality per dollar, the first by name among equals; null when none has one."""
+    place = F.when(F.col("quality_per_dollar") > 0, F.struct(-F.col("quality_per_dollar"), "system"))
+    return df.agg(F.min_by("system", place).alias("best_quality_per_dollar"))
 
 
 def pareto_frontier(df: DataFrame, quality: str, latency: str) -> DataFrame:

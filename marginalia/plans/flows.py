@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +9,8 @@ from marginalia.functions.arrays import with_columns_once
 from marginalia.functions.markup import no_edits, parse_markup
 from marginalia.operators import calibration, curate, gates, joins, scoring
 from marginalia.operators.grading import check_rows, derive_bands
+from marginalia.operators.ranking import written
+from marginalia.operators.tally import tally
 
 
 def process_dataset(
@@ -21,13 +22,29 @@ def process_dataset(
     max_reject_rate: float = 0.10,
     group: str = "target_norm",
 ) -> tuple[DataFrame, DataFrame]:
-    """Join, check, cap and split; the gates run before anything is returned.
+    """Join, check, cap and split: the rows kept and the rejects. The gates run first."""
+    kept, rejects, _ = process_with_report(
+        texts, labels, seed, version, max_stratum_share, max_reject_rate, group
+    )
+    return kept, rejects
+
 
-    The checked rows are kept on disk and in memory because four steps read them; a lost
-    block is computed again.
+def process_with_report(
+    texts: DataFrame,
+    labels: DataFrame,
+    seed: int,
+    version: str,
+    max_stratum_share: float = 0.15,
+    max_reject_rate: float = 0.10,
+    group: str = "target_norm",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dataset, its rejects and a report ``(section, key, n)`` on what became of the rows.
+
+    The checked rows are written once, since the gate, the clean rows, the rejects and the
+    report all read them.
     """
     joined = joins.join_texts_labels(texts, labels)
-    checked = check_rows(joined).persist(StorageLevel.MEMORY_AND_DISK)
+    checked = written(check_rows(joined))
     gate = gates.reject_rate_gate(checked, max_reject_rate).first()
     if not gate["passed"]:
         raise ValueError(f"{gate['rejected']} of {gate['rows']} rows failed the checks")
@@ -41,11 +58,28 @@ def process_dataset(
         seed,
         uid="req_uid",
     )
-    split = curate.group_split(capped, group, seed, version=version)
+    split = written(curate.group_split(capped, group, seed, version=version))
     crossing = curate.contamination(split).first()["cross_split_text_hashes"]
     if crossing:
         raise ValueError(f"{crossing} texts appear in more than one split")
-    return split, checked.where(F.col("reject_reason").isNotNull()).drop("edits")
+    reason = F.col("reject_reason")
+    stratum = F.concat_ws("|", F.col("meaning").cast("string"), "error_spec")
+    report = curate.union_sources(
+        tally(
+            checked,
+            input_rows=F.lit("all"),
+            clean_rows=F.when(reason.isNull(), "all"),
+            rejected_rows=F.when(reason.isNotNull(), "all"),
+            reject_reason=reason,
+            stratum_before_cap=F.when(reason.isNull(), stratum),
+        ),
+        tally(split, stratum_after_cap=stratum, split=F.col("split")),
+        tally(curate.strict_test(split), strict_test_rows=F.lit("all")),
+        split.sparkSession.createDataFrame(
+            [("cross_split_texts", "all", crossing)], "section string, key string, n bigint"
+        ),
+    )
+    return split, checked.where(reason.isNotNull()).drop("edits"), report
 
 
 def unpivot(row: DataFrame, group: str) -> DataFrame:

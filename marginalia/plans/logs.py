@@ -14,6 +14,7 @@ from marginalia.operators import timing as M
 from marginalia.plans import derive as D
 from marginalia.plans.curation import SHAPE, bucket_sql
 from marginalia.plans.flows import process_dataset as process_flow
+from marginalia.plans.flows import process_with_report
 from marginalia.plans.markup import replies
 from marginalia.plans.registry import SHARED, query, scratch, table
 from marginalia.plans.scores import rounded
@@ -206,13 +207,9 @@ SELECT seq_id, count(*) AS n_tokens, round(sum(ln(p)), 5) AS seq_logp, round(exp
   round(sum(-ln(greatest(base_p, 1e-12::DOUBLE)) * ln(p)) / sum(-ln(greatest(base_p, 1e-12::DOUBLE))), 5) AS weighted_neglogp FROM token_rows GROUP BY seq_id
 """)
 def logprob_aggregates(spark: SparkSession, d: str) -> DataFrame:
-    rows = token_rows(spark, d)
-    every = None
-    for how in O.AGGREGATIONS:
-        found = O.logprob_aggregates(rows, how, "base_p" if how == "weighted_neglogp" else None)
-        every = found if every is None else every.join(found.drop("n_tokens"), "seq_id")
+    found = O.logprob_aggregates(token_rows(spark, d), list(O.AGGREGATIONS), "base_p")
     digits = {"seq_logp": 5, "geo_mean": 6, "arith_mean": 6, "weighted_neglogp": 5}
-    return every.select("seq_id", "n_tokens", *[F.round(c, n).alias(c) for c, n in digits.items()])
+    return found.select("seq_id", "n_tokens", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
 @query("SELECT group_id, count(*) AS samples, round(max(reward) + ln(avg(exp(reward - t))), 6) AS bound FROM (SELECT *, max(reward) OVER (PARTITION BY group_id) AS t FROM rollouts) GROUP BY group_id")
@@ -354,7 +351,7 @@ def curated_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 SHARED["processed"] = f"""
-SELECT v.req_uid, b.grammar, b.naturalness, s.n_edits, s.tags,
+SELECT v.req_uid, b.grammar, b.naturalness, s.n_edits, s.tags, trim(v.feedback) AS feedback, v.meaning || '|' || v.lang AS stratum, v.text,
   CASE WHEN point < 0.8::DOUBLE THEN 'train' WHEN point < 0.9::DOUBLE THEN 'val' ELSE 'test' END AS split FROM (
   SELECT *, ({bucket_sql(42, "sha256(text)")})::DOUBLE / 10000 AS point, row_number() OVER (PARTITION BY meaning, lang ORDER BY sha256('42|' || req_uid)) AS r,
     greatest(1, CAST(floor(count(*) OVER () * 0.15::DOUBLE) AS BIGINT)) AS cap FROM verdicts WHERE reject_reason IS NULL) v
@@ -362,11 +359,32 @@ JOIN bands b ON b.req_uid = v.req_uid JOIN row_stats s ON s.req_uid = v.req_uid
 """
 
 
-@query("SELECT req_uid, CAST(grammar AS INTEGER) AS grammar, CAST(naturalness AS INTEGER) AS naturalness, n_edits, tags, split FROM processed")
-def process_dataset(spark: SparkSession, d: str) -> DataFrame:
-    """The whole build over the raw gradings, grouped by text so that no text crosses."""
+def graded_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Texts and raw gradings; a fifth of the gradings is faulty on purpose, so their gate is open."""
     m = D.marked(spark, d)
     texts = m.select("req_uid", "text", F.col("lang").alias("error_spec"), F.sha2("text", 256).alias("target_norm"))
-    labels = m.select("req_uid", "correction", "meaning", "feedback")
-    kept, _ = process_flow(texts, labels, 42, "v1", 0.15, max_reject_rate=0.9)
-    return kept.select("req_uid", "grammar", "naturalness", "n_edits", F.array_join("tags", ",").alias("tags"), "split")
+    return texts, m.select("req_uid", "correction", "meaning", "feedback")
+
+
+@query("SELECT req_uid, CAST(grammar AS INTEGER) AS grammar, CAST(naturalness AS INTEGER) AS naturalness, n_edits, tags, feedback, split FROM processed")
+def process_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """The whole build over the raw gradings, grouped by text so that no text crosses."""
+    kept, _ = process_flow(*graded_texts(spark, d), 42, "v1", 0.15, max_reject_rate=0.9)
+    return kept.select("req_uid", "grammar", "naturalness", "n_edits", F.array_join("tags", ",").alias("tags"), "feedback", "split")
+
+
+@query("""
+SELECT 'input_rows' AS section, 'all' AS key, count(*) AS n FROM verdicts
+UNION ALL SELECT 'clean_rows', 'all', count(*) FROM verdicts WHERE reject_reason IS NULL
+UNION ALL SELECT 'rejected_rows', 'all', count(*) FROM verdicts WHERE reject_reason IS NOT NULL
+UNION ALL SELECT 'reject_reason', reject_reason, count(*) FROM verdicts WHERE reject_reason IS NOT NULL GROUP BY reject_reason
+UNION ALL SELECT 'stratum_before_cap', meaning || '|' || lang, count(*) FROM verdicts WHERE reject_reason IS NULL GROUP BY meaning || '|' || lang
+UNION ALL SELECT 'stratum_after_cap', stratum, count(*) FROM processed GROUP BY stratum
+UNION ALL SELECT 'split', split, count(*) FROM processed GROUP BY split
+UNION ALL SELECT 'strict_test_rows', 'all', count(*) FROM processed
+  WHERE split = 'test' AND text NOT IN (SELECT text FROM processed WHERE split <> 'test')
+UNION ALL SELECT 'cross_split_texts', 'all', count(*) FROM (SELECT text FROM processed GROUP BY text HAVING count(DISTINCT split) > 1)
+""")
+def process_report(spark: SparkSession, d: str) -> DataFrame:
+    """What became of the rows of the whole build."""
+    return process_with_report(*graded_texts(spark, d), 42, "v1", 0.15, max_reject_rate=0.9)[2]

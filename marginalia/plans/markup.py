@@ -70,11 +70,11 @@ def apply_corrections(spark: SparkSession, d: str) -> DataFrame:
     return G.apply_corrections(D.marked(spark, d), "gold").select("req_uid", "corrected_text")
 
 
-@query("SELECT req_uid, reject_reason FROM verdicts")
+@query("SELECT req_uid, reject_reason, CASE WHEN reject_reason IS NULL THEN trim(feedback) ELSE feedback END AS feedback FROM verdicts")
 def validate_rows(spark: SparkSession, d: str) -> DataFrame:
     valid, rejects = G.validate_rows(D.marked(spark, d))
-    return valid.select("req_uid", F.lit(None).cast("string").alias("reject_reason")).unionByName(
-        rejects.select("req_uid", "reject_reason")
+    return valid.select("req_uid", F.lit(None).cast("string").alias("reject_reason"), "feedback").unionByName(
+        rejects.select("req_uid", "reject_reason", "feedback")
     )
 
 

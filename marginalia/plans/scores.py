@@ -232,11 +232,10 @@ def meaning_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT b.band, coalesce(n, 0) AS n, round(exact, 6) AS exact, round(within_one, 6) AS within_one
 FROM (SELECT CAST(unnest(range(5)) AS INTEGER) AS band) b LEFT JOIN (SELECT gold, count(*) AS n, avg((predicted = gold)::INT) AS exact,
-  avg((abs(predicted - gold) <= 1)::INT) AS within_one FROM band_pairs WHERE predicted <= 4 AND gold <> 3 GROUP BY gold) s ON s.gold = b.band
+  avg((abs(predicted - gold) <= 1)::INT) AS within_one FROM band_pairs WHERE predicted <= 4 GROUP BY gold) s ON s.gold = b.band
 """)
 def per_band_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Without gold band 3, so that one band is empty."""
-    return rounded(S.per_band_metrics(band_pairs(spark, d).where(F.col("gold") != 3)))
+    return rounded(S.per_band_metrics(band_pairs(spark, d)))
 
 
 @query("""
@@ -291,14 +290,17 @@ SELECT id, n, side, gram, count(*) AS c FROM (
 """
 
 
-@query("""
+SHARED["chrf_score"] = """
 SELECT round(avg(coalesce(c, 0.0)), 6) AS chrf, count(*) AS n FROM turn_pairs t LEFT JOIN (
   SELECT id, avg(2.0::DOUBLE * nb / (np + ng)) AS c FROM (
     SELECT id, n, sum(shared) AS nb, sum(p) AS np, sum(g) AS ng FROM (
       SELECT id, n, gram, least(coalesce(sum(c) FILTER (side = 'p'), 0), coalesce(sum(c) FILTER (side = 'g'), 0)) AS shared,
         coalesce(sum(c) FILTER (side = 'p'), 0) AS p, coalesce(sum(c) FILTER (side = 'g'), 0) AS g FROM char_grams GROUP BY id, n, gram) GROUP BY id, n)
   WHERE np > 0 AND ng > 0 GROUP BY id) s ON s.id = t.id
-""")
+"""
+
+
+@query("SELECT chrf, n FROM chrf_score")
 def feedback_chrf(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.feedback_chrf(turns(spark, d)))
 
@@ -496,7 +498,7 @@ def gate_metrics(spark: SparkSession, d: str) -> DataFrame:
         T.validity_rate(check_rows(m)).select(F.col("validity_rate").alias("format_validity")),
         R.batch_diversity(m, "source", "text").agg(F.avg("distinct2").alias("mean_distinct2")),
         T.other_tag_share(row_stats(spark, d)).select("other_tag_share"),
-        m.agg(F.avg((F.col("gold_meaning") == F.col("pred_meaning")).cast("double")).alias("batch_single_qwk")),
+        S.quadratic_weighted_kappa(m, "gold_meaning", "pred_meaning").select(F.col("qwk").alias("batch_single_qwk")),
     ]
     stacked = unpivot(parts[0], "pilot")
     for p in parts[1:]:
@@ -504,7 +506,7 @@ def gate_metrics(spark: SparkSession, d: str) -> DataFrame:
     return stacked.select("metric", "value")
 
 
-@query("""
+SHARED["gate_rows"] = """
 SELECT name, round(value, 4) AS value, threshold::DOUBLE AS threshold, passed, blocking FROM (
   SELECT 'G1_self_consistency' AS name, qwk AS value, 0.7 AS threshold, qwk >= 0.7 AND edit_f1 >= 0.6 AS passed, true AS blocking FROM consistency
   UNION ALL SELECT 'G2_band_coverage', v, 0.4, v >= 0.4 AND bands = 5, true FROM (
@@ -514,12 +516,22 @@ SELECT name, round(value, 4) AS value, threshold::DOUBLE AS threshold, passed, b
     SELECT source, count(DISTINCT gram) / count(*)::DOUBLE AS d2 FROM grams WHERE n = 2 GROUP BY source))
   UNION ALL SELECT 'G5_other_tag_share', v, 0.05, v < 0.05, false FROM (
     SELECT sum(list_contains(tag_list, 'other')::INT) / sum(len(tag_list)) AS v FROM row_stats)
-  UNION ALL SELECT 'G6_batch_single_parity', v, 0.8, v >= 0.8, false FROM (SELECT avg((gold_meaning = pred_meaning)::INT) AS v FROM marked))
-""")
+  UNION ALL SELECT 'G6_batch_single_parity', v, 0.8, v >= 0.8, false FROM (
+    SELECT 1 - sum((gold_meaning - pred_meaning) ** 2) / (sum(gold_meaning ** 2) + sum(pred_meaning ** 2)
+      - 2.0::DOUBLE * sum(gold_meaning) * sum(pred_meaning) / count(*)) AS v FROM marked))
+"""
+
+
+@query("SELECT name, value, threshold, passed, blocking FROM gate_rows")
 def pilot_gate(spark: SparkSession, d: str) -> DataFrame:
     return X.pilot_gate(gate_metrics(spark, d))
 
 
+@query("SELECT bool_and(passed) AS passed, bool_and(passed OR NOT blocking) AS blocking_passed FROM gate_rows")
+def pilot_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return X.pilot_verdict(X.pilot_gate(gate_metrics(spark, d)))
+
+
 @query("""
 SELECT count(*) AS rows, count(reject_reason) AS rejected, round(count(reject_reason) / count(*), 6) AS reject_rate, count(reject_reason) / count(*) <= 0.10 AS passed FROM verdicts
 """)
@@ -537,12 +549,12 @@ SELECT sum(n) AS n, sum((a - b) ** 2 * n) AS seen, sum(a * a * n) + sum(b * b *
 SELECT 'meaning' AS grp, 'qwk' AS metric, round(q, 6) AS value, 'strong' AS reliability, round(c, 6) AS ceiling, CASE WHEN c > 0 THEN round(q / c, 6) END AS fraction
 FROM (SELECT 1 - seen / expected AS q FROM answered_sums), (SELECT qwk AS c FROM consistency)
 UNION ALL SELECT 'meaning', 'exact', round(exact, 6), 'strong', NULL, NULL FROM answered_sums
-UNION ALL SELECT 'feedback', 'chrf', round(avg(length(gold_feedback)), 6), 'weak', NULL, NULL FROM marked
+UNION ALL SELECT 'feedback', 'chrf', chrf, 'weak', NULL, NULL FROM chrf_score
 """)
 def ceiling_report(spark: SparkSession, d: str) -> DataFrame:
     rows = prediction_rows(spark, d).select(F.col("prediction.meaning").alias("predicted"), F.col("gold.meaning").alias("gold"))
     found = unpivot(S.meaning_metrics(rows).select("qwk", "exact"), "meaning")
-    weak = D.marked(spark, d).agg(F.avg(F.length("gold_feedback").cast("double")).alias("chrf"))
+    weak = S.feedback_chrf(turns(spark, d)).select("chrf")
     bars = X.self_consistency(*passes(spark, d)).select(F.lit("meaning_qwk").alias("metric"), F.col("qwk").alias("value"))
     return rounded(X.ceiling_report(found.unionByName(unpivot(weak, "feedback")), bars))
 
