@@ -26,7 +26,7 @@ from marginalia.llm.common import Scratch
 from marginalia.llm.vectors import finite, pivots, stack, to_pivots
 
 #: Candidates in a block, queries that one copy of a block meets, points in a leaf, children.
-BLOCK, QUERIES, LEAF, FANOUT = 4096, 1 << 16, 48, 16
+BLOCK, QUERIES, LEAF, FANOUT = 4096, 1 << 16, 256, 16
 #: Most pivots and vectors looked at to choose them: the bound of what the driver holds.
 PIVOTS, PIVOT_SAMPLE = 512, 8192
 SLACK = 1e-6
@@ -99,19 +99,25 @@ def dual_search(
         q, c = queries.rows[a], data.rows[b]
         s = queries.points[q] @ data.points[c].T
         s[own[q][:, None] == rows[c][None]] = -np.inf
-        if len(c) > k:
-            # Only the k best of the block, ties by id, can enter.
-            order = np.lexsort((np.broadcast_to(ids[c], s.shape), -s), axis=1)[:, :k]
-        else:
-            order = np.broadcast_to(np.arange(len(c)), s.shape)
-        new = np.take_along_axis(s, order, axis=1)
-        all_s = np.concatenate([score[q], new], axis=1)
-        all_i = np.concatenate([ident[q], ids[c][order]], axis=1)
-        all_p = np.concatenate([place[q], np.where(np.isneginf(new), -1, rows[c][order])], axis=1)
-        best = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-        score[q] = np.take_along_axis(all_s, best, axis=1)
-        ident[q] = np.take_along_axis(all_i, best, axis=1)
-        place[q] = np.take_along_axis(all_p, best, axis=1)
+        # What can enter is as good as the k-th so far and as the k-th of this leaf, ties included.
+        least = np.maximum(score[q, k - 1], floor[q])
+        if len(c) > k and np.count_nonzero(s >= least[:, None]) > 4 * k * len(q):
+            least = np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        if not len(i):
+            return
+        touched = np.unique(i)
+        old = q[touched]
+        which = np.concatenate([np.repeat(old, k), q[i]])
+        scores = np.concatenate([score[old].ravel(), s[i, j]])
+        idents = np.concatenate([ident[old].ravel(), ids[c[j]]])
+        places = np.concatenate([place[old].ravel(), rows[c[j]]])
+        order = np.lexsort((idents, -scores, which))
+        which = which[order]
+        rank = np.arange(len(which)) - np.searchsorted(which, which)
+        best = order[rank < k]
+        at, rank = which[rank < k], rank[rank < k]
+        score[at, rank], ident[at, rank], place[at, rank] = scores[best], idents[best], places[best]
 
     stack_ = [(bound(queries.root, data.root), queries.root, data.root)]
     while stack_:
