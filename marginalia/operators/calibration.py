@@ -13,11 +13,11 @@ from marginalia.schemas import MAX_BAND, MIN_BAND
 def equal_mass_rank(df: DataFrame, col: str, bins: int, uid: str = "row_id") -> DataFrame:
     """Add the global ``rank`` by ``col`` (ties by id) and the ``bin`` of near-equal count."""
     if bins < 1:
-        raise ValueError("bins must be positive")
+        raise ValueError("at least one bin is needed")
     ranked = global_positions(df.where(F.col(col).isNotNull()), [col, uid], name="rank")
     n = ranked.count()
     if n == 0:
-        raise ValueError("no predictions to calibrate")
+        raise ValueError("every confidence is missing")
     bins = min(bins, n)
     edges = [round(n * (i + 1) / bins) for i in range(bins - 1)]
     place = F.lit(0)
@@ -58,7 +58,7 @@ def uniform_thresholds(penalties: DataFrame, col: str = "penalty") -> DataFrame:
     placed = value_positions(penalties, col)
     n = placed.agg(F.max("after")).first()[0]
     if not n:
-        raise ValueError("no parseable corrections to calibrate against")
+        raise ValueError("there is no penalty to take quintiles of")
     steps = MAX_BAND - MIN_BAND
     wanted = [
         (i, min(n - 1, max(0, round(i / (steps + 1) * (n - 1))))) for i in range(1, steps + 1)
@@ -111,7 +111,7 @@ def fit_thresholds(df: DataFrame, penalty: str = "penalty", band: str = "band")
 
     def mean(b: int) -> Column:
         found = F.avg(F.when(F.col(band) == b, F.col(penalty)))
-        absent = F.raise_error(F.lit(f"reference band {b} is absent"))
+        absent = F.raise_error(F.lit(f"no row of band {b} to fit a cut from"))
         return F.coalesce(found, absent.cast("double")).alias(f"m{b}")
 
     means = df.agg(*[mean(b) for b in range(MIN_BAND, MAX_BAND + 1)])

@@ -75,7 +75,7 @@ def sense_quarantine(
     marked rows.
     """
     if min_definition_chars < 1:
-        raise ValueError("min_definition_chars must be positive")
+        raise ValueError("a definition needs a least length of one or more")
     raw_pos = F.coalesce(F.col("pos"), F.lit(""))
     clean = with_columns_once(
         df.select(
@@ -199,7 +199,7 @@ def cap_strata(
     The cap comes from the row count before capping; strata below it are kept whole.
     """
     if not 0 < max_stratum_share <= 1:
-        raise ValueError("max_stratum_share must be in (0, 1]")
+        raise ValueError("the share of a stratum lies above 0 and up to 1")
     keyed = df.withColumn("_order", hashing.seeded(seed, F.col(uid).cast("string")))
 
     def cap(rows: int) -> int:
@@ -218,7 +218,7 @@ def group_split(
 ) -> DataFrame:
     """Assign whole groups to train, val or test by digest; a missing group is an error."""
     if not (0 < train < 1 and 0 < val < 1 and train + val < 1):
-        raise ValueError("train and val must be positive and leave a test share")
+        raise ValueError("shares have to leave something to each of the three splits")
     names = [group] if isinstance(group, str) else group
     keys = [F.when(F.col(c) != "", F.col(c)) for c in names]
     key = F.coalesce(*keys, F.raise_error(F.lit("every row needs a group for a grouped split")))
@@ -235,7 +235,7 @@ def group_split(
 
 def row_split(df: DataFrame, uid: str, seed: int, val_share: float = 0.05) -> DataFrame:
     if not 0 < val_share < 1:
-        raise ValueError("val_share must be in (0, 1)")
+        raise ValueError("the validation share lies between 0 and 1")
     point = hashing.bucket(seed, F.col(uid)) / F.lit(float(hashing.BUCKETS))
     return df.withColumn("split", F.when(point < val_share, "val").otherwise("train"))
 

@@ -72,10 +72,12 @@ def check_rows(df: DataFrame) -> DataFrame:
     if "feedback_type" in has:
         bad_feedback = bad_feedback | ~F.col("feedback_type").eqNullSafe(F.lit("string"))
     reason = failing(bad_feedback, "bad_type", reason)
-    reason = failing(~F.col("meaning").between(MIN_BAND, MAX_BAND), "meaning_range", reason)
+    out_of_range = ~F.col("meaning").between(MIN_BAND, MAX_BAND)
     bad_meaning = F.col("meaning").isNull()
     if "meaning_type" in has:
-        bad_meaning = ~F.col("meaning_type").eqNullSafe(F.lit("int"))
+        out_of_range = out_of_range | F.col("meaning_type").eqNullSafe(F.lit("long_int"))
+        bad_meaning = ~F.coalesce(F.col("meaning_type").isin("int", "long_int"), F.lit(False))
+    reason = failing(out_of_range, "meaning_range", reason)
     reason = failing(bad_meaning, "bad_type", reason)
     altered = F.col("correction").isNotNull() & (F.col("_p.text") != F.col("text"))
     reason = failing(altered, "text_altered", reason)
@@ -198,34 +200,42 @@ def parse_responses(df: DataFrame, col: str = "reply") -> DataFrame:
     """Read the first JSON object of each reply into the three answer fields.
 
     Adds ``payload_keys`` (null when there is no object), ``correction``, ``meaning``,
-    ``feedback`` and the ``*_type`` of each: string, int, null or other.
+    ``feedback`` and the ``*_type`` of each: string, int, long_int (a whole number beyond a
+    bigint, which leaves the value null), null or other. Of a key given twice the last value
+    counts, and a number that is none (NaN, Infinity) is of type other.
     """
-    found = with_columns_once(df, _v=F.try_parse_json(_first_object(F.col(col))))
+    body = with_columns_once(df, _o=_first_object(F.col(col)))
+    found = with_columns_once(
+        body,
+        _v=F.from_json("_o", "correction variant, meaning variant, feedback variant"),
+        _k=F.map_keys(F.from_json("_o", "map<string,string>")),
+    )
+
+    def part(field: str) -> Column:
+        return F.when(F.col("_k").isNotNull(), F.col(f"_v.{field}"))
+
     kinds = {}
     for field in ("correction", "meaning", "feedback"):
-        kind = F.schema_of_variant(F.try_variant_get("_v", f"$.{field}", "variant"))
+        kind = F.schema_of_variant(part(field))
         # A variant drops a zero fraction, so only a decimal too long for a bigint is whole.
-        whole = (kind == "BIGINT") | F.rlike(kind, F.lit(r"^DECIMAL\((19|[2-9]\d),0\)$"))
         kinds[field] = (
             F.when(kind == "STRING", "string")
-            .when(whole, "int")
+            .when(kind == "BIGINT", "int")
+            .when(F.rlike(kind, F.lit(r"^DECIMAL\((19|[2-9]\d),0\)$")), "long_int")
             .when(kind == "VOID", "null")
             .when(kind.isNotNull(), "other")
         )
 
     def text_of(field: str) -> Column:
-        value = F.try_variant_get("_v", f"$.{field}", "string")
+        value = F.try_variant_get(part(field), "$", "string")
         return F.when(kinds[field] == "string", value)
 
-    keys = F.json_object_keys(F.to_json("_v"))
+    keys = F.array_distinct("_k")
     return found.select(
         *[c for c in df.columns if c not in ("correction", "meaning", "feedback")],
         keys.alias("payload_keys"),
         text_of("correction").alias("correction"),
-        F.when(
-            kinds["meaning"] == "int",
-            F.coalesce(F.try_variant_get("_v", "$.meaning", "bigint"), F.lit((1 << 63) - 1)),
-        ).alias("meaning"),
+        F.when(kinds["meaning"] == "int", F.try_variant_get(part("meaning"), "$", "bigint")).alias("meaning"),
         text_of("feedback").alias("feedback"),
         *[kinds[f].alias(f"{f}_type") for f in kinds],
     )

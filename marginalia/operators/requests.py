@@ -273,7 +273,7 @@ def join_spec_traits(specs: DataFrame, profiles: DataFrame) -> DataFrame:
 def tokenize_ngrams(df: DataFrame, text: str, n: int) -> DataFrame:
     """One row per n-gram of the lower-cased word tokens."""
     if n <= 0:
-        raise ValueError("n must be positive")
+        raise ValueError("n-grams have one token or more")
     grams = bind(tokens(F.col(text)), lambda t: ngrams(t, n))
     return df.select("*", F.explode(grams).alias("ngram")).drop(text)
 

@@ -96,7 +96,7 @@ def variance_across_runs(df: DataFrame, key: str) -> DataFrame:
     """Spread of one statistic over repeated runs; fewer than two are an error."""
     x, n = F.col(key).cast("double"), F.count(key)
     mean, spread = F.avg(x), F.stddev_pop(x)
-    few = F.raise_error(F.lit(f"need at least two runs to report variance in {key}"))
+    few = F.raise_error(F.lit(f"one run alone has no spread: {key}"))
     return df.agg(
         F.when(n >= 2, n).otherwise(few.cast("long")).alias("runs"),
         mean.alias("mean"),

@@ -131,7 +131,7 @@ def score_report(
     ]
     usable, sure = banded.agg(F.count("*"), F.count("meaning_confidence")).first()
     if not usable:
-        raise ValueError("no row carried a usable predicted band")
+        raise ValueError("nothing to score: no predicted band is in range")
     if usable == sure:
         right = banded.withColumn("_right", F.col("predicted") == F.col("gold_band"))
         found = calibration.reliability_bins(right, "meaning_confidence", "_right", bins, uid)

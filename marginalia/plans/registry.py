@@ -12,6 +12,8 @@ from marginalia.operators.ranking import ready_checkpoints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: What ``spread`` may move.
+SPREAD_FILES, SPREAD_BYTES = 16, 256 << 20
 #: Named subqueries that the SQL twins share; each may use the others.
 SHARED: dict[str, str] = {}
 
@@ -60,10 +62,17 @@ def scratch(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work on an input that came in few pieces.
+    """Use all cores for heavy per-row work on a small input that came in few pieces.
 
-    A table with at least as many splits as the cluster has cores is left as it is.
+    Only an input of at most ``SPREAD_FILES`` files and ``SPREAD_BYTES`` is moved: a larger one
+    comes in enough pieces by itself, whatever the number of cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if pieces >= cores else df.repartition(cores)
+    files = df.inputFiles()
+    if not 0 < len(files) <= SPREAD_FILES:
+        return df
+    spark = df.sparkSession
+    size = 0
+    for name in files:
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        size += at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+    return df if size > SPREAD_BYTES else df.repartition(spark.sparkContext.defaultParallelism)

@@ -186,7 +186,7 @@ def check_band_config(
     if set(weights) != set(TAGS):
         raise ValueError(f"weights must cover the tags exactly: {sorted(set(weights) ^ set(TAGS))}")
     if any(w <= 0 for w in weights.values()):
-        raise ValueError("weights must be positive")
+        raise ValueError("each weight is above zero")
     if set(groups) != set(GROUPS):
         raise ValueError(f"groups must be {GROUPS}")
     members = [t for g in groups.values() for t in g]

@@ -72,7 +72,7 @@ def m2_blocks(raw: DataFrame, coder: str | None = None) -> DataFrame:
     ).select("source", F.split(F.regexp_replace("block", r"^\n+", ""), "\n").alias("lines"))
     starts = F.startswith(F.col("lines")[0], F.lit("S "))
     orphans = F.exists("lines", lambda x: F.startswith(x, F.lit("A "))) & ~starts
-    blocks = blocks.where(starts | F.when(orphans, _refuse("an A line precedes any S line")))
+    blocks = blocks.where(starts | F.when(orphans, _refuse("annotation without a sentence above it")))
 
     def annotation(line: Column) -> Column:
         parts = F.split(F.substring(line, 3, 1 << 30), r"\|\|\|")
@@ -155,13 +155,13 @@ def check_profiles(rows: DataFrame) -> None:
         F.count_if(F.size(F.array_except("error_bias", legal)) > 0).alias("unknown"),
     ).first()
     if facts["n"] == 0:
-        raise ValueError("profiles must be a non-empty JSON array")
+        raise ValueError("the profile file lists nothing")
     if facts["empty"] or facts["no_bias"]:
         raise ValueError("a profile has a missing field")
     if facts["unknown"]:
         raise ValueError("a profile has unknown tags")
     if facts["ids"] != facts["n"]:
-        raise ValueError("duplicate profile id")
+        raise ValueError("two profiles share an id")
 
 
 def scan_pool(spark: SparkSession, path: str) -> DataFrame:

@@ -11,9 +11,15 @@ from marginalia.schemas import LOG
 from marginalia.sources.readers import BAD_LINE, log_lines
 
 
-def read_log_stream(spark: SparkSession, path: str, schema: T.StructType, id_col: str) -> DataFrame:
+#: Files that one micro-batch takes in, so that a backlog is worked off in bounded pieces.
+FILES_PER_BATCH = 1000
+
+
+def read_log_stream(
+    spark: SparkSession, path: str, schema: T.StructType, id_col: str, files: int = FILES_PER_BATCH
+) -> DataFrame:
     """New log files as they arrive; lines that are no records stay in ``bad_line``."""
-    return log_lines(spark.readStream.text(path), schema, id_col)
+    return log_lines(spark.readStream.option("maxFilesPerTrigger", files).text(path), schema, id_col)
 
 
 def graded_log(lines: DataFrame) -> DataFrame:
@@ -58,7 +64,7 @@ def stream_latest_state(stream: DataFrame, key: str, seq: str | list[str]) -> Da
     if missing or not order:
         raise ValueError(f"the log needs its sequence columns: {missing}")
     rest = [c for c in stream.columns if c != key]
-    last = stream.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
+    last = stream.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest))).alias("r"))
     return last.select(key, "r.*")
 
 

@@ -139,7 +139,7 @@ def test_corpus_conversion(spark, tmp_path):
 @pytest.mark.parametrize("bad", ["A 0 1|||R:X|||y|||R|||N|||0\n", "S a\nA 0 1|||R:X|||y\n", "S a\nA 0|||R:X|||y|||R|||N|||0\n"])
 def test_malformed_corpus_is_an_error(spark, tmp_path, bad):
     (tmp_path / "A.m2").write_text(bad)
-    with pytest.raises(Exception, match="A line precedes|malformed annotation"):
+    with pytest.raises(Exception, match="without a sentence above|malformed annotation"):
         readers.scan_m2(spark, str(tmp_path)).collect()
 
 
@@ -156,10 +156,10 @@ def test_files(spark, tmp_path):
 def test_profiles_contract(spark, tmp_path):
     good = {"id": "a", "l1": "x", "cefr": "B1", "error_bias": ["sp"], "length": "short", "traits": "t"}
     cases = {
-        "duplicate": [good, good],
+        "share an id": [good, good],
         "unknown": [{**good, "error_bias": ["zzz"]}],
         "missing field": [{**good, "traits": " "}],
-        "non-empty": [],
+        "lists nothing": [],
     }
     for message, rows in cases.items():
         path = tmp_path / f"{message.split()[0]}.json"
@@ -255,7 +255,7 @@ def test_timing(spark):
     assert got["cost_per_1k_requests"] == pytest.approx(3.6 / 3600 * span / 94 * 1000)
     cdf = [r["latency_s"] for r in M.latency_cdf(df).orderBy("p").collect()]
     assert len(cdf) == 101 and cdf == sorted(cdf) and (cdf[0], cdf[-1]) == (6.0, 100.0)
-    with pytest.raises(Exception, match="two runs"):
+    with pytest.raises(Exception, match="no spread"):
         M.variance_across_runs(df.limit(1), "ttft_s").collect()
     systems = spark.createDataFrame(
         [("slow", 0.9, 9.0, 1.0), ("free", 0.9, 1.0, None), ("small", 0.6, 1.0, 0.5), ("large", 0.8, 1.0, 1.0)],
@@ -321,7 +321,7 @@ def test_calibration_guards(spark):
     banded = spark.createDataFrame([(float(4 - b), b) for b in range(5)], "penalty double, band int")
     fit = [r["threshold"] for r in B.fit_thresholds(banded).orderBy("cut").collect()]
     assert fit == [0.5, 1.5, 2.5, 3.5]
-    with pytest.raises(Exception, match="band 2 is absent"):
+    with pytest.raises(Exception, match="no row of band 2"):
         B.fit_thresholds(banded.where("band <> 2")).collect()
     groups = {GROUPS[0]: [t for t in TAGS if t not in USAGE_TAGS], GROUPS[1]: USAGE_TAGS}
     check_band_config(WEIGHTS, groups, THRESHOLDS)
@@ -366,3 +366,19 @@ def test_rewrites_align_as_the_standard_library_does(spark):
     assert got["edit_f05"] == pytest.approx(1.25 * p * r / (0.25 * p + r))
     assert got["clean_accuracy"] == 1.0 and got["null_accuracy"] == 0.5
     assert got["exact_match"] == pytest.approx(1 / 5)
+
+
+def test_repeated_keys_and_odd_numbers_in_replies(spark):
+    from marginalia.operators.grading import check_rows, parse_responses
+
+    replies = [
+        ('{"correction":"a","meaning":1,"meaning":2,"feedback":" fine. "}', 2, None, "fine."),
+        ('{"correction":"a","meaning":NaN,"feedback":"fine."}', None, "bad_type", "fine."),
+        ('{"correction":"a","meaning":12345678901234567890123,"feedback":"fine."}', None, "meaning_range", "fine."),
+        ('{"correction":"a","meaning":2.0,"feedback":"fine."}', None, "bad_type", "fine."),
+        ('{"correction":"a","meaning":2}', 2, "missing_field", None),
+    ]
+    df = spark.createDataFrame([(i, "a", r[0]) for i, r in enumerate(replies)], "i int, text string, reply string")
+    got = {r["i"]: r for r in check_rows(parse_responses(df)).collect()}
+    for i, (_, meaning, reason, feedback) in enumerate(replies):
+        assert (got[i]["meaning"], got[i]["reject_reason"], got[i]["feedback"]) == (meaning, reason, feedback)
