@@ -165,14 +165,27 @@ def scan_texts_allowlisted(spark: SparkSession, d: str) -> DataFrame:
     return readers.scan_texts_allowlisted(spark, path)
 
 
-@query()
+def page_prints(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as files of their own, named by id."""
+    pages = table(spark, d, "pages")
+    return readers.content_fingerprint(pages, F.concat(F.lit("page-"), F.col("page_id").cast("string")), F.col("html"))
+
+
+SHARED["page_prints"] = "SELECT 'page-' || page_id AS file, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS bytes FROM pages"
+
+
+@query("SELECT file, sha256, bytes FROM page_prints")
 def file_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return readers.file_fingerprint(spark, f"{d}/*.parquet")
+    return page_prints(spark, d)
 
 
-@query()
+@query("""
+SELECT CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(digest, ',' ORDER BY digest)) AS corpus_sha256
+FROM (SELECT substr(place, 1, 1) AS place, count(*) AS files, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest
+  FROM (SELECT sha256(file) AS place, sha256(file || '|' || sha256) AS digest FROM page_prints) GROUP BY substr(place, 1, 1))
+""")
 def corpus_digest(spark: SparkSession, d: str) -> DataFrame:
-    return readers.corpus_digest(readers.file_fingerprint(spark, f"{d}/*.parquet"))
+    return readers.corpus_digest(page_prints(spark, d), levels=1)
 
 
 @query("""

@@ -177,26 +177,40 @@ def scan_texts_allowlisted(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*GRADER_COLUMNS)
 
 
+def content_fingerprint(rows: DataFrame, name: Column, content: Column) -> DataFrame:
+    """Name, sha256 and size in bytes of every row's content; a null content counts as empty."""
+    body = F.coalesce(content.cast("binary"), F.lit(b""))
+    return rows.select(name.alias("file"), F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("long").alias("bytes"))
+
+
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 and size per file."""
+    """sha256 and size per file; each file is read whole by one task, up to 2 GB."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.substring_index("path", "/", -1).alias("file"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("bytes"),
-    )
+    return content_fingerprint(files, F.substring_index("path", "/", -1), F.col("content"))
+
+
+#: Entries that one digest combines.
+FAN_IN = 4096
 
 
-def corpus_digest(fingerprints: DataFrame) -> DataFrame:
-    """One digest for a set of files, from their names and digests in name order.
+def corpus_digest(fingerprints: DataFrame, levels: int | None = None) -> DataFrame:
+    """One digest for a set of named contents, whatever their order.
 
-    Files are combined in 256 groups by name first, so no task lists all of them.
+    Entries are combined in a tree: first those whose hashed names share ``levels`` hex digits, then
+    the digests of those groups that share one digit less, and so on. A group combines its
+    entries in order, and ``levels`` follows from the number of entries, so none has many more
+    than ``FAN_IN``.
     """
-    entry = F.concat_ws("\0", "file", "sha256")
-    group = F.substring(F.sha2("file", 256), 1, 2)
-    grouped = fingerprints.groupBy(group.alias("g")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\0"), 256).alias("d"),
-        F.count("*").alias("files"),
+    node = fingerprints.select(
+        F.sha2("file", 256).alias("place"), F.sha2(F.concat_ws("|", "file", "sha256"), 256).alias("digest"), F.lit(1).alias("files")
     )
-    whole = F.array_sort(F.collect_list(F.concat_ws(":", "g", "d")))
-    return grouped.agg(F.sum("files").alias("files"), F.sha2(F.array_join(whole, ","), 256).alias("corpus_sha256"))
+    if levels is None:
+        levels, rest = 0, fingerprints.count() / FAN_IN
+        while rest > 1:
+            levels, rest = levels + 1, rest / 16
+    for level in range(levels, -1, -1):
+        node = node.groupBy(F.substring("place", 1, level).alias("place")).agg(
+            F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256).alias("digest"),
+            F.sum("files").alias("files"),
+        )
+    return node.select("files", F.col("digest").alias("corpus_sha256"))

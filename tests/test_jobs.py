@@ -151,6 +151,8 @@ def test_files(spark, tmp_path):
     assert got == {"x.bin": hashlib.sha256(b"one").hexdigest(), "y.bin": hashlib.sha256(b"two").hexdigest()}
     whole = readers.corpus_digest(prints).first()
     assert whole["files"] == 2 and whole == readers.corpus_digest(prints.repartition(3)).first()
+    deep = readers.corpus_digest(prints, levels=2).first()
+    assert deep["files"] == 2 and deep["corpus_sha256"] != whole["corpus_sha256"]
 
 
 def test_profiles_contract(spark, tmp_path):

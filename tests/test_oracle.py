@@ -53,4 +53,4 @@ def test_every_query_is_registered_with_a_callable():
     every = entry_points.queries()
     assert set(entry_points.oracle_sql()) <= set(every) and all(callable(q) for q in every.values())
     queries = catalog.QUERIES
-    assert set(queries) - set(ORACLE) == {"file_fingerprint", "corpus_digest", "rewrite_scores", "score_report"}
+    assert set(queries) - set(ORACLE) == {"rewrite_scores", "score_report"}
