@@ -220,13 +220,70 @@ def import_corpus(
     max_stratum_share: float = 0.15,
     val_share: float = 0.05,
     min_words: int = 3,
+    min_conversion_rate: float = 0.95,
 ) -> DataFrame:
     """Convert, drop duplicates, drop fragments, cap the edit buckets, split."""
-    rows = convert_corpus(blocks).where(F.col("drop_reason").isNull()).select(
+    return import_with_report(blocks, seed, max_stratum_share, val_share, min_words, min_conversion_rate)[0]
+
+
+def import_with_report(
+    blocks: DataFrame,
+    seed: int,
+    max_stratum_share: float = 0.15,
+    val_share: float = 0.05,
+    min_words: int = 3,
+    min_conversion_rate: float = 0.95,
+) -> tuple[DataFrame, DataFrame]:
+    """The imported rows and a report ``(section, key, value)`` on what became of the sentences.
+
+    Too low a share of converted sentences is an error, and so is an import that leaves nothing
+    or no row of one of the splits. Of sentences with the same content the first by source and
+    row hash stays. Conversion is done once and written; so are the rows that are kept, without
+    the columns that only the report needs.
+    """
+    conv = written(convert_corpus(blocks))
+    ok = conv.where(F.col("drop_reason").isNull())
+    facts = conv.agg(
+        F.count("*").alias("sentences"),
+        F.count_if(F.col("drop_reason").isNull()).alias("converted"),
+        F.count_distinct(F.when(F.col("drop_reason").isNull(), F.col("row_uid"))).alias("different"),
+    ).first()
+    rate = facts["converted"] / max(facts["sentences"], 1)
+    if rate < min_conversion_rate:
+        raise ValueError(f"converted {rate:.2%} of the sentences, below {min_conversion_rate:.0%}")
+    rows = ok.select(
         "row_uid", "text", "correction", "tags", "n_edits", "n_words", "cefr", "edit_bucket",
         "source",
     )
-    # Capping reads the rows several times, so they are converted once and written down.
-    kept = written(drop_fragments(dedupe_first(rows, "row_uid", "source"), min_words))
-    capped = cap_strata(kept, ["edit_bucket"], max_stratum_share, seed)
-    return row_split(capped, "row_uid", seed, val_share)
+    kept = drop_fragments(dedupe_first(rows, "row_uid", "source"), min_words)
+    whole = kept.count()
+    split = written(row_split(cap_strata(kept, ["edit_bucket"], max_stratum_share, seed), "row_uid", seed, val_share))
+    parts = {r["split"]: r["n"] for r in split.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    if not parts:
+        raise ValueError("the import leaves no rows")
+    if min(parts.get("train", 0), parts.get("val", 0)) == 0:
+        raise ValueError(f"the import leaves a split empty: {parts}")
+    out = sum(parts.values())
+    numbers = {
+        ("sentences", "all"): facts["sentences"],
+        ("converted", "all"): facts["converted"],
+        ("conversion_rate", "all"): rate,
+        ("duplicates_removed", "all"): facts["converted"] - facts["different"],
+        ("fragments_removed", "all"): facts["different"] - whole,
+        ("capped_out", "all"): whole - out,
+        **{("split", name): n for name, n in parts.items()},
+    }
+    counted = tally(
+        conv,
+        dropped=F.col("drop_reason"),
+        skipped_edits=F.col("skipped"),
+        tags=F.when(F.col("drop_reason").isNull(), F.col("all_tags")),
+    )
+    report = blocks.sparkSession.createDataFrame(
+        [(*k, float(v)) for k, v in numbers.items()], "section string, key string, value double"
+    ).unionByName(counted.select("section", "key", F.col("n").cast("double").alias("value")))
+    tags = F.when(F.col("section") == "tags", F.col("value"))
+    share = counted.withColumn("value", F.col("n").cast("double")).agg(
+        F.coalesce(F.sum(F.when(F.col("key") == "other", tags)) / F.sum(tags), F.lit(0.0)).alias("value")
+    )
+    return split, report.unionByName(share.select(F.lit("other_tag_share").alias("section"), F.lit("all").alias("key"), "value"))

@@ -35,12 +35,6 @@ def ready_checkpoints(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder so that later steps all see the same rows."""
-    ready_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read again.
 
@@ -107,7 +101,7 @@ def global_positions(
         .sortWithinPartitions(*order)
         .withColumn(place, F.monotonically_increasing_id())
     )
-    ranged = cut_lineage(ranged)
+    ranged = written(ranged)
     part = F.shiftright(place, 33)
     if weight is None:
         local = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))

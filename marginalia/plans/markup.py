@@ -407,19 +407,46 @@ def import_stats(spark: SparkSession, d: str) -> DataFrame:
     return K.import_stats(K.convert_corpus(corpus_blocks(spark, d)), 0.5)
 
 
-@query("""
+SHARED["m2_imported"] = """
 SELECT row_uid, edit_bucket, CAST(n_edits AS INTEGER) AS n_edits,
   CASE WHEN (('0x' || substr(sha256('17|' || row_uid), 1, 16))::UBIGINT % 10000)::DOUBLE / 10000 < 0.05::DOUBLE THEN 'val' ELSE 'train' END AS split
 FROM (SELECT *, row_number() OVER (PARTITION BY edit_bucket ORDER BY sha256('17|' || row_uid)) AS r,
         greatest(1, CAST(floor(count(*) OVER () * 0.15::DOUBLE) AS BIGINT)) AS cap
       FROM (SELECT DISTINCT row_uid, edit_bucket, n_edits, n_words FROM m2_kept WHERE n_words >= 3))
 WHERE r <= cap
-""")
+"""
+
+
+@query("SELECT row_uid, edit_bucket, n_edits, split FROM m2_imported")
 def import_corpus(spark: SparkSession, d: str) -> DataFrame:
-    rows = K.import_corpus(corpus_blocks(spark, d), seed=17)
+    rows = K.import_corpus(corpus_blocks(spark, d), seed=17, min_conversion_rate=0.5)
     return rows.select("row_uid", "edit_bucket", "n_edits", "split")
 
 
+@query("""
+SELECT section, key, round(value, 6) AS value FROM (
+  SELECT 'sentences' AS section, 'all' AS key, count(*)::DOUBLE AS value FROM m2_rows
+  UNION ALL SELECT 'converted', 'all', count(*) FROM m2_kept
+  UNION ALL SELECT 'conversion_rate', 'all', count(*) / (SELECT count(*) FROM m2_rows) FROM m2_kept
+  UNION ALL SELECT 'duplicates_removed', 'all', count(*) - count(DISTINCT row_uid) FROM m2_kept
+  UNION ALL SELECT 'fragments_removed', 'all', count(DISTINCT row_uid) FROM m2_kept WHERE n_words < 3
+  UNION ALL SELECT 'capped_out', 'all', (SELECT count(DISTINCT row_uid) FROM m2_kept WHERE n_words >= 3) - count(*) FROM m2_imported
+  UNION ALL SELECT 'split', split, count(*) FROM m2_imported GROUP BY split
+  UNION ALL SELECT 'dropped', drop_reason, count(*) FROM m2_rows WHERE drop_reason IS NOT NULL GROUP BY drop_reason
+  UNION ALL SELECT 'tags', ['sp', 'agr', 'art', 'prep', 'unnat', 'word', '', 'num', 'punc'][CAST(kind AS INTEGER) + 1], count(*)
+    FROM m2_tokens t JOIN m2_kept k ON k.row_id = t.row_id WHERE hit AND kind NOT IN (6, 9) GROUP BY kind
+  UNION ALL SELECT 'skipped_edits', CASE kind WHEN 6 THEN 'UNK' ELSE 'noop' END, count(*)
+    FROM m2_tokens t JOIN m2_rows r ON r.row_id = t.row_id
+    LEFT JOIN (SELECT row_id, min(i) AS i FROM m2_tokens WHERE hit AND kind = 0 GROUP BY row_id) f ON f.row_id = r.row_id
+    WHERE hit AND kind IN (6, 9) AND (r.drop_reason IS NULL OR r.drop_reason NOT LIKE 'unmapped%' OR t.i < f.i) GROUP BY kind
+  UNION ALL SELECT 'other_tag_share', 'all', 0.0)
+""")
+def import_report(spark: SparkSession, d: str) -> DataFrame:
+    """What became of the sentences of the whole import."""
+    report = K.import_with_report(corpus_blocks(spark, d), seed=17, min_conversion_rate=0.5)[1]
+    return report.withColumn("value", F.round("value", 6))
+
+
 @query("""
 SELECT r.s AS tokens, CAST(count(*) FILTER (t.hit) + any_value(CASE WHEN r.doc_id % 40 = 9 THEN 1 WHEN r.doc_id % 40 = 11 AND r.n_tokens >= 3 THEN 2 ELSE 0 END) AS INTEGER) AS n_edits,
   r.row_id IS NOT NULL AS read
