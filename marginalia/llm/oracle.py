@@ -106,3 +106,88 @@ SELECT page_id, host, path, rule,
   coalesce(listed, CASE WHEN id IN (SELECT id FROM z) THEN 'block' ELSE 'allow' END) AS verdict
 FROM f
 """
+
+
+def secrets(patterns: dict[str, str], value: str, alphabets: dict[int, str], lengths, rate: float, step: float, steps: int) -> str:
+    """The scan in SQL: matches are fenced with a character and placed by the lengths before them."""
+
+    def quoted(pattern: str) -> str:
+        return pattern.replace("'", "''")
+
+    matches = "\n  UNION ALL ".join(
+        f"""SELECT id, {k} AS kind, string_split(regexp_replace(t, '({quoted(patterns[name])})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM d"""
+        for k, name in enumerate(("assign", "access", "hex", "random"))
+    )
+    tables = ", ".join(f"({c}, '{a}', {len(a)})" for c, a in alphabets.items())
+    halves = "repeat('0', CAST(k // 2 AS INTEGER)) || repeat('1', CAST(k - k // 2 AS INTEGER))"
+    classes = " + ".join(f"(e - s >= {x})::INT" for x in lengths)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+p AS ({matches}),
+m AS (
+  SELECT id, kind, p[i] AS m, coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s,
+    list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT AS e
+  FROM (SELECT id, kind, p, unnest(range(2, len(p) + 1, 2)) AS i FROM p)),
+b AS (
+  SELECT id, kind, s, e FROM m WHERE kind = 2 OR (kind = 1 AND e - s >= 20)
+    OR (kind = 0 AND length(regexp_extract(m, '{quoted(value)}', 1)) >= 6)),
+c AS (
+  SELECT id, s, e, m, {classes} - 1 AS class,
+    CASE WHEN regexp_matches(m, '^[0-9a-f]+$|^[0-9A-F]+$') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-fA-F]') THEN 1
+      WHEN regexp_matches(m, '^[A-Z2-7]+$') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') THEN 2
+      WHEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN 3 END AS code
+  FROM m WHERE kind = 3),
+y AS (
+  SELECT id, s, e, code, class, alphabet, k::DOUBLE AS k,
+    CASE WHEN code = 1 THEN lower(w) ELSE translate(w, '-_', '+/') END AS sym
+  FROM (SELECT *, regexp_replace(m, '^=+|=+$', '', 'g') AS w FROM c)
+  JOIN (VALUES {tables}) AS v(which, alphabet, k) ON which = code),
+h AS (
+  SELECT *, length(sym)::DOUBLE AS n, translate(sym, alphabet, {halves}) AS half,
+    list_sum(list_transform(string_split(alphabet, ''), lambda x: (length(sym) - length(replace(sym, x, '')))::DOUBLE ** 2)) AS squares,
+    list_transform(string_split(sym, ''), lambda x: strpos(alphabet, x) - (k + 1) / 2) AS off
+  FROM y),
+r AS (
+  SELECT *, length(replace(half, '0', ''))::DOUBLE AS ones,
+    1 + (length(half) - length(replace(half, '01', ''))) // 2 + (length(half) - length(replace(half, '10', ''))) // 2 AS turns
+  FROM h),
+z AS (
+  SELECT *, 1 + 2 * ones * (n - ones) / n AS mean FROM r),
+q AS (
+  SELECT *, (mean - 1) * (mean - 2) / (n - 1) AS spread FROM z),
+t AS (
+  SELECT id, s, e, code, class, unnest([
+      [1, (((squares * k / n - n) / (k - 1)) ** (1 / 3::DOUBLE) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1)))],
+      [2, CASE WHEN spread > 0 THEN abs(turns - mean) / sqrt(spread) END],
+      [2, abs(list_sum(list_transform(range(1, len(off)), lambda i: off[i] * off[i + 1])) / (sqrt(n - 1) * ((k * k - 1) / 12)))]]) AS test
+  FROM q),
+a AS (
+  SELECT *, test[1] AS sides, test[2] AS z, abs(test[2]) / sqrt(2) AS x, 1 / (1 + 0.3275911::DOUBLE * abs(test[2]) / sqrt(2)) AS u FROM t),
+f AS (
+  SELECT *, 0.5::DOUBLE * (u * (0.254829592::DOUBLE + u * (-0.284496736::DOUBLE + u * (1.421413741::DOUBLE
+    + u * (-1.453152027::DOUBLE + u * 1.061405429::DOUBLE))))) * exp(-x * x) AS half FROM a),
+g AS (
+  SELECT id, s, e, code, class,
+    least(1, 3 * min(CASE WHEN z IS NULL THEN 0 ELSE sides * CASE WHEN z >= 0 THEN half ELSE 1 - half END END)) AS p
+  FROM f GROUP BY id, s, e, code, class),
+o AS (
+  SELECT *, least({steps}, floor(-log10(greatest(p, 1e-300::DOUBLE)) / {step}::DOUBLE))::INT AS step FROM g),
+w AS (
+  SELECT code, class, step, sum(n) OVER (PARTITION BY code, class ORDER BY step DESC) AS seen, sum(n) OVER (PARTITION BY code, class) AS m
+  FROM (SELECT code, class, step, count(*) AS n FROM o GROUP BY code, class, step)),
+l AS (
+  SELECT code, class, min(step) AS low FROM w
+  WHERE 10::DOUBLE ** (-step * {step}::DOUBLE) <= {rate}::DOUBLE * seen / m GROUP BY code, class),
+x AS (
+  SELECT id, 3 AS kind, s, e FROM o LEFT JOIN l USING (code, class)
+  WHERE step < coalesce(low, {steps} + 1) AND NOT EXISTS (SELECT 1 FROM b WHERE b.id = o.id AND b.s < o.e AND o.s < b.e)),
+j AS (SELECT * FROM b UNION ALL SELECT * FROM x),
+k AS (
+  SELECT id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base,
+    string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS spans
+  FROM j GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN k USING (id)
+"""

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import oracle
+from marginalia.llm import oracle, secrets
 from marginalia.llm.langid import predict_languages
 from marginalia.llm.mixing import mix
 from marginalia.llm.nearest import top_inner
 from marginalia.llm.packing import pack
 from marginalia.llm.quality import quality_scores
 from marginalia.llm.registry import query
-from marginalia.llm.secrets import secret_spans
 from marginalia.llm.simhash import simhash_components
 from marginalia.llm.toxicity import toxicity_scores
 from marginalia.llm.url_rules import CONFIDENCE, LISTED, SUPPORT, judged_urls
@@ -38,9 +37,9 @@ def op4_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash_components(_table(spark, d, "documents"), radius=3)
 
 
-@query()
+@query(oracle.secrets(secrets.PATTERNS, secrets.VALUE, secrets.ALPHABETS, secrets.LENGTHS, secrets.RATE, secrets.STEP, secrets.STEPS))
 def op7_secrets(spark: SparkSession, d: str) -> DataFrame:
-    return secret_spans(_table(spark, d, "documents"))
+    return secrets.secret_spans(_table(spark, d, "documents"))
 
 
 @query(oracle.url_rules(LISTED, SUPPORT, CONFIDENCE))

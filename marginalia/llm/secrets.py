@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.arrays import bind, running_total
+from marginalia.functions.arrays import bind, running_total, with_columns_once
 from marginalia.llm.common import Scratch
 
 KINDS = ("assign", "access", "hex", "random")
@@ -33,7 +33,7 @@ PATTERNS = {
     "hex": r"[0-9a-f]{24,}",
     "random": r"[A-Za-z0-9+/_=-]{20,}",
 }
-_VALUE = rf"^(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
+VALUE = rf"^(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 ALPHABETS = {
     1: "0123456789abcdef",
@@ -84,7 +84,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {
         "assign": F.filter(
             spans_of(text, "assign"),
-            lambda x: F.length(F.regexp_extract(x["m"], _VALUE, 1)) >= LEAST_VALUE,
+            lambda x: F.length(F.regexp_extract(x["m"], VALUE, 1)) >= LEAST_VALUE,
         ),
         "access": F.filter(spans_of(text, "access"), lambda x: x["e"] - x["s"] >= LEAST_ACCESS),
         "hex": spans_of(text, "hex"),
@@ -93,11 +93,17 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal, by the rational formula with an error below 1e-7."""
-    x = F.abs(z) / math.sqrt(2.0)
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    series = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    half = 0.5 * series * F.exp(-x * x)
-    return F.when(z >= 0, half).otherwise(1.0 - half)
+
+    def tail(z: Column) -> Column:
+        x = F.abs(z) / math.sqrt(2.0)
+
+        def half(t: Column) -> Column:
+            series = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+            return 0.5 * series * F.exp(-x * x)
+
+        return bind(bind(1.0 / (1.0 + 0.3275911 * x), half), lambda h: F.when(z >= 0, h).otherwise(1.0 - h))
+
+    return bind(z, tail)
 
 
 def encoding_of(run: Column) -> Column:
@@ -119,33 +125,33 @@ def _plain(run: Column, code: Column) -> Column:
 def randomness_p(symbols: Column, alphabet: str) -> Column:
     """p-value of the battery for one string over one alphabet."""
     k, n = len(alphabet), F.length(symbols).cast("double")
-    expected = n / k
-
-    def count(c: str) -> Column:
-        return F.length(symbols) - F.length(F.replace(symbols, F.lit(c), F.lit("")))
-
-    squares = F.lit(0.0)
-    for c in alphabet:
-        squares = squares + (count(c) - expected) * (count(c) - expected) / expected
     df = k - 1.0
-    chi = _upper_tail((F.pow(squares / df, 1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
 
+    def count(c: Column) -> Column:
+        return F.length(symbols) - F.length(F.replace(symbols, c, F.lit("")))
+
+    # The sum of (count - expected)^2 / expected, with the square multiplied out.
+    squares = F.aggregate(
+        F.split(F.lit(alphabet), ""), F.lit(0.0), lambda acc, c: acc + F.pow(count(c).cast("double"), 2)
+    )
+    chi = _upper_tail(
+        (F.pow((squares * k / n - n) / df, 1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    )
     halves = F.translate(symbols, alphabet, "0" * (k // 2) + "1" * (k - k // 2))
-    ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
-    zeros = n - ones
 
-    def turns(pair: str) -> Column:
-        return (F.length(halves) - F.length(F.replace(halves, F.lit(pair), F.lit("")))) / 2
+    def runs_of(halves: Column) -> Column:
+        ones = F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double")
+        turns = sum(
+            (F.length(halves) - F.length(F.replace(halves, F.lit(pair), F.lit("")))) / 2 for pair in ("01", "10")
+        )
 
-    mean = 1 + 2 * ones * zeros / n
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    runs = F.when(spread <= 0, 0.0).otherwise(
-        F.least(F.lit(1.0), 2 * _upper_tail(F.abs((1 + turns("01") + turns("10") - mean) / F.sqrt(spread))))
-    )
+        def of_mean(mean: Column) -> Column:
+            spread = (mean - 1) * (mean - 2) / (n - 1)
+            return F.when(spread <= 0, 0.0).otherwise(2 * _upper_tail(F.abs((1 + turns - mean) / F.sqrt(spread))))
 
-    def serial(codes: Column) -> Column:
-        middle = (k - 1) / 2
-        off = F.transform(codes, lambda x: x - middle)
+        return bind(1 + 2 * ones * (n - ones) / n, of_mean)
+
+    def serial(off: Column) -> Column:
         products = F.zip_with(
             F.slice(off, F.lit(1), F.size(off) - 1), F.slice(off, F.lit(2), F.size(off) - 1), lambda a, b: a * b
         )
@@ -153,9 +159,9 @@ def randomness_p(symbols: Column, alphabet: str) -> Column:
         # Symbols are uniform under the hypothesis, so each product has this variance.
         return total / (F.sqrt(n - 1) * ((k * k - 1) / 12))
 
-    codes = F.transform(F.split(symbols, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
-    lag = F.least(F.lit(1.0), 2 * _upper_tail(F.abs(serial(codes))))
-    return F.least(F.lit(1.0), 3 * F.least(chi, runs, lag))
+    off = F.transform(F.split(symbols, ""), lambda c: F.instr(F.lit(alphabet), c) - F.lit((k + 1) / 2))
+    lag = 2 * _upper_tail(F.abs(bind(off, serial)))
+    return F.least(F.lit(1.0), 3 * F.least(chi, bind(halves, runs_of), lag))
 
 
 def tested_runs(text: Column) -> Column:
@@ -241,12 +247,18 @@ def _joined(spans: Column) -> Column:
 
 
 def _scanned(docs: DataFrame, *keep: Column) -> DataFrame:
+    """``keep``, the ``base`` spans in order, how many there are of each kind, and the ``runs``.
+
+    Every step is fenced, so that none of these long expressions is copied into the next.
+    """
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), MARK, OTHER)
-    found = base_spans(F.col("_text"))
-    return (
-        docs.select(*keep, text.alias("_text"))
-        .select("*", *[found[k].alias(f"_{k}") for k in KINDS[:3]], tested_runs(F.col("_text")).alias("runs"))
-    )
+    rows = with_columns_once(docs.select(*keep, text.alias("_text")), **{f"_{k}": v for k, v in base_spans(F.col("_text")).items()})
+    rows = with_columns_once(
+        rows,
+        base=F.array_sort(F.concat(*[_bare(F.col(f"_{k}"), i) for i, k in enumerate(KINDS[:3])])),
+        runs=tested_runs(F.col("_text")),
+    )
+    return rows
 
 
 def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
@@ -263,7 +275,7 @@ def secret_spans(docs: DataFrame, rate: float = RATE) -> DataFrame:
         _scanned(docs, F.col("doc_id")).select(
             "doc_id",
             *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
-            F.array_sort(F.concat(*[_bare(F.col(f"_{k}"), i) for i, k in enumerate(KINDS[:3])])).alias("base"),
+            "base",
             "runs",
         )
     )
@@ -287,9 +299,7 @@ def redacted(docs: DataFrame, rate: float = RATE, tag: str = "[secret]") -> Data
     cuts = rejection_steps(
         docs.select(tested_runs(F.translate(F.coalesce(F.col("text"), F.lit("")), MARK, OTHER)).alias("runs")), rate
     )
-    marked = _scanned(docs, F.struct("*").alias("_row")).select(
-        "_row", "runs", F.concat(*[_bare(F.col(f"_{k}"), i) for i, k in enumerate(KINDS[:3])]).alias("base")
-    )
+    marked = _scanned(docs.select(F.struct("*").alias("_row"), "text"), F.col("_row")).select("_row", "runs", "base")
     spans = F.array_sort(F.concat("base", _bare(_taken(F.col("runs"), cuts, F.col("base")), 3)))
     # Overlapping spans become one: a span either starts beyond the last end or stretches it.
     merged = F.aggregate(
@@ -323,9 +333,9 @@ def redacted(docs: DataFrame, rate: float = RATE, tag: str = "[secret]") -> Data
         )
         return F.array_join(pieces, tag)
 
-    fresh = marked.select("_row", merged.alias("_cuts"))
+    fresh = with_columns_once(marked, _cuts=merged).select("_row", "_cuts")
     new_text = F.when(F.size("_cuts") > 0, bind(F.col("_cuts"), clean)).otherwise(text)
-    out = fresh.select("_row", new_text.alias("_clean"), (F.size("_cuts") > 0).alias("_hit"))
+    out = with_columns_once(fresh, _clean=new_text, _hit=F.size("_cuts") > 0)
     columns = []
     for name in docs.columns:
         old = F.col(f"_row.`{name}`")
