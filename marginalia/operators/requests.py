@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import hashing
 from marginalia.functions.arrays import bind, with_columns_once
 from marginalia.functions.text import mentions, ngrams, shape_fault, strip, tokens
-from marginalia.operators.ranking import attach, checked_small, global_positions, take_smallest
+from marginalia.operators.ranking import SMALL_ROWS, attach, checked_small, global_positions, take_smallest
 from marginalia.operators.tally import tally
 from marginalia.schemas import (
     ERROR_SPECS,
@@ -84,23 +86,28 @@ def draw_cells(
     return with_columns_once(senses, cells=cells)
 
 
-def draw_profile(df: DataFrame, profiles: DataFrame, seed: int) -> DataFrame:
+def draw_profile(
+    df: DataFrame, profiles: DataFrame, seed: int, small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """Give every drawn cell a profile; near-native ones only from band 3 up.
 
-    The registry is a small table whose size is checked before it becomes a constant.
+    Up to ``small_rows`` profiles become a constant. A larger registry is ranked and joined by the
+    drawn place; both ways give the same profiles. Senses are unique by ``sense_uid``.
     """
-    known = checked_small(profiles.select("id", "l1"))
+
+    def drawn_number(meaning: Column, error: Column) -> Column:
+        name = F.concat_ws("|", F.lit(f"{seed}|profile"), F.col("sense_uid"), meaning, error)
+        return F.conv(F.substring(hashing.digest(name), 1, 13), 16, 10).cast("long")
+
+    known = checked_small(profiles.select("id", "l1"), small_rows)
     if known is None:
-        raise ValueError("the profile registry is too large to be a registry")
+        return _profiles_by_join(df, profiles, drawn_number)
     rows = sorted((r["id"], r["l1"]) for r in known.collect())
     everyone = [i for i, _ in rows]
     learners = [i for i, l1 in rows if l1 != "none"] or everyone
 
     def pick(c: Column) -> Column:
-        name = F.concat_ws(
-            "|", F.lit(f"{seed}|profile"), F.col("sense_uid"), c["meaning_req"], c["error_spec"]
-        )
-        n = F.conv(F.substring(hashing.digest(name), 1, 13), 16, 10).cast("long")
+        n = drawn_number(c["meaning_req"], c["error_spec"])
 
         def of(ids: list[str]) -> Column:
             choice = F.array(*[F.lit(i) for i in ids])
@@ -116,6 +123,38 @@ def draw_profile(df: DataFrame, profiles: DataFrame, seed: int) -> DataFrame:
     return drawn.drop("cells").withColumnRenamed("_with", "cells")
 
 
+def _profiles_by_join(
+    df: DataFrame, profiles: DataFrame, drawn_number: Callable[[Column, Column], Column]
+) -> DataFrame:
+    ids = profiles.select("id", "l1")
+    learning = ids.where(F.col("l1") != "none")
+    sizes = [ids.count(), learning.count()]
+    if not sizes[1]:
+        learning, sizes[1] = ids, sizes[0]
+    places = None
+    for pool, some in enumerate((ids, learning)):
+        ranked = global_positions(some, ["id", "l1"], name="place")
+        ranked = ranked.select(F.lit(pool).alias("pool"), "place", F.col("id").alias("profile_id"))
+        places = ranked if places is None else places.unionByName(ranked)
+    cells = df.select("sense_uid", F.posexplode("cells").alias("at", "c")).select(
+        "sense_uid", "at", "c.meaning_req", "c.error_spec"
+    )
+    pool = F.when(F.col("meaning_req") >= 3, 0).otherwise(1)
+    number = drawn_number(F.col("meaning_req"), F.col("error_spec"))
+    size = F.when(F.col("pool") == 0, sizes[0]).otherwise(sizes[1])
+    made = (
+        cells.withColumn("pool", pool)
+        .withColumn("place", number % size)
+        .join(places, ["pool", "place"])
+        .groupBy("sense_uid")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "meaning_req", "error_spec", "profile_id"))).alias("c"))
+    )
+    given = F.transform(
+        "c", lambda x: F.struct(x["meaning_req"].alias("meaning_req"), x["error_spec"].alias("error_spec"), x["profile_id"].alias("profile_id"))
+    )
+    return df.drop("cells").join(made.select("sense_uid", given.alias("cells")), "sense_uid", "left")
+
+
 def flatten_specs(df: DataFrame, seed: int = 0) -> DataFrame:
     """One row per request, with content ids for the request and its batch."""
 

@@ -384,3 +384,14 @@ def test_repeated_keys_and_odd_numbers_in_replies(spark):
     got = {r["i"]: r for r in check_rows(parse_responses(df)).collect()}
     for i, (_, meaning, reason, feedback) in enumerate(replies):
         assert (got[i]["meaning"], got[i]["reject_reason"], got[i]["feedback"]) == (meaning, reason, feedback)
+
+
+@pytest.mark.parametrize("learners", [True, False])
+def test_profiles_by_constant_and_by_join_agree(spark, learners):
+    senses = spark.createDataFrame([(f"s{i}",) for i in range(30)], "sense_uid string")
+    drawn = Q.draw_cells(senses, 6, None, None, 3)
+    registry = [(f"p{i}", "none" if i % 3 == 0 or not learners else "de") for i in range(11)]
+    profiles = spark.createDataFrame(registry, "id string, l1 string")
+    cols = ["sense_uid", "cells"]
+    ways = [sorted(map(repr, Q.draw_profile(drawn, profiles, 5, small).select(*cols).collect())) for small in (10_000, 1)]
+    assert ways[0] == ways[1] and len(ways[0]) == 30
