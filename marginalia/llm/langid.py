@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import Scratch, crc_of_id
+from marginalia.llm.common import Scratch, crc_of_id, tidy
 
 #: Letters in an n-gram, slots of the table (a power of two) and hash functions.
 GRAM, SLOTS, HASHES = 3, 1 << 19, 2
@@ -115,7 +115,7 @@ def fit_filters(
     counts = scratch.save(
         drawn.select("lang", "text")
         .where(F.col("text").isNotNull())
-        .mapInArrow(_counted(gram), "lang string, gram bigint, n bigint")
+        .mapInArrow(tidy(_counted(gram)), "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -145,7 +145,7 @@ def fit_filters(
 
     filled = (
         member.select("gram", "lang")
-        .mapInArrow(placed, "slot bigint, lang int")
+        .mapInArrow(tidy(placed), "slot bigint, lang int")
         .groupBy("slot")
         .agg(*[m.cast("long").alias(f"m{i}") for i, m in enumerate(masks)])
         .toArrow()
@@ -215,5 +215,5 @@ def predict_languages(docs: DataFrame, docs_per_lang: int = FIT_DOCS, gram: int
     langs, table = fit_filters(labelled, scratch, docs_per_lang, gram, slots)
     shared = spark.sparkContext.broadcast(table)
     return docs.select("doc_id", held_out_column().alias("held_out"), F.col("text").alias("_text")).mapInArrow(
-        _predicted(langs, shared, gram, HASHES), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double"
+        tidy(_predicted(langs, shared, gram, HASHES)), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double"
     )

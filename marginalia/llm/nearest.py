@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import Scratch
+from marginalia.llm.common import Scratch, tidy
 from marginalia.llm.vectors import finite, pivots, stack, to_pivots
 
 #: Candidates in a block, queries that one copy of a block meets, points in a leaf, children.
@@ -290,7 +290,7 @@ def top_inner(
     centres = pivots(base, "vec", min(max_pivots, max(1, -(-n // block))), PIVOT_SAMPLE, shape=lambda x: x) if n else {}
     dealt = scratch.save(
         base.mapInArrow(
-            _dealt(centres),
+            tidy(_dealt(centres)),
             "row bigint, vec_id bigint, vec array<double>, asks boolean, width int, cell int, away double",
         )
     )
@@ -313,14 +313,14 @@ def top_inner(
 
     def search(asking: DataFrame, first: bool) -> DataFrame:
         sent = asking.mapInArrow(
-            _sent(centres, cells, blocks, first), "block bigint, row bigint, vec_id bigint, vec array<double>, floor double"
+            tidy(_sent(centres, cells, blocks, first)), "block bigint, row bigint, vec_id bigint, vec array<double>, floor double"
         ).select("block", F.pmod(F.xxhash64("row"), F.lit(asked)).cast("int").alias("slot"), F.lit(True).alias("query"),
                  "row", "vec_id", "vec", "floor")
         return (
             homes.unionByName(sent)
             .repartition("block", "slot")
             .sortWithinPartitions("block", "slot", "query")
-            .mapInArrow(_searched(k), "row bigint, query_id bigint, found bigint, vec_id bigint, score bigint")
+            .mapInArrow(tidy(_searched(k)), "row bigint, query_id bigint, found bigint, vec_id bigint, score bigint")
         )
 
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "found")

@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import Scratch
+from marginalia.llm.common import Scratch, tidy
 
 WINDOW = 1024
 #: Remainders in one index.
-SHARD = 4096
+SHARD = 2048
 #: Ids of a seed that are looked up, and usual BM25 parameters.
 TERMS, K1, B = 16, 1.2, 0.75
 #: Texts with other characters, or with what may be a special token, take the slower way.
@@ -37,24 +37,30 @@ UNUSUAL = re.compile(r"[^\x00-\u024f]|<\|")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+def _place(file: str) -> str:
+    import public_tokenizers
+
+    return file if "/" in file else public_tokenizers.path(file)
+
+
 @lru_cache(maxsize=2)
-def _encoders(name: str, ranks: str | None):
-    """The tokenizer of a vocabulary file and, when ``ranks`` is given, its fast twin."""
+def tokenizer_of(name: str):
+    """The tokenizer of a vocabulary file; loaded only where a text asks for it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
     from tokenizers import Tokenizer
 
-    def place(file: str) -> str:
-        return file if "/" in file else public_tokenizers.path(file)
+    return Tokenizer.from_file(_place(name))
+
 
-    slow = Tokenizer.from_file(place(name))
-    if ranks is None:
-        return slow, None
+@lru_cache(maxsize=2)
+def _fast(ranks: str):
+    """The fast twin of a tokenizer, from its vocabulary as ranks."""
+    import public_tokenizers
     import tiktoken
 
-    with open(place(ranks), "rb") as lines:
+    with open(_place(ranks), "rb") as lines:
         order = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return slow, tiktoken.Encoding("fast", pat_str=public_tokenizers.PATTERN, mergeable_ranks=order, special_tokens={})
+    return tiktoken.Encoding("fast", pat_str=public_tokenizers.PATTERN, mergeable_ranks=order, special_tokens={})
 
 
 def encode(text: str, name: str, ranks: str | None) -> np.ndarray:
@@ -64,10 +70,9 @@ def encode(text: str, name: str, ranks: str | None) -> np.ndarray:
     differ, on special tokens and on characters that the libraries may class by different
     editions of Unicode, the tokenizer itself is asked.
     """
-    slow, fast = _encoders(name, ranks)
-    if fast is None or UNUSUAL.search(text):
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-    return np.array(fast.encode_ordinary(text), np.uint32)
+    if ranks is None or UNUSUAL.search(text):
+        return np.array(tokenizer_of(name).encode(text, add_special_tokens=False).ids, np.uint32)
+    return np.array(_fast(ranks).encode_ordinary(text), np.uint32)
 
 
 def _texts(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
@@ -251,7 +256,7 @@ def pack(
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _encoded(tokenizer, ranks, window), "doc_id bigint, count bigint, crcs array<bigint>, tail binary, near bigint"
+            tidy(_encoded(tokenizer, ranks, window)), "doc_id bigint, count bigint, crcs array<bigint>, tail binary, near bigint"
         )
     )
     shards = max(1, -(-rows.count() // shard))
@@ -259,5 +264,5 @@ def pack(
         rows.repartitionByRange(shards, "near", F.xxhash64("doc_id"))
         .sortWithinPartitions("near", "doc_id")
         .drop("near")
-        .mapInArrow(_packed(window, shard), PIECES)
+        .mapInArrow(tidy(_packed(window, shard)), PIECES)
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import crc_of_id, sampled, sigmoid
+from marginalia.llm.common import crc_of_id, sampled, sigmoid, tidy
 
 #: Most trusted and most unlabelled documents that the scorer is fitted on (about; drawn evenly).
 FIT_DOCS = 8000
@@ -177,7 +177,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
     good = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lit(1).alias("kind"), text)
     some = sampled(rows, counts[0], fit_docs, seed=8).select(F.lit(0).alias("kind"), text)
     drawn = good.unionByName(some)
-    got = drawn.mapInArrow(_feature_batches, "kind int, x array<float>").toArrow()
+    got = drawn.mapInArrow(tidy(_feature_batches), "kind int, x array<float>").toArrow()
     kind = got.column("kind").to_numpy()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH).astype(np.float64)
     return fit_scorer(x[kind == 1], x[kind == 0])
@@ -190,7 +190,7 @@ def scored_documents(docs: DataFrame, model: dict[str, np.ndarray] | None, *keep
         return rows.drop("_text").withColumn("score", F.lit(1.0))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_scored(shared), ", ".join([*fields, "score double"]))
+    return rows.mapInArrow(tidy(_scored(shared)), ", ".join([*fields, "score double"]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, threshold: float = THRESHOLD) -> DataFrame:

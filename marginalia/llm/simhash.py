@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import Forest, Scratch
+from marginalia.llm.common import Forest, Scratch, tidy
 from marginalia.llm.graph import components
 
 BITS = 64
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, *keys: Column) -> DataFrame:
     """``keys`` of every document with its fingerprint ``fp`` (a long with the same 64 bits)."""
     rows = docs.select(*keys, F.col("text").cast("binary").alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
-    return rows.mapInArrow(_fingerprint_batches, ", ".join([*fields, "fp bigint"]))
+    return rows.mapInArrow(tidy(_fingerprint_batches), ", ".join([*fields, "fp bigint"]))
 
 
 def _link_batches(radius: int) -> callable:
@@ -153,7 +153,7 @@ def near_links(prints: DataFrame, scratch: Scratch, radius: int = 3, large: int
     return (
         dealt.repartition("t", "key")
         .sortWithinPartitions("t", "key", "fp")
-        .mapInArrow(_link_batches(radius), "a bigint, b bigint")
+        .mapInArrow(tidy(_link_batches(radius)), "a bigint, b bigint")
     )
 
 

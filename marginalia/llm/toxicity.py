@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import Scratch, crc_of_id, sampled, sigmoid
+from marginalia.llm.common import Scratch, crc_of_id, sampled, sigmoid, tidy
 from marginalia.llm.langid import gram_hashes
 
 #: Labelled documents used for counts and models (about; drawn evenly), and cues kept.
@@ -63,7 +63,7 @@ def find_cues(labelled: DataFrame, cues: int = CUES) -> np.ndarray:
     n = float(bad + fine)
     chi = n * F.pow(a * (fine - b) - b * (bad - a), 2) / ((a + b) * (n - a - b + 1) * bad * fine)
     best = (
-        labelled.mapInArrow(_document_counts, "label int, gram bigint, n bigint")
+        labelled.mapInArrow(tidy(_document_counts), "label int, gram bigint, n bigint")
         .groupBy("gram")
         .agg(one.alias("one"), none.alias("none"))
         .where((F.col("one") >= LEAST) & (a / bad > 2 * b / fine))
@@ -196,7 +196,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, c
         return None
     table = lookup(found)
     got = labelled.mapInArrow(
-        _cue_rows(spark.sparkContext.broadcast(table)), "label int, cue array<bigint>, count array<bigint>, total bigint"
+        tidy(_cue_rows(spark.sparkContext.broadcast(table))), "label int, cue array<bigint>, count array<bigint>, total bigint"
     ).toArrow()
     y = got.column("label").to_numpy().astype(np.float64)
     total = got.column("total").to_numpy()
@@ -231,7 +231,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS
     else:
         shared = docs.sparkSession.sparkContext.broadcast(model)
         kind = dict(docs.dtypes)["doc_id"]
-        out = rows.mapInArrow(_judged(shared), f"doc_id {kind}, held_out boolean, " + ", ".join(f"{n} double" for n in names))
+        out = rows.mapInArrow(tidy(_judged(shared)), f"doc_id {kind}, held_out boolean, " + ", ".join(f"{n} double" for n in names))
     return out.select(
         "doc_id",
         "held_out",

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import Forest, Scratch
+from marginalia.llm.common import Forest, Scratch, tidy
 from marginalia.llm.graph import components
 from marginalia.llm.vectors import finite, pivots, stack, to_pivots, unit
 
@@ -219,7 +219,7 @@ def vector_groups(
     centres = pivots(reps, "vec", min(max_pivots, _blocks_of(n, block)), PIVOT_SAMPLE) if n else {}
     homes = scratch.save(
         reps.select("rep", "vec", "copies").mapInArrow(
-            _homes(centres), f"rep bigint, vec {dict(reps.dtypes)['vec']}, copies bigint, width int, cell int, away double"
+            tidy(_homes(centres)), f"rep bigint, vec {dict(reps.dtypes)['vec']}, copies bigint, width int, cell int, away double"
         )
     )
     cells = homes.groupBy("width", "cell").agg(F.count("*").alias("n"), F.max("away").alias("reach")).collect()
@@ -229,13 +229,13 @@ def vector_groups(
     dealt = (
         homes.drop("away")
         .mapInArrow(
-            _visits(centres, reach, blocks, radius, _blocks_of(n, visitors)),
+            tidy(_visits(centres, reach, blocks, radius, _blocks_of(n, visitors))),
             f"block bigint, slot int, visitor boolean, rep bigint, copies bigint, vec {dict(reps.dtypes)['vec']}",
         )
         .repartition("block", "slot")
         .sortWithinPartitions("block", "slot", "visitor")
     )
-    found = scratch.save(dealt.mapInArrow(_joined(threshold), "rep bigint, other bigint, n bigint"))
+    found = scratch.save(dealt.mapInArrow(tidy(_joined(threshold)), "rep bigint, other bigint, n bigint"))
     links = found.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b"))
     counts = found.where(F.col("other").isNull()).groupBy("rep").agg(F.sum("n").alias("n"))
     root = components(links, scratch).withColumnRenamed("node", "rep")

@@ -10,7 +10,7 @@ TABLES = "documents pages labels".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["op3_mixing", "op10_url_rules"])
+@pytest.mark.parametrize("name", ["op3_mixing", "op7_secrets", "op10_url_rules"])
 def test_same_rows(spark, name):
     from marginalia.llm.catalog import ORACLE, QUERIES
 

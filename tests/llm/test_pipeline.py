@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline as P
 from marginalia.llm.common import Scratch
 from marginalia.llm.mixing import mix
-from marginalia.llm.packing import _encoders
+from marginalia.llm.packing import tokenizer_of
 from marginalia.llm.quality import quality_scores
 from test_pairs import plain_fingerprint, roots
 from test_texts import VOCABULARY, plain_spans
@@ -62,7 +62,7 @@ def test_stages_equal_plain_versions(spark):
     times = {r["doc_id"]: r["taken"] // r["size"] if r["size"] else 1 for r in mix(made[3]).collect()}
     assert Counter(r["doc_id"] for r in made[4].collect()) == Counter({k: v for k, v in times.items() if v})
 
-    slow, _ = _encoders(*VOCABULARY)
+    slow = tokenizer_of(VOCABULARY[0])
     ids = Counter()
     for r in made[4].collect():
         ids[r["doc_id"]] += len(slow.encode(r["text"], add_special_tokens=False).ids) + 1

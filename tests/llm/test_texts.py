@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.langid import _positions, fit_filters, gram_hashes, predict_languages
 from marginalia.llm.mixing import mix, mixed_documents
-from marginalia.llm.packing import _encoders, encode, pack, packed
+from marginalia.llm.packing import encode, pack, packed, tokenizer_of
 from marginalia.llm.quality import class_prior, good_documents, quality_scores
 from marginalia.llm.secrets import ALPHABETS, LENGTHS, RATE, STEP, STEPS, redacted, secret_spans
 from marginalia.llm.toxicity import chain_probabilities, fit_chain, toxicity_scores
@@ -192,7 +192,7 @@ def test_mixed_documents_repeat_whole_rows(spark):
 
 
 def test_encoding_equals_the_tokenizer():
-    slow, _ = _encoders(*VOCABULARY)
+    slow = tokenizer_of(VOCABULARY[0])
     texts = ["", " ", "a  b\n\n c", "it's <|endoftext|> x", "naïve Straße 123 １２", "日本語 текст", "a\x85b c​d", "\x1c\x1d x", "é ɀ", "'S 'LL"]
     for t in texts:
         assert encode(t, *VOCABULARY).tolist() == slow.encode(t, add_special_tokens=False).ids
@@ -221,7 +221,7 @@ def test_pack_round_trip(spark):
     rows += [(100, None, None, None), (101, "", None, None), (102, words(9, 6000, "abc"), None, None), (7, rows[7][1], None, None), (None, "no id", None, None)]
     docs = frame(spark, rows)
     got = pack(docs, shard=16).collect()
-    slow, _ = _encoders(*VOCABULARY)
+    slow = tokenizer_of(VOCABULARY[0])
     windows = {}
     for r in got:
         windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
