@@ -154,9 +154,9 @@ def take_smallest(
     row_hash = F.xxhash64(*df.columns)
     keys = written(df.select(*by, F.coalesce(order, F.lit("")).alias("_o"), row_hash.alias("_t")))
     prefix = F.substring("_o", 1, digits)
-    hist = written(keys.groupBy(*by, prefix.alias("_p")).agg(F.count("*").alias("_c")))
+    hist = keys.groupBy(*by, prefix.alias("_p")).agg(F.count("*").alias("_c"))
     if callable(quota):
-        quota = quota(hist.agg(F.sum("_c")).first()[0] or 0)
+        quota = quota(keys.count())
     limit = F.lit(quota).cast("long") if isinstance(quota, int) else _quota_column(quota, by)
 
     def crossing(counts: DataFrame, *place: str) -> DataFrame:
@@ -170,7 +170,7 @@ def take_smallest(
         )
 
     # At most 16^digits prefixes of a group meet in one window, and then those of one prefix.
-    near = crossing(hist.withColumn("_need", limit), "_p").where("_cut IS NOT NULL")
+    near = written(crossing(hist.withColumn("_need", limit), "_p").where("_cut IS NOT NULL"))
     edge = _with_cut(keys, near, by, small_groups, "inner").where(prefix == F.col("_cut._p"))
     edge = edge.groupBy(*by, "_o", "_t").agg(F.count("*").alias("_c"), F.min("_cut.need").alias("_need"))
     cuts = written(crossing(edge, "_o", "_t"))
@@ -192,7 +192,6 @@ def take_smallest(
 
 def _with_cut(df: DataFrame, cuts: DataFrame, by: list[str], small_groups: int, how: str) -> DataFrame:
     """``_cut`` of each row's group: broadcast when few, else a shuffle that can be split."""
-    cuts = written(cuts)
     small = checked_small(cuts, small_groups)
     other = cuts if small is None else small
     other = other.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_cut")
