@@ -6,8 +6,9 @@ seed and the unused neighbours that its rarest ids find, best first; the last on
 the window is full and its rest waits for another window. What a shard has left in the end goes
 into windows whose lengths are powers of two. So no window has padding.
 
-Shards hold documents next to each other in an order by the smallest hash of their ids, so
-copies and documents on the same matter tend to share a shard.
+Shards hold documents next to each other in an order by smallest hashes, first of the ids of the
+whole text and then of its pairs of ids, so copies and documents on the same matter tend to share
+a shard. The closing id is left out there, as every document has it.
 """
 
 from __future__ import annotations
@@ -75,6 +76,33 @@ def encode(text: str, name: str, ranks: str | None) -> np.ndarray:
     return np.array(_fast(ranks).encode_ordinary(text), np.uint32)
 
 
+@lru_cache(maxsize=2)
+def _hashes(size: int) -> np.ndarray:
+    """Four hashes of every id below ``size``."""
+    x = np.arange(1, 4 * size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(33))).reshape(size, 4).T.copy()
+
+
+def similarity_key(ids: np.ndarray) -> int:
+    """Sort key of a text by its ids without the closing one; 0 for an empty text.
+
+    Two smallest hashes of its ids, then two of its pairs of neighbours, 16 bits of each: the more
+    of them two texts share from the left, the more alike they are.
+    """
+    if not len(ids):
+        return 0
+    # The size does not change an id's hashes.
+    a, b, c, d = (h[ids] for h in _hashes(1 << max(16, int(ids.max()).bit_length())))
+    least = [a.min(), b.min(), *((x[:-1] + y[1:]).min() for x, y in ((a, c), (b, d)) if len(ids) > 1)]
+    key = 0
+    for x in (least + least)[:4]:
+        # The low bits: those at the top are nearly all 0 in a minimum.
+        key = key << 16 | int(x) & 0xFFFF
+    return key - (1 << 63)
+
+
 def _texts(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
     """Slices of a text column of bounded size, as ``(first, texts)``."""
     first, held, size = 0, [], 0
@@ -97,12 +125,13 @@ def _encoded(name: str, ranks: str | None, window: int):
             for first, texts in _texts(batch.column(1)):
                 count, crcs, tails, keys = [], [], [], []
                 for text in texts:
-                    ids = np.append(encode(text, name, ranks), np.uint32(0))
+                    own = encode(text, name, ranks)
+                    ids = np.append(own, np.uint32(0))
                     whole = len(ids) // window * window
                     count.append(len(ids))
                     crcs.append([zlib.crc32(ids[i : i + window]) for i in range(0, whole, window)])
                     tails.append(ids[whole:].tobytes())
-                    keys.append(int((ids[whole:] * np.uint32(2654435761)).min()) if whole < len(ids) else 0)
+                    keys.append(similarity_key(own))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),

@@ -240,6 +240,30 @@ def test_pack_round_trip(spark):
     assert pack(docs.limit(0)).count() == 0
 
 
+def test_similar_documents_share_shards_and_windows(spark):
+    rng = random.Random(5)
+    vocabulary = words(1, 400, "abcdefgh").split()
+    texts = [" ".join(rng.choices(vocabulary, k=40)) for _ in range(400)]
+    rng.shuffle(kin := [k for k in range(20) for _ in range(5)])
+    models = [rng.choices(vocabulary, k=40) for _ in range(20)]
+    for k in kin:
+        near = list(models[k])
+        near[rng.randrange(40)] = rng.choice(vocabulary)
+        texts.append(" ".join(near))
+    got = pack(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), shard=32).collect()
+    assert len({r["sequence_id"] >> 40 for r in got}) >= 12
+
+    def beside(place):
+        """Share of the planted documents that meet one of their kind in a place."""
+        places = {}
+        for r in got:
+            if r["doc_id"] >= 400:
+                places.setdefault((place(r), kin[r["doc_id"] - 400]), set()).add(r["doc_id"])
+        return len(set().union(*(x for x in places.values() if len(x) > 1))) / 100
+
+    assert beside(lambda r: r["sequence_id"] >> 40) >= 0.8 and beside(lambda r: r["sequence_id"]) >= 0.7
+
+
 # --- urls
 
 
