@@ -1,9 +1,10 @@
 """Packing documents into windows with lexically similar neighbours.
 
 A document's ids fill whole windows by themselves as far as they go. What remains is packed in
-shards: a shard has a BM25 inverted index over its remainders, and each window is filled by a
-seed and the unused neighbours that its rarest ids find, best first; the last one is cut where
-the window is full and its rest waits for another window. What a shard has left in the end goes
+shards: a shard has a BM25 index over the whole texts of its remainders, with frequencies and
+lengths of all documents, and each window is filled by a seed and the unused neighbours that share
+any id with it, best first; the last one is cut where the window is full and its rest waits for
+another window. What a shard has left in the end goes
 into windows whose lengths are powers of two. So no window has padding.
 
 Shards hold documents next to each other in an order by smallest hashes, first of the ids of the
@@ -19,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,12 @@ from marginalia.llm.common import Scratch, tidy
 WINDOW = 1024
 #: Remainders in one index.
 SHARD = 2048
-#: Ids of a seed that are looked up, and usual BM25 parameters.
-TERMS, K1, B = 16, 1.2, 0.75
+#: Usual BM25 parameters.
+K1, B = 1.2, 0.75
+#: Ids in more than this share of a shard are kept as rows of a matrix.
+DENSE = 1 / 8
+#: Neighbours that are sorted first.
+FEW = 64
 #: Texts with other characters, or with what may be a special token, take the slower way.
 UNUSUAL = re.compile(r"[^\x00-\u024f]|<\|")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -118,12 +124,13 @@ def _texts(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, list[s
 
 
 def _encoded(name: str, ranks: str | None, window: int):
-    """Per document: number of ids, crc32 of each whole window, the remaining ids, a sort key."""
+    """Per document: number of ids, crc32 of each whole window, the remaining ids, what the whole
+    windows hold (distinct ids, then how often each occurs) and a sort key."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in _texts(batch.column(1)):
-                count, crcs, tails, keys = [], [], [], []
+                count, crcs, tails, heads, keys = [], [], [], [], []
                 for text in texts:
                     own = encode(text, name, ranks)
                     ids = np.append(own, np.uint32(0))
@@ -131,6 +138,7 @@ def _encoded(name: str, ranks: str | None, window: int):
                     count.append(len(ids))
                     crcs.append([zlib.crc32(ids[i : i + window]) for i in range(0, whole, window)])
                     tails.append(ids[whole:].tobytes())
+                    heads.append(np.concatenate(np.unique(own[:whole], return_counts=True)).astype("<u4").tobytes())
                     keys.append(similarity_key(own))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -138,54 +146,112 @@ def _encoded(name: str, ranks: str | None, window: int):
                         pa.array(count, pa.int64()),
                         pa.array(crcs, pa.list_(pa.int64())),
                         pa.array(tails, pa.binary()),
+                        pa.array(heads, pa.binary()),
                         pa.array(keys, pa.int64()),
                     ],
-                    names=["doc_id", "count", "crcs", "tail", "near"],
+                    names=["doc_id", "count", "crcs", "tail", "head", "near"],
                 )
 
     return encoded
 
 
+def bag_of(tail: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids of a whole text and how often each occurs, without the closing id."""
+    if not len(head):
+        return np.unique(tail[:-1], return_counts=True)
+    ids, times = head.reshape(2, -1)
+    ids, at = np.unique(np.concatenate([ids, tail[:-1]]), return_inverse=True)
+    return ids, np.bincount(at, np.concatenate([times, np.ones(max(len(tail) - 1, 0))])).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of a task each id is."""
+    seen = np.zeros(0, np.int64)
+    for batch in batches:
+        for tail, head in zip(batch.column(0), batch.column(1)):
+            ids, _ = bag_of(np.frombuffer(tail.as_py(), "<u4"), np.frombuffer(head.as_py(), "<u4"))
+            if len(ids) and ids[-1] >= len(seen):
+                seen = np.append(seen, np.zeros(max(int(ids[-1]) + 1 - len(seen), len(seen)), np.int64))
+            seen[ids] += 1
+    ids = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seen[ids], pa.int64())], names=["id", "df"])
+
+
+class Corpus(NamedTuple):
+    """Number and mean length of all documents; the ids in them, sorted, and in how many each is."""
+
+    n: int
+    mean: float
+    ids: np.ndarray
+    df: np.ndarray
+
+
+def corpus_of(bags: list[tuple[np.ndarray, np.ndarray]]) -> Corpus:
+    ids, df = np.unique(np.concatenate([ids for ids, _ in bags]), return_counts=True)
+    return Corpus(len(bags), sum(int(t.sum()) for _, t in bags) / len(bags), ids, df)
+
+
 class Index:
-    """BM25 postings of the remainders of one shard."""
-
-    def __init__(self, tails: list[np.ndarray]):
-        self.tails = tails
-        n = len(tails)
-        sizes = np.array([len(t) for t in tails])
-        doc = np.repeat(np.arange(n), sizes)
-        pairs, tf = np.unique(np.concatenate(tails).astype(np.int64) * n + doc, return_counts=True)
-        term, self.doc = pairs // n, pairs % n
-        self.terms, self.first, df = np.unique(term, return_index=True, return_counts=True)
-        self.last = self.first + df
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        damp = K1 * (1 - B + B * sizes / max(sizes.mean(), 1.0))
-        which = np.repeat(np.arange(len(df)), df)
-        self.weight = idf[which] * tf * (K1 + 1) / (tf + damp[self.doc])
-        self.idf = idf
-        # Ids of single remainders find nobody, and those of most of them say nothing.
-        self.useful = (df > 1) & (df <= max(2, n // 4))
-
-    def near(self, seed: int, free: np.ndarray, most: int) -> np.ndarray:
-        """Free remainders that share rare ids with the seed, best first."""
-        own = np.searchsorted(self.terms, np.unique(self.tails[seed]))
-        own = own[self.useful[own]]
-        if len(own) > TERMS:
-            own = own[np.argpartition(-self.idf[own], TERMS)[:TERMS]]
-        if not len(own):
-            return own
-        at = np.concatenate([np.arange(a, b) for a, b in zip(self.first[own], self.last[own])])
-        score = np.bincount(self.doc[at], self.weight[at], len(free)) * free
-        best = np.argpartition(-score, most)[:most] if len(score) > most else np.arange(len(score))
-        best = best[score[best] > 0]
-        return best[np.argsort(-score[best], kind="stable")]
-
-
-def packed(tails: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows over the remainders as lists of ``(remainder, start, length)``."""
+    """BM25 index of the documents of one shard, given as distinct ids and how often each occurs."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], corpus: Corpus):
+        n = len(bags)
+        sizes = np.array([len(ids) for ids, _ in bags])
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        terms, term = np.unique(np.concatenate([ids for ids, _ in bags]), return_inverse=True)
+        tf = np.concatenate([t for _, t in bags]).astype(np.float32)
+        df = corpus.df[np.searchsorted(corpus.ids, terms)]
+        idf = np.log1p((corpus.n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        lengths = np.array([t.sum() for _, t in bags], np.float32)
+        damp = K1 * (1 - B + B * lengths / np.float32(max(corpus.mean, 1.0)))
+        weight = idf[term] * tf * np.float32(K1 + 1) / (tf + damp[doc])
+        here = np.bincount(term, minlength=len(terms))
+        # Scores add up alike either way: ids of many documents by rows, the others by postings.
+        row = np.where(here > n * DENSE, np.cumsum(here > n * DENSE) - 1, -1)
+        often = row[term] >= 0
+        self.rows = np.zeros((int(row.max(initial=-1)) + 1, n), np.float32)
+        self.rows[row[term[often]], doc[often]] = weight[often]
+        order = np.argsort(term[~often], kind="stable")
+        self.doc, self.weight = doc[~often][order], weight[~often][order]
+        self.last = np.cumsum(np.where(row < 0, here, 0))
+        self.first = self.last - np.where(row < 0, here, 0)
+        self.row = row
+        self.own = np.split(term, np.cumsum(sizes)[:-1])
+
+    def near(self, seed: int, free: np.ndarray) -> Iterator[int]:
+        """All free documents that share ids with the seed, best first."""
+        own = self.own[seed]
+        row = self.row[own]
+        score = self.rows[row[row >= 0]].sum(0)
+        own = own[row < 0]
+        if len(own):
+            size = self.last[own] - self.first[own]
+            at = np.repeat(self.last[own] - np.cumsum(size), size) + np.arange(size.sum())
+            score = score + np.bincount(self.doc[at], self.weight[at], len(free))
+        some = np.flatnonzero(free & (score > 0))
+        # Most windows are full after a few: the others are sorted where they are asked for.
+        most = min(FEW, len(some))
+        parts = np.split(some[np.argpartition(-score[some], most - 1)], [most]) if most else []
+        for part in parts:
+            yield from part[np.argsort(-score[part], kind="stable")].tolist()
+
+
+def packed(
+    tails: list[np.ndarray],
+    window: int = WINDOW,
+    bags: list[tuple[np.ndarray, np.ndarray]] | None = None,
+    corpus: Corpus | None = None,
+) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows over the remainders as lists of ``(remainder, start, length)``.
+
+    ``bags`` has what the whole text of each remainder holds, and ``corpus`` the figures of all
+    documents; without them the remainders count as whole texts, and as all there are.
+    """
+    if bags is None:
+        bags = [np.unique(t, return_counts=True) for t in tails]
     at = np.zeros(len(tails), np.int64)
     left = np.array([len(t) for t in tails], np.int64)
-    index = Index(tails)
+    index = Index(bags, corpus or corpus_of(bags))
     free = left > 0
     room_left = int(left.sum())
     order = np.argsort(-left, kind="stable")
@@ -201,19 +267,17 @@ def packed(tails: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple
 
     def fill(size: int) -> list[tuple[int, int, int]]:
         nonlocal place
-        pieces, room, waiting = [], size, []
+        pieces, room, waiting = [], size, iter(())
         while room:
-            if not waiting:
+            i = next(waiting, None)
+            if i is None:
                 while not free[order[place]]:
                     place += 1
                 seed = int(order[place])
                 pieces.append(take(seed, room))
                 room -= pieces[-1][2]
-                waiting = index.near(seed, free, 16).tolist() if room else []
-                waiting.reverse()
-                continue
-            i = waiting.pop()
-            if free[i]:
+                waiting = index.near(seed, free) if room else waiting
+            elif free[i]:
                 pieces.append(take(i, room))
                 room -= pieces[-1][2]
         return pieces
@@ -227,7 +291,7 @@ def packed(tails: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple
         room_left -= size
 
 
-def _packed(window: int, shard: int):
+def _packed(window: int, shard: int, corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
@@ -236,13 +300,15 @@ def _packed(window: int, shard: int):
         def pieces() -> pa.RecordBatch:
             nonlocal sequence
             out: list[tuple] = []
-            for doc, count, crcs, _ in held:
+            for doc, count, crcs, *_ in held:
                 for i, crc in enumerate(crcs):
                     out.append((doc, i * window, window, crc, count, sequence, 0))
                     sequence += 1
             some = [(h[0], h[1], len(h[2]) * window, np.frombuffer(h[3], "<u4")) for h in held if len(h[3])]
             if some:
-                for one in packed([h[3] for h in some], window):
+                heads = [np.frombuffer(h[4], "<u4") for h in held if len(h[3])]
+                bags = [bag_of(h[3], head) for h, head in zip(some, heads)]
+                for one in packed([h[3] for h in some], window, bags, corpus):
                     offset = 0
                     for i, start, length in one:
                         doc, count, base, ids = some[i]
@@ -254,7 +320,7 @@ def _packed(window: int, shard: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(4)]
+            cols = [batch.column(i).to_pylist() for i in range(5)]
             for row in zip(*cols):
                 held.append(row)
                 if len(held) >= shard:
@@ -285,13 +351,21 @@ def pack(
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            tidy(_encoded(tokenizer, ranks, window)), "doc_id bigint, count bigint, crcs array<bigint>, tail binary, near bigint"
+            tidy(_encoded(tokenizer, ranks, window)),
+            "doc_id bigint, count bigint, crcs array<bigint>, tail binary, head binary, near bigint",
         )
     )
-    shards = max(1, -(-rows.count() // shard))
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("ids")).first()
+    shards = max(1, -(-total["n"] // shard))
+    # One row for each id of the vocabulary at most.
+    counted = rows.select("tail", "head").mapInArrow(tidy(_counted), "id bigint, df bigint")
+    known = counted.groupBy("id").agg(F.sum("df").alias("df")).toArrow().sort_by("id")
+    corpus = Corpus(
+        total["n"], (total["ids"] - total["n"]) / max(total["n"], 1), *(known.column(c).to_numpy() for c in ("id", "df"))
+    )
     return (
         rows.repartitionByRange(shards, "near", F.xxhash64("doc_id"))
         .sortWithinPartitions("near", "doc_id")
         .drop("near")
-        .mapInArrow(tidy(_packed(window, shard)), PIECES)
+        .mapInArrow(tidy(_packed(window, shard, corpus)), PIECES)
     )

@@ -240,6 +240,51 @@ def test_pack_round_trip(spark):
     assert pack(docs.limit(0)).count() == 0
 
 
+def test_every_neighbour_is_found():
+    """Large groups of copies, many small neighbours, and neighbours by the text before the remainder."""
+
+    def mixed_windows(groups, tails, **more):
+        return sum(len({groups[i] for i, *_ in one}) > 1 for one in packed(tails, **more))
+
+    rng = np.random.default_rng(3)
+    copy = rng.integers(0, 500, 100).astype(np.uint32)
+    tails = [copy if i % 2 else rng.integers(1000, 60_000, 100).astype(np.uint32) for i in range(100)]
+    # Others find nobody, so the copies that meet are those that a copy has found.
+    assert sum(sum(i % 2 for i, *_ in one) >= 8 for one in packed(tails)) >= 4
+    tails = [rng.integers(i % 8 * 20, i % 8 * 20 + 20, 20).astype(np.uint32) for i in range(400)]
+    # A window takes 51 of 50: the last two of each are of other groups.
+    first = [[i % 8 for i, *_ in one] for one in packed(tails)]
+    assert all(max(map(one.count, one)) >= 40 for one in first[:4])
+    whole = [np.unique(rng.integers(i % 4 * 300, i % 4 * 300 + 300, 900), return_counts=True) for i in range(80)]
+    assert mixed_windows([i % 4 for i in range(80)], [np.full(64, 7, np.uint32)] * 80, bags=whole) <= 4
+
+
+def test_frequencies_are_those_of_all_whole_documents(spark):
+    from marginalia.llm.packing import Corpus, bag_of
+
+    ids = np.array([5, 5, 9, 3, 5, 9, 0], np.uint32)
+    head = np.concatenate(np.unique(ids[:4], return_counts=True)).astype(np.uint32)
+    assert [x.tolist() for x in bag_of(ids[4:], head)] == [[3, 5, 9], [1, 3, 2]]
+    rows = [(i, words(i % 7, 30 + i % 7 * 40, "abcdefgh"), None, None) for i in range(40)] + [(90, None, None, None)]
+    slow = tokenizer_of(VOCABULARY[0])
+    want = [slow.encode(t or "", add_special_tokens=False).ids for _, t, *_ in rows]
+    seen = []
+    import marginalia.llm.packing as module
+
+    kept = module._packed
+    module._packed = lambda window, shard, corpus: seen.append(corpus) or kept(window, shard, corpus)
+    try:
+        pack(frame(spark, rows), window=64, shard=8)
+    finally:
+        module._packed = kept
+    df = {}
+    for one in want:
+        for i in set(one):
+            df[i] = df.get(i, 0) + 1
+    assert isinstance(seen[0], Corpus) and seen[0].n == 41 and seen[0].mean == pytest.approx(sum(map(len, want)) / 41)
+    assert dict(zip(seen[0].ids.tolist(), seen[0].df.tolist())) == df
+
+
 def test_similar_documents_share_shards_and_windows(spark):
     rng = random.Random(5)
     vocabulary = words(1, 400, "abcdefgh").split()
