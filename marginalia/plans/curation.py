@@ -185,7 +185,7 @@ FROM (SELECT substr(place, 1, 1) AS place, count(*) AS files, sha256(string_agg(
   FROM (SELECT sha256(file) AS place, sha256(file || '|' || sha256) AS digest FROM page_prints) GROUP BY substr(place, 1, 1))
 """)
 def corpus_digest(spark: SparkSession, d: str) -> DataFrame:
-    return readers.corpus_digest(page_prints(spark, d), levels=1)
+    return readers.corpus_digest(page_prints(spark, d))
 
 
 @query("""

@@ -198,14 +198,14 @@ def corpus_digest(fingerprints: DataFrame, levels: int | None = None) -> DataFra
 
     Entries are combined in a tree: first those whose hashed names share ``levels`` hex digits, then
     the digests of those groups that share one digit less, and so on. A group combines its
-    entries in order, and ``levels`` follows from the number of entries, so none has many more
-    than ``FAN_IN``.
+    entries in order, and ``levels``, at least 1, follows from the number of entries, so none has
+    many more than ``FAN_IN``.
     """
     node = fingerprints.select(
         F.sha2("file", 256).alias("place"), F.sha2(F.concat_ws("|", "file", "sha256"), 256).alias("digest"), F.lit(1).alias("files")
     )
     if levels is None:
-        levels, rest = 0, fingerprints.count() / FAN_IN
+        levels, rest = 1, fingerprints.count() / FAN_IN / 16
         while rest > 1:
             levels, rest = levels + 1, rest / 16
     for level in range(levels, -1, -1):

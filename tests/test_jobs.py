@@ -155,6 +155,27 @@ def test_files(spark, tmp_path):
     assert deep["files"] == 2 and deep["corpus_sha256"] != whole["corpus_sha256"]
 
 
+def test_registered_digest_deepens_with_the_table(spark, tmp_path, monkeypatch):
+    from marginalia.plans import catalog
+
+    monkeypatch.setattr(readers, "FAN_IN", 2)
+    rows = [(i, f"http://x/{i}", f"page {i}") for i in range(60)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    # 60 entries fit 2 to a group at a depth of 2.
+    node = [(sha(f"page-{i}"), sha(f"page-{i}|{sha(html)}")) for i, _, html in rows]
+    for level in (2, 1, 0):
+        groups = {}
+        for place, digest in node:
+            groups.setdefault(place[:level], []).append(digest)
+        node = [(place, sha(",".join(sorted(some)))) for place, some in groups.items()]
+    got = catalog.QUERIES["corpus_digest"](spark, str(tmp_path)).first()
+    assert (got["files"], got["corpus_sha256"]) == (60, node[0][1])
+
+
 def test_profiles_contract(spark, tmp_path):
     good = {"id": "a", "l1": "x", "cefr": "B1", "error_bias": ["sp"], "length": "short", "traits": "t"}
     cases = {
