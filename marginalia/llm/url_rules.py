@@ -23,7 +23,7 @@ LISTED = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-SUPPORT, CONFIDENCE, MOST_TOKENS = 0.01, 0.8, 3
+SUPPORT, CONFIDENCE = 0.01, 0.8
 BLOCK = "=block"
 
 
@@ -67,36 +67,38 @@ def url_tokens(host: Column, path: Column, more: Column) -> Column:
     )
 
 
+def _by_rarest(held: DataFrame, seen: DataFrame) -> DataFrame:
+    """``token, rule_tokens``: the rules of ``held`` (``tokens, token``) by their rarest token in ``seen``."""
+    often = seen.groupBy("token").agg(F.count("*").alias("n"))
+    return (
+        held.join(often, "token")
+        .groupBy("tokens")
+        .agg(F.min(F.struct("n", "token")).alias("rarest"))
+        .select(F.col("rarest.token").alias("token"), F.col("tokens").alias("rule_tokens"))
+    )
+
+
 def block_rules(
     labelled: DataFrame,
     scratch: Scratch,
     support: float = SUPPORT,
     confidence: float = CONFIDENCE,
-    most_tokens: int = MOST_TOKENS,
 ) -> DataFrame:
-    """``tokens`` of every rule kept, from rows ``tokens, block``."""
+    """``tokens`` of every rule kept, however many they are, from rows ``tokens, block``."""
     baskets = labelled.select(
         F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")
     ).where(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = scratch.save(
-        model.associationRules.where(
-            (F.col("consequent") == F.array(F.lit(BLOCK))) & (F.size("antecedent") <= most_tokens)
-        ).select(F.array_sort("antecedent").alias("tokens"))
-    )
-    # A rule is idle if a part of it is a rule as well: look up all its proper parts.
-    size, whole = F.size("tokens"), F.col("tokens")
-    parts = F.transform(
-        F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), size) - 2),
-        lambda bits: F.filter(
-            whole, lambda x, i: F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1)) == 1
-        ),
+        model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("tokens"))
     )
+    # A rule is idle if a part of it is a rule as well: look up the rules whose rarest token it has.
+    each = found.select("tokens", F.explode("tokens").alias("token"))
+    part = _by_rarest(each, each).withColumnRenamed("rule_tokens", "part")
     idle = (
-        found.where(size > 1)
-        .select(whole.alias("whole"), F.explode(parts).alias("tokens"))
-        .join(found, "tokens", "left_semi")
-        .select(F.col("whole").alias("tokens"))
+        each.join(part, "token")
+        .where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
+        .select("tokens")
         .distinct()
     )
     return found.join(idle, "tokens", "left_anti")
@@ -108,7 +110,6 @@ def judged_urls(
     rules=LISTED,
     support: float = SUPPORT,
     confidence: float = CONFIDENCE,
-    most_tokens: int = MOST_TOKENS,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages`` (``page_id``, ``url``).
 
@@ -136,15 +137,9 @@ def judged_urls(
     listed_only = seen.select("page_id", "host", "path", "rule", F.col("listed").alias("verdict"))
     if labelled.isEmpty():
         return listed_only.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
-    mined = scratch.save(block_rules(labelled, scratch, support, confidence, most_tokens))
+    mined = scratch.save(block_rules(labelled, scratch, support, confidence))
     held = mined.select("tokens", F.explode("tokens").alias("token"))
-    often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    index = scratch.save(
-        held.join(often, "token")
-        .groupBy("tokens")
-        .agg(F.min(F.struct("n", "token")).alias("rarest"))
-        .select(F.col("rarest.token").alias("token"), F.col("tokens").alias("rule_tokens"))
-    )
+    index = scratch.save(_by_rarest(held, labelled.select(F.explode("tokens").alias("token"))))
     small = checked_small(index)
     open_urls = seen.where(F.col("listed").isNull()).select("tokens").distinct()
     hit = (

@@ -1,6 +1,7 @@
 """Secrets, mixing, packing and URL rules against plain versions; classifiers on held-out rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -330,6 +331,38 @@ def test_urls_are_judged(spark):
     assert {r["verdict"] for r in alone} == {"allow"}
 
 
+def test_rules_of_every_length_hold(spark):
+    """All combinations of two hosts, two by two path parts and two queries; one of them is blocked."""
+    made = [(h, a, b, q) for h in "xy" for a in "pr" for b in "st" for q in "uv"]
+    urls = [(f"http://{h}.net/{a}/{b}?{q}=1", ("h:net", f"h:{h}", f"p:{a}", f"p:{b}", f"q:{q}")) for h, a, b, q in made]
+    rows = [(16 * k + i, *urls[i]) for k in range(8) for i in range(16)]
+    block = {p for p, *_ in rows if p % 16 == 0}
+    pages = spark.createDataFrame([(p, u) for p, u, _ in rows] + [(1000 + i, urls[i][0]) for i in range(16)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(p, int(p not in block)) for p, *_ in rows], "doc_id bigint, quality int")
+    times = {}
+    for p, _, tokens in rows:
+        for n in range(1, 6):
+            for some in itertools.combinations(tokens, n):
+                hit = times.setdefault(some, [0, 0])
+                hit[0] += p in block
+                hit[1] += 1
+    rules = [set(x) for x, (hit, n) in times.items() if hit >= math.ceil(0.01 * len(rows)) and hit / n >= 0.8]
+    assert min(map(len, rules)) == 4
+    want = {p: "block" if any(r <= set(t) for r in rules) else "allow" for p, _, t in rows + [(1000 + i, *urls[i]) for i in range(16)]}
+    assert want[1000] == "block" and want[1001] == "allow"
+    assert {r["page_id"]: r["verdict"] for r in judged_urls(pages, labels).collect()} == want
+
+
+def test_parts_of_rules_make_them_idle(spark):
+    from marginalia.llm.common import Scratch
+    from marginalia.llm.url_rules import block_rules
+
+    rows = [(["a", "b", "c", "d", "e"], True)] * 5 + [(list(x), False) for x in ("abce", "abde", "acde", "bcd")] * 5
+    rows += [(["f", "a"], True)] * 5
+    got = block_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"), Scratch(spark)).collect()
+    assert sorted(r["tokens"] for r in got) == [["a", "b", "c", "d"], ["b", "c", "d", "e"], ["f"]]
+
+
 # --- classifiers
 
 
