@@ -9,6 +9,9 @@ identifiers fail these tests. Which failures count is decided by the step-up pro
 Benjamini and Hochberg for each encoding and length class, over all runs of the corpus: of the
 strings drawn at random, at most the share ``rate`` of the rejected is expected to be lost. Runs
 that are not rejected are spans of kind ``random``.
+
+The rate does not hold for strings without such an encoding, which are never tested, or joined to a
+name by ``=``, ``/``, ``_`` or ``-``, which are tested together with it.
 """
 
 from __future__ import annotations
