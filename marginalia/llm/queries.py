@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import oracle, secrets
+from marginalia.llm import merkle, oracle, secrets
 from marginalia.llm.langid import predict_languages
 from marginalia.llm.mixing import mix
 from marginalia.llm.nearest import top_inner
@@ -70,3 +70,11 @@ def op6_quality(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity_scores(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+@query(oracle.MANIFEST)
+def op13_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Where the crc of the id is even, the text is claimed without its line feeds."""
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    claimed = {"text": F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return merkle.digest_columns(merkle.manifest(_table(spark, d, "documents"), claimed))
