@@ -256,3 +256,29 @@ SELECT doc_id, leaf, sub.digest AS subroot, r.digest AS root, coalesce(proof_sha
   folded_root = r.digest AS verified
 FROM e JOIN sub USING (tree) JOIN ends USING (id) LEFT JOIN proofs USING (id) CROSS JOIN (SELECT digest FROM top WHERE n = 1) AS r
 """
+
+
+RANKED = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+i AS (
+  SELECT item, item_id, unnest(list_distinct(terms)) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark)),
+c AS (SELECT count(*) FILTER (len(terms) > 0) AS n, CAST(sum(len(terms)) AS BIGINT) AS total FROM d),
+o AS (
+  SELECT id, doc_id, size, term, count(*) AS tf
+  FROM (SELECT id, doc_id, len(terms) AS size, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM o, c GROUP BY term, n),
+s AS (
+  SELECT item, item_id, id, doc_id,
+    CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * size * n) // total)))) AS BIGINT) AS score
+  FROM i JOIN o USING (term) JOIN w USING (term), c GROUP BY item, item_id, id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""

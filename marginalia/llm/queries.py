@@ -11,6 +11,7 @@ from marginalia.llm.mixing import mix
 from marginalia.llm.nearest import top_inner
 from marginalia.llm.packing import pack
 from marginalia.llm.quality import quality_scores
+from marginalia.llm.ranked import ranked_documents
 from marginalia.llm.registry import query
 from marginalia.llm.simhash import simhash_components
 from marginalia.llm.toxicity import toxicity_scores
@@ -72,6 +73,11 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity_scores(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
 
+@query(oracle.RANKED)
+def op11_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return ranked_documents(_table(spark, d, "documents"), _table(spark, d, "benchmark"), k=10)
+
+
 @query(oracle.MANIFEST)
 def op13_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Where the crc of the id is even, the text is claimed without its line feeds."""
