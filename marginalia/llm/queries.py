@@ -10,6 +10,7 @@ from marginalia.llm.langid import predict_languages
 from marginalia.llm.mixing import mix
 from marginalia.llm.nearest import top_inner
 from marginalia.llm.packing import pack
+from marginalia.llm.pii import joined_spans, personal_spans
 from marginalia.llm.quality import quality_scores
 from marginalia.llm.ranked import ranked_documents
 from marginalia.llm.registry import query
@@ -78,6 +79,11 @@ def op11_ranked(spark: SparkSession, d: str) -> DataFrame:
     return ranked_documents(_table(spark, d, "documents"), _table(spark, d, "benchmark"), k=10)
 
 
+@query()
+def op12_personal(spark: SparkSession, d: str) -> DataFrame:
+    return personal_spans(_table(spark, d, "documents")).withColumn("spans", joined_spans("spans"))
+
+
 @query(oracle.MANIFEST)
 def op13_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Where the crc of the id is even, the text is claimed without its line feeds."""
