@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,35 +141,43 @@ def look_alikes(text: str, seeds: list[Span]) -> list[Span]:
 
 
 def key_of(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 5) - (1 << 63)
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 5)
 
 
-def contexts(words: list[str], ends: np.ndarray, spans: list[Span]) -> list[tuple[int, int, bool]]:
-    """Keys of the one and the two words that end before each span, and if it is the first one there.
+class Keys(dict):
+    """Keys of words, whatever their case; computed once for each spelling."""
 
-    ``ends`` are those of the words. Before the first word there is an empty one.
-    """
-    out, last = [], -1
-    for start, _, _ in spans:
-        k = int(np.searchsorted(ends, start, side="right"))
-        one = words[k - 1] if k else ""
-        two = words[k - 2] if k > 1 else ""
-        out.append((key_of(one), key_of(f"{two} {one}"), k != last))
-        last = k
-    return out
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        key = self[word] = key_of(word.lower())
+        return key
+
+
+def context_keys(words: list[str], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each word, and of it with the word before; an empty word stands before all."""
+    one = np.fromiter(map(keys.__getitem__, ["", *words]), np.uint64, len(words) + 1)
+    before = np.concatenate([one[:1], one[:-1]])
+    return one.view(np.int64), (before * np.uint64(0x9E3779B97F4A7C15) + (one ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)
 
 
-def scanned(text: str) -> tuple[list[Span], list[tuple]]:
-    """Seeds of a text, and ``(start, kind, end, value, one, two, first)`` of seeds and look-alikes."""
+def scanned(text: str, keys: Keys) -> tuple[list[Span], list[tuple]]:
+    """Seeds of a text, and ``(start, kind, end, value, one, two, first)`` of seeds and look-alikes.
+
+    ``one`` and ``two`` are the keys of the words that end before the span; ``first`` says that no
+    other span stands behind the same words.
+    """
     seeds = base_spans(text)
     spans = sorted(seeds + look_alikes(text, seeds))
     if not spans:
         return seeds, []
     found = list(LETTERS.finditer(text))
-    words = [m[0].lower() for m in found]
+    one, two = context_keys([m[0] for m in found], keys)
     ends = np.fromiter((m.end() for m in found), np.int64, len(found))
-    values = [key_of(text[s:e].lower()) for s, _, e in spans]
-    return seeds, [(*span, value, *led) for span, value, led in zip(spans, values, contexts(words, ends, spans))]
+    at = np.searchsorted(ends, [s for s, _, _ in spans], side="right")
+    first = np.diff(at, prepend=-1) != 0
+    values = np.array([key_of(text[s:e].lower()) for s, _, e in spans], np.uint64).view(np.int64)
+    return seeds, list(zip(*zip(*spans), values.tolist(), one[at].tolist(), two[at].tolist(), first.tolist()))
 
 
 def joined(spans: list[Span]) -> str:
@@ -183,13 +190,13 @@ PLACES = "array<struct<start:bigint,kind:int,end:bigint,value:bigint,one:bigint,
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers = [(n, pa.int32() if n == "kind" else pa.bool_() if n == "first" else pa.int64()) for n in PLACE]
-    kind = pa.list_(pa.struct(numbers))
+    kind, keys = pa.list_(pa.struct(numbers)), Keys()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             counts, digests, places = [], [], []
             for text in part.column(1):
-                seeds, spans = scanned(text.as_py() or "")
+                seeds, spans = scanned(text.as_py() or "", keys)
                 counts.append([sum(k == i for _, k, _ in seeds) for i in range(4)])
                 digests.append(hashlib.sha256(joined(seeds).encode()).hexdigest())
                 places.append([dict(zip(PLACE, s)) for s in spans])
@@ -199,33 +206,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _occurrences(wanted: set[int]):
-    """How often the contexts in ``wanted`` occur in a task, whatever follows them."""
+def _occurrences(wanted: np.ndarray):
+    """How often each of the ``wanted`` contexts, in order, occurs in a task, whatever follows it."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[int] = Counter()
-        # Keys of words and pairs that were seen lately.
-        one_of: dict[str, int] = {}
-        pairs: dict[tuple[str, str], int] = {}
+        seen, keys = np.zeros(len(wanted), np.int64), Keys()
+        # Most contexts are none of those wanted: a look at some of their bits tells.
+        bits = np.zeros(1 << 22, bool)
+        bits[wanted & (len(bits) - 1)] = True
         for batch in batches:
             for text in batch.column(0):
-                words = ["", *(w.lower() for w in LETTERS.findall(text.as_py() or ""))]
-                for word, n in Counter(words).items():
-                    if word not in one_of:
-                        one_of[word] = key_of(word)
-                    if one_of[word] in wanted:
-                        seen[one_of[word]] += n
-                for pair, n in Counter(zip(["", *words], words)).items():
-                    if pair not in pairs:
-                        pairs[pair] = key_of(" ".join(pair))
-                    if pairs[pair] in wanted:
-                        seen[pairs[pair]] += n
-                if len(pairs) + len(one_of) > KNOWN:
-                    pairs.clear()
-                    one_of.clear()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "all"]
-        )
+                for key in context_keys(LETTERS.findall(text.as_py() or ""), keys):
+                    key = key[bits[key & (len(bits) - 1)]]
+                    at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                    np.add.at(seen, at[wanted[at] == key], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[seen > 0]), pa.array(seen[seen > 0])], names=["pattern", "all"])
 
     return occurrences
 
@@ -259,7 +254,9 @@ def pattern_graph(docs: DataFrame, places: DataFrame, scratch: Scratch, support:
     shares = None
     for part in range(parts if total else 0):
         own = followed.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part)
-        wanted = set(own.select("pattern").toArrow().column(0).to_pylist())
+        wanted = np.sort(own.select("pattern").toArrow().column(0).to_numpy())
+        if not len(wanted):
+            continue
         seen = docs.select("text").mapInArrow(tidy(_occurrences(wanted)), "pattern bigint, all bigint")
         made = scratch.save(seen.groupBy("pattern").agg(F.sum("all").alias("all")))
         shares = made if shares is None else shares.unionByName(made)
