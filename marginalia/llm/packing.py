@@ -40,7 +40,7 @@ DENSE = 1 / 8
 #: Neighbours that are sorted first.
 FEW = 64
 #: Texts with other characters, or with what may be a special token, take the slower way.
-UNUSUAL = re.compile(r"[^\x00-\u024f]|<\|")
+UNUSUAL, SPECIAL = re.compile(r"[^\x00-\u024f]"), "<|"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -77,21 +77,21 @@ def encode(text: str, name: str, ranks: str | None) -> np.ndarray:
     differ, on special tokens and on characters that the libraries may class by different
     editions of Unicode, the tokenizer itself is asked.
     """
-    if ranks is None or UNUSUAL.search(text):
+    if ranks is None or SPECIAL in text or not text.isascii() and UNUSUAL.search(text):
         return np.array(tokenizer_of(name).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.array(_fast(ranks).encode_ordinary(text), np.uint32)
 
 
 @lru_cache(maxsize=2)
 def _hashes(size: int) -> np.ndarray:
-    """Four hashes of every id below ``size``."""
-    x = np.arange(1, 4 * size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    """A hash of every id below ``size``."""
+    x = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
         x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(33))).reshape(size, 4).T.copy()
+    return x ^ (x >> np.uint64(33))
 
 
-def similarity_key(ids: np.ndarray) -> int:
+def similarity_key(ids: np.ndarray, distinct: np.ndarray) -> int:
     """Sort key of a text by its ids without the closing one; 0 for an empty text.
 
     Two smallest hashes of its ids, then two of its pairs of neighbours, 16 bits of each: the more
@@ -99,13 +99,17 @@ def similarity_key(ids: np.ndarray) -> int:
     """
     if not len(ids):
         return 0
-    # The size does not change an id's hashes.
-    a, b, c, d = (h[ids] for h in _hashes(1 << max(16, int(ids.max()).bit_length())))
-    least = [a.min(), b.min(), *((x[:-1] + y[1:]).min() for x, y in ((a, c), (b, d)) if len(ids) > 1)]
+    # The size does not change an id's hash; times an odd number it is in another order.
+    table = _hashes(1 << max(16, int(distinct[-1]).bit_length()))
+    once, all_ = table[distinct], table[ids]
+    least = [once.min(), (once * np.uint64(0x9FB21C651E98DF25)).min()]
+    if len(ids) > 1:
+        pairs = all_[:-1] * np.uint64(0xD6E8FEB86659FD93) + all_[1:]
+        least += [pairs.min(), (pairs * np.uint64(0x9FB21C651E98DF25)).min()]
     key = 0
     for x in (least + least)[:4]:
         # The low bits: those at the top are nearly all 0 in a minimum.
-        key = key << 16 | int(x) & 0xFFFF
+        key = key << 16 | int(x >> np.uint64(8)) & 0xFFFF
     return key - (1 << 63)
 
 
@@ -123,38 +127,59 @@ def _texts(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, list[s
         yield first, held
 
 
+def _described(text: str, name: str, ranks: str | None, window: int) -> tuple[tuple, np.ndarray]:
+    """Number of ids, crc32 of each whole window, the remaining ids, what the whole windows hold
+    (distinct ids, then how often each occurs) and a sort key; and the distinct ids of the text."""
+    own = encode(text, name, ranks)
+    ids = np.empty(len(own) + 1, np.uint32)
+    ids[:-1], ids[-1] = own, 0
+    whole = len(ids) // window * window
+    distinct, head = distinct_of(own), b""
+    if whole:
+        head = np.concatenate(np.unique(own[:whole], return_counts=True)).astype("<u4").tobytes()
+    crcs = [zlib.crc32(ids[i : i + window]) for i in range(0, whole, window)]
+    return (len(ids), crcs, ids[whole:].tobytes(), head, similarity_key(own, distinct)), distinct
+
+
+def distinct_of(ids: np.ndarray) -> np.ndarray:
+    """The distinct ids in order."""
+    if not len(ids):
+        return ids
+    ordered = np.sort(ids)
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
+
+
 def _encoded(name: str, ranks: str | None, window: int):
-    """Per document: number of ids, crc32 of each whole window, the remaining ids, what the whole
-    windows hold (distinct ids, then how often each occurs) and a sort key."""
+    """A row of ``_described`` for each document; at the end of a task one row without a count, that
+    tells in how many of its documents each id is (ids in ``tail``, counts in ``head``)."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for first, texts in _texts(batch.column(1)):
-                count, crcs, tails, heads, keys = [], [], [], [], []
+                rows, known = [], {}
                 for text in texts:
-                    own = encode(text, name, ranks)
-                    ids = np.append(own, np.uint32(0))
-                    whole = len(ids) // window * window
-                    count.append(len(ids))
-                    crcs.append([zlib.crc32(ids[i : i + window]) for i in range(0, whole, window)])
-                    tails.append(ids[whole:].tobytes())
-                    heads.append(np.concatenate(np.unique(own[:whole], return_counts=True)).astype("<u4").tobytes())
-                    keys.append(similarity_key(own))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(texts)),
-                        pa.array(count, pa.int64()),
-                        pa.array(crcs, pa.list_(pa.int64())),
-                        pa.array(tails, pa.binary()),
-                        pa.array(heads, pa.binary()),
-                        pa.array(keys, pa.int64()),
-                    ],
-                    names=["doc_id", "count", "crcs", "tail", "head", "near"],
-                )
+                    # Repeated texts of a slice are encoded once.
+                    if text not in known:
+                        known[text] = _described(text, name, ranks, window)
+                    row, distinct = known[text]
+                    if len(distinct) and distinct[-1] >= len(seen):
+                        seen = np.append(seen, np.zeros(max(int(distinct[-1]) + 1 - len(seen), len(seen)), np.int64))
+                    seen[distinct] += 1
+                    rows.append(row)
+                yield _encoded_rows(batch.column(0).slice(first, len(texts)), rows)
+        ids = np.flatnonzero(seen)
+        yield _encoded_rows(pa.array([None], pa.int64()), [(None, [], ids.astype("<u4").tobytes(), seen[ids].astype("<i8").tobytes(), 0)])
 
     return encoded
 
 
+def _encoded_rows(doc_id: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays([doc_id, *columns], names=["doc_id", "count", "crcs", "tail", "head", "near"])
+
+
 def bag_of(tail: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids of a whole text and how often each occurs, without the closing id."""
     if not len(head):
@@ -164,15 +189,15 @@ def bag_of(tail: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.bincount(at, np.concatenate([times, np.ones(max(len(tail) - 1, 0))])).astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of a task each id is."""
-    seen = np.zeros(0, np.int64)
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents each id is, from the counts of single tasks."""
+    seen = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for tail, head in zip(batch.column(0), batch.column(1)):
-            ids, _ = bag_of(np.frombuffer(tail.as_py(), "<u4"), np.frombuffer(head.as_py(), "<u4"))
+            ids, times = np.frombuffer(tail.as_py(), "<u4"), np.frombuffer(head.as_py(), "<i8")
             if len(ids) and ids[-1] >= len(seen):
                 seen = np.append(seen, np.zeros(max(int(ids[-1]) + 1 - len(seen), len(seen)), np.int64))
-            seen[ids] += 1
+            seen[ids] += times
     ids = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seen[ids], pa.int64())], names=["id", "df"])
 
@@ -349,23 +374,26 @@ def pack(
     ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(
+    made = scratch.save(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
             tidy(_encoded(tokenizer, ranks, window)),
             "doc_id bigint, count bigint, crcs array<bigint>, tail binary, head binary, near bigint",
         )
     )
+    rows = made.where(F.col("count").isNotNull())
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("ids")).first()
     shards = max(1, -(-total["n"] // shard))
     # One row for each id of the vocabulary at most.
-    counted = rows.select("tail", "head").mapInArrow(tidy(_counted), "id bigint, df bigint")
+    counted = made.where(F.col("count").isNull()).select("tail", "head").mapInArrow(tidy(_summed), "id bigint, df bigint")
     known = counted.groupBy("id").agg(F.sum("df").alias("df")).toArrow().sort_by("id")
     corpus = Corpus(
         total["n"], (total["ids"] - total["n"]) / max(total["n"], 1), *(known.column(c).to_numpy() for c in ("id", "df"))
     )
+    # Rows with equal keys and ids, copies of one row, are dealt by their place in the table.
     return (
-        rows.repartitionByRange(shards, "near", F.xxhash64("doc_id"))
-        .sortWithinPartitions("near", "doc_id")
-        .drop("near")
+        rows.withColumn("row", F.monotonically_increasing_id())
+        .repartitionByRange(shards, "near", F.xxhash64("doc_id"), "row")
+        .sortWithinPartitions("near", "doc_id", "row")
+        .drop("near", "row")
         .mapInArrow(tidy(_packed(window, shard, corpus)), PIECES)
     )
