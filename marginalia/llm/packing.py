@@ -88,7 +88,7 @@ def _hashes(size: int) -> np.ndarray:
     x = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
         x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(33))
+    return (x >> np.uint64(32)).astype(np.uint32)
 
 
 def similarity_key(ids: np.ndarray, distinct: np.ndarray) -> int:
@@ -102,14 +102,14 @@ def similarity_key(ids: np.ndarray, distinct: np.ndarray) -> int:
     # The size does not change an id's hash; times an odd number it is in another order.
     table = _hashes(1 << max(16, int(distinct[-1]).bit_length()))
     once, all_ = table[distinct], table[ids]
-    least = [once.min(), (once * np.uint64(0x9FB21C651E98DF25)).min()]
+    least = [once.min(), (once * np.uint32(0x9E3779B1)).min()]
     if len(ids) > 1:
-        pairs = all_[:-1] * np.uint64(0xD6E8FEB86659FD93) + all_[1:]
-        least += [pairs.min(), (pairs * np.uint64(0x9FB21C651E98DF25)).min()]
+        pairs = all_[:-1] * np.uint32(0x85EBCA6B) + all_[1:]
+        least += [pairs.min(), (pairs * np.uint32(0x9E3779B1)).min()]
     key = 0
     for x in (least + least)[:4]:
         # The low bits: those at the top are nearly all 0 in a minimum.
-        key = key << 16 | int(x >> np.uint64(8)) & 0xFFFF
+        key = key << 16 | int(x) & 0xFFFF
     return key - (1 << 63)
 
 
