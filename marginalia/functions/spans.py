@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,60 +15,112 @@ from marginalia.schemas import TAGS
 SPAN = "array<struct<start:bigint,end:bigint,tag:string,replacement:string>>"
 
 
-def lines_of_edits(text: Column, correction: Column) -> Column:
-    """Line edits for a marked-up correction; ``OK`` for none, ``NULL`` for unreadable."""
+def numbered_edits(us: Column, edits: Column) -> Column:
+    """Edits over characters as spans over 1-based units, in their order.
 
-    def edges(us: Column, edits: Column) -> Column:
-        return F.struct(
-            F.transform(us, lambda u: u["start"]).alias("starts"),
-            F.transform(us, lambda u: u["end"]).alias("ends"),
-            edits.alias("edits"),
-        )
+    Where units begin and where edits begin and end are sorted together, an edit's edge before a
+    unit that begins there. In that one sequence the units before an edge are its place less the
+    edges before it, so no edit looks through the units.
+    """
+    flag = 1 << 31
 
-    def lines(s: Column) -> Column:
-        def line(e: Column) -> Column:
-            # Most edits begin and end with a unit; only the others need a count.
-            at_start = F.array_position(s["starts"], e["start"]).cast("int")
-            at_end = F.array_position(s["ends"], e["end"]).cast("int")
-            ended = F.size(F.filter(s["ends"], lambda x: x <= e["start"]))
-            begun = F.size(F.filter(s["starts"], lambda x: x < e["end"]))
-            before = F.size(F.filter(s["starts"], lambda x: x < e["start"]))
-            first = F.when(at_start > 0, at_start).otherwise(ended + 1)
-            last = (
-                F.when(at_end > 0, at_end + 1).when(begun > 0, begun + 1).otherwise(ended + 1)
-            )
-            gap = F.when(at_start > 0, at_start).otherwise(before + 1)
+    def edges(e: Column, i: Column) -> Column:
+        ends = ((e["start"], i * 2), (e["end"], i * 2 + 1))
+        return F.array(*[F.shiftleft(p.cast("bigint"), 32) + n.cast("bigint") for p, n in ends])
+
+    begins = F.transform(us, lambda u: F.shiftleft(u["start"].cast("bigint"), 32) + F.lit(flag).cast("bigint"))
+    swept = F.sort_array(F.concat(F.flatten(each(edits, edges)), begins))
+    asked = F.filter(
+        each(swept, lambda x, p: F.struct(x.alias("x"), p.alias("p"))), lambda s: s["x"].bitwiseAND(F.lit(flag)) == 0
+    )
+    # The number of the edge above the count of units, sorted back into the order of the edits.
+    by_edge = F.sort_array(
+        each(asked, lambda s, q: F.shiftleft(s["x"].bitwiseAND(F.lit(flag - 1)), 32) + (s["p"] - q).cast("bigint"))
+    )
+    counts = F.transform(by_edge, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+
+    def spans(s: Column) -> Column:
+        def span(e: Column, i: Column) -> Column:
+            before, until = at(s["counts"], i * 2), at(s["counts"], i * 2 + 1)
+            # Behind a unit that has not ended, a span begins with that unit.
+            inside = F.coalesce(at(s["us"], before - 1)["end"] > e["start"], F.lit(False))
+            here = F.coalesce(at(s["us"], before)["start"] == e["start"], F.lit(False))
+            first = F.when(inside & ~here, before).otherwise(before + 1)
             insert = e["start"] == e["end"]
-            head = F.concat_ws(
-                " ",
-                F.when(insert, gap).otherwise(first),
-                F.when(insert, gap).otherwise(last),
-                e["tag"],
+            return F.struct(
+                F.when(insert, before + 1).otherwise(first).cast("bigint").alias("start"),
+                F.when(insert, before + 1).when(until > 0, until + 1).otherwise(first).cast("bigint").alias("end"),
+                e["tag"].alias("tag"),
+                e["replacement"].alias("replacement"),
             )
-            tail = F.when(e["replacement"] != "", F.concat(F.lit(" "), e["replacement"]))
-            whole = F.concat(head, F.coalesce(tail, F.lit("")))
-            return F.when(insert, strip(whole)).otherwise(whole)
 
-        return F.array_join(F.transform(s["edits"], line), "\n")
+        return each(s["edits"], span)
+
+    return bind(F.struct(us.alias("us"), edits.alias("edits"), counts.alias("counts")), spans)
+
+
+def _corrected(text: Column, correction: Column, known: Column | None, found: Callable[[Column], Column], signal: Callable[[str], Column]) -> Column:
+    """``found`` of the spans of a marked-up correction, or ``signal`` of OK or NULL.
+
+    ``known`` has the units of ``text``, if they are at hand.
+    """
+
+    def of(p: Column) -> Column:
+        us = units(p["text"]) if known is None else F.when(p["text"] == text, known).otherwise(units(p["text"]))
+        return bind(us, lambda u: found(numbered_edits(u, p["edits"])))
 
     def read(c: Column) -> Column:
         return bind(
             parse_markup(c),
-            lambda p: F.when(p["error"].isNotNull(), "NULL")
-            .when(F.size(p["edits"]) == 0, "OK")
-            .otherwise(
-                bind(units(p["text"]), lambda us: bind(edges(us, p["edits"]), lines))
-            ),
+            lambda p: F.when(p["error"].isNotNull(), signal("NULL")).when(F.size(p["edits"]) == 0, signal("OK")).otherwise(of(p)),
         )
 
     return bind(
         strip(F.coalesce(correction, F.lit("null"))),
-        lambda c: F.when(c == "null", "NULL")
-        .when((c == "") | (strip(text) == c), "OK")
-        .otherwise(read(c)),
+        lambda c: F.when(c == "null", signal("NULL")).when((c == "") | (strip(text) == c), signal("OK")).otherwise(read(c)),
     )
 
 
+def _printed(spans: Column) -> Column:
+    def line(e: Column) -> Column:
+        tail = F.when(e["replacement"] != "", F.concat(F.lit(" "), e["replacement"])).otherwise("")
+        whole = F.concat(F.concat_ws(" ", e["start"], e["end"], e["tag"]), tail)
+        return F.when(e["start"] == e["end"], strip(whole)).otherwise(whole)
+
+    return F.array_join(F.transform(spans, line), "\n")
+
+
+def lines_of_edits(text: Column, correction: Column) -> Column:
+    """Line edits for a marked-up correction; ``OK`` for none, ``NULL`` for unreadable."""
+    return _corrected(text, correction, None, _printed, F.lit)
+
+
+def read_correction(text: Column, correction: Column, known: Column) -> Column:
+    """``struct(signal, spans)`` of a marked-up correction, as ``read_lines`` reads its line edits.
+
+    ``known`` has the units of ``text``. Nothing is printed, but for a replacement that holds a line break: its line is torn.
+    """
+    none = F.array().cast(SPAN)
+
+    def signal(s: str) -> Column:
+        return F.struct(F.lit(s).alias("signal"), none.alias("spans"))
+
+    def found(spans: Column) -> Column:
+        def trimmed(s: Column) -> Column:
+            return F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), s["tag"].alias("tag"), strip(s["replacement"]).alias("replacement")
+            )
+
+        return bind(
+            spans,
+            lambda all_: F.when(
+                F.exists(all_, lambda s: s["replacement"].rlike(LINE_BREAK)), read_lines(_printed(all_))
+            ).otherwise(F.struct(F.lit(None).cast("string").alias("signal"), F.transform(all_, trimmed).cast(SPAN).alias("spans"))),
+        )
+
+    return _corrected(text, correction, known, found, signal)
+
+
 def read_lines(output: Column) -> Column:
     """``struct(signal, spans)``: the signal is OK or NULL, or null when there are spans."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ UNIT = (
     r"|" + WORD + r"++"
     r"|[^\p{L}\p{N}_\s\x1c-\x1f]"
 )
+PLAIN_UNIT = WORD + r"++|[^\p{L}\p{N}_\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
@@ -92,8 +95,14 @@ def units(value: Column) -> Column:
     Every character is either whitespace or part of a unit, so the offsets are the running
     sums of the lengths of units with the blanks before them.
     """
-    flat = F.regexp_replace(value, OTHER_WS, " ")
-    found = F.regexp_extract_all(flat, F.lit(rf"(?U) *+(?:{UNIT})"), F.lit(0))
+    def cut(pattern: str) -> Callable[[Column], Column]:
+        return lambda t: F.regexp_extract_all(t, F.lit(rf"(?U) *+(?:{pattern})"), F.lit(0))
+
+    # Words have to be looked at letter by letter only where one may end in n't.
+    found = bind(
+        F.regexp_replace(value, OTHER_WS, " "),
+        lambda t: F.when(F.contains(t, F.lit("n't")), cut(UNIT)(t)).otherwise(cut(PLAIN_UNIT)(t)),
+    )
 
     def with_offsets(led: Column) -> Column:
         def unit(token: Column, end: Column) -> Column:

@@ -5,73 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.ranking import written
+from marginalia.operators.ranking import checked_small, split_join
 
 
-def hot_keys(rows: DataFrame, key: list[str], tasks: int) -> DataFrame:
-    """``key, salts`` of the keys that hold more than an even share of ``rows`` over ``tasks`` tasks.
-
-    There are fewer than ``tasks`` such keys, however many keys there are. ``salts`` says over
-    how many parts a key has to be dealt to have an even share in each. Counts are aggregated
-    before they move.
-    """
-    counts = written(rows.groupBy(*key).agg(F.count("*").alias("_n")))
-    share = max(1.0, (counts.agg(F.sum("_n")).first()[0] or 0) / tasks)
-    return counts.where(F.col("_n") > share).select(*key, F.ceil(F.col("_n") / F.lit(share)).cast("int").alias("salts"))
-
-
-def split_join(rows: DataFrame, other: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``other`` on ``key``, with hot keys dealt over many tasks.
-
-    Keys with more than an even share of ``rows`` are counted first. Their rows get a salt, and the
-    rows of ``other`` with these keys are repeated once for each salt; all others have salt 0. So
-    one shuffle by key and salt is even for any partition count and does not rest on adaptive
-    execution. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. A null key meets a null key.
+def join_senses_entries(senses: DataFrame, entries: DataFrame) -> DataFrame:
+    """Senses with the headword and part of speech of their entry.
 
-    The table of hot keys has fewer rows than there are shuffle partitions and is broadcast; its rows
-    come to the driver for it. ``rows`` is evaluated twice, and should come from files with
-    narrow steps, so that a task that is run again deals its rows as before. Equal rows are dealt
-    apart like others. The output has the key columns first, then the rest of ``rows`` and ``other``.
+    Few entries are broadcast; else the senses of an entry that has very many are dealt apart.
     """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"{how} joins are not split")
-    spark = rows.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = hot_keys(rows, key, tasks).collect()
-    names = [f"_k{i}" for i in range(len(key))]
-    schema = rows.select(*key, F.lit(0).alias("_salts")).schema
-    for f in schema:
-        f.nullable = True
-    hot = spark.createDataFrame([tuple(r) for r in found], schema).toDF(*names, "_salts")
-
-    def marked(df: DataFrame) -> DataFrame:
-        same = F.lit(True)
-        for k, n in zip(key, names):
-            same = same & df[k].eqNullSafe(F.col(n))
-        return df.join(F.broadcast(hot), same, "left").drop(*names)
-
-    dealt, repeated = rows.withColumn("_salt", F.lit(0)), other.withColumn("_salt", F.lit(0))
-    if found:
-        place = F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1)).cast("long"))
-        dealt = marked(rows).withColumn("_salt", place.cast("int")).drop("_salts")
-        parts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-        repeated = marked(other).withColumn("_salt", F.explode(parts)).drop("_salts")
-    held = repeated.select(
-        F.col("_salt").alias("_s"), *[F.col(k).alias(n) for k, n in zip(key, names)], *[F.col(c) for c in other.columns if c not in key]
-    )
-    same = dealt["_salt"] == held["_s"]
-    for k, n in zip(key, names):
-        same = same & dealt[k].eqNullSafe(held[n])
-    # Merge keeps the sides from being turned into a broadcast that was never counted.
-    joined = dealt.join(held.hint("merge"), same, how)
-    rest = [] if how in ("left_semi", "left_anti") else [c for c in other.columns if c not in key]
-    return joined.select(*key, *[c for c in rows.columns if c not in key], *rest)
-
-
-def join_senses_entries(senses: DataFrame, entries: DataFrame) -> DataFrame:
-    """Senses with the headword and part of speech of their entry."""
     heads = entries.select(F.col("id").alias("entry_id"), "headword", "pos")
-    return senses.join(heads, "entry_id", "inner").select(
+    small = checked_small(heads)
+    joined = split_join(senses, heads, ["entry_id"]) if small is None else senses.join(small, "entry_id")
+    return joined.select(
         F.col("id").alias("source_sense_id"), "definition", "cefr_level", "headword", "pos"
     )
 

@@ -8,8 +8,9 @@ import uuid
 from collections.abc import Callable
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest number of rows that is ever brought to the driver to become a broadcast table.
 SMALL_ROWS = 10_000
@@ -55,6 +56,66 @@ def checked_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None
     return F.broadcast(local)
 
 
+def hot_keys(rows: DataFrame, key: list[str], tasks: int) -> DataFrame:
+    """``key, salts`` of the keys that hold more than an even share of ``rows`` over ``tasks`` tasks.
+
+    There are fewer than ``tasks`` such keys, however many keys there are, and they are among the
+    ``tasks`` largest; only these come to the driver. ``salts`` says over how many parts a key
+    has to be dealt to have an even share in each. Counts are aggregated before they move, and
+    the total is observed in the same job.
+    """
+    every = Observation()
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_n")).observe(every, F.sum("_n").alias("n"))
+    most = counts.orderBy(F.desc("_n")).limit(tasks).toArrow()
+    share = max(1.0, (every.get["n"] or 0) / tasks)
+    schema = rows.select(*key, F.lit(0).cast("long").alias("_n")).schema
+    held = rows.sparkSession.createDataFrame(most, schema=T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+    return held.where(F.col("_n") > share).select(*key, F.ceil(F.col("_n") / F.lit(share)).cast("int").alias("salts"))
+
+
+def split_join(
+    rows: DataFrame, other: DataFrame, key: list[str], how: str = "inner", null_safe: bool = False, hot: DataFrame | None = None
+) -> DataFrame:
+    """``rows`` joined with ``other`` on ``key``, with hot keys dealt over many tasks.
+
+    Keys with more than an even share of ``rows`` are counted first, unless ``hot`` tells them as
+    ``hot_keys`` does. Their rows get a salt, and the rows of ``other`` with these keys are repeated
+    once for each salt; all others have salt 0. So one shuffle by key and salt is even for any
+    partition count and does not rest on adaptive execution. ``how`` is ``inner``, ``left``,
+    ``left_semi`` or ``left_anti``. A null key meets a null key only if ``null_safe``.
+
+    The table of hot keys has fewer rows than there are shuffle partitions and is broadcast.
+    ``rows`` is evaluated twice, and should come from files with narrow steps, so that a task that
+    is run again deals its rows as before. Equal rows are dealt apart like others. The output has
+    the key columns first, then the rest of ``rows`` and of ``other``.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"{how} joins are not split")
+    if hot is None:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot = hot_keys(rows, key, tasks)
+    names = [f"_k{i}" for i in range(len(key))]
+    hot = hot.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col("salts").alias("_salts"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for k, n in zip(key, names):
+            same = same & df[k].eqNullSafe(F.col(n))
+        return df.join(F.broadcast(hot), same, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1))).drop(*names)
+
+    place = F.pmod(F.monotonically_increasing_id(), F.col("_salts").cast("long")).cast("int")
+    dealt = marked(rows).withColumn("_salt", place).drop("_salts")
+    repeated = marked(other).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    rest = [] if how in ("left_semi", "left_anti") else [c for c in other.columns if c not in key]
+    held = repeated.select("_s", *[F.col(k).alias(n) for k, n in zip(key, names)], *rest)
+    same = dealt["_salt"] == held["_s"]
+    for k, n in zip(key, names):
+        same = same & (dealt[k].eqNullSafe(held[n]) if null_safe else dealt[k] == held[n])
+    # Merge keeps the sides from being turned into a broadcast that was never counted.
+    joined = dealt.join(held.hint("merge"), same, how)
+    return joined.select(*key, *[c for c in rows.columns if c not in key], *rest)
+
+
 def attach(
     rows: DataFrame,
     per_key: DataFrame,
@@ -65,14 +126,19 @@ def attach(
     """Join a one-row-per-key table back to the rows it was computed from.
 
     ``per_key[count]`` says how many rows each key has. The table is broadcast when it was
-    counted to be small. Otherwise both sides are shuffled, and a key that holds a large share of
-    the rows is split by adaptive execution, which this plain left join allows; nothing above
-    it needs the rows of a key together. A null key meets the null key of ``per_key``.
+    counted to be small. Otherwise both sides are shuffled, and a key that holds more than an even
+    share of the rows is dealt over many tasks. A null key meets the null key of ``per_key``.
     The output has the columns of both sides except ``count``.
     """
     per_key = written(per_key)
     small = checked_small(per_key, small_rows)
-    other = (per_key if small is None else small).drop(count)
+    if small is None:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share = max(1.0, (per_key.agg(F.sum(count)).first()[0] or 0) / tasks)
+        hot = per_key.where(F.col(count) > share).select(*key, F.ceil(F.col(count) / F.lit(share)).cast("int").alias("salts"))
+        found = split_join(rows, per_key.drop(count), key, "left", null_safe=True, hot=hot)
+        return found.select(*rows.columns, *[c for c in per_key.columns if c not in (*key, count)])
+    other = small.drop(count)
     named = other.select(
         *[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)],
         *[F.col(c) for c in other.columns if c not in key],
@@ -80,9 +146,7 @@ def attach(
     same = F.lit(True)
     for i, k in enumerate(key):
         same = same & rows[k].eqNullSafe(F.col(f"_key{i}"))
-    if small is not None:
-        named = F.broadcast(named)
-    return rows.join(named, same, "left").drop(*[f"_key{i}" for i in range(len(key))])
+    return rows.join(F.broadcast(named), same, "left").drop(*[f"_key{i}" for i in range(len(key))])
 
 
 def global_positions(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import hashing
 from marginalia.functions.arrays import bind, with_columns_once
 from marginalia.functions.text import mentions, ngrams, shape_fault, strip, tokens
-from marginalia.operators.ranking import SMALL_ROWS, attach, checked_small, global_positions, take_smallest
+from marginalia.operators.ranking import SMALL_ROWS, attach, checked_small, global_positions, split_join, take_smallest
 from marginalia.operators.tally import tally
 from marginalia.schemas import (
     ERROR_SPECS,
@@ -302,10 +302,16 @@ def expand_batches(responses: DataFrame, specs: DataFrame, **limits: int) -> Dat
 
 
 def join_spec_traits(specs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Requests with the description of their learner profile."""
+    """Requests with the description of their learner profile.
+
+    Few profiles are broadcast; else the requests of a profile that has very many are dealt apart.
+    """
     traits = profiles.select(F.col("id").alias("profile_id"), "traits")
     small = checked_small(traits)
-    joined = specs.join(traits if small is None else small, "profile_id", "left")
+    if small is None:
+        joined = split_join(specs, traits, ["profile_id"], "left")
+    else:
+        joined = specs.join(small, "profile_id", "left")
     return joined.withColumn("traits", F.coalesce("traits", F.lit(UNKNOWN_PROFILE)))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from marginalia.functions.arrays import bind, total, with_columns_once
 from marginalia.functions.markup import corrected_text, triples
-from marginalia.functions.spans import SPAN, fault_of_spans, lines_of_edits, read_lines
+from marginalia.functions.spans import SPAN, fault_of_spans, read_correction, read_lines
 from marginalia.functions.text import n_words, strip, units
 from marginalia.operators.grading import check_rows
 from marginalia.schemas import (
@@ -231,14 +231,14 @@ def span_f05_scores(df: DataFrame) -> DataFrame:
         clean("reference").alias("reference"),
     )
     marked = F.contains("reference", F.lit("[")) & F.contains("reference", F.lit("]"))
-    lines = F.when(marked, lines_of_edits(F.col("text"), F.col("reference"))).otherwise(
-        F.col("reference")
-    )
+    cut = with_columns_once(rows, us=units(F.col("text")))
     read = with_columns_once(
-        rows,
+        cut,
         p=read_lines(F.col("prediction")),
-        g=read_lines(lines),
-        n_units=F.size(units(F.col("text"))),
+        g=F.when(marked, read_correction(F.col("text"), F.col("reference"), F.col("us"))).otherwise(
+            read_lines(F.col("reference"))
+        ),
+        n_units=F.size("us"),
     )
 
     def full(side: str) -> Column:

@@ -257,9 +257,12 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def senses(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
+    # A third of the senses share one entry, the others are spread over all of them.
+    parts = table(spark, sf_dir, "part").count()
+    entry = F.when(doc % 3 == 0, 1).otherwise(doc * 7919 % max(parts, 1) + 1)
     return table(spark, sf_dir, "documents").select(
         doc.alias("id"),
-        (doc % 20).alias("entry_id"),
+        entry.cast("long").alias("entry_id"),
         F.when(doc % 13 == 0, " ").when(doc % 13 == 1, " ab ").otherwise(F.col("text")).alias("definition"),
         F.when(doc % 4 != 0, F.col("lang")).otherwise("").alias("cefr_level"),
     )
@@ -273,7 +276,7 @@ SELECT p_partkey AS id,
 FROM part
 """
 SHARED["senses"] = """
-SELECT doc_id AS id, doc_id % 20 AS entry_id,
+SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id * 7919 % (SELECT count(*) FROM part) + 1 END AS entry_id,
   CASE doc_id % 13 WHEN 0 THEN ' ' WHEN 1 THEN ' ab ' ELSE text END AS definition,
   CASE WHEN doc_id % 4 <> 0 THEN lang ELSE '' END AS cefr_level
 FROM documents

@@ -249,3 +249,72 @@ def test_text_helpers(spark):
     pairs = [("She smiled brightly", "bright", True), ("It rang", "ring", False), ("x", "sb sth", True), ("He gave up", "give sth up", True)]
     df = spark.createDataFrame(pairs, "a string, b string, w boolean")
     assert all(r[0] == r[1] for r in df.select(mentions(F.col("a"), F.col("b")), "w").collect())
+
+
+def plain_spans(text, unit_list, edits):
+    """Spans of edits by looking through all units for each of them."""
+    out = []
+    for start, end, tag, new in edits:
+        before = sum(s < start for s, _ in unit_list)
+        if start == end:
+            hit = [i for i, (s, _) in enumerate(unit_list) if s == start]
+            a = b = hit[0] + 1 if hit else before + 1
+        else:
+            begins = [i + 1 for i, (s, _) in enumerate(unit_list) if s == start]
+            a = begins[0] if begins else sum(e <= start for _, e in unit_list) + 1
+            b = max((i + 2 for i, (s, _) in enumerate(unit_list) if s < end), default=a)
+        out.append((a, b, tag, new))
+    return out
+
+
+def test_numbered_edits_equal_lookups_for_each_edit(spark):
+    import random
+
+    from marginalia.functions.spans import numbered_edits
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(120):
+        at, unit_list = rng.randrange(3), []
+        for _ in range(rng.randrange(0, 12)):
+            size = rng.randrange(1, 5)
+            unit_list.append((at, at + size))
+            at += size + rng.choice([0, 0, 1, 2])
+        edits = []
+        for _ in range(rng.randrange(0, 8)):
+            a = rng.randrange(0, at + 3)
+            edits.append((a, a + rng.choice([0, 0, 1, 3, 6]), "sp", "x"))
+        rows.append((unit_list, edits))
+    df = spark.createDataFrame(rows, "us array<struct<start:int,end:int>>, edits array<struct<start:int,end:int,tag:string,replacement:string>>")
+    got = df.select(numbered_edits(F.col("us"), F.col("edits")).alias("s")).collect()
+    assert [[tuple(x) for x in r["s"]] for r in got] == [plain_spans(None, u, e) for u, e in rows]
+
+
+def test_a_long_text_with_many_edits_is_swept_once(spark):
+    import time
+
+    words = [f"word{i}" for i in range(20_000)]
+    marked = " ".join(f"[{w}>fix{i}:sp]" if i % 7 == 3 else w for i, w in enumerate(words))
+    df = spark.createDataFrame([(" ".join(words), marked)], "text string, correction string")
+    assert S.edits_to_spans(df).first()["span_lines"] is not None
+    start = time.perf_counter()
+    lines = S.edits_to_spans(df).first()["span_lines"].split("\n")
+    assert time.perf_counter() - start < 2
+    assert len(lines) == 2857 and lines[:2] == ["4 5 sp fix3", "11 12 sp fix10"] and lines[-1] == "19996 19997 sp fix19995"
+
+
+def test_scored_references_are_read_as_their_printed_lines(spark):
+    from marginalia.functions.spans import lines_of_edits, read_correction, read_lines
+    from marginalia.functions.text import units
+
+    texts = [
+        ("He go home .", "He [go>goes:agr] home ."), ("a b c", "a [b>  x  y :sp] [>new:art] c"), ("a b", "a [b>one\ntwo:sp]"),
+        ("a b", "a [b>:sp]"), ("a b", "a [b"), ("a b", None), ("a b", "a b"), ("a", " "), ("it isn't", "it [isn't>is:form] [>now:word]"),
+        ("a b", "other [text>words:sp] here"), ("a b", "a b [>\n:sp]"),
+    ]
+    df = spark.createDataFrame(texts, "text string, c string")
+    both = df.select(
+        read_correction(F.col("text"), F.col("c"), units(F.col("text"))).alias("a"),
+        read_lines(lines_of_edits(F.col("text"), F.col("c"))).alias("b"),
+    ).collect()
+    assert all((r["a"]["signal"], r["a"]["spans"] or []) == (r["b"]["signal"], (r["b"]["spans"] if r["b"]["signal"] is None else None) or []) for r in both)

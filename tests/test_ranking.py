@@ -141,3 +141,56 @@ def test_bucket_matches_integer_arithmetic(spark):
     for k in keys:
         head = hashlib.sha256(f"5|{k}".encode()).digest()[:8]
         assert got[k] == int.from_bytes(head, "big") % 10_000
+
+
+@pytest.fixture
+def fixed_partitions(spark):
+    """Sixteen shuffle partitions that adaptive execution does not touch."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield 16
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_split_join_equals_a_plain_join(spark, fixed_partitions, tmp_path, how, null_safe):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 400).alias("k"), F.col("id").alias("v")
+    )
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    other = spark.createDataFrame([(k, f"{k}-{i}") for k in [*range(0, 300), None] for i in range(2 if k == 7 else 1)], "k bigint, w string")
+    same = rows["k"].eqNullSafe(other["k"]) if null_safe else rows["k"] == other["k"]
+    want = rows.join(other, same, how).select(rows["k"], "v", *([] if how.startswith("left_") else ["w"]))
+    got = R.split_join(rows, other, ["k"], how, null_safe=null_safe)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_a_hot_key_is_dealt_evenly_without_adaptive_execution(spark, fixed_partitions, tmp_path):
+    spark.range(48_000).select(
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
+    ).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    other = spark.range(48_000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("w"))
+    hot = R.hot_keys(rows, ["k"], fixed_partitions).collect()
+    assert [(r["k"], r["salts"]) for r in hot] == [(5, 6)]
+    joined = R.split_join(rows, other, ["k"])
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    per_task = [r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_task) == 48_000 and len(per_task) == fixed_partitions and max(per_task) < 2.5 * 48_000 / fixed_partitions
+
+
+def test_an_attached_table_that_is_large_is_dealt_the_same_way(spark, fixed_partitions, tmp_path):
+    spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 3000).alias("k"), F.col("id").alias("v")
+    ).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    per_key = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    got = R.attach(rows, per_key, ["k"], "n", small_rows=10)
+    assert got.columns == ["k", "v", "top"]
+    want = {r["k"]: r["top"] for r in per_key.collect()}
+    assert got.count() == 9000 and all(r["top"] == want[r["k"]] for r in got.collect())
