@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import Scratch
-from marginalia.operators.joins import split_join
-from marginalia.operators.ranking import checked_small, global_positions
+from marginalia.operators.ranking import checked_small, global_positions, split_join
 
 ARITY, LEVELS = 3, 6
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
