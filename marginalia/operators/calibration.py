@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.markup import band_of
-from marginalia.operators.ranking import global_positions, value_positions
+from marginalia.operators.ranking import global_positions, value_positions, written
 from marginalia.schemas import MAX_BAND, MIN_BAND
 
 
@@ -26,12 +26,56 @@ def equal_mass_rank(df: DataFrame, col: str, bins: int, uid: str = "row_id") ->
     return ranked.withColumn("bin", place)
 
 
+def bin_cuts(df: DataFrame, col: str, bins: int, uid: str = "row_id") -> list[tuple]:
+    """``(value, id)`` of the first row of every bin but the first, in the order of value and id.
+
+    Equal values are counted; an edge between two values needs no more than that. Only rows whose
+    value has an edge inside are ordered by id, and only value and id of them move.
+    """
+    if bins < 1:
+        raise ValueError("at least one bin is needed")
+    placed = written(value_positions(df.select(col), col))
+    n = placed.agg(F.max("after")).first()[0]
+    if not n:
+        raise ValueError("every confidence is missing")
+    bins = min(bins, n)
+    edges = [round(n * (i + 1) / bins) for i in range(bins - 1)]
+    asked = F.array(*[F.lit(e).cast("long") for e in edges]) if edges else F.array().cast("array<bigint>")
+    # At most one row for each edge.
+    held = placed.select(
+        "value", "first", F.explode(F.filter(asked, lambda e: (e >= F.col("first")) & (e < F.col("after")))).alias("edge")
+    ).collect()
+    cuts = {r["edge"]: (r["value"], None) for r in held if r["edge"] == r["first"]}
+    inside = {r["edge"]: r["value"] for r in held if r["edge"] > r["first"]}
+    if inside:
+        starts = {r["value"]: r["first"] for r in held}
+        tied = sorted({v for v in inside.values()})
+        rows = df.where(F.col(col).isin(tied)).select(F.col(col).alias("value"), F.col(uid).alias("id"))
+        ranked = global_positions(rows, ["value", "id"], name="rank")
+        # Where a tied value begins among the tied rows, and so where its edges are.
+        begins = {r["value"]: r["low"] for r in ranked.groupBy("value").agg(F.min("rank").alias("low")).collect()}
+        at = {begins[v] + e - starts[v]: e for e, v in inside.items()}
+        for r in ranked.where(F.col("rank").isin(list(at))).collect():
+            cuts[at[r["rank"]]] = (r["value"], r["id"])
+    return [cuts[e] for e in edges]
+
+
 def reliability_bins(
     df: DataFrame, conf: str, correct: str, bins: int = 10, uid: str = "row_id"
 ) -> DataFrame:
-    """Bounds, count, mean confidence and accuracy of equal-count bins."""
-    ranked = equal_mass_rank(df.select(uid, conf, correct), conf, bins, uid)
-    return ranked.groupBy("bin").agg(
+    """Bounds, count, mean confidence and accuracy of equal-count bins.
+
+    The rows are aggregated where they are, by comparing them with the cuts. Rows alike in
+    confidence and id share a bin.
+    """
+    rows = df.where(F.col(conf).isNotNull())
+    place = F.lit(0)
+    for value, first_id in bin_cuts(rows, conf, bins, uid):
+        beyond = F.col(conf) >= F.lit(value)
+        if first_id is not None:
+            beyond = (F.col(conf) > F.lit(value)) | ((F.col(conf) == F.lit(value)) & (F.col(uid) >= F.lit(first_id)))
+        place = place + F.when(beyond, 1).otherwise(0)
+    return rows.groupBy(place.alias("bin")).agg(
         F.min(conf).alias("lower"),
         F.max(conf).alias("upper"),
         F.count("*").alias("count"),

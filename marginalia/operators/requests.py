@@ -323,41 +323,85 @@ def tokenize_ngrams(df: DataFrame, text: str, n: int) -> DataFrame:
     return df.select("*", F.explode(grams).alias("ngram")).drop(text)
 
 
+def _hashed_grams(text: Column) -> Column:
+    """``array<struct<n, a, b>>``: every 2- and 3-gram of a text as two independent 64-bit hashes.
+
+    Tokens are hashed once and n-grams are made from these, so none is ever a string. The first
+    entry, with ``n`` 0, stands for the text itself.
+    """
+
+    def hashed(t: Column) -> Column:
+        return F.transform(t, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+
+    def sized(h: Column, n: int) -> Column:
+        def gram(i: Column) -> Column:
+            side = {s: F.xxhash64(*[F.get(h, i + k)[s] for k in range(n)]) for s in "ab"}
+            return F.struct(F.lit(n).alias("n"), *[x.alias(s) for s, x in side.items()])
+
+        none = F.array().cast("array<struct<n:int,a:bigint,b:bigint>>")
+        return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), gram)).otherwise(none)
+
+    here = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    return bind(hashed(tokens(F.coalesce(text, F.lit("")))), lambda h: F.concat(here, sized(h, 2), sized(h, 3)))
+
+
+def _collapsing(shares: DataFrame, threshold: float) -> DataFrame:
+    return shares.withColumn("collapsed", (F.col("texts") > 0) & (F.col("distinct2") < threshold))
+
+
 def batch_diversity(
     df: DataFrame, batch: str, text: str, threshold: float = 0.7
 ) -> DataFrame:
     """Distinct bigram and trigram shares pooled over each batch's texts.
 
     N-grams are counted per (batch, n-gram) first, with map-side combining; a batch is only
-    summed from those counts. An empty pool scores 1.0.
+    summed from those counts. What moves is a 128-bit hash of each n-gram, of which two are alike
+    with a chance of about 1e-20 among a billion. An empty pool scores 1.0.
     """
-
-    def marked(t: Column) -> Column:
-        def sized(n: int) -> Column:
-            return F.transform(
-                ngrams(t, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-            )
-
-        here = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram")))
-        return F.concat(here, sized(2), sized(3))
-
-    grams = df.select(
-        F.col(batch).alias("batch_uid"),
-        F.explode(bind(tokens(F.coalesce(F.col(text), F.lit(""))), marked)).alias("g"),
-    )
-    counted = grams.groupBy("batch_uid", "g.n", "g.gram").agg(F.count("*").alias("c"))
+    grams = df.select(F.col(batch).alias("batch_uid"), F.explode(_hashed_grams(F.col(text))).alias("g"))
+    counted = grams.groupBy("batch_uid", "g.n", "g.a", "g.b").agg(F.count("*").alias("c"))
 
     def share(n: int) -> Column:
         mine = F.col("n") == n
         distinct, every = F.count_if(mine), F.sum(F.when(mine, F.col("c")))
         return F.coalesce(distinct / every, F.lit(1.0))
 
-    return (
-        counted.groupBy("batch_uid")
-        .agg(
-            F.sum(F.when(F.col("n") == 0, F.col("c"))).alias("texts"),
-            share(2).alias("distinct2"),
-            share(3).alias("distinct3"),
-        )
-        .withColumn("collapsed", (F.col("texts") > 0) & (F.col("distinct2") < threshold))
+    shares = counted.groupBy("batch_uid").agg(
+        F.sum(F.when(F.col("n") == 0, F.col("c"))).alias("texts"),
+        share(2).alias("distinct2"),
+        share(3).alias("distinct3"),
+    )
+    return _collapsing(shares, threshold)
+
+
+#: Size of a sketch as a power of two: a standard error of about 0.8 %.
+SKETCH_BITS = 14
+
+
+def diversity_sketches(df: DataFrame, batch: str, text: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """Per batch the number of texts and n-grams and a distinct-count sketch of each kind of n-gram.
+
+    Sketches of parts of a batch, made at other times, are merged by ``diversity_of_sketches``;
+    at most ``2 ** bits`` bytes of each move, whatever the batch holds.
+    """
+    grams = df.select(F.col(batch).alias("batch_uid"), F.explode(_hashed_grams(F.col(text))).alias("g"))
+
+    def of(n: int) -> list[Column]:
+        mine = F.when(F.col("g.n") == n, F.xxhash64("g.a", "g.b"))
+        return [F.count(mine).alias(f"n{n}"), F.hll_sketch_agg(mine, bits).alias(f"sketch{n}")]
+
+    return grams.groupBy("batch_uid").agg(F.count_if(F.col("g.n") == 0).alias("texts"), *of(2), *of(3))
+
+
+def diversity_of_sketches(sketches: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The columns of ``batch_diversity``, estimated from sketches of batches or of parts of them."""
+
+    def share(n: int) -> Column:
+        distinct = F.hll_sketch_estimate(F.hll_union_agg(f"sketch{n}")).cast("double")
+        every = F.sum(f"n{n}")
+        return F.when(every > 0, F.least(F.lit(1.0), distinct / every)).otherwise(1.0)
+
+    shares = sketches.groupBy("batch_uid").agg(
+        F.sum("texts").alias("texts"), share(2).alias("distinct2"), share(3).alias("distinct3")
     )
+    return _collapsing(shares, threshold)

@@ -156,12 +156,41 @@ def stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
 
     def step(log: str, ckpt: str, out: str) -> None:
         rows = G.read_log_stream(spark, log, EVENT, "key").drop("bad_line")
-        G.run_updates(G.stream_latest_state(rows, "key", "seq"), ckpt, f"{out}/{'second' if written else 'first'}")
-        written.append(True)
+        states.append(G.latest_rows(spark, out, EVENT, "key", "seq", every=2))
+        G.stream_state(rows, ckpt, states[-1])
 
-    written: list[bool] = []
-    out = in_two_waves(spark, lines, F.col("seq") % 2 == 1, step)
-    return G.settled(spark, f"{out}/*", "key").where(F.col("response").isNotNull()).drop("response")
+    states: list[G.Generations] = []
+    in_two_waves(spark, lines, F.col("seq") % 2 == 1, step)
+    return states[-1].read().where(F.col("response").isNotNull()).drop("response")
+
+
+TIMED = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("event_type", T.StringType()),
+    ]
+)
+
+
+@query("""
+SELECT window_start, kind, CAST(count(*) FILTER (NOT late) AS BIGINT) AS n, CAST(count(*) FILTER (late) AS BIGINT) AS late FROM (
+  SELECT w AS window_start, event_type AS kind, second AND w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_id % 4 <> 0) - INTERVAL 6 HOUR AS late
+  FROM (SELECT *, date_trunc('day', ts) AS w, event_id % 4 = 0 AS second FROM events)) GROUP BY window_start, kind
+""")
+def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events per day and type; a quarter of them come in a second wave, most of those too late."""
+    events = table(spark, d, "events").select("event_id", "ts", "event_type").coalesce(16)
+    lines = events.select("event_id", F.to_json(F.struct(*events.columns)).alias("value"))
+    last: list[G.Generations] = []
+
+    def step(log: str, ckpt: str, out: str) -> None:
+        rows = G.read_log_stream(spark, log, TIMED, "event_id").drop("bad_line")
+        last.append(G.window_counts(spark, out))
+        G.stream_event_counts(rows, ckpt, last[-1], "ts", "event_type", "1 day", "6 HOURS")
+
+    in_two_waves(spark, lines, F.col("event_id") % 4 != 0, step)
+    return G.event_counts(last[-1])
 
 
 # --- rollouts ----------------------------------------------------------------------------

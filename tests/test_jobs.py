@@ -4,6 +4,7 @@ import difflib
 import hashlib
 import json
 import math
+import random
 
 import pyarrow.parquet as pq
 import pytest
@@ -416,3 +417,140 @@ def test_profiles_by_constant_and_by_join_agree(spark, learners):
     cols = ["sense_uid", "cells"]
     ways = [sorted(map(repr, Q.draw_profile(drawn, profiles, 5, small).select(*cols).collect())) for small in (10_000, 1)]
     assert ways[0] == ways[1] and len(ways[0]) == 30
+
+
+def numbered_log(n=60):
+    return [(f"k{i * 7 % 9}", i, None if i % 5 == 0 else f"v{i}") for i in range(n)]
+
+
+def test_state_is_kept_as_generations(spark, tmp_path):
+    import os
+
+    schema = "key string, seq bigint, reply string"
+    kind = spark.createDataFrame([], schema).schema
+    rows, out = numbered_log(), str(tmp_path / "out")
+    late = rows[::2][::-1] + rows[1::2]  # rows of one batch may be older than those before it
+    state = G.latest_rows(spark, out, kind, "key", "seq", every=3)
+    for number in range(8):
+        batch = spark.createDataFrame(late[number::8], schema)
+        state.add(batch, number)
+        state.add(batch, number)  # a batch that is tried again
+        seen = [r for k in range(number + 1) for r in late[k::8]]
+        want = sorted(map(tuple, L.latest_by_key(spark.createDataFrame(seen, schema), "key", "seq").collect()))
+        # A new object finds what the old one left, as a run that starts again does.
+        again = G.latest_rows(spark, out, kind, "key", "seq", every=3)
+        assert sorted(map(tuple, again.read().collect())) == want
+        assert len(os.listdir(f"{out}/change")) < 3
+    assert len(os.listdir(f"{out}/whole")) == len([f for f in os.listdir(f"{out}/pointer") if not f.startswith(".")]) == 1
+    # A generation that was not finished has no pointer and is not read.
+    spark.createDataFrame([("k0", 999, "x")], schema).write.parquet(f"{out}/whole/{99:012d}")
+    assert sorted(map(tuple, state.read().collect())) == want
+    assert G.latest_rows(spark, str(tmp_path / "none"), kind, "key", "seq").read().count() == 0
+
+
+def test_streamed_state_equals_batch_after_a_restart(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    schema = "key string, seq bigint, reply string"
+    kind = spark.createDataFrame([], schema).schema
+    rows = numbered_log()
+    for part in range(4):
+        (log / f"{part}.txt").write_text("\n".join(json.dumps(dict(zip(("key", "seq", "reply"), r))) for r in rows[part::4]) + "\n")
+        stream = G.read_log_stream(spark, str(log), kind, "key", files=1).drop("bad_line")
+        state = G.latest_rows(spark, str(tmp_path / "out"), kind, "key", "seq", every=2)
+        G.stream_state(stream, str(tmp_path / "ck"), state)
+    batch = L.latest_by_key(spark.createDataFrame(rows, schema), "key", "seq")
+    assert sorted(map(tuple, state.read().collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_late_rows_are_counted_apart(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    hours = [[0, 1, 1, 5, 30, None], [2, 25, 23, 29, 60], [1, 50, 59, 61]]
+    schema = "id bigint, ts timestamp, kind string"
+    kind = spark.createDataFrame([], schema).schema
+    log = tmp_path / "log"
+    log.mkdir()
+    want, newest = {}, None
+    for wave, hs in enumerate(hours):
+        limit = None if newest is None else newest - 6
+        lines = []
+        for i, h in enumerate(hs):
+            lines.append(json.dumps({"id": i, "ts": None if h is None else (start + timedelta(hours=h)).isoformat(), "kind": "ab"[i % 2]}))
+            window = None if h is None else start + timedelta(days=h // 24)
+            too_late = h is None or (limit is not None and (h // 24 + 1) * 24 <= limit)
+            counts = want.setdefault((window, "ab"[i % 2]), [0, 0])
+            counts[too_late] += 1
+        newest = max([h for h in hs if h is not None] + ([newest] if newest is not None else []))
+        (log / f"{wave}.txt").write_text("\n".join(lines) + "\n")
+        stream = G.read_log_stream(spark, str(log), kind, "id").drop("bad_line")
+        counts = G.window_counts(spark, str(tmp_path / "out"), every=2)
+        G.stream_event_counts(stream, str(tmp_path / "ck"), counts, "ts", "kind", "1 day", "6 HOURS")
+    got = {(r["window_start"], r["kind"]): [r["n"], r["late"]] for r in G.event_counts(counts).collect()}
+    assert got == want and sum(x[1] for x in got.values()) >= 3
+
+
+def test_diversity_moves_no_strings_and_sketches_come_close(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(90)]
+    rows = [(f"b{i % 3}", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40)))) for i in range(400)] + [("b3", None), ("b3", "one"), (None, "a b a b")]
+    df = spark.createDataFrame(rows, "b string, t string")
+    found = Q.batch_diversity(df, "b", "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("gram" not in line for line in plan.splitlines() if "Exchange" in line)
+    got = {r["batch_uid"]: r for r in found.collect()}
+    for b in ("b0", "b1", "b2", "b3", None):
+        texts = [(t or "").split() for k, t in rows if k == b]
+        assert got[b]["texts"] == len(texts)
+        for n in (2, 3):
+            grams = [tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1)]
+            assert got[b][f"distinct{n}"] == pytest.approx(len(set(grams)) / len(grams) if grams else 1.0)
+    half = F.hash("t") % 2 == 0
+    parts = Q.diversity_sketches(df.where(half), "b", "t").union(Q.diversity_sketches(df.where(~half), "b", "t"))
+    near = {r["batch_uid"]: r for r in Q.diversity_of_sketches(parts).collect()}
+    assert set(near) == set(got)
+    for b, r in near.items():
+        assert r["texts"] == got[b]["texts"]
+        for n in (2, 3):
+            assert r[f"distinct{n}"] == pytest.approx(got[b][f"distinct{n}"], rel=0.03)
+
+
+@pytest.mark.parametrize("values", [3, 1000])
+def test_bins_from_counts_equal_bins_of_a_sorted_table(spark, values):
+    rng = random.Random(values)
+    rows = [(f"id{i:03d}", None if i % 40 == 0 else rng.randrange(values) / values, rng.random() < 0.5) for i in range(333)]
+    df = spark.createDataFrame(rows, "row_id string, c double, ok boolean").repartition(4)
+    ordered = sorted((c, i, ok) for i, c, ok in rows if c is not None)
+    edges = [0, *[round(len(ordered) * (k + 1) / 10) for k in range(9)], len(ordered)]
+    want = []
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        part = ordered[a:b]
+        want.append((k, part[0][0], part[-1][0], len(part), pytest.approx(sum(x[0] for x in part) / len(part)), pytest.approx(sum(x[2] for x in part) / len(part))))
+    got = B.reliability_bins(df, "c", "ok")
+    # The rows themselves are only aggregated: no sort of them and no exchange but that of ten bins
+    # (and the one that the table above begins with).
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "rangepartitioning" not in plan and plan.count("Exchange") == 2
+    assert sorted(map(tuple, got.collect())) == want
+    with pytest.raises(ValueError, match="missing"):
+        B.reliability_bins(df.where("c IS NULL"), "c", "ok")
+
+
+def test_chrf_of_a_batch_equals_counting(spark):
+    from collections import Counter
+
+    from marginalia.operators.scoring import overlap_f
+
+    def plain(p, g, order):
+        scores = []
+        for n in range(1, min(order, len(p), len(g)) + 1):
+            a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (p, g))
+            scores.append(2 * sum((a & b).values()) / (len(p) + len(g) - 2 * n + 2))
+        return sum(scores) / len(scores) if scores else 0.0
+
+    rng = random.Random(9)
+    texts = ["", "a", "ab", "aaaa", "é\U0001f600é", "the same text", "x" * 3000] + ["".join(rng.choice("abc é") for _ in range(rng.randrange(60))) for _ in range(80)]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(200)]
+    got = overlap_f([p for p, _ in pairs], [g for _, g in pairs], 6)
+    assert got == pytest.approx([plain(p, g, 6) for p, g in pairs], abs=1e-12)
