@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,27 +36,28 @@ def bin_cuts(df: DataFrame, col: str, bins: int, uid: str = "row_id") -> list[tu
     """
     if bins < 1:
         raise ValueError("at least one bin is needed")
-    placed = written(value_positions(df.select(col), col))
-    n = placed.agg(F.max("after")).first()[0]
+    counted = written(df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("copies")))
+    n = counted.agg(F.sum("copies")).first()[0]
     if not n:
         raise ValueError("every confidence is missing")
     bins = min(bins, n)
     edges = [round(n * (i + 1) / bins) for i in range(bins - 1)]
     asked = F.array(*[F.lit(e).cast("long") for e in edges]) if edges else F.array().cast("array<bigint>")
+    after = F.col("first") + F.col("copies")
     # At most one row for each edge.
-    held = placed.select(
-        "value", "first", F.explode(F.filter(asked, lambda e: (e >= F.col("first")) & (e < F.col("after")))).alias("edge")
-    ).collect()
+    held = (
+        global_positions(counted, ["value"], weight="copies", name="first")
+        .select("value", "first", "copies", F.explode(F.filter(asked, lambda e: (e >= F.col("first")) & (e < after))).alias("edge"))
+        .collect()
+    )
     cuts = {r["edge"]: (r["value"], None) for r in held if r["edge"] == r["first"]}
-    inside = {r["edge"]: r["value"] for r in held if r["edge"] > r["first"]}
+    inside = {r["value"]: r for r in held if r["edge"] > r["first"]}
     if inside:
-        starts = {r["value"]: r["first"] for r in held}
-        tied = sorted({v for v in inside.values()})
-        rows = df.where(F.col(col).isin(tied)).select(F.col(col).alias("value"), F.col(uid).alias("id"))
+        rows = df.where(F.col(col).isin(list(inside))).select(F.col(col).alias("value"), F.col(uid).alias("id"))
         ranked = global_positions(rows, ["value", "id"], name="rank")
-        # Where a tied value begins among the tied rows, and so where its edges are.
-        begins = {r["value"]: r["low"] for r in ranked.groupBy("value").agg(F.min("rank").alias("low")).collect()}
-        at = {begins[v] + e - starts[v]: e for e, v in inside.items()}
+        # Where a value begins among the tied rows, and so the edges inside it.
+        begins = dict(zip(sorted(inside), accumulate((inside[v]["copies"] for v in sorted(inside)), initial=0)))
+        at = {begins[r["value"]] + r["edge"] - r["first"]: r["edge"] for r in held if r["edge"] > r["first"]}
         for r in ranked.where(F.col("rank").isin(list(at))).collect():
             cuts[at[r["rank"]]] = (r["value"], r["id"])
     return [cuts[e] for e in edges]
