@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.operators.ranking import ready_checkpoints
 
@@ -48,9 +49,20 @@ def crc_of_id(id_column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
 
 
-def sampled(df: DataFrame, rows: int, bound: int, seed: int = 7) -> DataFrame:
-    """About ``bound`` of the ``rows`` rows of ``df``, drawn row by row, whatever their keys are."""
-    return df if rows <= bound else df.where(F.rand(seed) < bound / rows)
+def drawn(share: float | Column, *by: str | Column, seed: int = 7) -> Column:
+    """True for about ``share`` of the rows, by a hash of ``by``: the same rows for any partitioning."""
+    return F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 40)) < F.lit(float(1 << 40)) * share
+
+
+def sampled(df: DataFrame, rows: int, bound: int, *by: str | Column, seed: int = 7) -> DataFrame:
+    """About ``bound`` of the ``rows`` rows of ``df``, drawn row by row by a hash of ``by``."""
+    return df if rows <= bound else df.where(drawn(bound / rows, *by, seed=seed))
+
+
+def with_field(schema: T.StructType, *more: tuple[str, T.DataType], leave: str = "_text") -> T.StructType:
+    """``schema`` without the column ``leave`` and with some more, whatever its columns are called."""
+    kept = [f for f in schema if f.name != leave]
+    return T.StructType([*kept, *[T.StructField(n, k) for n, k in more]])
 
 
 def tidy(task: Callable) -> Callable:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import Scratch
+from marginalia.operators.ranking import split_join
 
 
 def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
@@ -14,8 +15,8 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     ``links`` has two long columns ``a`` and ``b``; direction, repeats and self-links do not
     matter. Nodes without a link to another node are not in the result. Each round turns every
     neighbourhood into a star around its smallest node, first towards larger nodes, then among
-    smaller ones; rounds grow with the logarithm of the size. Minima are aggregates and the
-    joins are plain shuffles, so a node with very many links can be split by adaptive execution.
+    smaller ones; rounds grow with the logarithm of the size. Minima are aggregates, and the links
+    of a node that has very many are counted and dealt over many tasks.
     Every round is written to the shared folder.
     """
     edges = scratch.save(
@@ -43,7 +44,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m"))
     return (
-        both.join(low, "a")
+        split_join(both, low, ["a"])
         .where(F.col("b") > F.col("a"))
         .select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         .distinct()
@@ -53,5 +54,5 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, to the smallest of them."""
     low = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = split_join(edges, low, ["a"]).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import Scratch, crc_of_id, tidy
+from marginalia.llm.common import Scratch, crc_of_id, drawn, tidy
 
 #: Letters in an n-gram, slots of the table (a power of two) and hash functions.
 GRAM, SLOTS, HASHES = 3, 1 << 19, 2
@@ -101,7 +101,7 @@ def fit_filters(
 ) -> tuple[list[str], np.ndarray]:
     """Languages and the bit-sliced table ``(slots, words)`` from rows ``lang, text``.
 
-    About ``docs_per_lang`` whole documents of each language are used. N-gram counts are
+    About ``docs_per_lang`` whole documents of each language are used, drawn by a hash of the row. N-gram counts are
     aggregated by Spark; what reaches the driver is one row per filled slot, ``slots`` at most.
     """
     per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -111,9 +111,9 @@ def fit_filters(
     keep = F.lit(1.0)
     for lang in langs:
         keep = F.when(F.col("lang") == lang, min(1.0, docs_per_lang / per_lang[lang])).otherwise(keep)
-    drawn = labelled.where(F.rand(7) < keep)
+    some = labelled.where(drawn(keep, *labelled.columns))
     counts = scratch.save(
-        drawn.select("lang", "text")
+        some.select("lang", "text")
         .where(F.col("text").isNotNull())
         .mapInArrow(tidy(_counted(gram)), "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram")
@@ -211,7 +211,7 @@ def predict_languages(docs: DataFrame, docs_per_lang: int = FIT_DOCS, gram: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_column()).select("lang", "text")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_column()).select("lang", "text", "doc_id")
     langs, table = fit_filters(labelled, scratch, docs_per_lang, gram, slots)
     shared = spark.sparkContext.broadcast(table)
     return docs.select("doc_id", held_out_column().alias("held_out"), F.col("text").alias("_text")).mapInArrow(

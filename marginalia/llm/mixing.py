@@ -9,7 +9,7 @@ source that has run empty leaves its share to the others, in proportion to their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import WORD, Scratch
@@ -117,19 +117,33 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them whole; the columns stay as they are.
 
     The mix takes a prefix of each source's queue, pass by pass, so the last copy taken of each
-    source decides about every row where it lies and no text is moved. Documents without words
-    take no room and stay once.
+    source decides about every row where it lies and no text is moved. Where rows
+    repeat an id, size and source, only those at the last place are written, to be counted off.
+    Documents without words take no room and stay once.
     """
     scratch = Scratch(docs.sparkSession)
     taken = scratch.save(mix(docs, seed, **how))
     repeats = how.get("repeats", REPEATS)
     place = [F.col("shuffled"), F.coalesce("doc_id", F.lit(0)), F.col("size")]
     whole = F.floor(F.col("taken") / F.col("size"))
-    cuts = (
-        taken.where((F.col("size") > 0) & (F.col("taken") >= F.col("size")))
-        .groupBy(F.col("source").isNull().cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("source"))
-        .agg(F.max(F.struct(whole.alias("pass"), *[c.alias(n) for c, n in zip(place, "abc")])).alias("cut"))
+    copies = taken.where(F.col("size") > 0).select(
+        F.col("source").isNull().cast("int").alias("no_source"), F.coalesce("source", F.lit("")).alias("source"),
+        whole.alias("pass"), F.struct(*[c.alias(n) for c, n in zip(place, "abc")]).alias("key"),
+    )
+    cuts = scratch.save(
+        copies.where(F.col("pass") > 0)
+        .groupBy("no_source", "source")
+        .agg(F.max(F.struct("pass", "key.a", "key.b", "key.c")).alias("cut"))
     )
+    # Of rows that share the last place, ids and all, as many are taken as the mix took.
+    last = F.struct(*[F.col(f"cut.{n}").alias(n) for n in "abc"])
+    quotas = (
+        copies.join(cuts, ["no_source", "source"])
+        .where(F.col("key") == last)
+        .groupBy("no_source", "source")
+        .agg(F.count("*").alias("alike"), F.count(F.when(F.col("pass") == F.col("cut.pass"), 1)).alias("quota"))
+    )
+    cuts = cuts.join(quotas, ["no_source", "source"])
     here = docs.select(
         F.struct("*").alias("_row"),
         F.coalesce("doc_id", F.lit(0)).alias("b"),
@@ -141,9 +155,29 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     cuts = scratch.save(cuts)
     small = checked_small(cuts)
     beside = here.join(cuts if small is None else small, ["no_source", "source"], "left")
-    last = F.struct(*[F.col(f"cut.{n}") for n in "abc"])
-    full = F.coalesce(F.col("cut.pass"), F.lit(0)) - F.when(F.struct("a", "b", "c") <= last, 0).otherwise(1)
-    times = F.when(F.col("c") == 0, 1).otherwise(F.least(F.greatest(full, F.lit(0)), F.lit(repeats)))
-    return (
-        beside.select("_row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_copy")).select("_row.*")
-    )
+    at = F.struct("a", "b", "c")
+
+    def repeated(rows: DataFrame, within: Column) -> DataFrame:
+        full = F.coalesce(F.col("cut.pass"), F.lit(0)) - F.when(within, 0).otherwise(1)
+        times = F.when(F.col("c") == 0, 1).otherwise(F.least(F.greatest(full, F.lit(0)), F.lit(repeats)))
+        return rows.select("_row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_copy")).select("_row.*")
+
+    if cuts.where(F.col("quota") < F.col("alike")).isEmpty():
+        return repeated(beside, at <= last)
+    torn = F.coalesce((F.col("c") > 0) & (at == last) & (F.col("quota") < F.col("alike")), F.lit(False))
+    edge = _numbered(beside.where(torn), scratch)
+    return repeated(beside.where(~torn), at <= last).unionByName(repeated(edge, F.col("_nth") < F.col("quota")))
+
+
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` with their number ``_nth`` in their source, in the order in which they are written.
+
+    Rows are numbered inside the parts they were written in; the parts before are added as counts.
+    """
+    keys = ["no_source", "source"]
+    held = scratch.save(rows.withColumn("_place", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_place", 33))
+    sizes = held.groupBy(*keys, "_part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("_part")
+    starts = scratch.save(sizes.select(*keys, "_part", (F.sum("n").over(before) - F.col("n")).alias("_start")))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_place")) - 1
+    return held.withColumn("_nth", nth).join(starts, [*keys, "_part"]).withColumn("_nth", F.col("_nth") + F.col("_start"))

@@ -29,7 +29,10 @@ from marginalia.llm.vectors import finite, pivots, stack, to_pivots
 BLOCK, QUERIES, LEAF, FANOUT = 4096, 1 << 16, 256, 16
 #: Most pivots and vectors looked at to choose them: the bound of what the driver holds.
 PIVOTS, PIVOT_SAMPLE = 512, 8192
-SLACK = 1e-6
+#: Queries that are sent at a time, and copies in one batch.
+STEP, EMITTED = 256, 4096
+#: Rounding of bounds, as a share of the products they are made of.
+SLACK = 1e-9
 
 
 class CoverTree:
@@ -93,7 +96,8 @@ def dual_search(
         qa, cb = queries.centre[a], data.centre[b]
         s, r = queries.radius[a], data.radius[b]
         mid = float(queries.points[qa] @ data.points[cb])
-        return mid + queries.norms[qa] * r + data.norms[cb] * s + s * r + SLACK
+        size = (queries.norms[qa] + s) * (data.norms[cb] + r)
+        return mid + queries.norms[qa] * r + data.norms[cb] * s + s * r + SLACK * (1 + size)
 
     def leaves(a: int, b: int) -> None:
         q, c = queries.rows[a], data.rows[b]
@@ -168,7 +172,7 @@ def _sent(centres, cells: dict, blocks: dict, first: bool):
     """
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(start, STEP) for b in batches for start in range(0, b.num_rows, STEP)):
             at = batch.schema.get_field_index
             width = batch.column(at("width")).to_numpy(zero_copy_only=False)
             cell = batch.column(at("cell")).to_numpy(zero_copy_only=False)
@@ -187,7 +191,8 @@ def _sent(centres, cells: dict, blocks: dict, first: bool):
                         if far is None:
                             continue
                         middle = centres[w][c] if w in centres else np.zeros(points.shape[1])
-                        reach[:, c] = (points @ middle + norms * far + SLACK >= floor[mine]) & (cell[mine] != c)
+                        slack = SLACK * (1 + norms * (np.sqrt((middle**2).sum()) + far))
+                        reach[:, c] = (points @ middle + norms * far + slack >= floor[mine]) & (cell[mine] != c)
                 for c in range(reach.shape[1]):
                     inside = mine[reach[:, c]]
                     for b in range(blocks.get((w, c), 0)):
@@ -196,8 +201,10 @@ def _sent(centres, cells: dict, blocks: dict, first: bool):
             if not row:
                 continue
             row, to = np.concatenate(row), np.concatenate(to)
-            picked = batch.select(["row", "vec_id", "vec", "floor"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(to), *picked.columns], names=["block", *picked.schema.names])
+            for start in range(0, len(row), EMITTED):
+                some = slice(start, start + EMITTED)
+                picked = batch.select(["row", "vec_id", "vec", "floor"]).take(pa.array(row[some]))
+                yield pa.RecordBatch.from_arrays([pa.array(to[some]), *picked.columns], names=["block", *picked.schema.names])
 
     return sent
 

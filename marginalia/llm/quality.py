@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.llm.common import crc_of_id, sampled, sigmoid, tidy
+from marginalia.llm.common import crc_of_id, sampled, sigmoid, tidy, with_field
 
 #: Most trusted and most unlabelled documents that the scorer is fitted on (about; drawn evenly).
 FIT_DOCS = 8000
@@ -72,10 +73,10 @@ def features(text: bytes) -> np.ndarray:
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(v.as_py() or b"") for v in batch.column(1)]
+        rows = [features(v.as_py() or b"") for v in batch.column(2)]
         flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.float32))
         vectors = pa.FixedSizeListArray.from_arrays(flat, WIDTH).cast(pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["kind", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vectors], names=["kind", "place", "x"])
 
 
 def _fitted(x: np.ndarray, gradient, steps: int = 400, rate: float = 0.05) -> np.ndarray:
@@ -165,21 +166,24 @@ def held_out_column() -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, np.ndarray] | None:
     """A scorer from rows that are not held out; None when there is no trusted or no other text."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.where(~held_out_column())
+    rows = docs.where(~held_out_column()).select("doc_id", "text")
     ids = rows.select("doc_id")
     trusted = ids.join(marks.where("quality = 1"), "doc_id", "left_semi")
     counts = [ids.count(), trusted.count()]
     if not all(counts):
         return None
-    chosen = sampled(trusted.distinct(), counts[1], fit_docs)
+    chosen = sampled(trusted.distinct(), counts[1], fit_docs, "doc_id")
+    place = F.xxhash64("text", "doc_id").alias("place")
     text = F.col("text").cast("binary").alias("text")
     # The chosen ids are a bounded number, so the texts stay where they are.
-    good = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lit(1).alias("kind"), text)
-    some = sampled(rows, counts[0], fit_docs, seed=8).select(F.lit(0).alias("kind"), text)
-    drawn = good.unionByName(some)
-    got = drawn.mapInArrow(tidy(_feature_batches), "kind int, x array<float>").toArrow()
-    kind = got.column("kind").to_numpy()
+    good = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lit(1).alias("kind"), place, text)
+    some = sampled(rows, counts[0], fit_docs, "text", "doc_id", seed=8).select(F.lit(0).alias("kind"), place, text)
+    got = good.unionByName(some).mapInArrow(tidy(_feature_batches), "kind int, place bigint, x array<float>").toArrow()
+    kind, place_ = got.column("kind").to_numpy(), got.column("place").to_numpy()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH).astype(np.float64)
+    # One order for any partitioning, so that sums and halves are the same.
+    order = np.lexsort((place_, kind))
+    kind, x = kind[order], x[order]
     return fit_scorer(x[kind == 1], x[kind == 0])
 
 
@@ -188,9 +192,8 @@ def scored_documents(docs: DataFrame, model: dict[str, np.ndarray] | None, *keep
     rows = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
     if model is None:
         return rows.drop("_text").withColumn("score", F.lit(1.0))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(tidy(_scored(shared)), ", ".join([*fields, "score double"]))
+    return rows.mapInArrow(tidy(_scored(shared)), with_field(rows.schema, ("score", T.DoubleType())))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, threshold: float = THRESHOLD) -> DataFrame:

@@ -341,7 +341,7 @@ def redacted(docs: DataFrame, rate: float = RATE, tag: str = "[secret]") -> Data
     out = with_columns_once(fresh, _clean=new_text, _hit=F.size("_cuts") > 0)
     columns = []
     for name in docs.columns:
-        old = F.col(f"_row.`{name}`")
+        old = F.col("_row").getField(name).alias(name)
         if name == "text":
             old = F.col("_clean").alias("text")
         elif name == "n_chars":

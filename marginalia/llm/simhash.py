@@ -16,9 +16,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.llm.common import Forest, Scratch, tidy
+from marginalia.llm.common import Forest, Scratch, tidy, with_field
 from marginalia.llm.graph import components
+from marginalia.operators.ranking import split_join
 
 BITS = 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -81,8 +83,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, *keys: Column) -> DataFrame:
     """``keys`` of every document with its fingerprint ``fp`` (a long with the same 64 bits)."""
     rows = docs.select(*keys, F.col("text").cast("binary").alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
-    return rows.mapInArrow(tidy(_fingerprint_batches), ", ".join([*fields, "fp bigint"]))
+    return rows.mapInArrow(tidy(_fingerprint_batches), with_field(rows.schema, ("fp", T.LongType())))
 
 
 def _link_batches(radius: int) -> callable:
@@ -175,20 +176,20 @@ def simhash_components(docs: DataFrame, radius: int = 3, large: int = LARGE_BUCK
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.save(fingerprints(docs, F.col("doc_id")))
-    named = _smallest(prints, near_groups(prints, scratch, radius, large), F.min("doc_id"))
-    return prints.join(named, "fp", "left").select(
+    named = _smallest(prints, near_groups(prints, scratch, radius, large), F.min("doc_id"), scratch)
+    return split_join(prints, named, ["fp"], "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("least").alias("component_id"),
     )
 
 
-def _smallest(prints: DataFrame, groups: DataFrame, least: Column) -> DataFrame:
+def _smallest(prints: DataFrame, groups: DataFrame, least: Column, scratch: Scratch) -> DataFrame:
     """``(fp, least)``: an aggregate of each component's rows for each of its fingerprints."""
     per_print = prints.groupBy("fp").agg(least.alias("least"))
-    rooted = per_print.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rooted = scratch.save(per_print.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     per_root = rooted.groupBy("component").agg(F.min("least").alias("least"))
-    return rooted.select("fp", "component").join(per_root, "component").select("fp", "least")
+    return split_join(rooted.select("fp", "component"), per_root, ["component"]).select("fp", "least")
 
 
 def one_per_group(docs: DataFrame, radius: int = 3, large: int = LARGE_BUCKET) -> DataFrame:
@@ -203,7 +204,7 @@ def one_per_group(docs: DataFrame, radius: int = 3, large: int = LARGE_BUCKET) -
     row = F.struct("_no_id", "doc_id", "_text_hash")
     groups = near_groups(prints, scratch, radius, large)
     stay = (
-        _smallest(prints, groups, F.min(row))
+        _smallest(prints, groups, F.min(row), scratch)
         .select("least")
         .distinct()
         .select("least._no_id", F.coalesce("least.doc_id", F.lit(0)).alias("_id"), "least._text_hash")

@@ -110,12 +110,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 120, decay: float = 1e-
 
 
 def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return sigmoid(x @ w[:-1] + w[-1])
+    # Row by row sums: a matrix product rounds differently for other numbers of rows.
+    return sigmoid((x * w[:-1]).sum(axis=1, dtype=np.float64) + w[-1])
 
 
-def fit_chain(x: np.ndarray, categories: dict[str, np.ndarray], folds: int = FOLDS) -> list[np.ndarray]:
-    """One weight vector per category, in order; the rows' folds are their positions modulo ``folds``."""
-    fold = np.arange(len(x)) % folds
+def fit_chain(x: np.ndarray, categories: dict[str, np.ndarray], folds: int = FOLDS, keys: np.ndarray | None = None) -> list[np.ndarray]:
+    """One weight vector per category, in order. The rows' folds are their ``keys`` modulo ``folds``, so that
+    rows with equal keys share one; without keys it is their positions."""
+    fold = (np.arange(len(x)) if keys is None else keys) % folds
     chain, seen = [], x
     for y in categories.values():
         out_of_fold = np.zeros(len(x))
@@ -147,8 +149,8 @@ def _cue_rows(table):
                 count.append(counts[at])
                 total.append(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(index, pa.list_(pa.int64())), pa.array(count, pa.list_(pa.int64())), pa.array(total, pa.int64())],
-                names=["label", "cue", "count", "total"],
+                [batch.column(0), batch.column(2), pa.array(index, pa.list_(pa.int64())), pa.array(count, pa.list_(pa.int64())), pa.array(total, pa.int64())],
+                names=["label", "place", "cue", "count", "total"],
             )
 
     return rows
@@ -188,16 +190,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, c
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("label"))
     )
-    count = marks.count()
-    chosen = scratch.save(sampled(marks.where(~held_out_column()), count, fit_docs))
-    labelled = docs.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    marks = marks.where(~held_out_column())
+    chosen = scratch.save(sampled(marks, marks.count(), fit_docs, "doc_id"))
+    # The chosen ids are a bounded number, so the texts stay where they are.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("text").alias("place"))
     found = find_cues(labelled, cues)
     if not len(found):
         return None
     table = lookup(found)
     got = labelled.mapInArrow(
-        tidy(_cue_rows(spark.sparkContext.broadcast(table))), "label int, cue array<bigint>, count array<bigint>, total bigint"
+        tidy(_cue_rows(spark.sparkContext.broadcast(table))), "label int, place bigint, cue array<bigint>, count array<bigint>, total bigint"
     ).toArrow()
+    # One order for any partitioning, and copies of a text in one fold.
+    got = got.sort_by([("place", "ascending"), ("label", "ascending"), ("total", "ascending")])
     y = got.column("label").to_numpy().astype(np.float64)
     total = got.column("total").to_numpy()
     x = np.zeros((len(y), len(found) + 3), np.float32)
@@ -213,7 +218,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, c
         "dense": (bad & (density > np.median(density[bad]))).astype(np.float64),
         "toxic": y,
     }
-    return {"table": table, "chain": dict(zip(categories, fit_chain(x, categories)))}
+    return {"table": table, "chain": dict(zip(categories, fit_chain(x, categories, keys=got.column("place").to_numpy())))}
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, cues: int = CUES, threshold: float = 0.5) -> DataFrame:

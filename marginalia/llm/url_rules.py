@@ -4,16 +4,23 @@ FP-growth over the tokens of labelled urls finds token combinations that go with
 ``block``. Rules below the bars for support and confidence are pruned, and so are rules of which
 a part is a rule already. An inverted index from each rule's rarest token to the rule gives the
 few rules that a url has to be compared with.
+
+Tokens that are in the same labelled urls throughout are one item, so a long url that is repeated
+is one item and not all its subsets; tokens too rare for a rule, and those that are a rule by
+themselves, stay out of the mining. What is left can still be exponential: one long url with many
+tokens that differ in support and are all common among blocked urls without being a rule.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import Scratch
-from marginalia.operators.ranking import checked_small
+from marginalia.operators.ranking import checked_small, split_join
 
 #: (verdict, host, path) of the listed rules.
 LISTED = (
@@ -78,17 +85,57 @@ def _by_rarest(held: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
+def token_items(baskets: DataFrame, support: float) -> DataFrame:
+    """``token, item, n, hits`` of the tokens that are in enough blocked baskets to be in a rule.
+
+    Tokens of the very same baskets, told by two hashes over them, are one item: any of them
+    stands for all in a rule. ``n`` are the item's baskets, ``hits`` the blocked ones.
+    """
+    least = math.ceil(support * baskets.count())
+    each = baskets.select("row", "block", F.explode("tokens").alias("token"))
+    tokens = (
+        each.groupBy("token")
+        .agg(
+            F.count("*").alias("n"), F.count(F.when(F.col("block"), 1)).alias("hits"),
+            F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"),
+        )
+        .where(F.col("hits") >= least)
+    )
+    same = ["n", "hits", "x", "y"]
+    return tokens.join(tokens.groupBy(*same).agg(F.min("token").alias("item")), same).select("token", "item", "n", "hits")
+
+
+def _named(rows: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """``key, items``: the distinct items of the ``tokens`` of each row; rows without any are left out."""
+    small = checked_small(items.select("token", "item"))
+    each = rows.select(key, F.explode("tokens").alias("token"))
+    named = split_join(each, items.select("token", "item"), ["token"]) if small is None else each.join(small, "token")
+    # At most the tokens of one url.
+    return named.groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
 def block_rules(
     labelled: DataFrame,
     scratch: Scratch,
     support: float = SUPPORT,
     confidence: float = CONFIDENCE,
-) -> DataFrame:
-    """``tokens`` of every rule kept, however many they are, from rows ``tokens, block``."""
-    baskets = labelled.select(
-        F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")
-    ).where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+) -> tuple[DataFrame, DataFrame]:
+    """Every rule kept as ``items``, and the ``token, item, n`` behind it, from rows ``tokens, block``.
+
+    An item that is a rule by itself is left out of the mining: what contains it is idle.
+    """
+    baskets = scratch.save(
+        labelled.where(F.col("block") | (F.size("tokens") > 0)).select("tokens", "block", F.monotonically_increasing_id().alias("row"))
+    )
+    items = scratch.save(token_items(baskets, support))
+    alone = items.where(F.col("hits") / F.col("n") >= confidence)
+    singles = alone.select(F.array("item").alias("tokens")).distinct()
+    held = _named(baskets, items.where(F.col("hits") / F.col("n") < confidence), "row")
+    some = F.coalesce("items", F.array().cast("array<string>"))
+    mined = baskets.select("row", "block").join(held, "row", "left").select(
+        F.when(F.col("block"), F.concat(some, F.array(F.lit(BLOCK)))).otherwise(some).alias("items")
+    )
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(mined)
     found = scratch.save(
         model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("tokens"))
     )
@@ -101,7 +148,8 @@ def block_rules(
         .select("tokens")
         .distinct()
     )
-    return found.join(idle, "tokens", "left_anti")
+    rules = found.join(idle, "tokens", "left_anti").unionByName(singles)
+    return rules.withColumnRenamed("tokens", "items"), items.drop("hits")
 
 
 def judged_urls(
@@ -137,19 +185,31 @@ def judged_urls(
     listed_only = seen.select("page_id", "host", "path", "rule", F.col("listed").alias("verdict"))
     if labelled.isEmpty():
         return listed_only.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
-    mined = scratch.save(block_rules(labelled, scratch, support, confidence))
-    held = mined.select("tokens", F.explode("tokens").alias("token"))
-    index = scratch.save(_by_rarest(held, labelled.select(F.explode("tokens").alias("token"))))
+    mined, items = block_rules(labelled, scratch, support, confidence)
+    mined = scratch.save(mined)
+    index = scratch.save(
+        mined.select("items", F.explode("items").alias("item"))
+        .join(items.select("item", "n").distinct(), "item")
+        .groupBy("items")
+        .agg(F.min(F.struct("n", "item")).alias("rarest"))
+        .select(F.col("rarest.item").alias("item"), F.col("items").alias("rule_items"))
+    )
     small = checked_small(index)
-    open_urls = seen.where(F.col("listed").isNull()).select("tokens").distinct()
+    # Repeated urls are compared once; tokens that are in no item do not matter.
+    open_urls = scratch.save(
+        seen.where(F.col("listed").isNull()).select("tokens").distinct().withColumn("url", F.monotonically_increasing_id())
+    )
     hit = (
-        open_urls.select("tokens", F.explode("tokens").alias("token"))
-        .join(index if small is None else small, "token")
-        .where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-        .select("tokens", F.lit(True).alias("hit"))
+        _named(open_urls, items, "url")
+        .select("url", "items", F.explode("items").alias("item"))
+        .join(index if small is None else small, "item")
+        .where(F.size(F.array_except("rule_items", "items")) == 0)
+        .select("url")
         .distinct()
+        .join(open_urls, "url")
+        .select("tokens", F.lit(True).alias("hit"))
     )
-    return seen.join(hit, "tokens", "left").select(
+    return split_join(seen, scratch.save(hit), ["tokens"], "left").select(
         "page_id",
         "host",
         "path",

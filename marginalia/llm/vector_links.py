@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import Forest, Scratch, tidy
 from marginalia.llm.graph import components
 from marginalia.llm.vectors import finite, pivots, stack, to_pivots, unit
+from marginalia.operators.ranking import split_join
 
-#: Vectors in one block of a cell; a larger cell is cut into blocks that are joined pairwise.
-BLOCK = 4096
+#: Vectors in one block of a cell; a larger cell is cut into blocks that are joined pairwise. Between
+#: these bounds a block has a 64th of the table, as fewer cells mean fewer copies.
+BLOCK, LARGEST_BLOCK = 4096, 1 << 16
+#: Vectors whose visits are worked out at a time, copies in one batch, products in one piece.
+STEP, EMITTED, PRODUCTS = 512, 4096, 1 << 21
 #: Most pivots, and vectors looked at to choose them: the bound of what the driver holds.
 PIVOTS, PIVOT_SAMPLE = 1024, 8192
 #: Visitors that one copy of a block meets.
@@ -73,43 +77,52 @@ def _visits(centres, reach: dict, blocks: dict, radius: float, slots: int):
         """True where members of ``q`` visit ``p``."""
         return np.where((p + q) % 2 == 0, p < q, p > q)
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for batch in batches:
             for width, part in _widths(batch, "vec"):
-                at = part.schema.get_field_index
-                cell = part.column(at("cell")).to_numpy(zero_copy_only=False)
-                rep = part.column(at("rep")).to_numpy(zero_copy_only=False)
-                cells = max((c for w, c in blocks if w == width), default=0) + 1
-                parts = np.array([blocks.get((width, c), 1) for c in range(cells)])
-                chunk = (rep * 2654435761 & 0x7FFFFFFF) % parts[cell]
-                row, to = [], []
-                reached = np.zeros((part.num_rows, cells), bool)
-                if width in centres:
-                    middle = centres[width]
-                    gaps = to_pivots(unit(stack(part.column(at("vec")), width)), middle)[:, :cells]
-                    own = gaps[np.arange(len(gaps)), cell]
-                    far = np.array([reach.get((width, c), -math.inf) for c in range(cells)])
-                    apart = np.maximum(to_pivots(middle, middle)[:, :cells], SLACK)[cell]
-                    plane = (gaps**2 - own[:, None] ** 2) / (2 * apart)
-                    reached = (gaps <= far + radius + SLACK) & (plane <= radius + SLACK)
-                    reached &= turn(np.arange(cells)[None], cell[:, None])
-                for c in range(cells):
-                    inside = np.flatnonzero(reached[:, c])
-                    for k in range(parts[c]):
-                        row.append(inside)
-                        to.append(np.full(len(inside), (c << 20) + k))
-                    mine = np.flatnonzero(cell == c)
-                    for k in range(parts[c]):
-                        some = mine[turn(np.full(len(mine), k), chunk[mine])] if parts[c] > 1 else mine[:0]
-                        row.append(some)
-                        to.append(np.full(len(some), (c << 20) + k))
-                row, to = np.concatenate(row), np.concatenate(to)
-                slot = (rep[row] * 40503 & 0x7FFFFFFF) % slots
-                home = np.arange(part.num_rows)
-                for s in range(slots):
-                    yield _copies(part, width, home, (cell.astype(np.int64) << 20) + chunk, np.full(len(home), s), False)
-                if len(row):
-                    yield _copies(part, width, row, to, slot, True)
+                for first in range(0, part.num_rows, STEP):
+                    yield width, part.slice(first, STEP)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between: dict[int, np.ndarray] = {}
+        for width, part in steps(batches):
+            at = part.schema.get_field_index
+            cell = part.column(at("cell")).to_numpy(zero_copy_only=False)
+            rep = part.column(at("rep")).to_numpy(zero_copy_only=False)
+            cells = max((c for w, c in blocks if w == width), default=0) + 1
+            parts = np.array([blocks.get((width, c), 1) for c in range(cells)])
+            chunk = (rep * 2654435761 & 0x7FFFFFFF) % parts[cell]
+            row, to = [], []
+            reached = np.zeros((part.num_rows, cells), bool)
+            if width in centres:
+                middle = centres[width]
+                gaps = to_pivots(unit(stack(part.column(at("vec")), width)), middle)[:, :cells]
+                own = gaps[np.arange(len(gaps)), cell]
+                far = np.array([reach.get((width, c), -math.inf) for c in range(cells)])
+                if width not in between:
+                    between[width] = np.maximum(to_pivots(middle, middle)[:, :cells], SLACK)
+                apart = between[width][cell]
+                plane = (gaps**2 - own[:, None] ** 2) / (2 * apart)
+                reached = (gaps <= far + radius + SLACK) & (plane <= radius + SLACK)
+                reached &= turn(np.arange(cells)[None], cell[:, None])
+            for c in range(cells):
+                inside = np.flatnonzero(reached[:, c])
+                for k in range(parts[c]):
+                    row.append(inside)
+                    to.append(np.full(len(inside), (c << 20) + k))
+                mine = np.flatnonzero(cell == c)
+                for k in range(parts[c]):
+                    some = mine[turn(np.full(len(mine), k), chunk[mine])] if parts[c] > 1 else mine[:0]
+                    row.append(some)
+                    to.append(np.full(len(some), (c << 20) + k))
+            row, to = np.concatenate(row), np.concatenate(to)
+            slot = (rep[row] * 40503 & 0x7FFFFFFF) % slots
+            home = np.arange(part.num_rows)
+            for s in range(slots):
+                yield _copies(part, width, home, (cell.astype(np.int64) << 20) + chunk, np.full(len(home), s), False)
+            for a in range(0, len(row), EMITTED):
+                some = slice(a, a + EMITTED)
+                yield _copies(part, width, row[some], to[some], slot[some], True)
 
     return visits
 
@@ -161,8 +174,9 @@ def _joined(threshold: float):
                 home = got if home is None else tuple(np.concatenate(x) for x in zip(home, got))
 
     def matches(left, right, same: bool) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(left[0]), 512):
-            near = left[2][at : at + 512] @ right[2].T >= threshold
+        step = max(16, PRODUCTS // max(1, len(right[0])))
+        for at in range(0, len(left[0]), step):
+            near = left[2][at : at + step] @ right[2].T >= threshold
             if same:
                 near &= np.arange(len(right[0]))[None] > (np.arange(len(near)) + at)[:, None]
             i, j = np.nonzero(near)
@@ -191,7 +205,7 @@ def _joined(threshold: float):
 def vector_groups(
     rows: DataFrame,
     threshold: float = 0.9,
-    block: int = BLOCK,
+    block: int | None = None,
     max_pivots: int = PIVOTS,
     visitors: int = VISITORS,
 ) -> DataFrame:
@@ -216,6 +230,7 @@ def vector_groups(
         .select(F.monotonically_increasing_id().alias("rep"), "vec", "copies", "least")
     )
     n = reps.count()
+    block = block or min(max(BLOCK, n // 64), LARGEST_BLOCK)
     centres = pivots(reps, "vec", min(max_pivots, _blocks_of(n, block)), PIVOT_SAMPLE) if n else {}
     homes = scratch.save(
         reps.select("rep", "vec", "copies").mapInArrow(
@@ -244,13 +259,13 @@ def vector_groups(
         .join(root, "rep", "left")
         .withColumn("component", F.coalesce("component", "rep"))
     )
+    joined = scratch.save(joined.select("vec", "copies", "least", "n", "component"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_vec = joined.join(least, "component").select(
+    per_vec = split_join(joined, least, ["component"]).select(
         "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
     return (
-        base.withColumn("vec", F.when(fit, F.col("vec")))
-        .join(per_vec, "vec", "left")
+        split_join(base.withColumn("vec", F.when(fit, F.col("vec"))), per_vec, ["vec"], "left")
         .select(
             "vec_id",
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -188,6 +188,34 @@ def test_top_inner_equals_brute_force(spark, block, group):
     assert top_inner(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_batches_of_copies_are_bounded():
+    """Every vector visits every block here; no batch has more rows than stated."""
+    import pyarrow as pa
+
+    from marginalia.llm import nearest, vector_links
+
+    rng = np.random.default_rng(1)
+    n, cells = 3000, 48
+    points = rng.normal(size=(n, 16))
+    cell = rng.integers(0, cells, n).astype(np.int32)
+    vec = pa.array(points.tolist(), pa.list_(pa.float64()))
+    centres = {16: rng.normal(size=(cells, 16))}
+    blocks = {(16, c): 2 for c in range(cells)}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n)), vec, pa.array(np.ones(n, np.int64)), pa.array(np.full(n, 16, np.int32)), pa.array(cell)],
+        names=["rep", "vec", "copies", "width", "cell"],
+    )
+    reach = {(16, c): 99.0 for c in range(cells)}
+    sizes = [b.num_rows for b in vector_links._visits(centres, reach, blocks, 9.0, 1)(iter([batch]))]
+    assert max(sizes) <= vector_links.EMITTED and sum(sizes) > n * cells / 2
+    asking = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n)), pa.array(np.arange(n)), vec, pa.array(np.full(n, 16, np.int32)), pa.array(cell), pa.array(np.full(n, -np.inf))],
+        names=["row", "vec_id", "vec", "width", "cell", "floor"],
+    )
+    sizes = [b.num_rows for b in nearest._sent(centres, reach, blocks, False)(iter([asking]))]
+    assert max(sizes) <= nearest.EMITTED and sum(sizes) == n * (cells - 1) * 2
+
+
 def test_cover_tree_radii_cover(spark):
     points = np.random.default_rng(5).normal(size=(700, 6))
     points[100:300] = points[7]

@@ -189,6 +189,16 @@ def test_mixed_documents_repeat_whole_rows(spark):
     assert mixed_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(7,), (None,), (7, 8, None)])
+def test_rows_that_repeat_an_id_are_taken_as_often_as_the_mix_takes_them(spark, ids):
+    rows = [(ids[i % len(ids)], words(i, 10, "abc"), "en", "ab"[i % 2]) for i in range(60)] + [(100 + i, words(i, 10, "xyz"), "en", "c") for i in range(20)]
+    docs = frame(spark, rows)
+    taken = sum(r["taken"] // r["size"] for r in mix(docs).collect())
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == taken
+    assert max(r["n"] for r in out.groupBy("text").agg(F.count("*").alias("n")).collect()) <= 2
+
+
 # --- packing
 
 
@@ -359,8 +369,24 @@ def test_parts_of_rules_make_them_idle(spark):
 
     rows = [(["a", "b", "c", "d", "e"], True)] * 5 + [(list(x), False) for x in ("abce", "abde", "acde", "bcd")] * 5
     rows += [(["f", "a"], True)] * 5
-    got = block_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"), Scratch(spark)).collect()
-    assert sorted(r["tokens"] for r in got) == [["a", "b", "c", "d"], ["b", "c", "d", "e"], ["f"]]
+    rules, items = block_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"), Scratch(spark))
+    assert sorted(r["items"] for r in rules.collect()) == [["a", "b", "c", "d"], ["b", "c", "d", "e"], ["f"]]
+    assert {r["token"] for r in items.collect()} == set("abcdef")
+
+
+def test_a_long_url_that_is_repeated_is_mined_in_seconds(spark):
+    """Half of the pages share a url of 40 parts; the parts are one item, and any of them makes the rule."""
+    import time
+
+    long = "http://deep.net/" + "/".join(f"part{k}" for k in range(40)) + "?a=1"
+    rows = [(i, long if i % 2 else f"http://x{i % 9}.net/{'p' if i % 4 else 'q'}/{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows + [(1000, "http://y.org.net/part7"), (1001, "http://y.org.net/other")], "page_id bigint, url string")
+    for good_copies, verdict in ((0, "block"), (60, "allow")):
+        labels = spark.createDataFrame([(i, int(not i % 2 or i < 2 * good_copies)) for i, _ in rows], "doc_id bigint, quality int")
+        start = time.perf_counter()
+        got = {r["page_id"]: r["verdict"] for r in judged_urls(pages, labels).collect()}
+        assert time.perf_counter() - start < 30
+        assert got[1] == got[1000] == verdict and got[0] == got[1001] == "allow"
 
 
 # --- classifiers
@@ -423,6 +449,38 @@ def test_quality_on_held_out_rows(spark):
     assert quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    """Samples are drawn by hashes and summed in one order, so one partition and many give the same scores."""
+    docs, labels = quality_tables(spark)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    for parts in (1, 4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        some = docs.repartition(parts)
+        seen.append([
+            sorted(map(tuple, quality_scores(some, labels, fit_docs=40).select("doc_id", "score").collect()), key=repr),
+            sorted(map(tuple, toxicity_scores(some, labels, fit_docs=150).select("doc_id", "p_toxic", "p_dense").collect()), key=repr),
+            sorted(map(tuple, predict_languages(some, docs_per_lang=30).select("doc_id", "lang_pred", "score").collect()), key=repr),
+        ])
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_clashing_column_names_change_nothing(spark):
+    """Columns that carry names the operators use themselves, or that are no plain words."""
+    docs, labels = quality_tables(spark)
+    odd = docs.withColumns({n: F.lit(1) for n in ("label", "my col", "_row", "place", "fp", "size", "kind", "x", "rep", "`q`", "a.b")})
+    for of in (quality_scores, toxicity_scores):
+        assert sorted(map(tuple, of(odd, labels).collect()), key=repr) == sorted(map(tuple, of(docs, labels).collect()), key=repr)
+    assert sorted(map(tuple, predict_languages(odd).collect()), key=repr) == sorted(map(tuple, predict_languages(docs).collect()), key=repr)
+    kept = good_documents(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == good_documents(docs, labels).count()
+    assert sorted(map(tuple, pack(odd).select("doc_id", "length", "ids_crc32").collect()), key=repr) == sorted(map(tuple, pack(docs).select("doc_id", "length", "ids_crc32").collect()), key=repr)
+    mixed = mixed_documents(odd)
+    assert mixed.columns == odd.columns and mixed.count() == mixed_documents(docs).count()
+    assert redacted(odd).columns == odd.columns and redacted(odd).count() == docs.count()
+
+
 def test_class_prior_of_a_known_mixture():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(2, 1, 8000), rng.normal(-2, 1, 8000)
