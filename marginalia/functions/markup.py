@@ -43,7 +43,10 @@ def escape(raw: Column) -> Column:
 
 
 def parse_markup(correction: Column) -> Column:
-    """``struct(text, edits, error)``; null for a null correction, text null on an error."""
+    """``struct(text, edits, error, detail)``; null for a null correction, text null on an error.
+
+    ``detail`` says where the first fault is, ``offset N`` in the correction, or names an unknown tag.
+    """
     groups = F.struct(
         *[
             F.regexp_extract_all(correction, F.lit(SEGMENT), F.lit(g)).alias(name)
@@ -54,6 +57,7 @@ def parse_markup(correction: Column) -> Column:
         unescape(correction).alias("text"),
         no_edits().alias("edits"),
         F.lit(None).cast("string").alias("error"),
+        F.lit(None).cast("string").alias("detail"),
     )
     return (
         F.when(correction.isNull(), None)
@@ -81,9 +85,18 @@ def _assemble(g: Column) -> Column:
 
     def checked(segs: Column) -> Column:
         bad = first_match(segs, lambda s: s["fault"].isNotNull())["fault"]
+
+        def where(k: Column) -> Column:
+            before = F.length(F.array_join(F.slice(g["raw"], F.lit(1), k), ""))
+            return F.when(bad == "unknown_tag", F.concat(F.lit("tag "), at(g["tag"], k))).otherwise(
+                F.concat(F.lit("offset "), before.cast("string"))
+            )
+
+        faulty = first_match(each(segs, lambda s, i: F.when(s["fault"].isNotNull(), i)), lambda i: i.isNotNull())
         failed = F.struct(
-            F.lit(None).cast("string").alias("text"), no_edits().alias("edits"), bad.alias("error")
-        )
+            F.lit(None).cast("string").alias("text"), no_edits().alias("edits"), bad.alias("error"),
+            bind(faulty, where).alias("detail"),
+        )
         return F.when(bad.isNotNull(), failed).otherwise(
             bind(each(segs, lambda s, i: _piece(segs, s, i)), lambda p: _finish(segs, p))
         )
@@ -140,6 +153,7 @@ def _finish(segs: Column, pieces: Column) -> Column:
             F.when(trimmed, cut).otherwise(p["joined"]).alias("text"),
             edits.cast(f"array<{EDIT.simpleString()}>").alias("edits"),
             F.lit(None).cast("string").alias("error"),
+            F.lit(None).cast("string").alias("detail"),
         )
 
     return bind(parts, placed)
@@ -248,11 +262,20 @@ def triples(edits: Column) -> Column:
 
 
 def penalty(
-    edits: Column, n_words: Column, group: str, weights: dict[str, int] | None = None
+    edits: Column,
+    n_words: Column,
+    group: str,
+    weights: dict[str, int] | None = None,
+    members: dict[str, list[str]] | None = None,
 ) -> Column:
-    """Summed weight of one group's edits over the square root of the word count."""
+    """Summed weight of one group's edits over the square root of the word count.
+
+    ``members`` lists the tags of each group; without it the two groups of the taxonomy count.
+    """
     weights = weights or WEIGHTS
-    mine = {t: w for t, w in weights.items() if (t in USAGE_TAGS) == (group == "usage")}
+    mine = {t: w for t, w in weights.items() if (t in members[group] if members else (t in USAGE_TAGS) == (group == "usage"))}
+    if not mine:
+        return F.lit(0.0)
     summed = F.aggregate(
         edits,
         F.lit(0),

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.markup import band_of
+from marginalia.operators.grading import group_penalties
 from marginalia.operators.ranking import global_positions, value_positions, written
-from marginalia.schemas import MAX_BAND, MIN_BAND
+from marginalia.schemas import MAX_BAND, MIN_BAND, BandConfig
 
 
 def equal_mass_rank(df: DataFrame, col: str, bins: int, uid: str = "row_id") -> DataFrame:
@@ -143,6 +144,16 @@ def assert_distinct_thresholds(thresholds: DataFrame, penalties: DataFrame) -> l
     return [r["threshold"] for r in thresholds.orderBy("cut").collect()]
 
 
+def calibrate(rows: DataFrame, config: BandConfig) -> BandConfig:
+    """The next version of a config, with cut points at the quintiles of the pooled penalties of ``rows``.
+
+    ``rows`` has ``text`` and ``correction``. Cut points that fall together are an error, and then
+    there is no new config.
+    """
+    penalties = written(group_penalties(rows, config=config).select("grp", "penalty"))
+    return config.with_thresholds(assert_distinct_thresholds(uniform_thresholds(penalties), penalties))
+
+
 def calibrated_distribution(
     penalties: DataFrame, thresholds: list[float], group: str = "grp"
 ) -> DataFrame:

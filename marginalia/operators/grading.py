@@ -23,7 +23,8 @@ from marginalia.functions.markup import (
 )
 from marginalia.functions.text import multi_sentence, n_words, strip
 from marginalia.operators.log import request_of
-from marginalia.schemas import GROUPS, LABELS, MAX_BAND, MIN_BAND
+from marginalia.operators.ranking import written
+from marginalia.schemas import GROUPS, LABELS, MAX_BAND, MIN_BAND, BandConfig
 
 
 def parse_corrections(df: DataFrame, col: str = "correction") -> DataFrame:
@@ -50,9 +51,12 @@ def apply_corrections(df: DataFrame, col: str = "correction") -> DataFrame:
     return df.withColumn("corrected_text", corrected_text(F.col(col)))
 
 
-def check_rows(df: DataFrame) -> DataFrame:
+def check_rows(df: DataFrame, detail: bool = False) -> DataFrame:
     """Add ``edits`` and ``reject_reason`` (null when all six checks pass).
 
+    With ``detail`` also ``reject_detail``: the offset of broken markup, the unknown tag, the field or
+    the value that was refused.
+
     Needs ``text, correction, meaning, feedback``. Rows that come from JSON replies also
     carry ``payload_keys`` and the ``*_type`` of each field, so that a missing field and a
     field of the wrong type stay apart from a null correction.
@@ -60,10 +64,12 @@ def check_rows(df: DataFrame) -> DataFrame:
     has = set(df.columns)
     parsed = with_columns_once(df, _p=parse_markup(F.col("correction")))
     feedback = strip(F.col("feedback"))
-    reason = F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    reason = F.struct(none.alias("reject_reason"), none.alias("reject_detail"))
 
-    def failing(test: Column, code: str | Column, rest: Column) -> Column:
-        return F.when(test, code if isinstance(code, Column) else F.lit(code)).otherwise(rest)
+    def failing(test: Column, code: str | Column, rest: Column, detail: str | Column | None = None) -> Column:
+        said = [none if x is None else x if isinstance(x, Column) else F.lit(x) for x in (code, detail)]
+        return F.when(test, F.struct(said[0].alias("reject_reason"), said[1].alias("reject_detail"))).otherwise(rest)
 
     # Built from the last check to the first, so the first one that fails decides.
     reason = failing(multi_sentence(feedback), "feedback_multi_sentence", reason)
@@ -71,38 +77,42 @@ def check_rows(df: DataFrame) -> DataFrame:
     bad_feedback = F.col("feedback").isNull()
     if "feedback_type" in has:
         bad_feedback = bad_feedback | ~F.col("feedback_type").eqNullSafe(F.lit("string"))
-    reason = failing(bad_feedback, "bad_type", reason)
+    reason = failing(bad_feedback, "bad_type", reason, "feedback")
     out_of_range = ~F.col("meaning").between(MIN_BAND, MAX_BAND)
     bad_meaning = F.col("meaning").isNull()
     if "meaning_type" in has:
         out_of_range = out_of_range | F.col("meaning_type").eqNullSafe(F.lit("long_int"))
         bad_meaning = ~F.coalesce(F.col("meaning_type").isin("int", "long_int"), F.lit(False))
-    reason = failing(out_of_range, "meaning_range", reason)
-    reason = failing(bad_meaning, "bad_type", reason)
+    reason = failing(out_of_range, "meaning_range", reason, F.concat(F.lit("meaning "), F.col("meaning").cast("string")))
+    reason = failing(bad_meaning, "bad_type", reason, "meaning")
     altered = F.col("correction").isNotNull() & (F.col("_p.text") != F.col("text"))
     reason = failing(altered, "text_altered", reason)
-    reason = failing(F.col("_p.error").isNotNull(), F.col("_p.error"), reason)
+    reason = failing(F.col("_p.error").isNotNull(), F.col("_p.error"), reason, F.col("_p.detail"))
     if "correction_type" in has:
-        reason = failing(~F.col("correction_type").isin("string", "null"), "bad_type", reason)
+        reason = failing(~F.col("correction_type").isin("string", "null"), "bad_type", reason, "correction")
     if "payload_keys" in has:
         present = F.array_contains
         for field in ("feedback", "meaning", "correction"):
             absent = ~F.coalesce(present("payload_keys", field), F.lit(False))
-            reason = failing(absent, "missing_field", reason)
-    checked = parsed.select("*", F.inline(F.array(F.struct(reason.alias("reject_reason")))))
+            reason = failing(absent, "missing_field", reason, field)
+    checked = parsed.select("*", F.inline(F.array(reason)))
     # A valid row carries its feedback trimmed; a refused one keeps what it was refused for.
     trimmed = F.when(F.col("reject_reason").isNull(), feedback).otherwise(F.col("feedback"))
     return checked.select(
         *[trimmed.alias(c) if c == "feedback" else F.col(c) for c in df.columns],
         F.when(F.col("_p.error").isNull(), F.col("_p.edits")).alias("edits"),
         "reject_reason",
+        *(["reject_detail"] if detail else []),
     )
 
 
 def validate_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid rows (with ``edits``) and rejects (with ``reject_reason``)."""
-    checked = check_rows(df)
-    valid = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    """Valid rows (with ``edits``) and rejects (with ``reject_reason`` and ``reject_detail``).
+
+    The checked rows are written once, as both sides read them.
+    """
+    checked = written(check_rows(df, detail=True))
+    valid = checked.where(F.col("reject_reason").isNull()).drop("reject_reason", "reject_detail")
     return valid, checked.where(F.col("reject_reason").isNotNull()).drop("edits")
 
 
@@ -122,24 +132,39 @@ def derive_bands(
     df: DataFrame,
     weights: dict[str, int] | None = None,
     thresholds: list[float] | None = None,
+    config: BandConfig | None = None,
 ) -> DataFrame:
     """Add ``grammar`` and ``naturalness`` from ``edits`` and ``text``.
 
     Null edits mean a sentence beyond correction and give the lowest band, while an empty
-    array is a clean sentence and gives the highest.
+    array is a clean sentence and gives the highest. A ``config`` decides about weights, groups and
+    cut points, and has to be calibrated.
     """
     words = n_words(F.col("text"))
+    members = None
+    if config is not None:
+        config.require_calibrated()
+        weights, thresholds, members = config.weights, config.thresholds, config.groups
 
     def band(group: str) -> Column:
-        value = penalty(F.col("edits"), words, group, weights)
+        value = penalty(F.col("edits"), words, group, weights, members)
         graded = bind(value, lambda v: band_of(v, thresholds))
         return F.when(F.col("edits").isNull(), MIN_BAND).otherwise(graded).cast("int")
 
     return df.withColumn("grammar", band("correctness")).withColumn("naturalness", band("usage"))
 
 
-def group_penalties(df: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
-    """Rows ``(..., grp, penalty)`` for every parseable, non-null correction."""
+def group_penalties(
+    df: DataFrame, weights: dict[str, int] | None = None, config: BandConfig | None = None
+) -> DataFrame:
+    """Rows ``(..., grp, penalty)`` for every parseable, non-null correction.
+
+    A ``config`` decides about weights and groups; it need not be calibrated, as penalties are what
+    its cut points are taken from.
+    """
+    members = None
+    if config is not None:
+        weights, members = config.weights, config.groups
     parsed = with_columns_once(df, _p=parse_markup(F.col("correction"))).where(
         F.col("_p").isNotNull() & F.col("_p.error").isNull()
     )
@@ -148,7 +173,7 @@ def group_penalties(df: DataFrame, weights: dict[str, int] | None = None) -> Dat
         *[
             F.struct(
                 F.lit(g).alias("grp"),
-                penalty(F.col("_p.edits"), words, g, weights).alias("penalty"),
+                penalty(F.col("_p.edits"), words, g, weights, members).alias("penalty"),
             )
             for g in GROUPS
         ]

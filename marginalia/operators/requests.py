@@ -269,31 +269,43 @@ def response_id_check(resp: DataFrame, req: DataFrame) -> DataFrame:
 RESPONSE = "sentences array<struct<spec_id:string,text:string>>"
 
 
-def expand_batches(responses: DataFrame, specs: DataFrame, **limits: int) -> DataFrame:
-    """One row per request of the answered batches, with its text or a reject reason.
-
-    ``responses`` has ``batch_uid`` and the reply as a JSON string; rows of kind
-    ``batch_done`` only serve resuming and are left out. An id fault refuses the whole batch,
-    a bad shape or an absent target one sentence.
-    """
+def _answers(responses: DataFrame) -> DataFrame:
+    """``batch_uid, spec_id, text`` of every sentence; one row with nulls for a reply without any."""
     if "kind" in responses.columns:
         responses = responses.where(~F.col("kind").eqNullSafe(F.lit("batch_done")))
-    answered = responses.select(
+    return responses.select(
         "batch_uid",
         F.explode_outer(F.from_json("response", RESPONSE)["sentences"]).alias("s"),
     ).select("batch_uid", "s.spec_id", "s.text")
+
+
+def refused_batches(responses: DataFrame, specs: DataFrame) -> DataFrame:
+    """Answered batches with an id fault: ``batch_uid, batch_fault, n``.
+
+    Such a batch stays pending as a whole and is asked again. ``n`` counts what is put down in
+    the reject counts: each missing id, but a repeated or a foreign id once for the batch.
+    """
+    faults = response_id_check(_answers(responses), specs).where(F.col("batch_fault").isNotNull())
+    each_missing = F.when(F.col("batch_fault") == "missing_spec_id", F.col("missing")).otherwise(1)
+    return faults.select("batch_uid", "batch_fault", each_missing.cast("long").alias("n"))
+
+
+def expand_batches(responses: DataFrame, specs: DataFrame, **limits: int) -> DataFrame:
+    """One row per request of the batches that are done, with its text or a reject reason.
+
+    ``responses`` has ``batch_uid`` and the reply as a JSON string; rows of kind
+    ``batch_done`` only serve resuming and are left out. A bad shape or an absent target refuses
+    one sentence. A batch without an answer, or with an id fault, is still pending and has no row;
+    ``refused_batches`` tells the faults.
+    """
+    answered = _answers(responses)
     faults = response_id_check(answered, specs)
     texts = answered.groupBy("batch_uid", "spec_id").agg(F.min("text").alias("text"))
     rows = specs.join(texts, ["batch_uid", "spec_id"], "left")
-    faults = faults.drop("missing").withColumn("answered", F.lit(True))
-    # A batch without any answer is still pending and has no row here.
-    rows = attach(rows, faults, ["batch_uid"], "requested", **limits).where("answered")
+    faults = faults.select("batch_uid", "requested", F.col("batch_fault").isNull().alias("done"))
+    rows = attach(rows, faults, ["batch_uid"], "requested", **limits).where("done")
     checked = target_present(sentence_shape_check(rows))
-    reason = (
-        F.when(F.col("batch_fault").isNotNull(), F.col("batch_fault"))
-        .when(F.col("shape_fault").isNotNull(), F.col("shape_fault"))
-        .when(F.col("target_absent"), "target_absent")
-    )
+    reason = F.when(F.col("shape_fault").isNotNull(), F.col("shape_fault")).when(F.col("target_absent"), "target_absent")
     done = checked.withColumn("reject_reason", reason).withColumn("req_uid", F.col("spec_id"))
     done = done.withColumn("text", strip(F.col("text")))
     return done.select(

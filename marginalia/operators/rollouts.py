@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import with_columns_once
 from marginalia.functions.markup import parse_markup
-from marginalia.operators.grading import check_rows
+from marginalia.operators.grading import check_rows, parse_responses
 from marginalia.operators.ranking import attach, one_row
 from marginalia.operators.scoring import chrf, edit_f1
 from marginalia.schemas import MAX_BAND, MIN_BAND, PROBABILITY_FLOOR, STD_FLOOR
@@ -141,8 +141,10 @@ def verifiable_reward(
 ) -> DataFrame:
     """Score each rollout's answer against the reference answer of its request.
 
-    ``rollouts`` has ``rollout_id, req_uid`` and a nullable ``answer`` struct; ``gold`` has
-    ``req_uid, text, correction, meaning, feedback``. No answer scores zero.
+    ``rollouts`` has ``rollout_id, req_uid`` and a nullable ``answer`` struct, or the raw text of the
+    answer as ``answer_text``, of which only a whole JSON object is an answer; ``gold`` has
+    ``req_uid, text, correction, meaning, feedback``. No answer scores zero. ``normalised`` is the
+    total over what a perfect answer scores, for comparing tracks.
     """
     if scope not in SCOPES:
         raise ValueError(f"scope must be one of {SCOPES}")
@@ -153,7 +155,10 @@ def verifiable_reward(
         "req_uid", "text", F.col("correction").alias("gold_correction"),
         F.col("meaning").alias("gold_meaning"), F.col("feedback").alias("gold_feedback"),
     )
-    flat = rollouts.select("rollout_id", "req_uid", F.col("answer").isNotNull().alias("answered"), "answer.*")
+    if "answer_text" in rollouts.columns:
+        flat = _read_answers(rollouts.select("rollout_id", "req_uid", "answer_text"))
+    else:
+        flat = rollouts.select("rollout_id", "req_uid", F.col("answer").isNotNull().alias("answered"), "answer.*")
     checked = check_rows(flat.join(ref, "req_uid"))
     parsed = with_columns_once(checked, _g=parse_markup(F.col("gold_correction"))["edits"])
     # Rows rejected for a later reason still carry their edits; markup errors carry none.
@@ -185,6 +190,7 @@ def verifiable_reward(
         + F.col("format_valid") * w["format_valid"]
         - F.col("strip_mismatch") * w["strip_mismatch"]
     )
+    perfect = w["edit_f1"] + w["meaning"] + w["format_valid"]
     if scope == "full_answer":
         total = total + F.coalesce(F.col("_chrf"), F.lit(0.0)) * w["format_valid"]
 
@@ -196,4 +202,12 @@ def verifiable_reward(
         "req_uid",
         *[scored(F.col(t), t) for t in REWARD_WEIGHTS],
         scored(total, "total"),
+        scored(total / perfect if perfect else F.lit(0.0), "normalised"),
     )
+
+
+def _read_answers(rollouts: DataFrame) -> DataFrame:
+    """The answer fields of ``answer_text`` where it is one JSON object, and ``answered``."""
+    whole = F.startswith(F.schema_of_variant(F.try_parse_json("answer_text")), F.lit("OBJECT"))
+    marked = with_columns_once(rollouts, answered=F.coalesce(whole, F.lit(False)))
+    return parse_responses(marked.withColumn("reply", F.when(F.col("answered"), F.col("answer_text")))).drop("reply", "answer_text")

@@ -336,10 +336,12 @@ def drop_fragments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT l.row_id, l.text FROM lines l JOIN word_counts c ON c.req_uid = l.row_id WHERE c.n_words <= 120
+SELECT l.row_id, l.text FROM lines l JOIN word_counts c ON c.req_uid = l.row_id WHERE c.n_words <= 200
 """)
 def length_filter(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.length_filter(D.lines(spark, d), 120, 0.5).select("row_id", "text")
+    path = scratch(spark)
+    sinks.write_within_length(D.lines(spark, d).select("row_id", "text"), f"{path}/fitting", 200)
+    return spark.read.parquet(f"{path}/fitting")
 
 
 # --- duplicates, caps, splits ------------------------------------------------------------
@@ -442,7 +444,7 @@ def sink_splits(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)
     rows = split_lines(spark, d).withColumn("reject_reason", shape_fault(F.col("text")))
     good = rows.where(F.col("reject_reason").isNull()).drop("reject_reason")
-    sinks.sink_splits(good, rows.where(F.col("reject_reason").isNotNull()), path, 5, uid="row_id")
+    sinks.sink_splits(good, rows.where(F.col("reject_reason").isNotNull()), path, 5, uid="row_id", splits=["train", "val", "test"])
     read = spark.read.parquet
     parts = C.union_sources(
         read(f"{path}/processed").select(F.lit("processed").alias("part"), "split"),
@@ -672,16 +674,23 @@ def response_id_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""
-SELECT row_id AS req_uid, CAST(doc_id AS VARCHAR) AS batch_uid, CASE doc_id % 10 WHEN 0 THEN 'missing_spec_id' WHEN 1 THEN 'duplicate_spec_id'
-    WHEN 2 THEN 'unexpected_spec_id' ELSE coalesce({SHAPE}, CASE WHEN line_no % 5 > 0 AND line_no % 4 <> 3 AND NOT contains(lower(t), lang) THEN 'target_absent' END)
-  END AS reject_reason, CASE WHEN doc_id % 10 <> 0 OR line_no > 0 THEN t END AS text
-FROM (SELECT *, trim(text) AS t FROM lines WHERE doc_id % 7 <> 3)
+SELECT row_id AS req_uid, CAST(doc_id AS VARCHAR) AS batch_uid, coalesce({SHAPE}, CASE WHEN line_no % 5 > 0 AND line_no % 4 <> 3 AND NOT contains(lower(t), lang) THEN 'target_absent' END)
+  AS reject_reason, t AS text
+FROM (SELECT *, trim(text) AS t FROM lines WHERE doc_id % 7 <> 3 AND doc_id % 10 > 2)
 """)
 def expand_batches(spark: SparkSession, d: str) -> DataFrame:
     rows = R.expand_batches(batch_responses(spark, d), batch_specs(spark, d))
     return rows.select("req_uid", "batch_uid", "reject_reason", "text")
 
 
+@query("""
+SELECT DISTINCT CAST(doc_id AS VARCHAR) AS batch_uid, CASE doc_id % 10 WHEN 0 THEN 'missing_spec_id' WHEN 1 THEN 'duplicate_spec_id' ELSE 'unexpected_spec_id' END AS batch_fault,
+  1::BIGINT AS n FROM lines WHERE doc_id % 7 <> 3 AND doc_id % 10 <= 2
+""")
+def refused_batches(spark: SparkSession, d: str) -> DataFrame:
+    return R.refused_batches(batch_responses(spark, d), batch_specs(spark, d))
+
+
 @query("""
 SELECT row_id AS spec_id, 'nation_' || doc_id % 30 AS profile_id, coalesce(p.traits, 'a language learner') AS traits
 FROM lines LEFT JOIN profiles p ON p.id = 'nation_' || doc_id % 30

@@ -272,7 +272,44 @@ def verifiable_reward(spark: SparkSession, d: str) -> DataFrame:
         F.when(key % 14 != 0, F.struct("correction", "meaning", "feedback")).alias("answer"),
     )
     gold = m.select("req_uid", "text", F.col("pred").alias("correction"), F.col("gold_meaning").alias("meaning"), F.col("gold_feedback").alias("feedback"))
-    return rounded(O.verifiable_reward(made, gold).drop("req_uid"))
+    return rounded(O.verifiable_reward(made, gold).drop("req_uid", "normalised"))
+
+
+SHARED["feedback_grams"] = """
+SELECT p, g, n, side, gram, count(*) AS c FROM (
+  SELECT p, g, n, side, unnest([array_to_string(ch[i:i + n - 1], '') FOR i IN range(1, len(ch) - n + 2)]) AS gram
+  FROM (SELECT p, g, 'p' AS side, string_split(p, '') AS ch FROM feedback_pairs UNION ALL SELECT p, g, 'g', string_split(g, '') FROM feedback_pairs),
+       (SELECT unnest(range(1, 7)) AS n) WHERE len(ch) >= n) GROUP BY p, g, n, side, gram
+"""
+SHARED["feedback_pairs"] = "SELECT DISTINCT feedback AS p, gold_feedback AS g FROM verdicts WHERE feedback IS NOT NULL AND gold_feedback IS NOT NULL AND feedback <> '' AND gold_feedback <> ''"
+SHARED["feedback_f"] = """
+SELECT p, g, avg(2.0::DOUBLE * nb / (np + ng)) AS f FROM (
+  SELECT p, g, n, sum(least(cp, cg)) AS nb, sum(cp) AS np, sum(cg) AS ng FROM (
+    SELECT p, g, n, gram, coalesce(sum(c) FILTER (side = 'p'), 0) AS cp, coalesce(sum(c) FILTER (side = 'g'), 0) AS cg FROM feedback_grams GROUP BY p, g, n, gram)
+  GROUP BY p, g, n) WHERE np > 0 AND ng > 0 GROUP BY p, g
+"""
+
+
+@query("""
+SELECT rollout_id, round(CASE WHEN answered THEN t ELSE 0.0 END, 6) AS total, round(CASE WHEN answered THEN t ELSE 0.0 END, 6) AS normalised
+FROM (SELECT v.req_uid AS rollout_id, (doc_id + line_no) % 14 > 1 AS answered,
+    0.5 * CASE WHEN coalesce(np, 0) + coalesce(ng, 0) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(nb, 0) / (coalesce(np, 0) + coalesce(ng, 0)) END
+    + 0.3 * CASE WHEN meaning BETWEEN 0 AND 4 THEN 1.0::DOUBLE - abs(meaning - gold_meaning) / 4.0::DOUBLE ELSE 0.0::DOUBLE END
+    + CASE WHEN reject_reason IS NULL THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END
+    - CASE WHEN coalesce(reject_reason IN ('malformed_edit', 'unknown_tag', 'empty_edit', 'text_altered'), false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+    + 0.2 * coalesce(f, 0.0::DOUBLE) AS t
+  FROM verdicts v LEFT JOIN (SELECT req_uid, sum(r) AS np, sum(g) AS ng, sum(r * g) AS nb FROM reward_sides GROUP BY req_uid) s ON s.req_uid = v.req_uid
+  LEFT JOIN feedback_f x ON x.p = v.feedback AND x.g = v.gold_feedback)
+""")
+def verifiable_reward_full(spark: SparkSession, d: str) -> DataFrame:
+    """The whole answer is rewarded, read from the raw text of the rollout; some texts are no object."""
+    m = D.marked(spark, d)
+    key = F.col("doc_id") + F.col("line_no")
+    answer = F.to_json(F.struct("correction", "meaning", "feedback"), {"ignoreNullFields": "false"})
+    text = F.when(key % 14 == 0, F.concat(F.lit("So: "), answer)).when(key % 14 == 1, "[1]").otherwise(answer)
+    made = m.select(F.col("req_uid").alias("rollout_id"), "req_uid", text.alias("answer_text"))
+    gold = m.select("req_uid", "text", F.col("pred").alias("correction"), F.col("gold_meaning").alias("meaning"), F.col("gold_feedback").alias("feedback"))
+    return rounded(O.verifiable_reward(made, gold, scope="full_answer").select("rollout_id", "total", "normalised"))
 
 
 # The raw grading's edits: none when its markup is broken, moved when its text is longer.
@@ -379,18 +416,26 @@ def curated_splits(spark: SparkSession, d: str) -> DataFrame:
     return per_text.groupBy("split", "lang", "quality").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
 
 
+SHARED["graded"] = """
+SELECT * REPLACE (CASE WHEN sound THEN gold_meaning ELSE meaning END AS meaning, CASE WHEN sound THEN gold_feedback ELSE feedback END AS feedback,
+  CASE WHEN NOT sound THEN reject_reason WHEN gold_feedback IS NULL THEN 'bad_type' END AS reject_reason)
+FROM (SELECT *, (doc_id * 7 + line_no) % 12 <> 5 AS sound FROM verdicts)
+"""
 SHARED["processed"] = f"""
 SELECT v.req_uid, b.grammar, b.naturalness, s.n_edits, s.tags, trim(v.feedback) AS feedback, v.meaning || '|' || v.lang AS stratum, v.text,
   CASE WHEN point < 0.8::DOUBLE THEN 'train' WHEN point < 0.9::DOUBLE THEN 'val' ELSE 'test' END AS split FROM (
   SELECT *, ({bucket_sql(42, "sha256(text)")})::DOUBLE / 10000 AS point, row_number() OVER (PARTITION BY meaning, lang ORDER BY sha256('42|' || req_uid)) AS r,
-    greatest(1, CAST(floor(count(*) OVER () * 0.15::DOUBLE) AS BIGINT)) AS cap FROM verdicts WHERE reject_reason IS NULL) v
+    greatest(1, CAST(floor(count(*) OVER () * 0.15::DOUBLE) AS BIGINT)) AS cap FROM graded WHERE reject_reason IS NULL) v
 JOIN bands b ON b.req_uid = v.req_uid JOIN row_stats s ON s.req_uid = v.req_uid WHERE r <= cap
 """
 
 
 def graded_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Texts and raw gradings; a fifth of the gradings is faulty on purpose, so their gate is open."""
+    """Texts and gradings; of every twelfth the raw one, which is often faulty, else a sound one."""
+    sound = (F.col("doc_id") * 7 + F.col("line_no")) % 12 != 5
     m = D.marked(spark, d)
+    for c, good in (("correction", "gold"), ("meaning", "gold_meaning"), ("feedback", "gold_feedback")):
+        m = m.withColumn(c, F.when(sound, F.col(good)).otherwise(F.col(c)))
     texts = m.select("req_uid", "text", F.col("lang").alias("error_spec"), F.sha2("text", 256).alias("target_norm"))
     return texts, m.select("req_uid", "correction", "meaning", "feedback")
 
@@ -398,16 +443,16 @@ def graded_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query("SELECT req_uid, CAST(grammar AS INTEGER) AS grammar, CAST(naturalness AS INTEGER) AS naturalness, n_edits, tags, feedback, split FROM processed")
 def process_dataset(spark: SparkSession, d: str) -> DataFrame:
     """The whole build over the raw gradings, grouped by text so that no text crosses."""
-    kept, _ = process_flow(*graded_texts(spark, d), 42, "v1", 0.15, max_reject_rate=0.9)
+    kept, _ = process_flow(*graded_texts(spark, d), 42, "v1", 0.15)
     return kept.select("req_uid", "grammar", "naturalness", "n_edits", F.array_join("tags", ",").alias("tags"), "feedback", "split")
 
 
 @query("""
-SELECT 'input_rows' AS section, 'all' AS key, count(*) AS n FROM verdicts
-UNION ALL SELECT 'clean_rows', 'all', count(*) FROM verdicts WHERE reject_reason IS NULL
-UNION ALL SELECT 'rejected_rows', 'all', count(*) FROM verdicts WHERE reject_reason IS NOT NULL
-UNION ALL SELECT 'reject_reason', reject_reason, count(*) FROM verdicts WHERE reject_reason IS NOT NULL GROUP BY reject_reason
-UNION ALL SELECT 'stratum_before_cap', meaning || '|' || lang, count(*) FROM verdicts WHERE reject_reason IS NULL GROUP BY meaning || '|' || lang
+SELECT 'input_rows' AS section, 'all' AS key, count(*) AS n FROM graded
+UNION ALL SELECT 'clean_rows', 'all', count(*) FROM graded WHERE reject_reason IS NULL
+UNION ALL SELECT 'rejected_rows', 'all', count(*) FROM graded WHERE reject_reason IS NOT NULL
+UNION ALL SELECT 'reject_reason', reject_reason, count(*) FROM graded WHERE reject_reason IS NOT NULL GROUP BY reject_reason
+UNION ALL SELECT 'stratum_before_cap', meaning || '|' || lang, count(*) FROM graded WHERE reject_reason IS NULL GROUP BY meaning || '|' || lang
 UNION ALL SELECT 'stratum_after_cap', stratum, count(*) FROM processed GROUP BY stratum
 UNION ALL SELECT 'split', split, count(*) FROM processed GROUP BY split
 UNION ALL SELECT 'strict_test_rows', 'all', count(*) FROM processed
@@ -416,4 +461,4 @@ UNION ALL SELECT 'cross_split_texts', 'all', count(*) FROM (SELECT text FROM pro
 """)
 def process_report(spark: SparkSession, d: str) -> DataFrame:
     """What became of the rows of the whole build."""
-    return process_with_report(*graded_texts(spark, d), 42, "v1", 0.15, max_reject_rate=0.9)[2]
+    return process_with_report(*graded_texts(spark, d), 42, "v1", 0.15)[2]

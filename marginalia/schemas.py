@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass, fields, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,6 +108,7 @@ def _table(spec: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
+# --- fixed values: the columns of each table, in order -----------------------------------
 POOL = _table(
     "sense_uid string, source_sense_id string, target string, target_norm string, pos string, "
     "definition string, cefr string, is_multiword boolean, is_placeholder boolean, "
@@ -194,3 +198,67 @@ def check_band_config(
         raise ValueError("groups must be a disjoint partition of the tags")
     if len(thresholds) != MAX_BAND - MIN_BAND or list(thresholds) != sorted(thresholds):
         raise ValueError("four ascending thresholds are needed")
+
+
+@dataclass(frozen=True)
+class BandConfig:
+    """How penalties become bands, as data: kept as one JSON object with these keys."""
+
+    version: int
+    calibrated: bool
+    weights: dict[str, int]
+    groups: dict[str, list[str]]
+    thresholds: list[float]
+
+    def __post_init__(self) -> None:
+        if isinstance(self.version, bool) or not isinstance(self.version, int) or self.version < 1:
+            raise ValueError("the version is a whole number above zero")
+        check_band_config(self.weights, self.groups, self.thresholds)
+
+    @classmethod
+    def of_taxonomy(cls) -> BandConfig:
+        """The weights, groups and cut points of the taxonomy, not yet calibrated."""
+        usage = sorted(t for t in TAGS if t in USAGE_TAGS)
+        rest = sorted(t for t in TAGS if t not in USAGE_TAGS)
+        groups = {g: usage if g == "usage" else rest for g in GROUPS}
+        return cls(1, False, dict(WEIGHTS), groups, list(THRESHOLDS))
+
+    @classmethod
+    def from_json(cls, text: str) -> BandConfig:
+        """Read and check a config; a missing key is an error."""
+        held = json.loads(text)
+        missing = [f.name for f in fields(cls) if f.name not in held]
+        if missing:
+            raise ValueError(f"the band config has no {missing}")
+        return cls(
+            held["version"],
+            bool(held["calibrated"]),
+            {str(t): int(w) for t, w in held["weights"].items()},
+            {str(g): sorted(map(str, ts)) for g, ts in held["groups"].items()},
+            [float(x) for x in held["thresholds"]],
+        )
+
+    def to_json(self) -> str:
+        """One line with sorted keys, so equal configs are equal texts."""
+        return json.dumps(asdict(self), sort_keys=True, ensure_ascii=False)
+
+    def require_calibrated(self) -> None:
+        if not self.calibrated:
+            raise ValueError(f"band config {self.version} is not calibrated; its bands would mean nothing")
+
+    def with_thresholds(self, thresholds: list[float]) -> BandConfig:
+        """The next version, calibrated to other cut points."""
+        return replace(self, version=self.version + 1, calibrated=True, thresholds=list(thresholds))
+
+
+def read_band_config(spark: SparkSession, path: str) -> BandConfig:
+    """The config that ``write_band_config`` left at ``path``."""
+    rows = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} has to hold one band config")
+    return BandConfig.from_json(rows[0][0])
+
+
+def write_band_config(spark: SparkSession, config: BandConfig, path: str) -> None:
+    """Write a config as one JSON line; an older one at ``path`` gives way."""
+    literal_rows(spark, "value string", [(config.to_json(),)]).coalesce(1).write.mode("overwrite").text(path)

@@ -554,3 +554,153 @@ def test_chrf_of_a_batch_equals_counting(spark):
     pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(200)]
     got = overlap_f([p for p, _ in pairs], [g for _, g in pairs], 6)
     assert got == pytest.approx([plain(p, g, 6) for p, g in pairs], abs=1e-12)
+
+
+def test_ranges_of_large_files_are_digested_by_many_tasks(spark, tmp_path):
+    from marginalia.sources import ranges
+
+    rng = random.Random(1)
+    contents = {"empty": b"", "small": b"abc", "even": rng.randbytes(40), "long": rng.randbytes(10 * 50 + 3)}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    df = ranges.range_fingerprint(spark, str(tmp_path), width=10)
+
+    def plain(content, fan):
+        level = [hashlib.sha256(content[i : i + 10]).hexdigest() for i in range(0, max(len(content), 1), 10)]
+        while len(level) > 1:
+            level = [hashlib.sha256(",".join(level[i : i + fan]).encode()).hexdigest() for i in range(0, len(level), fan)]
+        return level[0]
+
+    got = {r["file"]: (r["sha256"], r["bytes"], r["ranges"]) for r in df.collect()}
+    assert got == {n: (plain(c, ranges.FAN_IN), len(c), max(1, -(-len(c) // 10))) for n, c in contents.items()}
+    raw = spark.read.format("file_ranges").option("path", str(tmp_path)).option("range", 10).load()
+    assert raw.rdd.getNumPartitions() == 1 + 1 + 4 + 51
+    whole = {r["file"]: r["sha256"] for r in ranges.range_fingerprint(spark, str(tmp_path)).collect()}
+    assert whole == {n: hashlib.sha256(c).hexdigest() for n, c in contents.items()}
+    ranges.FAN_IN, kept = 4, ranges.FAN_IN
+    try:
+        deep = {r["file"]: r["sha256"] for r in ranges.range_fingerprint(spark, str(tmp_path), width=10).collect()}
+    finally:
+        ranges.FAN_IN = kept
+    # A file with fewer levels than the deepest one has its top digested once for each level more.
+    def levels(content):
+        level = [hashlib.sha256(content[i : i + 10]).hexdigest() for i in range(0, max(len(content), 1), 10)]
+        for _ in range(3):
+            if len(content) > 10:
+                level = [hashlib.sha256(",".join(level[i : i + 4]).encode()).hexdigest() for i in range(0, len(level), 4)]
+        return level[0]
+
+    assert deep == {n: levels(c) for n, c in contents.items()}
+
+
+def test_nothing_is_left_where_a_gate_refuses(spark, tmp_path):
+    import os
+
+    rows = [(i, " ".join(["w"] * (30 if i % 10 == 0 else 5)), ("train", "val")[i % 2]) for i in range(100)] + [(100, None, "train")]
+    df = spark.createDataFrame(rows, "row_id int, text string, split string").repartition(4)
+    seen = spark.sparkContext.accumulator(0)
+    path = str(tmp_path / "out")
+    with pytest.raises(ValueError, match="11 of 101"):
+        sinks.write_within_length(df, path, 10)
+    assert os.listdir(tmp_path) == []
+    found = sinks.write_within_length(df, path, 10, max_drop_fraction=0.2)
+    assert found == {"rows": 101, "long": 11} and spark.read.parquet(path).count() == 90
+    with pytest.raises(ValueError, match="every one"):
+        sinks.write_within_length(df, path, 1, max_drop_fraction=1.0)
+    assert spark.read.parquet(path).count() == 90  # what was there stays
+    assert sinks.write_within_length(df.limit(0), str(tmp_path / "none"), 10) == {"rows": 0, "long": 0}
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    once = df.mapInArrow(counted, df.schema)
+    with pytest.raises(ValueError, match="test"):
+        sinks.sink_splits(once, df.limit(0), str(tmp_path / "splits"), 1, uid="row_id", splits=["train", "val", "test"])
+    assert seen.value == 101 and not os.path.exists(tmp_path / "splits" / "processed")
+    sinks.sink_splits(once, df.limit(0), str(tmp_path / "splits"), 1, uid="row_id", splits=["train", "val"])
+    assert seen.value == 202 and sorted(os.listdir(tmp_path / "splits")) == ["processed", "rejects", "test_strict"]
+    assert spark.read.parquet(str(tmp_path / "splits" / "processed")).count() == 101
+
+
+def test_band_configs_are_data(spark, tmp_path):
+    from marginalia.operators import grading as G_
+    from marginalia.schemas import BandConfig, read_band_config, write_band_config
+
+    first = BandConfig.of_taxonomy()
+    path = str(tmp_path / "bands")
+    write_band_config(spark, first, path)
+    assert read_band_config(spark, path) == first
+    edits = "array<struct<original:string,replacement:string,tag:string,start:int,end:int>>"
+    df = spark.createDataFrame([("a b c d", [("a", "x", "sp", 0, 1)]), ("a b c d", [])], f"text string, edits {edits}")
+    with pytest.raises(ValueError, match="not calibrated"):
+        G_.derive_bands(df, config=first)
+    words = " ".join("abcdefghijkl")
+    rows = [(words, " ".join(f"[{w}>x:{t}]" if i < n else w for i, w in enumerate(words.split()))) for n in range(1, 12) for t in ("sp", "coll", "unnat")]
+    texts = spark.createDataFrame(rows, "text string, correction string")
+    with pytest.raises(ValueError, match="erase a band"):
+        B.calibrate(texts, first)  # most penalties of either group are zero
+    second = first.with_thresholds([0.1, 0.2, 0.3, 0.4])
+    assert second.version == 2 and second.calibrated
+    write_band_config(spark, second, path)
+    assert read_band_config(spark, path) == second
+    plain = G_.derive_bands(df, thresholds=second.thresholds)
+    assert sorted(map(tuple, G_.derive_bands(df, config=second).collect())) == sorted(map(tuple, plain.collect()))
+    # Moving a tag to the other group moves its penalty.
+    groups = {"correctness": [t for t in first.groups["correctness"] if t != "sp"], "usage": first.groups["usage"] + ["sp"]}
+    moved = BandConfig(3, True, first.weights, groups, second.thresholds)
+    (row,) = G_.derive_bands(df, config=moved).where("size(edits) = 1").collect()
+    (old,) = plain.where("size(edits) = 1").collect()
+    assert (row["grammar"], row["naturalness"]) == (old["naturalness"], old["grammar"]) != (old["grammar"], old["naturalness"])
+    for broken in ({"version": 0}, {"thresholds": [1.0, 2.0]}, {"weights": {"sp": 1}}, {"groups": {"usage": []}}):
+        held = json.loads(first.to_json()) | broken
+        with pytest.raises(ValueError):
+            BandConfig.from_json(json.dumps(held))
+    with pytest.raises(ValueError, match="has no"):
+        BandConfig.from_json('{"version": 1}')
+
+
+def test_rejects_say_what_was_refused(spark):
+    from marginalia.operators import grading as G_
+
+    cases = [
+        ("a b", "a [b", 1, "Good.", "malformed_edit", "offset 2"), ("a b", "[a>x:sp] [b>c:zzz]", 1, "Good.", "unknown_tag", "tag zzz"),
+        ("a b", "é\\[a [>:sp]", 1, "Good.", "empty_edit", "offset 5"), ("a b", "a c", 1, "Good.", "text_altered", None),
+        ("a b", "a b", 9, "Good.", "meaning_range", "meaning 9"), ("a b", "a b", None, "Good.", "bad_type", "meaning"),
+        ("a b", "a b", 1, None, "bad_type", "feedback"), ("a b", "a b", 1, " ", "feedback_empty", None),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)] + [(99, "a b", "a b", 1, "Good.")], "i int, text string, correction string, meaning int, feedback string")
+    valid, rejects = G_.validate_rows(df)
+    assert [r["i"] for r in valid.collect()] == [99] and "reject_detail" not in valid.columns
+    assert {r["i"]: (r["reject_reason"], r["reject_detail"]) for r in rejects.collect()} == {i: c[4:] for i, c in enumerate(cases)}
+
+
+def test_batches_with_an_id_fault_stay_pending(spark):
+    specs = [(b, f"{b}{i}") for b in ("ok", "lost", "twice", "odd", "none") for i in range(3)]
+    columns = "batch_uid string, spec_id string, sense_uid string, target string, target_norm string, pos string, definition string, cefr string, is_multiword boolean, is_placeholder boolean, profile_id string, meaning_req int, error_spec string"
+    asked = spark.createDataFrame([(b, s, "u", "word", "word", "noun", "d", None, False, False, "p", 1, "few") for b, s in specs], columns)
+
+    def reply(*ids):
+        return json.dumps({"sentences": [{"spec_id": i, "text": "a word here"} for i in ids]})
+
+    replies = [("ok", reply("ok0", "ok1", "ok2")), ("lost", reply("lost1")), ("twice", reply("twice0", "twice0", "twice1", "twice2")), ("odd", reply("odd0", "odd1", "odd2", "x"))]
+    got = spark.createDataFrame(replies, "batch_uid string, response string")
+    assert sorted(r["req_uid"] for r in Q.expand_batches(got, asked).collect()) == ["ok0", "ok1", "ok2"]
+    assert sorted(map(tuple, Q.refused_batches(got, asked).collect())) == [
+        ("lost", "missing_spec_id", 2), ("odd", "unexpected_spec_id", 1), ("twice", "duplicate_spec_id", 1),
+    ]
+
+
+def test_rewards_read_raw_answers(spark):
+    gold = spark.createDataFrame([("r", "a b", "a [b>c:sp]", 2, "Well done here.")], "req_uid string, text string, correction string, meaning int, feedback string")
+    full = json.dumps({"correction": "a [b>c:sp]", "meaning": 2, "feedback": "Well done here."})
+    texts = [full, f"Sure: {full}", "[1]", "null", None, "{", '{"meaning": 2}', json.dumps({"correction": "a [b>c:sp]", "meaning": "2", "feedback": "Well done here."})]
+    made = spark.createDataFrame([(i, "r", t) for i, t in enumerate(texts)], "rollout_id int, req_uid string, answer_text string")
+    for scope, best in (("correction_meaning", 1.0), ("full_answer", 1.2)):
+        got = {r["rollout_id"]: r for r in O.verifiable_reward(made, gold, scope=scope).collect()}
+        assert got[0]["total"] == got[0]["normalised"] == pytest.approx(best)
+        assert all(got[i]["total"] == 0.0 for i in (1, 2, 3, 4, 5)) and 0 < got[6]["total"] < 1
+        assert got[7]["meaning"] == 0.0 and got[7]["format_valid"] == 0.0
+    half = O.verifiable_reward(made.where("rollout_id = 0"), gold, weights={"edit_f1": 1.5}).first()
+    assert half["total"] == pytest.approx(2.0) and half["normalised"] == pytest.approx(1.0)
