@@ -11,6 +11,7 @@ from marginalia.operators import calibration, curate, gates, joins, scoring
 from marginalia.operators.grading import check_rows, derive_bands
 from marginalia.operators.ranking import written
 from marginalia.operators.tally import tally
+from marginalia.schemas import CEILING_KEYS, BandConfig, literal_rows
 
 
 def process_dataset(
@@ -94,6 +95,21 @@ def unpivot(row: DataFrame, group: str) -> DataFrame:
     return row.select(F.lit(group).alias("grp"), F.inline(cells))
 
 
+def keyed(rows: DataFrame, group: str, name: str, key: str) -> DataFrame:
+    """The numbers of a table as rows ``(grp, metric, value)``; a metric is called ``name.key.column``."""
+    cells = F.array(
+        *[
+            F.struct(
+                F.concat_ws(".", F.lit(name), F.col(key).cast("string"), F.lit(c)).alias("metric"),
+                F.col(c).cast("double").alias("value"),
+            )
+            for c in rows.columns
+            if c != key
+        ]
+    )
+    return rows.select(F.lit(group).alias("grp"), F.inline(cells))
+
+
 def _other(col: str) -> Column:
     tags = F.transform(F.coalesce(F.col(col), no_edits()), lambda e: e["tag"])
     return F.sum(F.size(F.filter(tags, lambda t: t == "other"))) / F.greatest(
@@ -102,9 +118,23 @@ def _other(col: str) -> Column:
 
 
 def score_report(
-    predictions: DataFrame, ceilings: DataFrame, bins: int = 10, uid: str = "req_uid"
+    predictions: DataFrame,
+    ceilings: DataFrame,
+    bins: int = 10,
+    uid: str = "req_uid",
+    config: BandConfig | None = None,
 ) -> DataFrame:
-    """Every metric of a prediction table with its reliability and share of the ceiling."""
+    """Every metric of a prediction table with its reliability and share of the ceiling.
+
+    Beside the headline numbers: each band by itself, the tags of both sides, the confusions, the bins of
+    the reliability diagram, and notes, which are rows without a value. A missing ceiling is an error,
+    and so is a ``config`` that was not calibrated. The parsed rows are written once.
+    """
+    if config is not None:
+        config.require_calibrated()
+    absent = sorted(set(CEILING_KEYS.values()) - {r["metric"] for r in ceilings.select("metric").collect()})
+    if absent:
+        raise ValueError(f"no ceiling for {absent}: numbers without one read as worse than they are")
     parsed = with_columns_once(
         predictions,
         gold_edits=parse_markup(F.col("gold.correction"))["edits"],
@@ -116,7 +146,9 @@ def score_report(
         F.col("prediction.feedback").alias("pred_feedback"),
         F.col("gold.feedback").alias("gold_feedback"),
     )
+    parsed = written(parsed)
     banded = scoring.in_range(parsed, "predicted", "gold_band")
+    notes = ["feedback has no verifiable truth: chrf and win rates are weak and are shown as such"]
     parts = [
         unpivot(scoring.meaning_metrics(parsed, "predicted", "gold_band"), "meaning"),
         unpivot(scoring.correction_scores(parsed), "correction"),
@@ -134,6 +166,18 @@ def score_report(
         raise ValueError("nothing to score: no predicted band is in range")
     if usable == sure:
         right = banded.withColumn("_right", F.col("predicted") == F.col("gold_band"))
-        found = calibration.reliability_bins(right, "meaning_confidence", "_right", bins, uid)
+        found = written(calibration.reliability_bins(right, "meaning_confidence", "_right", bins, uid))
         parts.append(unpivot(calibration.ece(found).select("ece"), "calibration"))
+        parts.append(keyed(found, "calibration", "bin", "bin"))
+    else:
+        notes.append("calibration is left out: not every row that counts has a confidence")
+    parts.append(keyed(scoring.per_band_metrics(parsed, "predicted", "gold_band"), "meaning", "band", "band"))
+    for side in ("pred", "gold"):
+        tags = parsed.select(F.explode(F.transform(f"{side}_edits", lambda e: e["tag"])).alias("tag"))
+        parts.append(keyed(tags.groupBy("tag").agg(F.count("*").alias("n")), "taxonomy", f"{side}_tag", "tag"))
+    pairs = scoring.tag_confusion(parsed).where(F.col("gold_tag") != F.col("pred_tag"))
+    named = pairs.select(F.concat_ws("->", "gold_tag", "pred_tag").alias("pair"), "n")
+    parts.append(keyed(named, "correction", "confusion", "pair"))
+    said = [("notes", note, None) for note in notes]
+    parts.append(literal_rows(parsed.sparkSession, "grp string, metric string, value double", said))
     return gates.ceiling_report(curate.union_sources(*parts), ceilings)

@@ -8,6 +8,7 @@ from marginalia.functions.markup import parse_markup
 from marginalia.operators import calibration as B
 from marginalia.operators import scoring as S
 from marginalia.plans.flows import score_report
+from marginalia.schemas import BandConfig
 
 GOOD = "The meaning is clear."
 # Eight sentences: a full hit, a wrong tag of equal weight, one of another weight, a clean
@@ -69,6 +70,20 @@ def test_report(spark, predictions):
     assert rows[("format", "validity_rate")]["value"] == 1.0
     assert ("calibration", "ece") in rows
     assert rows[("taxonomy", "other_rate")]["value"] == 0.0
+    # Every band, empty ones too; tags of both sides; confusions; bins; notes without a value.
+    assert rows[("meaning", "band.4.n")]["value"] == 6 and rows[("meaning", "band.2.n")]["value"] == 0
+    assert rows[("meaning", "band.2.exact")]["value"] is None and rows[("meaning", "band.4.exact")]["value"] == pytest.approx(4 / 6)
+    assert sum(r["value"] for (g, m), r in rows.items() if g == "taxonomy" and m.startswith("pred_tag.")) == rows[("correction", "predicted_edits")]["value"]
+    assert rows[("correction", "confusion.sp->order.n")]["value"] == rows[("correction", "confusion.agr->tense.n")]["value"] == 1
+    assert [rows[("calibration", f"bin.{k}.count")]["value"] for k in range(4)] == [2, 2, 2, 2]
+    notes = [r for (g, _), r in rows.items() if g == "notes"]
+    assert len(notes) == 1 and notes[0]["value"] is None and "weak" in notes[0]["metric"]
+    unsure = predictions.withColumn("meaning_confidence", F.when(F.col("meaning_confidence") > 0.5, F.col("meaning_confidence")))
+    assert len([r for r in score_report(unsure, ceilings, 4).collect() if r["grp"] == "notes"]) == 2
+    with pytest.raises(ValueError, match="correction_edit_f1"):
+        score_report(predictions, ceilings.where("metric = 'meaning_qwk'"))
+    with pytest.raises(ValueError, match="not calibrated"):
+        score_report(predictions, ceilings, config=BandConfig.of_taxonomy())
 
 
 def test_coverage(predictions):
