@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = "documents pages labels".split()
+TABLES = "documents pages labels benchmark".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["op3_mixing", "op7_secrets", "op10_url_rules"])
+@pytest.mark.parametrize("name", ["op3_mixing", "op7_secrets", "op10_url_rules", "op11_ranked", "op13_manifest"])
 def test_same_rows(spark, name):
     from marginalia.llm.catalog import ORACLE, QUERIES
 
