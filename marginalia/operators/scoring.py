@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from marginalia.functions.arrays import bind, total, with_columns_once
 from marginalia.functions.markup import corrected_text, triples
-from marginalia.functions.spans import SPAN, fault_of_spans, read_correction, read_lines
+from marginalia.functions.spans import fault_of_spans, read_correction, read_lines
 from marginalia.functions.text import n_words, strip, units
 from marginalia.operators.grading import check_rows
 from marginalia.schemas import (
@@ -242,17 +242,20 @@ def span_f05_scores(df: DataFrame) -> DataFrame:
         n_units=F.size("us"),
     )
 
-    def full(side: str) -> Column:
+    def keys(side: str, *parts: str) -> Column:
+        """The distinct spans as text, which sets of strings tell apart by hashing, not pair by pair."""
         spans = F.when(F.col(f"{side}.signal").isNull(), F.col(f"{side}.spans"))
-        return F.array_distinct(F.coalesce(spans, F.array().cast(SPAN)))
-
-    sets = read.select(
-        full("p").alias("pf"),
-        full("g").alias("gf"),
-        F.col("p.signal").eqNullSafe(F.lit("OK")).alias("p_clean"),
-        F.col("g.signal").eqNullSafe(F.lit("OK")).alias("g_clean"),
-        (fault_of_spans(F.col("p"), F.col("n_units")) == "valid").alias("valid"),
-    ).select("*", _spans(F.col("pf")).alias("ps"), _spans(F.col("gf")).alias("gs"))
+        named = F.transform(spans, lambda e: F.concat_ws(" ", *[e[x].cast("string") for x in parts]))
+        return F.array_distinct(F.coalesce(named, F.array().cast("array<string>")))
+
+    whole = ("start", "end", "tag", "replacement")
+    sets = with_columns_once(
+        read,
+        pf=keys("p", *whole), gf=keys("g", *whole), ps=keys("p", "start", "end"), gs=keys("g", "start", "end"),
+        p_clean=F.col("p.signal").eqNullSafe(F.lit("OK")),
+        g_clean=F.col("g.signal").eqNullSafe(F.lit("OK")),
+        valid=fault_of_spans(F.col("p"), F.col("n_units")) == "valid",
+    )
 
     def summed(x: Column) -> Column:
         return F.coalesce(F.sum(F.size(x)), F.lit(0))
