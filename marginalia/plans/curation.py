@@ -673,11 +673,14 @@ def response_id_check(spark: SparkSession, d: str) -> DataFrame:
     return R.response_id_check(got, batch_specs(spark, d))
 
 
-@query(rf"""
-SELECT row_id AS req_uid, CAST(doc_id AS VARCHAR) AS batch_uid, coalesce({SHAPE}, CASE WHEN line_no % 5 > 0 AND line_no % 4 <> 3 AND NOT contains(lower(t), lang) THEN 'target_absent' END)
+SHARED["batch_rows"] = rf"""
+SELECT doc_id, row_id AS req_uid, CAST(doc_id AS VARCHAR) AS batch_uid, coalesce({SHAPE}, CASE WHEN line_no % 5 > 0 AND line_no % 4 <> 3 AND NOT contains(lower(t), lang) THEN 'target_absent' END)
   AS reject_reason, t AS text
 FROM (SELECT *, trim(text) AS t FROM lines WHERE doc_id % 7 <> 3 AND doc_id % 10 > 2)
-""")
+"""
+
+
+@query("SELECT req_uid, batch_uid, reject_reason, text FROM batch_rows")
 def expand_batches(spark: SparkSession, d: str) -> DataFrame:
     rows = R.expand_batches(batch_responses(spark, d), batch_specs(spark, d))
     return rows.select("req_uid", "batch_uid", "reject_reason", "text")

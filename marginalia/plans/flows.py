@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import with_columns_once
 from marginalia.functions.markup import no_edits, parse_markup
-from marginalia.operators import calibration, curate, gates, joins, scoring
-from marginalia.operators.grading import check_rows, derive_bands
+from marginalia.operators import calibration, curate, gates, joins, log, requests, scoring
+from marginalia.operators.grading import check_rows, derive_bands, ingest_labels
 from marginalia.operators.ranking import written
 from marginalia.operators.tally import tally
 from marginalia.schemas import CEILING_KEYS, BandConfig, literal_rows
@@ -83,6 +85,121 @@ def process_with_report(
     return split, checked.where(reason.isNotNull()).drop("edits"), report
 
 
+def _cells(row: DataFrame) -> DataFrame:
+    """The numbers of a one-row table as rows ``(section, key, value)``."""
+    return unpivot(row, "").select(F.col("metric").alias("section"), F.lit("all").alias("key"), "value")
+
+
+def _beside(*rows: DataFrame) -> DataFrame:
+    """One-row tables of different columns as one row."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
+def _counted(counts: DataFrame) -> DataFrame:
+    """Rows ``(section, key, n)`` with the count as a double ``value``."""
+    return counts.select("section", "key", F.col("n").cast("double").alias("value"))
+
+
+def generation_report(
+    responses: DataFrame, specs: DataFrame, done: DataFrame | None = None, threshold: float = 0.7
+) -> DataFrame:
+    """What a run of written batches came to, as rows ``(section, key, value)``.
+
+    ``done`` has the ``batch_uid`` of batches that earlier runs finished: they are counted as cached
+    and their answers are not looked at again. A batch without an answer or with an id fault has failed.
+    The diversity is that of the accepted texts, where a batch that lost all of them scores 1.0;
+    both means are 0 if no batch was finished. The expanded rows are written once.
+    """
+    every = specs.agg(F.count_distinct("batch_uid").alias("n"))
+    if done is not None:
+        finished = done.select("batch_uid").distinct()
+        specs = specs.join(finished, "batch_uid", "left_anti")
+        responses = responses.join(finished, "batch_uid", "left_anti")
+    asked = specs.agg(F.count_distinct("batch_uid").alias("asked"))
+    rows = written(requests.expand_batches(responses, specs).select("batch_uid", "text", "reject_reason"))
+    refused = requests.refused_batches(responses, specs)
+    accepted = F.col("reject_reason").isNull()
+    ran = rows.agg(
+        F.count_distinct("batch_uid").alias("batches"),
+        F.count_if(accepted).alias("texts"),
+        F.count_if(~accepted).alias("refused_texts"),
+    )
+    shares = requests.batch_diversity(rows.where(accepted), "batch_uid", "text", threshold)
+    sums = shares.agg(
+        F.count("*").alias("measured"),
+        F.count_if("collapsed").alias("low_diversity_batches"),
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("distinct2", "distinct3")],
+    )
+    faults = refused.groupBy(F.col("batch_fault").alias("key")).agg(F.sum("n").alias("n"))
+    reasons = curate.union_sources(
+        tally(rows, reject_reasons=F.col("reject_reason")),
+        faults.select(F.lit("reject_reasons").alias("section"), "key", "n"),
+    )
+    one = _beside(every, asked, ran, sums, refused.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("refused_ids")))
+
+    def mean(name: str) -> Column:
+        whole = F.col(name) + F.col("batches") - F.col("measured")
+        return F.round(F.coalesce(F.try_divide(whole, F.col("batches")), F.lit(0.0)), 4).alias(f"mean_{name}")
+
+    totals = one.select(
+        "batches",
+        (F.col("n") - F.col("asked")).alias("batches_cached"),
+        (F.col("asked") - F.col("batches")).alias("batches_failed"),
+        "texts",
+        (F.col("refused_texts") + F.col("refused_ids")).alias("texts_rejected"),
+        "low_diversity_batches",
+        mean("distinct2"),
+        mean("distinct3"),
+    )
+    return _cells(totals).unionByName(_counted(reasons))
+
+
+def label_report(texts: DataFrame, replies: DataFrame, graded_before: DataFrame, pass_index: int = 0) -> DataFrame:
+    """What a grading run came to, as rows ``(section, key, value)``.
+
+    ``texts`` are the requests, ``graded_before`` the log of earlier runs (``req_uid`` with its pass suffix):
+    requests in it are cached, and replies to them are not looked at. A request without a reply of this pass has
+    failed. The three shares are 0 where nothing was graded. The checked rows are written once.
+    """
+    pending = log.pending_requests(texts, graded_before, pass_index)
+    graded = written(
+        ingest_labels(replies.where(F.col("pass_index") == pass_index), pending).select(
+            "req_uid", "reject_reason", "meaning", "correction", "tags"
+        )
+    )
+    good = F.col("reject_reason").isNull()
+    tags = F.when(good, F.col("tags"))
+
+    def share(part: Column, whole: Column) -> Column:
+        return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 4)
+
+    labelled, other = F.count_if(good), F.count_if(good & F.array_contains("tags", "other"))
+    found = graded.agg(
+        F.count_distinct("req_uid").alias("replied"),
+        labelled.alias("labelled"),
+        F.count_if(~good).alias("rejected"),
+        F.count_if(good & F.col("correction").isNull()).alias("null_corrections"),
+        share(labelled, F.count("*")).alias("validity_rate"),
+        share(other, F.sum(F.size(tags))).alias("other_tag_share"),
+        share(F.count_if(good & F.col("meaning").isin(1, 2, 3)), labelled).alias("middle_band_share"),
+    )
+    one = _beside(texts.agg(F.count("*").alias("every")), pending.agg(F.count("*").alias("requests")), found)
+    totals = one.select(
+        "requests",
+        (F.col("every") - F.col("requests")).alias("cached"),
+        (F.col("requests") - F.col("replied")).alias("failed"),
+        "labelled",
+        "rejected",
+        "null_corrections",
+        "validity_rate",
+        "other_tag_share",
+        "middle_band_share",
+    )
+    counts = tally(graded, reject_reasons=F.col("reject_reason"), meaning_counts=F.when(good, F.col("meaning")), tag_counts=tags)
+    return _cells(totals).unionByName(_counted(counts))
+
+
 def unpivot(row: DataFrame, group: str) -> DataFrame:
     """A one-row table of numbers as rows ``(grp, metric, value)``."""
     numeric = [f.name for f in row.schema if f.dataType.typeName() != "string"]

@@ -12,7 +12,8 @@ from marginalia.operators import log as L
 from marginalia.operators import rollouts as O
 from marginalia.operators import timing as M
 from marginalia.plans import derive as D
-from marginalia.plans.curation import SHAPE, bucket_sql
+from marginalia.plans import flows
+from marginalia.plans.curation import SHAPE, batch_responses, batch_specs, bucket_sql
 from marginalia.plans.flows import process_dataset as process_flow
 from marginalia.plans.flows import process_with_report
 from marginalia.plans.markup import replies
@@ -462,3 +463,64 @@ UNION ALL SELECT 'cross_split_texts', 'all', count(*) FROM (SELECT text FROM pro
 def process_report(spark: SparkSession, d: str) -> DataFrame:
     """What became of the rows of the whole build."""
     return process_with_report(*graded_texts(spark, d), 42, "v1", 0.15)[2]
+
+
+SHARED["run_rows"] = "SELECT * FROM batch_rows WHERE doc_id % 11 <> 5"
+SHARED["run_batches"] = """
+SELECT b.doc_id, coalesce(d2, 1.0) AS d2, coalesce(d3, 1.0) AS d3, coalesce(d2, 1.0) < 0.7 AND texts > 0 AS collapsed
+FROM (SELECT doc_id, count(*) FILTER (reject_reason IS NULL) AS texts FROM run_rows GROUP BY doc_id) b LEFT JOIN (
+  SELECT doc_id, count(DISTINCT gram) FILTER (n = 2) / nullif(count(*) FILTER (n = 2), 0)::DOUBLE AS d2,
+    count(DISTINCT gram) FILTER (n = 3) / nullif(count(*) FILTER (n = 3), 0)::DOUBLE AS d3 FROM (
+    SELECT doc_id, n, unnest([array_to_string(t[i:i + n - 1], ' ') FOR i IN range(1, len(t) - n + 2)]) AS gram
+    FROM (SELECT doc_id, n, regexp_extract_all(lower(text), '[a-z0-9'']+') AS t FROM run_rows, (VALUES (2), (3)) k(n) WHERE reject_reason IS NULL)
+    WHERE len(t) >= n) GROUP BY doc_id) g ON g.doc_id = b.doc_id
+"""
+SHARED["run_refused"] = """
+SELECT DISTINCT doc_id, CASE doc_id % 10 WHEN 0 THEN 'missing_spec_id' WHEN 1 THEN 'duplicate_spec_id' ELSE 'unexpected_spec_id' END AS batch_fault
+FROM lines WHERE doc_id % 7 <> 3 AND doc_id % 10 <= 2 AND doc_id % 11 <> 5
+"""
+
+
+@query("""
+SELECT 'batches' AS section, 'all' AS key, count(*)::DOUBLE AS value FROM run_batches
+UNION ALL SELECT 'batches_cached', 'all', count(DISTINCT doc_id) FROM lines WHERE doc_id % 11 = 5
+UNION ALL SELECT 'batches_failed', 'all', count(DISTINCT doc_id) FROM lines WHERE doc_id % 11 <> 5 AND (doc_id % 7 = 3 OR doc_id % 10 <= 2)
+UNION ALL SELECT 'texts', 'all', count(*) FROM run_rows WHERE reject_reason IS NULL
+UNION ALL SELECT 'texts_rejected', 'all', (SELECT count(*) FROM run_rows WHERE reject_reason IS NOT NULL) + (SELECT count(*) FROM run_refused)
+UNION ALL SELECT 'low_diversity_batches', 'all', count(*) FILTER (collapsed) FROM run_batches
+UNION ALL SELECT 'mean_distinct2', 'all', round(coalesce(avg(d2), 0.0), 4) FROM run_batches
+UNION ALL SELECT 'mean_distinct3', 'all', round(coalesce(avg(d3), 0.0), 4) FROM run_batches
+UNION ALL SELECT 'reject_reasons', reject_reason, count(*) FROM run_rows WHERE reject_reason IS NOT NULL GROUP BY reject_reason
+UNION ALL SELECT 'reject_reasons', batch_fault, count(*) FROM run_refused GROUP BY batch_fault
+""")
+def generation_report(spark: SparkSession, d: str) -> DataFrame:
+    """A resumed run over one batch per document; every eleventh was finished before."""
+    specs = batch_specs(spark, d)
+    done = specs.where(F.col("batch_uid").cast("long") % 11 == 5)
+    return flows.generation_report(batch_responses(spark, d), specs, done)
+
+
+SHARED["run_labels"] = """
+SELECT v.*, s.tags, s.tag_list FROM reply_verdicts v JOIN row_stats s ON s.req_uid = v.req_uid WHERE doc_id % 13 <> 4 AND line_no % 3 <> 0
+"""
+
+
+@query("""
+SELECT 'requests' AS section, 'all' AS key, count(*)::DOUBLE AS value FROM lines WHERE doc_id % 13 <> 4
+UNION ALL SELECT 'cached', 'all', count(*) FROM lines WHERE doc_id % 13 = 4
+UNION ALL SELECT 'failed', 'all', count(*) FROM lines WHERE doc_id % 13 <> 4 AND line_no % 3 = 0
+UNION ALL SELECT 'labelled', 'all', count(*) FROM run_labels WHERE outcome IS NULL
+UNION ALL SELECT 'rejected', 'all', count(*) FROM run_labels WHERE outcome IS NOT NULL
+UNION ALL SELECT 'null_corrections', 'all', count(*) FROM run_labels WHERE outcome IS NULL AND correction IS NULL
+UNION ALL SELECT 'validity_rate', 'all', round(coalesce(avg((outcome IS NULL)::INT), 0.0), 4) FROM run_labels
+UNION ALL SELECT 'other_tag_share', 'all', round(coalesce(avg((tag = 'other')::INT), 0.0), 4) FROM (SELECT unnest(tag_list) AS tag FROM run_labels WHERE outcome IS NULL)
+UNION ALL SELECT 'middle_band_share', 'all', round(coalesce(avg((meaning IN (1, 2, 3))::INT), 0.0), 4) FROM run_labels WHERE outcome IS NULL
+UNION ALL SELECT 'reject_reasons', outcome, count(*) FROM run_labels WHERE outcome IS NOT NULL GROUP BY outcome
+UNION ALL SELECT 'meaning_counts', meaning::VARCHAR, count(*) FROM run_labels WHERE outcome IS NULL GROUP BY meaning
+UNION ALL SELECT 'tag_counts', tag, count(*) FROM (SELECT unnest(tag_list) AS tag FROM run_labels WHERE outcome IS NULL) GROUP BY tag
+""")
+def label_report(spark: SparkSession, d: str) -> DataFrame:
+    """A resumed first pass over all lines; those of every thirteenth document were graded before."""
+    texts = D.marked(spark, d).select("req_uid", F.col("source").alias("sense_uid"), "text")
+    before = texts.where(F.substring_index("req_uid", ":", 1).cast("long") % 13 == 4)
+    return flows.label_report(texts, replies(spark, d), before)

@@ -19,6 +19,7 @@ from marginalia.operators import log as L
 from marginalia.operators import requests as Q
 from marginalia.operators import rollouts as O
 from marginalia.operators import timing as M
+from marginalia.plans import flows
 from marginalia.schemas import POOL, PROFILES, check_band_config, GROUPS, TAGS, THRESHOLDS, USAGE_TAGS, WEIGHTS
 from marginalia.sources import readers, sinks
 from marginalia.streaming import changelog as G
@@ -678,8 +679,7 @@ def test_rejects_say_what_was_refused(spark):
 
 def test_batches_with_an_id_fault_stay_pending(spark):
     specs = [(b, f"{b}{i}") for b in ("ok", "lost", "twice", "odd", "none") for i in range(3)]
-    columns = "batch_uid string, spec_id string, sense_uid string, target string, target_norm string, pos string, definition string, cefr string, is_multiword boolean, is_placeholder boolean, profile_id string, meaning_req int, error_spec string"
-    asked = spark.createDataFrame([(b, s, "u", "word", "word", "noun", "d", None, False, False, "p", 1, "few") for b, s in specs], columns)
+    asked = spark.createDataFrame([(b, s, "u", "word", "word", "noun", "d", None, False, False, "p", 1, "few") for b, s in specs], SPEC_COLUMNS)
 
     def reply(*ids):
         return json.dumps({"sentences": [{"spec_id": i, "text": "a word here"} for i in ids]})
@@ -692,6 +692,66 @@ def test_batches_with_an_id_fault_stay_pending(spark):
     ]
 
 
+SPEC_COLUMNS = "batch_uid string, spec_id string, sense_uid string, target string, target_norm string, pos string, definition string, cefr string, is_multiword boolean, is_placeholder boolean, profile_id string, meaning_req int, error_spec string"
+
+
+def numbers(report):
+    return {(r["section"], r["key"]): r["value"] for r in report.collect()}
+
+
+def test_generation_report(spark):
+    batches = ("same", "short", "lost", "twice", "none", "old")
+    specs = [(b, f"{b}{i}", "u", "word", "word", "noun", "d", None, False, False, "p", 1, "few") for b in batches for i in range(3)]
+    asked = spark.createDataFrame(specs, SPEC_COLUMNS)
+
+    def reply(text, *ids):
+        return json.dumps({"sentences": [{"spec_id": i, "text": text} for i in ids]})
+
+    answers = [
+        ("same", reply("a word for you", "same0", "same1", "same2")), ("short", reply("wo", "short0", "short1", "short2")),
+        ("lost", reply("a word here", "lost2")), ("twice", reply("a word here", "twice0", "twice0", "twice1", "twice2")),
+        ("old", reply("never looked at", "x")),
+    ]
+    got = spark.createDataFrame(answers, "batch_uid string, response string")
+    done = spark.createDataFrame([("old",), ("old",)], "batch_uid string")
+    found = numbers(flows.generation_report(got, asked, done))
+    # Of nine bigrams three differ and of six trigrams two; the batch that lost its texts scores 1.
+    assert found == {
+        ("batches", "all"): 2, ("batches_cached", "all"): 1, ("batches_failed", "all"): 3, ("texts", "all"): 3, ("texts_rejected", "all"): 6,
+        ("low_diversity_batches", "all"): 1, ("mean_distinct2", "all"): 0.6667, ("mean_distinct3", "all"): 0.6667,
+        ("reject_reasons", "too_short"): 3, ("reject_reasons", "missing_spec_id"): 2, ("reject_reasons", "duplicate_spec_id"): 1,
+    }
+    nothing = numbers(flows.generation_report(got.where("false"), asked.where("false")))
+    assert len(nothing) == 8 and set(nothing.values()) == {0}
+    unanswered = numbers(flows.generation_report(got.where("false"), asked))
+    assert unanswered["batches_failed", "all"] == 6 and unanswered["mean_distinct2", "all"] == 0
+
+
+def test_label_report(spark):
+    texts = spark.createDataFrame([(f"r{i}", "u", "a b") for i in range(7)], "req_uid string, sense_uid string, text string")
+
+    def reply(correction, meaning=2, feedback="Well done here."):
+        return json.dumps({"correction": correction, "meaning": meaning, "feedback": feedback})
+
+    rows = [
+        ("r0", 0, reply("a [b>c:sp]")), ("r1", 0, reply("[a>x:other] [b>c:sp]", 4)), ("r2", 0, reply(None, 0)), ("r3", 0, reply("a b", 9)),
+        ("r4", 0, "no"), ("r4#p1", 1, reply("a b")), ("r5#p1", 1, reply("a b")), ("r6", 0, reply("a b")),
+    ]
+    replies = spark.createDataFrame([(*r, "h") for r in rows], "req_uid string, pass_index int, reply string, prompt_hash string")
+    before = spark.createDataFrame([("r6",), ("r0#p1",)], "req_uid string")
+    found = numbers(flows.label_report(texts, replies, before))
+    assert found == {
+        ("requests", "all"): 6, ("cached", "all"): 1, ("failed", "all"): 1, ("labelled", "all"): 3, ("rejected", "all"): 2,
+        ("null_corrections", "all"): 1, ("validity_rate", "all"): 0.6, ("other_tag_share", "all"): 0.3333, ("middle_band_share", "all"): 0.3333,
+        ("reject_reasons", "meaning_range"): 1, ("reject_reasons", "missing_field"): 1, ("meaning_counts", "2"): 1, ("meaning_counts", "4"): 1,
+        ("meaning_counts", "0"): 1, ("tag_counts", "sp"): 2, ("tag_counts", "other"): 1,
+    }
+    second = numbers(flows.label_report(texts, replies, before, pass_index=1))
+    assert (second["requests", "all"], second["cached", "all"], second["failed", "all"], second["labelled", "all"]) == (6, 1, 4, 2)
+    nothing = numbers(flows.label_report(texts, replies.where("false"), before))
+    assert nothing["failed", "all"] == 6 and nothing["validity_rate", "all"] == 0 and len(nothing) == 9
+
+
 def test_rewards_read_raw_answers(spark):
     gold = spark.createDataFrame([("r", "a b", "a [b>c:sp]", 2, "Well done here.")], "req_uid string, text string, correction string, meaning int, feedback string")
     full = json.dumps({"correction": "a [b>c:sp]", "meaning": 2, "feedback": "Well done here."})
