@@ -16,7 +16,7 @@ from marginalia.llm.mixing import mix, mixed_documents
 from marginalia.llm.packing import encode, pack, packed, tokenizer_of
 from marginalia.llm.quality import class_prior, good_documents, quality_scores
 from marginalia.llm.secrets import ALPHABETS, LENGTHS, RATE, STEP, STEPS, redacted, secret_spans
-from marginalia.llm.toxicity import chain_probabilities, fit_chain, toxicity_scores
+from marginalia.llm.toxicity import LEAST, _buckets, _logistic, _probability, chain_probabilities, cue_counts, design, features, find_cues, fit_chain, lookup, toxicity_scores, two_kinds
 from marginalia.llm.url_rules import judged_urls
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, _text int"
@@ -459,7 +459,7 @@ def test_scores_do_not_depend_on_partitions(spark):
         some = docs.repartition(parts)
         seen.append([
             sorted(map(tuple, quality_scores(some, labels, fit_docs=40).select("doc_id", "score").collect()), key=repr),
-            sorted(map(tuple, toxicity_scores(some, labels, fit_docs=150).select("doc_id", "p_toxic", "p_dense").collect()), key=repr),
+            sorted(map(tuple, toxicity_scores(some, labels, fit_docs=150).select("doc_id", "p_toxic", "p_kind_2").collect()), key=repr),
             sorted(map(tuple, predict_languages(some, docs_per_lang=30).select("doc_id", "lang_pred", "score").collect()), key=repr),
         ])
     spark.conf.set("spark.sql.shuffle.partitions", old)
@@ -514,3 +514,67 @@ def test_chain_feeds_earlier_categories():
     assert [len(w) for w in chain] == [5, 6] and chain[1][4] > 0.5
     p = chain_probabilities(x, chain)
     assert ((p[:, 1] > 0.5) == (first == 1)).mean() > 0.95
+
+
+def test_a_later_category_gains_by_the_earlier_ones():
+    """Both ends of a line are toxic: no linear model of the line alone can say so, one that sees the kinds can."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-3, 3, size=(1500, 1)).astype(np.float32)
+    low, high = (x[:, 0] < -1).astype(float), (x[:, 0] > 1).astype(float)
+    toxic = low + high
+    alone = chain_probabilities(x, fit_chain(x, {"toxic": toxic}))[:, -1]
+    chained = chain_probabilities(x, fit_chain(x, {"kind_1": low, "kind_2": high, "toxic": toxic}))[:, -1]
+    assert ((alone > 0.5) == toxic).mean() < 0.75 and ((chained > 0.5) == toxic).mean() > 0.9
+
+
+def test_chain_equals_a_plain_one():
+    """Every model fitted by itself: earlier probabilities of a row come from features and models made without its fold."""
+    rng = np.random.default_rng(5)
+    x, other = (rng.normal(size=(90, 3)).astype(np.float32) for _ in range(2))
+    keys = rng.integers(0, 1000, 90)
+    marks = {"a": (x[:, 0] > 0).astype(float), "b": (x[:, 1] > 0).astype(float)}
+    fold = np.array([int(k) % 3 for k in keys])
+    first = np.zeros((90, 1), np.float32)
+    for i in range(90):
+        mine = other * (fold[i] + 1)
+        first[i] = _probability(mine[i : i + 1], _logistic(mine[fold != fold[i]], marks["a"][fold != fold[i]]))[0]
+    got = fit_chain(x, marks, keys=keys, without=lambda k: other * np.float32(k + 1))
+    assert np.allclose(got[0], _logistic(x, marks["a"]))
+    assert np.allclose(got[1], _logistic(np.hstack([x, first]), marks["b"]), atol=1e-4)
+
+
+def test_cues_equal_counting_and_are_chosen_without_each_fold(spark):
+    rows = [(int(i % 3 == 0), words(i, 12, "abcd") + (" horrid" if i % 3 == 0 else "") + (" vile" if i % 2 else ""), i * 7919 % 101) for i in range(120)]
+    rows += [(0, None, 3), (1, "", 4)]
+    sets = find_cues(spark.createDataFrame(rows, "label int, text string, place bigint").repartition(5), cues=40)
+    held = [(label, {int(g) for b in _buckets(text) for g in b}, place % 3) for label, text, place in rows]
+    for left_out, got in zip([None, 0, 1, 2], sets):
+        some = [(label, grams) for label, grams, fold in held if fold != left_out]
+        bad, fine = sum(v == 1 for v, _ in some), sum(v == 0 for v, _ in some)
+        score = {}
+        for g in set().union(*(grams for _, grams in some)):
+            a, b = sum(g in grams for v, grams in some if v), sum(g in grams for v, grams in some if not v)
+            if a >= LEAST and a / bad > 2 * b / fine:
+                n = bad + fine
+                score[g] = n * (a * (fine - b) - b * (bad - a)) ** 2 / ((a + b) * (n - a - b + 1) * bad * fine)
+        assert got.tolist() == sorted(sorted(score, key=lambda g: (-score[g], g))[:40])
+
+
+def test_design_equals_features_row_by_row():
+    texts = ["horrid villain horrid", "", None, "a quiet word of horrid sense"]
+    every = np.unique(np.concatenate([b for t in texts for b in _buckets(t)]))
+    kept = every[::3]
+    doc, cue, count, total = [], [], [], []
+    for i, t in enumerate(texts):
+        counts, n = cue_counts(t, lookup(every))
+        at = np.flatnonzero(counts)
+        doc, cue, count, total = doc + [i] * len(at), cue + at.tolist(), count + counts[at].tolist(), total + [n]
+    x = design(*(np.array(v, np.int64) for v in (doc, cue, count, total)), np.searchsorted(every, kept))
+    assert np.array_equal(x, np.array([features(*cue_counts(t, lookup(kept))) for t in texts]))
+
+
+def test_kinds_follow_what_occurs_together():
+    one, two = np.tile([1.0, 1, 0, 0], (7, 1)), np.tile([0.0, 0, 2, 1], (4, 1))
+    assert two_kinds(np.vstack([two, one])).tolist() == [1] * 4 + [0] * 7
+    assert two_kinds(one).tolist() == [0] * 7 and two_kinds(one[:1]).tolist() == [0]
+    assert two_kinds(np.zeros((2, 3))).tolist() == [0, 0]
