@@ -33,6 +33,8 @@ PIVOTS, PIVOT_SAMPLE = 512, 8192
 STEP, EMITTED = 256, 4096
 #: Rounding of bounds, as a share of the products they are made of.
 SLACK = 1e-9
+#: Below this size products of whole numbers are exact in doubles; scores are below ``LARGEST``. ``NOTHING`` is no score.
+EXACT, LARGEST, NOTHING = float(1 << 52), float(1 << 62), -(1 << 63) + 1
 
 
 class CoverTree:
@@ -81,16 +83,16 @@ def dual_search(
 
     ``own`` and ``rows`` say which candidate row is the query itself. ``floor`` is a score that
     ``k`` candidates elsewhere reach already; only what is at least as good is looked for. Free
-    places have row -1.
+    places have row -1. Scores are whole numbers: where they may be too large for doubles they are summed up as integers.
     """
     n = len(queries.points)
-    score = np.full((n, k), -np.inf)
+    score = np.full((n, k), NOTHING, np.int64)
     ident = np.full((n, k), np.iinfo(np.int64).max)
     place = np.full((n, k), -1, np.int64)
 
-    def worst(node: int) -> float:
+    def worst(node: int) -> int:
         q = queries.rows[node]
-        return float(np.maximum(score[q, k - 1], floor[q]).min())
+        return int(np.maximum(score[q, k - 1], floor[q]).min())
 
     def bound(a: int, b: int) -> float:
         qa, cb = queries.centre[a], data.centre[b]
@@ -101,13 +103,16 @@ def dual_search(
 
     def leaves(a: int, b: int) -> None:
         q, c = queries.rows[a], data.rows[b]
-        s = queries.points[q] @ data.points[c].T
-        s[own[q][:, None] == rows[c][None]] = -np.inf
+        if queries.norms[q].max() * data.norms[c].max() < EXACT:
+            s = (queries.points[q] @ data.points[c].T).astype(np.int64)
+        else:
+            s = queries.points[q].astype(np.int64) @ data.points[c].astype(np.int64).T
+        s[own[q][:, None] == rows[c][None]] = NOTHING
         # What can enter is as good as the k-th so far and as the k-th of this leaf, ties included.
         least = np.maximum(score[q, k - 1], floor[q])
         if len(c) > k and np.count_nonzero(s >= least[:, None]) > 4 * k * len(q):
             least = np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1])
-        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        i, j = np.nonzero((s >= least[:, None]) & (s > NOTHING))
         if not len(i):
             return
         touched = np.unique(i)
@@ -230,7 +235,7 @@ def _searched(k: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(q_rows[i]), pa.array(q_ids[i]), pa.array(place[i, j]), pa.array(ident[i, j]),
-                    pa.array(score[i, j].astype(np.int64)),
+                    pa.array(score[i, j]),
                 ],
                 names=["row", "query_id", "found", "vec_id", "score"],
             )
@@ -275,8 +280,8 @@ def top_inner(
     the smaller ``vec_id``. ``is_query`` is a condition on the rows. Vectors that are null, empty,
     or hold null or non-finite parts take no part; vectors of different length do not meet. A row
     is never its own result, rows that repeat an id are rows of their own, and a null ``vec_id``
-    counts as larger than all others. Scores must stay below 2^53 in size, else the scaled
-    vectors do not fit and the job stops. An empty table gives an empty result.
+    counts as larger than all others. Scores are exact whole numbers; those of 2^62 or more in size do not fit, and where
+    the longest query and the longest vector allow one the job stops. An empty table gives an empty result.
     """
     scratch = Scratch(rows.sparkSession)
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
@@ -288,12 +293,13 @@ def top_inner(
             F.coalesce(is_query, F.lit(False)).alias("asks"),
         )
     )
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     size = base.agg(
-        F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")
+        F.count("*").alias("n"), F.max(length).alias("longest"), F.max(F.when(F.col("asks"), length)).alias("asking")
     ).first()
     n = size["n"]
-    if n and size["norm"] >= float(1 << 53):
-        raise ValueError("inner products of these vectors do not fit into exact doubles")
+    if n and size["longest"] * (size["asking"] or 0.0) >= LARGEST:
+        raise ValueError("inner products of these vectors do not fit into 64 bits")
     centres = pivots(base, "vec", min(max_pivots, max(1, -(-n // block))), PIVOT_SAMPLE, shape=lambda x: x) if n else {}
     dealt = scratch.save(
         base.mapInArrow(
@@ -315,12 +321,12 @@ def top_inner(
     homes = dealt.select(
         home_block.alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("slot"),
-        F.lit(False).alias("query"), "row", "vec_id", "vec", F.lit(None).cast("double").alias("floor"),
+        F.lit(False).alias("query"), "row", "vec_id", "vec", F.lit(NOTHING).alias("floor"),
     )
 
     def search(asking: DataFrame, first: bool) -> DataFrame:
         sent = asking.mapInArrow(
-            tidy(_sent(centres, cells, blocks, first)), "block bigint, row bigint, vec_id bigint, vec array<double>, floor double"
+            tidy(_sent(centres, cells, blocks, first)), "block bigint, row bigint, vec_id bigint, vec array<double>, floor bigint"
         ).select("block", F.pmod(F.xxhash64("row"), F.lit(asked)).cast("int").alias("slot"), F.lit(True).alias("query"),
                  "row", "vec_id", "vec", "floor")
         return (
@@ -336,9 +342,9 @@ def top_inner(
         return df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     asking = dealt.where("asks").select("row", "vec_id", "vec", "width", "cell")
-    near = scratch.save(ranked(search(asking.withColumn("floor", F.lit(float("-inf"))), True)))
-    kth = near.where(F.col("rank") == k).select("row", F.col("score").cast("double").alias("floor"))
-    later = asking.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    near = scratch.save(ranked(search(asking.withColumn("floor", F.lit(NOTHING)), True)))
+    kth = near.where(F.col("rank") == k).select("row", F.col("score").alias("floor"))
+    later = asking.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(NOTHING)))
     found = near.drop("rank").unionByName(search(later, False))
     null_id = F.lit((1 << 63) - 1)
     return ranked(found).select(

@@ -1,6 +1,7 @@
 """SimHash groups, vector links and top-k against brute force, on small tables with odd rows."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -188,6 +189,30 @@ def test_top_inner_equals_brute_force(spark, block, group):
     assert top_inner(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("block,group", [(4096, 1 << 16), (16, 8)])
+def test_top_inner_is_exact_beyond_doubles(spark, block, group):
+    """Scores around 2^60 that differ by one, among small ones."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    rows += [(1000 + i, [float(x) for x in rng.integers(-(1 << 21), 1 << 21, 4)]) for i in range(60)]
+    rows += [(2000 + i, [float(1 << 21), float(i % 7) / 256, 1.0, 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    got = top_inner(df, F.col("vec_id") % 10 == 0, k=5, block=block, group=group).collect()
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for i, v in whole:
+        if i % 10 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if j != i)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    assert max(w[3] for w in want) > 1 << 58
+    assert sorted(map(tuple, got)) == sorted(want)
+    # A vector that is too long for a score stops the job only if a query can meet it.
+    far = df.unionByName(spark.createDataFrame([(5001, [1e30, 0.0, 0.0, 0.0])], "vec_id bigint, embedding array<double>"))
+    with pytest.raises(ValueError, match="64 bits"):
+        top_inner(far, F.col("vec_id") == 10)
+    assert top_inner(far, F.lit(False)).count() == 0
+
+
 def test_batches_of_copies_are_bounded():
     """Every vector visits every block here; no batch has more rows than stated."""
     import pyarrow as pa
