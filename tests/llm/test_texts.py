@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.langid import _positions, fit_filters, gram_hashes, predict_languages
 from marginalia.llm.mixing import mix, mixed_documents
 from marginalia.llm.packing import encode, pack, packed, tokenizer_of
-from marginalia.llm.quality import class_prior, good_documents, quality_scores
+from marginalia.llm.quality import BYTE_CLASSES, CLASSES, class_prior, fit_quality, fit_scorer, good_documents, quality_scores
 from marginalia.llm.secrets import ALPHABETS, LENGTHS, RATE, STEP, STEPS, redacted, secret_spans
 from marginalia.llm.toxicity import LEAST, _buckets, _logistic, _probability, chain_probabilities, cue_counts, design, features, find_cues, fit_chain, lookup, toxicity_scores, two_kinds
 from marginalia.llm.url_rules import judged_urls
@@ -410,6 +410,33 @@ def test_languages_on_held_out_rows(spark):
     assert predict_languages(docs.limit(0)).count() == 0
 
 
+def plain_grams(text):
+    """Letter 3-grams as strings: lower case, one blank for whatever lies between words and at both ends."""
+    line = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()) + " "
+    return [line[i : i + 3] for i in range(len(line) - 2)] if line.strip() else []
+
+
+def test_languages_equal_counting_with_sets(spark):
+    """Plain sets of strings in place of the filters, which are wide enough here to hold no false positive that counts."""
+    rows = language_rows() + [(500, words(500, 9, "abcdé") + " 12--" + words(501, 9, "éxyz"), None, "s"), (501, "b", "bb", "s"), (None, "cab", "aa", "s")]
+    counts = {}
+    for i, text, lang, _ in rows:
+        if lang is not None and zlib.crc32(b"" if i is None else str(i).encode()) % 3 != 1:
+            for g in plain_grams(text):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    rate = {lang: {g: n / sum(of.values()) for g, n in of.items()} for lang, of in counts.items()}
+    most = {g: max(of.get(g, 0.0) for of in rate.values()) for of in rate.values() for g in of}
+    has = {lang: {g for g, r in of.items() if r >= 1e-5 and r >= 0.5 * most[g]} for lang, of in rate.items()}
+    got = {r["doc_id"]: r for r in predict_languages(frame(spark, rows)).collect()}
+    for i, text, _, _ in rows:
+        hits = {lang: sum(g in has[lang] for g in plain_grams(text)) for lang in sorted(has)}
+        best = max(sorted(hits), key=lambda lang: hits[lang])
+        if sorted(hits.values())[-1] > sorted(hits.values())[-2]:
+            assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx(hits[best] / sum(hits.values()), abs=2e-3)
+
+
 def test_filters_hold_every_language_of_a_gram(spark):
     from marginalia.llm.common import Scratch
 
@@ -449,6 +476,53 @@ def test_quality_on_held_out_rows(spark):
     assert quality_scores(docs.limit(0), labels).count() == 0
 
 
+def plain_shape(text):
+    """The features of a text, byte by byte and word by word."""
+    data = (text or "").encode()
+    pairs = [[0] * CLASSES for _ in range(CLASSES)]
+    for a, b in zip(b"\n" + data, data):
+        pairs[BYTE_CLASSES[a]][BYTE_CLASSES[b]] += 1
+    out = [math.sqrt(n / max(1, len(data))) for line in pairs for n in line]
+    found = data.split()
+    if not found:
+        return out + [0.0] * 8
+    n, lines, sizes = len(found), data.split(b"\n"), [len(w) for w in found]
+    mean = sum(sizes) / n
+    spread = math.sqrt(sum((k - mean) ** 2 for k in sizes) / n)
+    most = max(found.count(w) for w in set(found))
+    again = sum(found[i] == found[i - 1] for i in range(1, n))
+    return out + [math.log(1 + n), mean / 10, spread / 10, len(set(found)) / n, most / n, again / n, len(set(lines)) / len(lines), math.log(1 + n / len(lines))]
+
+
+def test_quality_scores_equal_plain_ones(spark):
+    docs, labels = quality_tables(spark)
+    docs = docs.where("doc_id IS NULL OR doc_id <> 1002").union(frame(spark, [(1003, "wörter über\n\nwörter a a\tb|c", None, None)]))
+    model = fit_quality(docs, labels)
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in quality_scores(docs, labels).collect():
+        x = plain_shape(rows[r["doc_id"]])
+        z = sum(w * min(4.0, max(-4.0, (v - m) / s)) for w, v, m, s in zip(model["w"], x, model["mean"], model["std"])) + model["w"][-1]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_the_scorer_has_the_least_non_negative_risk():
+    rng = np.random.default_rng(6)
+    good, bad = rng.normal(0.7, 1, (900, 3)), rng.normal(-0.7, 1, (900, 3))
+    trusted, unlabelled = good[:500], np.concatenate([good[500:], bad[:600]])
+    model = fit_scorer(trusted, unlabelled)
+    prior = float(model["prior"][0])
+    assert abs(prior - 0.4) < 0.1
+
+    def risk(w):
+        p, u = ([sum(a * b for a, b in zip(w, (x - model["mean"]) / model["std"])) + w[-1] for x in part] for part in (trusted, unlabelled))
+        plus = sum(math.log1p(math.exp(-g)) for g in p) / len(p)
+        minus = sum(math.log1p(math.exp(g)) for g in u) / len(u) - prior * sum(math.log1p(math.exp(g)) for g in p) / len(p)
+        return prior * plus + max(0.0, minus) + 3e-3 / 2 * float(np.dot(w, w))
+
+    least = risk(model["w"])
+    assert all(least < risk(model["w"] + step) for step in rng.normal(0, 0.3, (20, 4)))
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     """Samples are drawn by hashes and summed in one order, so one partition and many give the same scores."""
     docs, labels = quality_tables(spark)
