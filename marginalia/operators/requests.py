@@ -290,22 +290,29 @@ def refused_batches(responses: DataFrame, specs: DataFrame) -> DataFrame:
     return faults.select("batch_uid", "batch_fault", each_missing.cast("long").alias("n"))
 
 
-def expand_batches(responses: DataFrame, specs: DataFrame, **limits: int) -> DataFrame:
+def expand_batches(responses: DataFrame, specs: DataFrame, refused: bool = False, **limits: int) -> DataFrame:
     """One row per request of the batches that are done, with its text or a reject reason.
 
     ``responses`` has ``batch_uid`` and the reply as a JSON string; rows of kind
     ``batch_done`` only serve resuming and are left out. A bad shape or an absent target refuses
-    one sentence. A batch without an answer, or with an id fault, is still pending and has no row;
-    ``refused_batches`` tells the faults.
+    one sentence. A batch without an answer is still pending and has no row. One with an id fault is
+    pending too: with ``refused`` its requests are rows whose reject reason is the fault, else it has
+    no row; ``refused_batches`` tells the faults per batch.
     """
     answered = _answers(responses)
     faults = response_id_check(answered, specs)
     texts = answered.groupBy("batch_uid", "spec_id").agg(F.min("text").alias("text"))
     rows = specs.join(texts, ["batch_uid", "spec_id"], "left")
-    faults = faults.select("batch_uid", "requested", F.col("batch_fault").isNull().alias("done"))
-    rows = attach(rows, faults, ["batch_uid"], "requested", **limits).where("done")
+    faults = faults.drop("missing").withColumn("answered", F.lit(True))
+    rows = attach(rows, faults, ["batch_uid"], "requested", **limits).where("answered")
+    if not refused:
+        rows = rows.where(F.col("batch_fault").isNull())
     checked = target_present(sentence_shape_check(rows))
-    reason = F.when(F.col("shape_fault").isNotNull(), F.col("shape_fault")).when(F.col("target_absent"), "target_absent")
+    reason = (
+        F.when(F.col("batch_fault").isNotNull(), F.col("batch_fault"))
+        .when(F.col("shape_fault").isNotNull(), F.col("shape_fault"))
+        .when(F.col("target_absent"), "target_absent")
+    )
     done = checked.withColumn("reject_reason", reason).withColumn("req_uid", F.col("spec_id"))
     done = done.withColumn("text", strip(F.col("text")))
     return done.select(

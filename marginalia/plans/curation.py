@@ -680,9 +680,14 @@ FROM (SELECT *, trim(text) AS t FROM lines WHERE doc_id % 7 <> 3 AND doc_id % 10
 """
 
 
-@query("SELECT req_uid, batch_uid, reject_reason, text FROM batch_rows")
+@query(rf"""
+SELECT row_id AS req_uid, CAST(doc_id AS VARCHAR) AS batch_uid, CASE doc_id % 10 WHEN 0 THEN 'missing_spec_id' WHEN 1 THEN 'duplicate_spec_id'
+    WHEN 2 THEN 'unexpected_spec_id' ELSE coalesce({SHAPE}, CASE WHEN line_no % 5 > 0 AND line_no % 4 <> 3 AND NOT contains(lower(t), lang) THEN 'target_absent' END)
+  END AS reject_reason, CASE WHEN doc_id % 10 <> 0 OR line_no > 0 THEN t END AS text
+FROM (SELECT *, trim(text) AS t FROM lines WHERE doc_id % 7 <> 3)
+""")
 def expand_batches(spark: SparkSession, d: str) -> DataFrame:
-    rows = R.expand_batches(batch_responses(spark, d), batch_specs(spark, d))
+    rows = R.expand_batches(batch_responses(spark, d), batch_specs(spark, d), refused=True)
     return rows.select("req_uid", "batch_uid", "reject_reason", "text")
 
 

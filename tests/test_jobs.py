@@ -692,6 +692,18 @@ def test_batches_with_an_id_fault_stay_pending(spark):
     ]
 
 
+def test_requests_of_a_refused_batch_are_rows_with_its_fault(spark):
+    specs = [(b, f"{b}{i}") for b in ("ok", "lost", "twice", "odd", "none") for i in range(2)]
+    asked = spark.createDataFrame([(b, s, "u", "word", "word", "noun", "d", None, False, False, "p", 1, "few") for b, s in specs], SPEC_COLUMNS)
+    replies = {"ok": ["ok0", "ok1"], "lost": ["lost1"], "twice": ["twice0", "twice0", "twice1"], "odd": ["odd0", "odd1", "x"]}
+    cells = [(b, json.dumps({"sentences": [{"spec_id": i, "text": "a word here"} for i in ids]})) for b, ids in replies.items()]
+    got = spark.createDataFrame(cells, "batch_uid string, response string")
+    rows = Q.expand_batches(got, asked, refused=True).collect()
+    faults = {"ok": None, "lost": "missing_spec_id", "twice": "duplicate_spec_id", "odd": "unexpected_spec_id"}
+    want = [(f"{b}{i}", b, fault, None if f"{b}{i}" == "lost0" else "a word here") for b, fault in faults.items() for i in range(2)]
+    assert sorted((r["req_uid"], r["batch_uid"], r["reject_reason"], r["text"]) for r in rows) == sorted(want)
+
+
 SPEC_COLUMNS = "batch_uid string, spec_id string, sense_uid string, target string, target_norm string, pos string, definition string, cefr string, is_multiword boolean, is_placeholder boolean, profile_id string, meaning_req int, error_spec string"
 
 
