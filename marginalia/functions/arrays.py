@@ -12,9 +12,10 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``.
 
     A lambda variable is opaque to the optimizer, so an expensive expression bound here is
-    not copied to each place that reads it.
+    not copied to each place that reads it. The value starts a fold over no elements, whose last
+    step is ``body``: a ``transform`` would copy whatever the body gives, and so once per nested bind.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.aggregate(F.array(), value, lambda held, _: held, body)
 
 
 def each(values: Column, body: Callable[[Column, Column], Column]) -> Column:
@@ -42,7 +43,7 @@ def running_total(values: Column, block: int = 16) -> Column:
         return F.aggregate(
             v,
             F.array(F.lit(0)),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
+            lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x),
         )
 
     def moved(blocks: Column) -> Column:

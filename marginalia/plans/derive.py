@@ -237,6 +237,15 @@ def edit_rows(df: DataFrame, col: str) -> DataFrame:
     return df.select("req_uid", F.inline(col))
 
 
+def side_edits(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """One row per edit of the marked lines' ``gold`` or ``pred``; the other side is not built."""
+    from marginalia.functions.markup import parse_markup
+    from marginalia.functions.arrays import with_columns_once
+
+    rows = marked(spark, sf_dir).select("req_uid", side)
+    return edit_rows(with_columns_once(rows, edits=parse_markup(F.col(side))["edits"]), "edits")
+
+
 # --- dictionary senses -------------------------------------------------------------------
 POS_SAMPLES = ["Noun ", "verb", "phrasal verb", "prefix", "adj", "idiom", "weird", ""]
 

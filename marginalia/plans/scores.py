@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import with_columns_once
 from marginalia.operators import calibration as B
 from marginalia.operators import gates as X
 from marginalia.operators import requests as R
@@ -27,8 +28,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def edits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = D.paired_edits(spark, d)
-    return D.edit_rows(rows, "pred_edits"), D.edit_rows(rows, "gold_edits")
+    return D.side_edits(spark, d, "pred"), D.side_edits(spark, d, "gold")
 
 
 # --- edit sets ---------------------------------------------------------------------------
@@ -463,11 +463,12 @@ SHARED["tag_weights"] = "SELECT tag, CAST(count(*) % 3 + 1 AS INTEGER) AS weight
 def passes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m = D.marked(spark, d)
     first = m.select("req_uid", F.col("gold_meaning").alias("meaning"), F.col("gold").alias("correction"))
-    again = m.where(F.col("pred").isNotNull()).select(
-        "req_uid", F.when(F.col("line_no") % 4 == 0, F.col("pred_meaning")).otherwise(F.col("gold_meaning")).alias("meaning"),
-        F.col("pred").alias("correction"),
+    again = m.select(
+        "req_uid", F.when(F.col("line_no") % 4 == 0, F.col("pred_meaning")).otherwise(F.col("gold_meaning")).alias("meaning"), "pred",
     )
-    return first, again
+    # Once, so that the filter does not build the prediction a second time.
+    again = with_columns_once(again, correction=F.col("pred")).where(F.col("correction").isNotNull())
+    return first, again.drop("pred")
 
 
 SHARED["pass_pairs"] = """
