@@ -193,7 +193,10 @@ def convert_corpus(
 
 
 def import_stats(conv: DataFrame, min_conversion_rate: float = 0.95) -> DataFrame:
-    """Import counters as rows ``(section, key, n)``; below the floor this is an error."""
+    """Import counters as rows ``(section, key, n)``; below the floor this is an error.
+
+    The counters are written once, so that the floor does not convert the corpus a second time.
+    """
     kept = F.col("drop_reason").isNull()
     counted = tally(
         conv,
@@ -206,6 +209,7 @@ def import_stats(conv: DataFrame, min_conversion_rate: float = 0.95) -> DataFram
         buckets=F.when(kept, F.col("edit_bucket")),
         cefr=F.when(kept, F.col("cefr")),
     )
+    counted = written(counted)
     base = {r["section"]: r["n"] for r in
             counted.where(F.col("section").isin("sentences", "converted")).collect()}
     rate = base.get("converted", 0) / max(base.get("sentences", 0), 1)

@@ -16,6 +16,7 @@ from marginalia.functions.markup import corrected_text, triples
 from marginalia.functions.spans import fault_of_spans, read_correction, read_lines
 from marginalia.functions.text import n_words, strip, units
 from marginalia.operators.grading import check_rows
+from marginalia.operators.ranking import written
 from marginalia.schemas import (
     GROUPS,
     MAX_BAND,
@@ -213,6 +214,7 @@ def taxonomy_report(pred: DataFrame, gold: DataFrame) -> DataFrame:
         .groupBy("tag")
         .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pred_n", "gold_n")])
     )
+    both = written(both)
     n = both.agg(F.sum("pred_n"), F.sum("gold_n")).first()
     for name, total_n in zip(("pred", "gold"), n):
         share = F.col(f"{name}_n") / F.lit(float(max(total_n or 0, 1)))
@@ -540,6 +542,7 @@ def tag_mix_compare(a: DataFrame, b: DataFrame) -> DataFrame:
         .groupBy("tag")
         .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_a", "n_b")])
     )
+    both = written(both)
     sums = both.agg(F.sum("n_a"), F.sum("n_b")).first()
     if not sums[0] or not sums[1]:
         raise ValueError("a corpus without tags cannot be compared")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.operators.ranking import written
 from marginalia.schemas import MAX_BAND, MIN_BAND, literal_rows
 
 
@@ -39,6 +40,7 @@ def reject_counts(df: DataFrame, reason: str = "reject_reason") -> DataFrame:
     by_reason = df.groupBy(F.coalesce(F.col(reason), F.lit("ok")).alias("reason")).agg(
         F.count("*").alias("n")
     )
+    by_reason = written(by_reason)
     total = by_reason.agg(F.sum("n")).first()[0] or 0
     return by_reason.withColumn("share", F.col("n") / F.lit(float(max(total, 1))))
 
@@ -54,6 +56,7 @@ def validity_rate(df: DataFrame, reason: str = "reject_reason") -> DataFrame:
 def band_distribution(df: DataFrame, col: str) -> DataFrame:
     """Count and share of every band, including the empty ones."""
     counts = df.groupBy(F.col(col).alias("band")).agg(F.count("*").alias("n"))
+    counts = written(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
     bands = literal_rows(df.sparkSession, "band int", [(b,) for b in range(MIN_BAND, MAX_BAND + 1)])
     return bands.join(counts, "band", "left").select(

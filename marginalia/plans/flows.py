@@ -245,10 +245,11 @@ def score_report(
 
     Beside the headline numbers: each band by itself, the tags of both sides, the confusions, the bins of
     the reliability diagram, and notes, which are rows without a value. A missing ceiling is an error,
-    and so is a ``config`` that was not calibrated. The parsed rows are written once.
+    and so is a ``config`` that was not calibrated. The parsed rows are written once, and so are the ceilings.
     """
     if config is not None:
         config.require_calibrated()
+    ceilings = written(ceilings)
     absent = sorted(set(CEILING_KEYS.values()) - {r["metric"] for r in ceilings.select("metric").collect()})
     if absent:
         raise ValueError(f"no ceiling for {absent}: numbers without one read as worse than they are")

@@ -136,3 +136,64 @@ def test_judge(spark):
     got = S.judge_summary(spark.createDataFrame(rows, "req_uid string, order string, reply string")).first()
     assert (got["n"], got["consistent"]) == (4, 2)
     assert (got["judge_win_rate"], got["judge_discard_rate"]) == (0.5, 0.5)
+
+
+def counted_rows(spark, df):
+    """``df`` and a counter of how many of its rows were evaluated."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(x):
+        seen.add(1)
+        return x
+
+    first = df.columns[0]
+    ticked = F.udf(tick, df.schema[first].dataType).asNondeterministic()
+    return df.withColumn(first, ticked(first)), seen
+
+
+def test_counters_evaluate_their_input_once(spark):
+    from marginalia.operators import scoring as S_
+    from marginalia.operators import tally as T_
+    from marginalia.operators.corpus import import_stats
+
+    def tags(values):
+        return spark.createDataFrame([(v,) for v in values], "tag string")
+
+    pred, seen = counted_rows(spark, tags(["sp", "sp", "other"]))
+    rows = S_.taxonomy_report(pred, tags(["sp"])).collect()
+    assert {r["tag"]: (r["pred_n"], r["gold_n"], r["gold_rate"]) for r in rows} == {"sp": (2, 1, 1.0), "other": (1, 0, 0.0)}
+    assert seen.value == 3
+    mix, seen = counted_rows(spark, spark.createDataFrame([(["sp", "art"],), (["sp"],)], "tags array<string>"))
+    rows = S_.tag_mix_compare(mix, spark.createDataFrame([(["sp"],)], "tags array<string>")).collect()
+    assert {r["tag"]: r["share_b"] for r in rows} == {"sp": 1.0, "art": 0.0} and seen.value == 2
+    bad, seen = counted_rows(spark, spark.createDataFrame([("empty",), (None,), (None,)], "reject_reason string"))
+    assert {r["reason"]: r["n"] for r in T_.reject_counts(bad).collect()} == {"empty": 1, "ok": 2} and seen.value == 3
+    kinds = "drop_reason string, skipped array<string>, other_split array<string>, all_tags array<string>, edit_bucket string, cefr string"
+    conv, seen = counted_rows(spark, spark.createDataFrame([(None, [], [], ["sp"], "one", "B1")] * 4, kinds))
+    found = {(r["section"], r["key"]): r["n"] for r in import_stats(conv).collect()}
+    assert found["converted", "all"] == found["tags", "sp"] == 4 and seen.value == 4
+
+
+def test_a_bound_value_is_not_copied_and_read_once(spark):
+    from marginalia.functions.arrays import bind, running_total
+
+    df = spark.createDataFrame([([1, 2, 3] * 20,), ([],), ([4, None, 1],), (None,)], "v array<int>")
+    got = [r[0] for r in df.select(running_total(F.col("v"))).collect()]
+    assert got[0] == [sum(([1, 2, 3] * 20)[:i]) for i in range(61)] and got[1:] == [[0], [0, 4, None, None], None]
+    bound = df.select(bind(F.struct(F.size("v").alias("n")), lambda s: F.struct((s["n"] + s["n"]).alias("x"))).alias("b"))
+    assert [r["b"]["x"] for r in bound.collect()][:3] == [120, 0, 6]
+    assert "transform(" not in bound._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_side_of_the_edits_is_what_both_sides_give(spark, tmp_path):
+    from marginalia.plans import derive as D_
+
+    words = " ".join(f"word{i}" for i in range(30))
+    docs = [(i, "en", "web", f"{words}\n{words} {i}\n") for i in range(12)] + [(20, None, None, None)]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    both = D_.paired_edits(spark, str(tmp_path))
+    for side, absent in (("gold", "% 11"), ("pred", "% 13 = 99")):
+        one = D_.side_edits(spark, str(tmp_path), side)
+        want = D_.edit_rows(both, f"{side}_edits")
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, want.collect())) != []
+        assert absent not in one._jdf.queryExecution().optimizedPlan().toString()
