@@ -26,6 +26,11 @@ EDIT_PATTERN = (
     r"\[((?:[^\[\]>\\]++|\\[\[\]]|\\)*+)>((?:[^\[\]:\\]++|\\[\[\]]|\\)*+):([a-z]+)\]"
 )
 SEGMENT = EDIT_PATTERN + r"|[^\[\\]++|\\[\[\]]|\\|\["
+# The same without escapes: an edit that has no fault, and an insert with the blank it swallows or trims.
+SOUND_EDIT = rf"\[(?!>:)([^\[\]>\\]*+)>[^\[\]:\\]*+:(?:{'|'.join(TAGS)})\]"
+INSERT = r"(\[>[^\[\]:\\]*+:[a-z]++\])"
+BLANK_AFTER = r"(\[(?<![^ ]\[)>[^\[\]:\\]*+:[a-z]++\]) "
+BLANK_BEFORE = " " + INSERT + r"\z"
 
 
 def no_edits() -> Column:
@@ -62,10 +67,79 @@ def parse_markup(correction: Column) -> Column:
     return (
         F.when(correction.isNull(), None)
         .when(~F.contains(correction, F.lit("[")), no_markup)
-        .otherwise(bind(groups, _assemble))
+        .otherwise(bind(_drawn_in(correction), lambda drawn: _plain(correction, drawn, bind(groups, _assemble))))
     )
 
 
+def _drawn_in(correction: Column) -> Column:
+    """A correction without the blanks that go with its inserts; null where an edit or its blank needs a closer look.
+
+    That is where something is escaped, and where an insert touches another edit, so that the blank
+    before it is not the one in front of its bracket.
+    """
+    close = F.contains(correction, F.lit("\\")) | F.contains(correction, F.lit("]["))
+
+    def trimmed(c: Column) -> Column:
+        touching = F.rlike(c, F.lit(r"\]" + INSERT + r"\z"))
+        return F.when(~F.endswith(correction, F.lit("]")), c).when(~touching, F.regexp_replace(c, BLANK_BEFORE, "$1"))
+
+    swallowed = bind(F.regexp_replace(correction, BLANK_AFTER, "$1"), trimmed)
+    return F.when(~F.contains(correction, F.lit("[>")) & ~close, correction).when(~close, swallowed)
+
+
+def _plain(correction: Column, drawn: Column, closer: Column) -> Column:
+    """``parse_markup`` of a correction from its drawn-in form, or ``closer`` where that will not do.
+
+    Nothing is escaped here and each bracket opens an edit without a fault, so the parts between
+    opening brackets are an edit and the text behind it: ``old>new:tag]text``.
+    """
+
+    def part(x: Column) -> Column:
+        inside = F.substring_index(x, "]", 1)
+        return bind(
+            F.struct(
+                F.length(x).alias("all"), inside.alias("inside"),
+                F.substring_index(inside, ">", 1).alias("old"), F.substring_index(inside, ":", -1).alias("tag"),
+            ),
+            lambda s: bind(
+                F.struct(F.length(s["inside"]).alias("inside"), F.length(s["old"]).alias("old"), F.length(s["tag"]).alias("tag")),
+                lambda n: F.struct(
+                    s["old"].alias("old"),
+                    F.substring(s["inside"], n["old"] + 2, n["inside"] - n["old"] - n["tag"] - 2).alias("new"),
+                    s["tag"].alias("tag"), n["old"].alias("length"), (n["old"] + s["all"] - n["inside"] - 1).alias("step"),
+                ),
+            ),
+        )
+
+    def placed(pieces: Column) -> Column:
+        def edit(s: Column, i: Column, first: Column, ends: Column) -> Column:
+            start = first + at(ends, i)
+            return F.struct(
+                s["old"].alias("original"), s["new"].alias("replacement"), s["tag"].alias("tag"),
+                start.alias("start"), (start + s["length"]).alias("end"),
+            )
+
+        def with_steps(parts: Column) -> Column:
+            steps = running_total(F.transform(parts, lambda s: s["step"]))
+            return bind(
+                F.struct(F.length(at(pieces, F.lit(0))).alias("first"), steps.alias("ends")),
+                lambda o: each(parts, lambda s, i: edit(s, i, o["first"], o["ends"])),
+            )
+
+        return bind(F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), part), with_steps)
+
+    def sound(text: Column) -> Column:
+        found = F.struct(
+            text.alias("text"),
+            bind(F.split(drawn, r"\["), placed).cast(f"array<{EDIT.simpleString()}>").alias("edits"),
+            F.lit(None).cast("string").alias("error"),
+            F.lit(None).cast("string").alias("detail"),
+        )
+        return F.when(F.contains(text, F.lit("[")), closer).otherwise(found)
+
+    return F.when(drawn.isNull(), closer).otherwise(bind(F.regexp_replace(drawn, SOUND_EDIT, "$1"), sound))
+
+
 def _assemble(g: Column) -> Column:
     def segment(x: Column, i: Column) -> Column:
         old, new, tag = at(g["old"], i), at(g["new"], i), at(g["tag"], i)
@@ -161,7 +235,7 @@ def _finish(segs: Column, pieces: Column) -> Column:
 
 def render_markup(text: Column, edits: Column) -> Column:
     """Markup for a text and its edits; null when a span is out of order or does not fit."""
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         each(
             edits,
             lambda e, i: F.struct(
@@ -252,13 +326,16 @@ def corrected_text(correction: Column) -> Column:
 
 
 def triples(edits: Column) -> Column:
-    """The distinct ``(start, end, tag)`` of an edit array; empty when there is none."""
-    return F.coalesce(
-        F.array_distinct(
-            F.transform(edits, lambda e: F.struct(e["start"], e["end"], e["tag"]))
-        ),
-        F.array().cast("array<struct<start:int,end:int,tag:string>>"),
-    )
+    """The distinct ``(start, end, tag)`` of an edit array as text; empty when there is none.
+
+    Sets of strings are told apart by hashing, sets of structs pair by pair.
+    """
+
+    def named(e: Column) -> Column:
+        places = [F.coalesce(e[x].cast("string"), F.lit("-")) for x in ("start", "end")]
+        return F.concat_ws(" ", *places, e["tag"])
+
+    return F.coalesce(F.array_distinct(F.transform(edits, named)), F.array().cast("array<string>"))
 
 
 def penalty(

@@ -207,7 +207,7 @@ def markup_of_lines(text: Column, output: Column) -> Column:
                 F.when(insert, point).otherwise(finish).cast("int").alias("end"),
             )
 
-        ordered = F.array_sort(
+        ordered = F.sort_array(
             each(
                 s["spans"],
                 lambda e, i: F.struct(

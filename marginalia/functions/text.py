@@ -47,7 +47,7 @@ def words(value: Column) -> Column:
 
 
 def n_words(value: Column) -> Column:
-    return F.size(words(value))
+    return F.regexp_count(value, F.lit(r"(?U)[^\s\x1c-\x1f]++"))
 
 
 def shape_fault(value: Column) -> Column:

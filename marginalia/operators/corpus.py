@@ -26,12 +26,13 @@ def joined_tokens(tokens: Column) -> Column:
     """``struct(text, offsets)``: natural spacing, and each token's start plus the end."""
 
     def glued(t: Column, i: Column) -> Column:
-        before = F.substring(at(tokens, i - 1), -1, 1)
+        before = at(tokens, i - 1)
+        clitic = F.startswith(t, F.lit("'")) | F.startswith(t, F.lit("n't"))
         return (
             F.when(i == 0, True)
-            .when((t != "") & F.substring(t, 1, 1).isin(*NO_SPACE_BEFORE), True)
-            .when(F.rlike(t, F.lit(r"^(n't|'[\p{L}\p{N}_]{1,2})$")), True)
-            .otherwise((before != "") & before.isin(*NO_SPACE_AFTER))
+            .when((t != "") & F.contains(F.lit(NO_SPACE_BEFORE), F.substring(t, 1, 1)), True)
+            .when(clitic & F.rlike(t, F.lit(r"^(n't|'[\p{L}\p{N}_]{1,2})$")), True)
+            .otherwise((before != "") & F.contains(F.lit(NO_SPACE_AFTER), F.substring(before, -1, 1)))
         )
 
     def place(pieces: Column) -> Column:
@@ -118,7 +119,7 @@ def map_error_types(
         skipped = F.transform(F.filter(met, lambda x: x["silent"]), lambda x: x["type"])
         other = F.filter(met, lambda x: ~x["silent"] & F.endswith(x["type"], F.lit("OTHER")))
         return F.struct(
-            F.array_sort(
+            F.sort_array(
                 F.transform(
                     F.filter(t, lambda x: ~x["silent"]),
                     lambda x: F.struct(x["start"], x["end"], x["replacement"], x["tag"]),

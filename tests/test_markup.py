@@ -318,3 +318,37 @@ def test_scored_references_are_read_as_their_printed_lines(spark):
         read_lines(lines_of_edits(F.col("text"), F.col("c"))).alias("b"),
     ).collect()
     assert all((r["a"]["signal"], r["a"]["spans"] or []) == (r["b"]["signal"], (r["b"]["spans"] if r["b"]["signal"] is None else None) or []) for r in both)
+
+
+def test_plain_markup_is_read_like_markup_that_needs_a_closer_look(spark):
+    from marginalia.functions import markup as P
+
+    texts = [
+        "a [>the:art] cat [sat>sits:tense] on it",
+        "[>the:art] cat",
+        "x [>a:art] ",
+        "x [>a:art]",
+        "x  [>a:art]",
+        "x [>a:art] [>b:art]",
+        "[>a:art] [>b:art]  y",
+        "x[>a:art] y",
+        "[a:c>d>e:sp] é𝒳 [b>:punc]] z",
+        "plain [no>zzz:zzz]",
+        "open [oops",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    drawn = P._drawn_in(F.col("c"))
+    # A backslash behind the text makes every edit go the longer way; it is shown as it is.
+    closer = P.parse_markup(F.concat(F.col("c"), F.when(F.endswith("c", F.lit("]")), "").otherwise("\\")))
+    plain = df.select("c", P.parse_markup(F.col("c")).alias("p"), closer.alias("q"), drawn.isNotNull().alias("short"))
+    for r in plain.collect():
+        assert r["p"]["error"] == r["q"]["error"]
+        if not r["c"].endswith("]") and not r["p"]["error"]:
+            assert r["p"]["text"] + "\\" == r["q"]["text"] and r["p"]["edits"] == r["q"]["edits"]
+    got = {r["c"]: r for r in plain.collect()}
+    assert got["x [>a:art] "]["p"]["text"] == "x " and got["x [>a:art]"]["p"]["text"] == "x"
+    assert [(e["start"], e["end"]) for e in got["x [>a:art]"]["p"]["edits"]] == [(1, 1)]
+    assert [r["c"] for r in got.values() if not r["short"]] == ["x [>a:art] [>b:art]"]
+    first = got["a [>the:art] cat [sat>sits:tense] on it"]["p"]
+    assert first["text"] == "a cat sat on it"
+    assert [tuple(e) for e in first["edits"]] == [("", "the", "art", 2, 2), ("sat", "sits", "tense", 6, 9)]
