@@ -253,31 +253,33 @@ def render_markup(text: Column, edits: Column) -> Column:
         def cursor(i: Column) -> Column:
             return F.when(i == 0, 0).otherwise(at(es, i - 1)["end"])
 
-        def misfit(e: Column, i: Column) -> Column:
-            held = F.substring(text, e["start"] + 1, e["end"] - e["start"])
-            return (
-                (e["start"] < cursor(i))
-                | (e["end"] < e["start"])
-                | (e["end"] > F.length(text))
-                | (held != e["original"])
-            )
-
-        def part(e: Column, i: Column) -> Column:
-            between = escape(F.substring(text, cursor(i) + 1, e["start"] - cursor(i)))
-            token = F.concat(
-                F.lit("["), escape(e["original"]), F.lit(">"), escape(e["replacement"]),
-                F.lit(":"), e["tag"], F.lit("]"),
-            )
-            placed = (
-                F.when(e["original"] != "", token)
-                .when(e["start"] == F.length(text), F.concat(F.lit(" "), token))
-                .otherwise(F.concat(token, F.lit(" ")))
-            )
-            return F.concat(between, placed)
-
-        rest = escape(F.substring(text, cursor(F.size(es)) + 1, F.length(text)))
-        broken = F.exists(each(es, misfit), lambda x: x)
-        return F.when(~broken, F.concat(F.array_join(each(es, part), ""), rest))
+        def part(e: Column, i: Column, n: Column) -> Column:
+            """What an edit adds, with the text before it; the text is looked into once for both."""
+            skipped = e["start"] - cursor(i)
+
+            def shown(chunk: Column) -> Column:
+                held = F.substring(chunk, skipped + 1, e["end"] - e["start"])
+                misfit = (skipped < 0) | (e["end"] < e["start"]) | (e["end"] > n) | (held != e["original"])
+                token = F.concat(
+                    F.lit("["), escape(e["original"]), F.lit(">"), escape(e["replacement"]),
+                    F.lit(":"), e["tag"], F.lit("]"),
+                )
+                placed = (
+                    F.when(e["original"] != "", token)
+                    .when(e["start"] == n, F.concat(F.lit(" "), token))
+                    .otherwise(F.concat(token, F.lit(" ")))
+                )
+                between = escape(F.substring(chunk, F.lit(1), skipped))
+                return F.struct(misfit.alias("misfit"), F.concat(between, placed).alias("shown"))
+
+            return bind(F.substring(text, cursor(i) + 1, e["end"] - cursor(i)), shown)
+
+        def joined(parts: Column) -> Column:
+            rest = escape(F.substring(text, cursor(F.size(es)) + 1, F.length(text)))
+            whole = F.concat(F.array_join(F.transform(parts, lambda p: p["shown"]), ""), rest)
+            return F.when(~F.exists(parts, lambda p: p["misfit"]), whole)
+
+        return bind(F.length(text), lambda n: bind(each(es, lambda e, i: part(e, i, n)), joined))
 
     return bind(ordered, build)
 

@@ -89,21 +89,31 @@ def ngrams(token_array: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def units(value: Column) -> Column:
-    """Word and punctuation units with character offsets, in order.
+def _led_units(value: Column) -> Column:
+    """Word and punctuation units, each with the blanks before it."""
 
-    Every character is either whitespace or part of a unit, so the offsets are the running
-    sums of the lengths of units with the blanks before them.
-    """
     def cut(pattern: str) -> Callable[[Column], Column]:
         return lambda t: F.regexp_extract_all(t, F.lit(rf"(?U) *+(?:{pattern})"), F.lit(0))
 
     # Words have to be looked at letter by letter only where one may end in n't.
-    found = bind(
+    return bind(
         F.regexp_replace(value, OTHER_WS, " "),
         lambda t: F.when(F.contains(t, F.lit("n't")), cut(UNIT)(t)).otherwise(cut(PLAIN_UNIT)(t)),
     )
 
+
+def unit_tokens(value: Column) -> Column:
+    """The tokens of ``units``, for which no offset has to be known."""
+    return F.transform(_led_units(value), lambda x: F.ltrim(x))
+
+
+def units(value: Column) -> Column:
+    """Word and punctuation units with character offsets, in order.
+
+    Every character is either whitespace or part of a unit, so the offsets are the running
+    sums of the lengths of units with the blanks before them.
+    """
+
     def with_offsets(led: Column) -> Column:
         def unit(token: Column, end: Column) -> Column:
             return F.struct(
@@ -115,7 +125,7 @@ def units(value: Column) -> Column:
             lambda ends: each(led, lambda x, i: unit(F.ltrim(x), at(ends, i + 1))),
         )
 
-    return bind(found, with_offsets)
+    return bind(_led_units(value), with_offsets)
 
 
 def multi_sentence(value: Column) -> Column:

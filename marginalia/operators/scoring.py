@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from marginalia.functions.arrays import at, bind, total, with_columns_once
 from marginalia.functions.markup import corrected_text, triples
 from marginalia.functions.spans import fault_of_spans, read_correction, read_lines
-from marginalia.functions.text import n_words, strip, units
+from marginalia.functions.text import n_words, strip, unit_tokens, units
 from marginalia.operators.grading import check_rows
 from marginalia.operators.ranking import written
 from marginalia.schemas import (
@@ -347,13 +347,12 @@ def rewrite_scores(df: DataFrame) -> DataFrame:
             needed & (F.col("text") != "") & (F.col(side) != "") & (F.col("text") != F.col(side))
             & (F.lower("text") != "null")
         )
-        words = F.transform(units(F.col(side)), lambda u: u["token"])
-        return F.when(usable, words)
+        return F.when(usable, unit_tokens(F.col(side)))
 
     scored = ~F.col("gold_null")
     cut = with_columns_once(
         rows,
-        _s=F.transform(units(F.col("text")), lambda u: u["token"]),
+        _s=unit_tokens(F.col("text")),
         _p=tokens("pred", scored & ~F.col("pred_null")),
         _g=tokens("gold", scored),
     )

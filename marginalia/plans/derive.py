@@ -60,11 +60,11 @@ def _edited(gold: bool) -> Column:
         )
         usable = w != ""
         if gold:
-            return F.when(usable & planned, marked).otherwise(w)
+            return F.when(planned & usable, marked).otherwise(w)
         extra = (i + key) % 11 == 5
         return (
-            F.when(usable & planned & (i % 5 != 2), marked)
-            .when(usable & ~planned & extra, token(w, F.lit("x"), tag_at(i + F.lit(0))))
+            F.when(planned & (i % 5 != 2) & usable, marked)
+            .when(extra & ~planned & usable, token(w, F.lit("x"), tag_at(i + F.lit(0))))
             .otherwise(w)
         )
 

@@ -230,3 +230,13 @@ def test_a_span_tagged_twice_keeps_the_smallest_predicted_and_the_largest_gold_t
     gold = [("a", "b", "art", 0, 1), ("a", "b", "word", 0, 1), ("x", "y", "sp", 4, 6)]
     rows = spark.createDataFrame([(pred, gold), (pred, None)], f"pred_edits {kind}, gold_edits {kind}")
     assert [tuple(r) for r in S.tag_confusion(rows).collect()] == [("word", "num", 1)]
+
+
+def test_tokens_without_offsets_are_the_tokens_of_units(spark):
+    from marginalia.functions.text import unit_tokens, units
+
+    texts = ["He didn't go, did\the?", "  a b  (c) ", "", "n't", "état 𝒳_1 — x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    made = df.select(unit_tokens(F.col("t")).alias("a"), F.transform(units(F.col("t")), lambda u: u["token"]).alias("b"))
+    for r in made.collect():
+        assert r["a"] == r["b"]
