@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.functions import hashing
+from marginalia.functions import hashing, neighbours
 from marginalia.functions.arrays import bind, with_columns_once
 from marginalia.functions.text import mentions, ngrams, shape_fault, strip, tokens
-from marginalia.operators.ranking import SMALL_ROWS, attach, checked_small, global_positions, split_join, take_smallest
+from marginalia.operators.ranking import SMALL_ROWS, attach, checked_small, global_positions, split_join, take_smallest, written
 from marginalia.operators.tally import tally
 from marginalia.schemas import (
     ERROR_SPECS,
@@ -368,28 +369,60 @@ def _collapsing(shares: DataFrame, threshold: float) -> DataFrame:
     return shares.withColumn("collapsed", (F.col("texts") > 0) & (F.col("distinct2") < threshold))
 
 
+#: Bytes of text per group of batches or part of a batch: an even share of so many, within these bounds.
+PARTS, LEAST_BYTES, MOST_BYTES = 200, 1 << 20, 16 << 20
+#: Bytes of text in which a task tells the n-grams of large batches apart before it sends them.
+SENT_BYTES = 8 << 20
+
+
 def batch_diversity(
-    df: DataFrame, batch: str, text: str, threshold: float = 0.7
+    df: DataFrame, batch: str, text: str, threshold: float = 0.7, least: int = LEAST_BYTES
 ) -> DataFrame:
     """Distinct bigram and trigram shares pooled over each batch's texts.
 
-    N-grams are counted per (batch, n-gram) first, with map-side combining; a batch is only
-    summed from those counts. What moves is a 128-bit hash of each n-gram, of which two are alike
-    with a chance of about 1e-20 among a billion. An empty pool scores 1.0.
+    N-grams are told apart exactly. The texts of a batch that fits a part are brought together. A larger
+    batch is dealt over several parts by the two first words of each trigram: a task sends a trigram once
+    per ``SENT_BYTES`` of text, as word numbers beside the words, and its bigram goes with it. ``df`` is
+    read once for the sizes of the batches, which are written, and once or twice for the texts.
+    An empty pool scores 1.0.
     """
-    grams = df.select(F.col(batch).alias("batch_uid"), F.explode(_hashed_grams(F.col(text))).alias("g"))
-    counted = grams.groupBy("batch_uid", "g.n", "g.a", "g.b").agg(F.count("*").alias("c"))
-
-    def share(n: int) -> Column:
-        mine = F.col("n") == n
-        distinct, every = F.count_if(mine), F.sum(F.when(mine, F.col("c")))
-        return F.coalesce(distinct / every, F.lit(1.0))
-
-    shares = counted.groupBy("batch_uid").agg(
-        F.sum(F.when(F.col("n") == 0, F.col("c"))).alias("texts"),
-        share(2).alias("distinct2"),
-        share(3).alias("distinct3"),
+    rows = df.select(F.col(batch).alias("batch_uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sizes = written(
+        rows.groupBy("batch_uid").agg(F.count("*").alias("texts"), F.sum(F.octet_length("text") + F.lit(1)).alias("size"))
     )
+    every = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    part = min(max(every // PARTS, least), max(MOST_BYTES, least))
+    fits = F.col("size") <= part
+    small, large = sizes.agg(
+        *[F.coalesce(F.sum(F.when(x, y)), F.lit(0)) for x, y in ((fits, F.col("size")), (~fits, F.ceil(F.col("size") / part)))]
+    ).first()
+    rows = rows.withColumn("text", F.lower("text"))
+    if large:
+        # There are fewer large batches than parts.
+        dealt = sizes.where(~fits).select(F.col("batch_uid").alias("_batch"), F.ceil(F.col("size") / part).cast("int").alias("parts"))
+        rows = rows.join(F.broadcast(dealt), F.col("batch_uid").eqNullSafe(F.col("_batch")), "left").drop("_batch")
+    name = T.StructField("batch_uid", rows.schema["batch_uid"].dataType)
+    counts = T.StructType([name, *[T.StructField(c, T.LongType()) for c in neighbours.COUNTS]])
+    found = sizes.select("batch_uid", "texts", *[F.lit(0).cast("long").alias(c) for c in neighbours.COUNTS])
+    if small:
+        groups = -(-small // part)
+        whole = (rows.where(F.col("parts").isNull()) if large else rows).select(
+            "batch_uid", "text", F.pmod(F.xxhash64("batch_uid"), F.lit(groups)).cast("int").alias("spot")
+        )
+        counted = whole.repartition(groups, "spot").groupBy("spot").applyInArrow(neighbours.count_texts, counts)
+        found = found.unionByName(counted.withColumn("texts", F.lit(0).cast("long")))
+    if large:
+        fields = "spot int, pairs bigint, triples bigint, words array<string>, id0 array<int>, id1 array<int>, id2 array<int>"
+        schema = T.StructType([name, *T.StructType.fromDDL(fields).fields])
+        cut = rows.where(F.col("parts").isNotNull()).select("batch_uid", "parts", "text").mapInArrow(neighbours.packed(SENT_BYTES), schema)
+        counted = cut.repartition(large, "batch_uid", "spot").groupBy("batch_uid", "spot").applyInArrow(neighbours.count_packed, counts)
+        found = found.unionByName(counted.withColumn("texts", F.lit(0).cast("long")))
+    sums = found.groupBy("batch_uid").agg(*[F.sum(c).alias(c) for c in ("texts", *neighbours.COUNTS)])
+
+    def share(of: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(f"distinct_{of}"), F.col(of)), F.lit(1.0))
+
+    shares = sums.select("batch_uid", "texts", share("pairs").alias("distinct2"), share("triples").alias("distinct3"))
     return _collapsing(shares, threshold)
 
 

@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import random
+import re
 
 import pyarrow.parquet as pq
 import pytest
@@ -517,6 +518,41 @@ def test_diversity_moves_no_strings_and_sketches_come_close(spark):
             assert r[f"distinct{n}"] == pytest.approx(got[b][f"distinct{n}"], rel=0.03)
 
 
+@pytest.mark.parametrize("least", [300, 3000, 1 << 20])
+def test_diversity_is_exact_and_moves_no_row_per_ngram(spark, least, monkeypatch):
+    monkeypatch.setattr(Q, "SENT_BYTES", 2000)
+    rng = random.Random(5)
+    words = ["a", "b'", "Ü", "K9", "z" * 30] + [f"w{i}" for i in range(40)]
+    rows = [(rng.choice(["b0", "b0", "b1", None]), rng.choice([" ", "\n", " é-"]).join(rng.choice(words) for _ in range(rng.randrange(30)))) for _ in range(400)]
+    rows += [("b2", "one"), ("b3", None), ("b4", "a b a b a")]
+    df = spark.createDataFrame(rows, "b string, t string").repartition(5)
+    shares = Q.batch_diversity(df, "b", "t", least=least)
+    plan = shares._jdf.queryExecution().executedPlan().toString()
+    assert ("MapInArrow" in plan) == (least < 1 << 20) and "Generate" not in plan
+    got = {r["batch_uid"]: r for r in shares.collect()}
+    assert set(got) == {"b0", "b1", "b2", "b3", "b4", None}
+    for b, r in got.items():
+        texts = [re.findall("[a-z0-9']+", (t or "").lower()) for k, t in rows if k == b]
+        assert r["texts"] == len(texts)
+        for n in (2, 3):
+            every = [tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1)]
+            assert r[f"distinct{n}"] == (len(set(every)) / len(every) if every else 1.0)
+    assert Q.batch_diversity(df.where("false"), "b", "t", least=least).count() == 0
+
+
+def test_many_numbers_are_ranked_before_they_are_joined():
+    import numpy as np
+
+    from marginalia.functions import neighbours
+
+    rng = np.random.default_rng(1)
+    place, ids = rng.integers(0, 3, 500) * (1 << 29), rng.integers(0, 3, (3, 500)) * (1 << 30)
+    at, new_pair = neighbours._distinct(place, ids)
+    every = list(zip(place.tolist(), *ids.tolist()))
+    assert sorted(every[i] for i in at) == sorted(set(every))
+    assert new_pair.sum() == len({x[:3] for x in every})
+
+
 @pytest.mark.parametrize("values", [3, 1000])
 def test_bins_from_counts_equal_bins_of_a_sorted_table(spark, values):
     rng = random.Random(values)
