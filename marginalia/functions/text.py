@@ -26,8 +26,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def strip(value: Column) -> Column:
-    """Trim every kind of whitespace from both ends."""
-    return F.regexp_replace(value, rf"(?U)^{WS}++|(?<!{WS}){WS}++\z", "")
+    """Trim every kind of whitespace from both ends.
+
+    Only where there is whitespace does the second pattern look back whether it begins there.
+    """
+    return F.regexp_replace(value, rf"(?U)^{WS}++|{WS}(?<!{WS}{WS}){WS}*+\z", "")
 
 
 def squeeze(value: Column) -> Column:

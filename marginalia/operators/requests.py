@@ -280,34 +280,47 @@ def _answers(responses: DataFrame) -> DataFrame:
     ).select("batch_uid", "s.spec_id", "s.text")
 
 
-def refused_batches(responses: DataFrame, specs: DataFrame) -> DataFrame:
+def batch_faults(responses: DataFrame, specs: DataFrame) -> DataFrame:
+    """``response_id_check`` of replies as they come, for callers that need it more than once."""
+    return response_id_check(_answers(responses), specs)
+
+
+def refused_batches(responses: DataFrame, specs: DataFrame, faults: DataFrame | None = None) -> DataFrame:
     """Answered batches with an id fault: ``batch_uid, batch_fault, n``.
 
     Such a batch stays pending as a whole and is asked again. ``n`` counts what is put down in
     the reject counts: each missing id, but a repeated or a foreign id once for the batch.
+    ``faults`` are the ``batch_faults``, if they are known already.
     """
-    faults = response_id_check(_answers(responses), specs).where(F.col("batch_fault").isNotNull())
+    faults = batch_faults(responses, specs) if faults is None else faults
+    faults = faults.where(F.col("batch_fault").isNotNull())
     each_missing = F.when(F.col("batch_fault") == "missing_spec_id", F.col("missing")).otherwise(1)
     return faults.select("batch_uid", "batch_fault", each_missing.cast("long").alias("n"))
 
 
-def expand_batches(responses: DataFrame, specs: DataFrame, refused: bool = False, **limits: int) -> DataFrame:
+def expand_batches(
+    responses: DataFrame, specs: DataFrame, refused: bool = False, faults: DataFrame | None = None, **limits: int
+) -> DataFrame:
     """One row per request of the batches that are done, with its text or a reject reason.
 
     ``responses`` has ``batch_uid`` and the reply as a JSON string; rows of kind
     ``batch_done`` only serve resuming and are left out. A bad shape or an absent target refuses
     one sentence. A batch without an answer is still pending and has no row. One with an id fault is
     pending too: with ``refused`` its requests are rows whose reject reason is the fault, else it has
-    no row; ``refused_batches`` tells the faults per batch.
+    no row; ``refused_batches`` tells the faults per batch. ``faults`` are the ``batch_faults``, if they are
+    known already; batches that are not in it have no row.
     """
-    answered = _answers(responses)
-    faults = response_id_check(answered, specs)
-    texts = answered.groupBy("batch_uid", "spec_id").agg(F.min("text").alias("text"))
-    rows = specs.join(texts, ["batch_uid", "spec_id"], "left")
+    texts = _answers(responses)
+    faults = batch_faults(responses, specs) if faults is None else faults
     faults = faults.drop("missing").withColumn("answered", F.lit(True))
-    rows = attach(rows, faults, ["batch_uid"], "requested", **limits).where("answered")
-    if not refused:
-        rows = rows.where(F.col("batch_fault").isNull())
+    # The faults go to the requests before these have texts, so that a text moves once.
+    asked = attach(specs, faults, ["batch_uid"], "requested", **limits).where("answered")
+    if refused:
+        texts = texts.groupBy("batch_uid", "spec_id").agg(F.min("text").alias("text"))
+    else:
+        # No id comes twice in the answer to a batch without a fault.
+        asked = asked.where(F.col("batch_fault").isNull())
+    rows = asked.join(texts, ["batch_uid", "spec_id"], "left")
     checked = target_present(sentence_shape_check(rows))
     reason = (
         F.when(F.col("batch_fault").isNotNull(), F.col("batch_fault"))

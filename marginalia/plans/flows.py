@@ -109,16 +109,20 @@ def generation_report(
     ``done`` has the ``batch_uid`` of batches that earlier runs finished: they are counted as cached
     and their answers are not looked at again. A batch without an answer or with an id fault has failed.
     The diversity is that of the accepted texts, where a batch that lost all of them scores 1.0;
-    both means are 0 if no batch was finished. The expanded rows are written once.
+    both means are 0 if no batch was finished. The faults and the expanded rows are written once; finished
+    batches are left out of the faults, one row each, and without these they have no rows.
     """
-    every = specs.agg(F.count_distinct("batch_uid").alias("n"))
+    batches = written(specs.select("batch_uid").distinct())
+    faults = requests.batch_faults(responses, specs)
+    every = batches.agg(F.count("batch_uid").alias("n"))
     if done is not None:
-        finished = done.select("batch_uid").distinct()
-        specs = specs.join(finished, "batch_uid", "left_anti")
-        responses = responses.join(finished, "batch_uid", "left_anti")
-    asked = specs.agg(F.count_distinct("batch_uid").alias("asked"))
-    rows = written(requests.expand_batches(responses, specs).select("batch_uid", "text", "reject_reason"))
-    refused = requests.refused_batches(responses, specs)
+        finished = written(done.select("batch_uid").distinct())
+        batches = batches.join(finished, "batch_uid", "left_anti")
+        faults = faults.join(finished, "batch_uid", "left_anti")
+    asked = batches.agg(F.count("batch_uid").alias("asked"))
+    faults = written(faults)
+    rows = written(requests.expand_batches(responses, specs, faults=faults).select("batch_uid", "text", "reject_reason"))
+    refused = requests.refused_batches(responses, specs, faults)
     accepted = F.col("reject_reason").isNull()
     ran = rows.agg(
         F.count_distinct("batch_uid").alias("batches"),

@@ -775,6 +775,22 @@ def test_generation_report(spark):
     assert unanswered["batches_failed", "all"] == 6 and unanswered["mean_distinct2", "all"] == 0
 
 
+def test_generation_report_checks_ids_once_and_moves_each_text_once(spark, monkeypatch):
+    calls = []
+    whole = Q.response_id_check
+    monkeypatch.setattr(Q, "response_id_check", lambda *a: calls.append(1) or whole(*a))
+    specs = [(b, f"{b}{i}", "u", "word", "word", "noun", "d", None, False, False, "p", 1, "few") for b in ("ok", "old") for i in range(2)]
+    asked = spark.createDataFrame(specs, SPEC_COLUMNS)
+    answer = json.dumps({"sentences": [{"spec_id": f"ok{i}", "text": "\u2003a word here \n"} for i in range(2)]})
+    got = spark.createDataFrame([("ok", answer), ("old", answer), ("new", answer)], "batch_uid string, response string")
+    done = spark.createDataFrame([("old",)], "batch_uid string")
+    found = numbers(flows.generation_report(got, asked, done))
+    assert len(calls) == 1 and found["reject_reasons", "unexpected_spec_id"] == 1 and found["batches", "all"] == 1
+    assert found["texts", "all"] == 2 and found["batches_cached", "all"] == 1 and found["batches_failed", "all"] == 0
+    plan = Q.expand_batches(got, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "min(text" not in plan
+
+
 def test_label_report(spark):
     texts = spark.createDataFrame([(f"r{i}", "u", "a b") for i in range(7)], "req_uid string, sense_uid string, text string")
 
