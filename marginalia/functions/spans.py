@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import at, bind, each, first_match
+from marginalia.functions.batches import printed_edits
 from marginalia.functions.markup import escape, parse_markup, render_markup
 from marginalia.functions.text import LINE_BREAK, WS, strip, units
 from marginalia.schemas import TAGS
@@ -91,8 +92,11 @@ def _printed(spans: Column) -> Column:
 
 
 def lines_of_edits(text: Column, correction: Column) -> Column:
-    """Line edits for a marked-up correction; ``OK`` for none, ``NULL`` for unreadable."""
-    return _corrected(text, correction, None, _printed, F.lit)
+    """Line edits for a marked-up correction; ``OK`` for none, ``NULL`` for unreadable.
+
+    Plain markup is read a batch of rows at a time.
+    """
+    return F.coalesce(printed_edits(text, correction), _corrected(text, correction, None, _printed, F.lit))
 
 
 def read_correction(text: Column, correction: Column, known: Column) -> Column:

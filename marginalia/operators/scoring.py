@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions.arrays import at, bind, total, with_columns_once
+from marginalia.functions.batches import span_counts
 from marginalia.functions.markup import corrected_text, triples
 from marginalia.functions.spans import fault_of_spans, read_correction, read_lines
 from marginalia.functions.text import n_words, strip, unit_tokens, units
@@ -231,23 +232,29 @@ def taxonomy_report(pred: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def span_f05_scores(df: DataFrame) -> DataFrame:
-    """F0.5 of line edits: ``prediction`` against ``reference`` (markup or lines) on ``text``."""
+    """F0.5 of line edits: ``prediction`` against ``reference`` (markup or lines) on ``text``.
 
-    def clean(c: str) -> Column:
-        return strip(F.coalesce(F.col(c), F.lit("")))
+    Plain rows are counted a batch at a time; the expressions are evaluated for the others only.
+    """
 
-    rows = df.select(
-        clean("text").alias("text"),
-        clean("prediction").alias("prediction"),
-        clean("reference").alias("reference"),
-    )
+    sides = ("text", "prediction", "reference")
+    held = with_columns_once(df.select(*sides), **{f"_{x}": F.coalesce(x, F.lit("")) for x in sides})
+    counted = held.select(*[F.col(f"_{x}").alias(x) for x in sides], span_counts(*[F.col(f"_{x}") for x in sides]).alias("n"))
+
+    # What the batch left for a closer look; for all other rows these columns are null.
+    def closer(x: Column) -> Column:
+        return F.when(F.col("n").isNull(), x)
+
+    rows = with_columns_once(counted.select("n", *[F.col(x).alias(f"_{x}") for x in sides]), **{x: closer(strip(F.col(f"_{x}"))) for x in sides})
     marked = F.contains("reference", F.lit("[")) & F.contains("reference", F.lit("]"))
-    cut = with_columns_once(rows, us=units(F.col("text")))
+    cut = with_columns_once(rows, us=closer(units(F.col("text"))))
     read = with_columns_once(
         cut,
-        p=read_lines(F.col("prediction")),
-        g=F.when(marked, read_correction(F.col("text"), F.col("reference"), F.col("us"))).otherwise(
-            read_lines(F.col("reference"))
+        p=closer(read_lines(F.col("prediction"))),
+        g=closer(
+            F.when(marked, read_correction(F.col("text"), F.col("reference"), F.col("us"))).otherwise(
+                read_lines(F.col("reference"))
+            )
         ),
         n_units=F.size("us"),
     )
@@ -261,23 +268,24 @@ def span_f05_scores(df: DataFrame) -> DataFrame:
     whole = ("start", "end", "tag", "replacement")
     sets = with_columns_once(
         read,
-        pf=keys("p", *whole), gf=keys("g", *whole), ps=keys("p", "start", "end"), gs=keys("g", "start", "end"),
-        p_clean=F.col("p.signal").eqNullSafe(F.lit("OK")),
-        g_clean=F.col("g.signal").eqNullSafe(F.lit("OK")),
-        valid=fault_of_spans(F.col("p"), F.col("n_units")) == "valid",
+        pf=closer(keys("p", *whole)), gf=closer(keys("g", *whole)),
+        ps=closer(keys("p", "start", "end")), gs=closer(keys("g", "start", "end")),
+        p_clean=F.coalesce("n.p_clean", F.col("p.signal").eqNullSafe(F.lit("OK"))),
+        g_clean=F.coalesce("n.g_clean", F.col("g.signal").eqNullSafe(F.lit("OK"))),
+        valid=F.coalesce("n.valid", fault_of_spans(F.col("p"), F.col("n_units")) == "valid"),
     )
 
-    def summed(x: Column) -> Column:
-        return F.coalesce(F.sum(F.size(x)), F.lit(0))
+    def summed(name: str, x: Column) -> Column:
+        return F.coalesce(F.sum(F.coalesce(f"n.{name}", F.size(x)).cast("long")), F.lit(0)).alias(name)
 
     sums = sets.agg(
         F.count("*").alias("n"),
         F.count_if("valid").alias("valid"),
         F.count_if("g_clean").alias("clean"),
         F.count_if(F.col("g_clean") & F.col("p_clean")).alias("clean_hit"),
-        *[summed(F.col(x)).alias(x) for x in ("pf", "gf", "ps", "gs")],
-        summed(F.array_intersect("pf", "gf")).alias("f_both"),
-        summed(F.array_intersect("ps", "gs")).alias("s_both"),
+        *[summed(x, F.col(x)) for x in ("pf", "gf", "ps", "gs")],
+        summed("f_both", F.array_intersect("pf", "gf")),
+        summed("s_both", F.array_intersect("ps", "gs")),
     )
     c = F.col
     full_f = f_beta(*precision_recall(c("f_both"), c("pf"), c("gf")), 0.5)

@@ -352,3 +352,37 @@ def test_plain_markup_is_read_like_markup_that_needs_a_closer_look(spark):
     first = got["a [>the:art] cat [sat>sits:tense] on it"]["p"]
     assert first["text"] == "a cat sat on it"
     assert [tuple(e) for e in first["edits"]] == [("", "the", "art", 2, 2), ("sat", "sits", "tense", 6, 9)]
+
+
+ODD_MARKUP = [
+    "he [go>goes:sp] home", "he [>the:word] house [>too:coll]", "[>a:sp] b", "a [>x:sp] [>y:sp]", "a [b>c:sp][>d:sp] e",
+    "don't [can't>can:sp] won'tx n't", "wo[rld>od:sp] it's", "[a b>:word] c", "x [ >:sp] y", "[a>b\n:sp]", "[a> b :sp] [c>d:zzz]",
+    "[>:sp]", "\\[a [b>c:sp]", "a] [b>c:sp]", "[oops", "ⅷ² [é>e:sp]  中文", "😀 [a>b:sp]", "ࡰ [a>b:sp]", "null", "", " ", None, "plain",
+]
+
+
+def test_a_batch_reads_markup_as_the_expressions_do(spark):
+    from marginalia.functions import batches
+    from marginalia.functions.spans import _corrected, _printed
+
+    rows = [(i, t, c) for i, (t, c) in enumerate((t, c) for t in ["plain", "a b", None] for c in ODD_MARKUP)]
+    df = spark.createDataFrame(rows, "i int, text string, c string")
+    t, c = F.col("text"), F.col("c")
+    got = df.select("c", _corrected(t, c, None, _printed, F.lit).alias("a"), batches.printed_edits(t, c).alias("b")).collect()
+    left = {r["c"] for r in got if r["b"] is None}
+    assert all(r["a"] == r["b"] for r in got if r["b"] is not None)
+    # Only what has an escape, a fault, a torn bracket or an unsure letter is left to the expressions.
+    assert left == {ODD_MARKUP[i] for i in (3, 4, 10, 11, 12, 14, 17)}
+
+
+def test_rows_counted_in_a_batch_score_as_those_left_to_the_expressions(spark):
+    from marginalia.operators.scoring import span_f05_scores
+
+    lines = ["1 2 sp x", "2 2 word the", "OK", "NULL", "", "no line\n1 2 sp goes", "2 3 sp goes\n1 1 sp a", "0 1 sp x", "1 2 zzz x"]
+    rows = [("he go home", p, c) for p in [*lines, None] for c in [*ODD_MARKUP, *lines]]
+    plain = spark.createDataFrame(rows, "text string, prediction string, reference string")
+    # A blank before each end of a line changes nothing, but is no line as it is printed.
+    odd = plain.withColumn("prediction", F.regexp_replace("prediction", r"(?<=\w)$", " ")).withColumn(
+        "prediction", F.regexp_replace("prediction", " ", "\t ")
+    )
+    assert span_f05_scores(plain).first() == span_f05_scores(odd).first()
