@@ -26,7 +26,7 @@ CHUNK = 1 << 18
 MARK, WORD, SPACE, UNSURE = range(4)
 BEYOND = 1 << 16
 #: Signs and pictures, none of them a letter or a number in any version.
-PICTURES = (0x1F300, 0x1FB00)
+PICTURES = (0x1F300, 0x1FAFF)
 UNIT = re.compile(r"[^\W\d_]+?(?=n't(?!\w))|n't|\w+|[^\w\s]")
 BREAK = re.compile(r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 ODD_SPACE = re.compile(r"[^\S \n]")
@@ -57,6 +57,15 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+@functools.cache
+def unsure_pattern(most: int = 24) -> str:
+    """A pattern that finds all unsure characters, and rarely used sure ones: it spares the longest ranges without one."""
+    unsure = np.concatenate([[-1], np.flatnonzero(_kinds() == UNSURE)])
+    ranges = sorted(zip((unsure[1:] - unsure[:-1]).tolist(), (unsure[:-1] + 1).tolist(), (unsure[1:] - 1).tolist()))[-most:]
+    spared = [*[(a, b) for _, a, b in ranges if a], PICTURES]
+    return rf"[^\x00-\x{{{unsure[1] - 1:x}}}](?<![" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spared) + "])"
+
+
 def characters(rows: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """All rows as one string, its characters as numbers, and where each row begins; the end last."""
     whole = "".join(rows)
@@ -74,7 +83,7 @@ def unit_begins(c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     kinds = _kinds()[np.minimum(c, BEYOND)]
     beyond = np.flatnonzero(c >= BEYOND)
     if len(beyond):
-        kinds[beyond[(c[beyond] >= PICTURES[0]) & (c[beyond] < PICTURES[1])]] = MARK
+        kinds[beyond[(c[beyond] >= PICTURES[0]) & (c[beyond] <= PICTURES[1])]] = MARK
     word = kinds == WORD
     inner = np.zeros(len(c), bool)
     inner[1:] = word[1:] & word[:-1]

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import at, bind, each, first_match, running_total
-from marginalia.functions.text import strip
+from marginalia.functions.text import says_null, strip, strip_ends
 from marginalia.schemas import (
     EDIT,
     MAX_BAND,
@@ -30,6 +30,7 @@ SEGMENT = EDIT_PATTERN + r"|[^\[\\]++|\\[\[\]]|\\|\["
 SOUND_EDIT = rf"\[(?!>:)([^\[\]>\\]*+)>[^\[\]:\\]*+:(?:{'|'.join(TAGS)})\]"
 INSERT = r"(\[>[^\[\]:\\]*+:[a-z]++\])"
 BLANK_AFTER = r"(\[(?<![^ ]\[)>[^\[\]:\\]*+:[a-z]++\]) "
+PLAIN_EDIT = r"\[[^\[\]>]*+>([^\[\]:]*+):[a-z]++\]"
 BLANK_BEFORE = " " + INSERT + r"\z"
 
 
@@ -318,13 +319,19 @@ def corrected_text(correction: Column) -> Column:
                 "",
             ),
         )
+        def squeezed(x: Column) -> Column:
+            return F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " ++", " ")).otherwise(x)
+
+        # Without escapes each edit is what stands in it.
+        plain = strip_ends(bind(F.regexp_replace(t, PLAIN_EDIT, "$1"), squeezed))
         return (
-            F.when(F.lower(t) == "null", "null")
+            F.when(says_null(t), "null")
             .when(~(F.contains(t, F.lit("[")) & F.contains(t, F.lit("]"))), t)
+            .when(~F.contains(t, F.lit("\\")), plain)
             .otherwise(strip(F.regexp_replace(unescape(joined), " ++", " ")))
         )
 
-    return F.when(correction.isNull(), "null").otherwise(bind(strip(correction), known))
+    return F.when(correction.isNull(), "null").otherwise(bind(strip_ends(correction), known))
 
 
 def triples(edits: Column) -> Column:

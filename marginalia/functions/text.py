@@ -33,6 +33,21 @@ def strip(value: Column) -> Column:
     return F.regexp_replace(value, rf"(?U)^{WS}++|{WS}(?<!{WS}{WS}){WS}*+\z", "")
 
 
+def strip_ends(value: Column) -> Column:
+    """``strip``, which goes through the text only where its first or last character is whitespace."""
+
+    def ends(v: Column) -> Column:
+        outer = F.concat(F.substring(v, 1, 1), F.substring(v, -1, 1))
+        return F.when(F.rlike(outer, F.lit(rf"(?U){WS}")), strip(v)).otherwise(v)
+
+    return bind(value, ends)
+
+
+def says_null(value: Column) -> Column:
+    """Is it the word null in any case? Nothing of another length is."""
+    return (F.octet_length(value) == 4) & (F.lower(value) == "null")
+
+
 def squeeze(value: Column) -> Column:
     return F.regexp_replace(value, rf"(?U){WS}++", " ")
 

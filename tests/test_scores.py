@@ -1,5 +1,8 @@
 """Scores with values worked out by hand."""
 
+import difflib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +243,65 @@ def test_tokens_without_offsets_are_the_tokens_of_units(spark):
     made = df.select(unit_tokens(F.col("t")).alias("a"), F.transform(units(F.col("t")), lambda u: u["token"]).alias("b"))
     for r in made.collect():
         assert r["a"] == r["b"]
+
+
+def opcodes(rows):
+    made = [(r, *c) for r, (a, b) in enumerate(rows) for c in difflib.SequenceMatcher(None, a, b).get_opcodes()]
+    return [(r, i, j, k, m) for r, op, i, j, k, m in made if op != "equal"]
+
+
+@pytest.mark.parametrize("most", [1 << 22, 50])
+def test_a_batch_is_aligned_as_by_the_standard_matcher(monkeypatch, most):
+    import random
+
+    from marginalia.functions import alignment
+
+    monkeypatch.setattr(alignment, "PAIRS", most)
+    rnd, rows = random.Random(4), [([], []), ([1], []), ([], [1]), ([1] * 300, [1] * 250)]
+    for size, known in [(s, v) for s in (3, 12, 60, 250, 500) for v in (2, 6, 40, 400)] * 3:
+        a = [int(known * rnd.random() ** 2) for _ in range(size)]
+        b = [rnd.choice([[w], [w], [w], [w, -1], [known], []]) for w in a]
+        rows += [(a, [w for x in b for w in x]), (a, a[size // 2 :] + a[: size // 2]), (a, [int(known * rnd.random()) for _ in a])]
+
+    def side(n):
+        starts = np.cumsum([0] + [len(x[n]) for x in rows])
+        return np.array([w for x in rows for w in x[n]], np.int64), starts
+
+    (a, i), (b, j) = side(0), side(1)
+    got = zip(*[x.tolist() for x in alignment.aligned(a, i, b, j)])
+    assert [(r, x - i[r], y - i[r], z - j[r], w - j[r]) for r, x, y, z, w in got] == opcodes(rows)
+
+
+def test_a_long_text_with_many_edits_is_aligned_without_looking_through_it_for_each():
+    import time
+
+    from marginalia.functions import alignment
+
+    a = np.arange(40_000)
+    b = np.where(a % 7 == 3, -1, a)
+    ends = np.array([0, 40_000])
+    start = time.process_time()
+    found = alignment.aligned(a, ends, b, ends)
+    assert time.process_time() - start < 5
+    assert found[1].tolist() == list(range(3, 40_000, 7)) == found[3].tolist()
+
+
+def test_rewrites_with_letters_of_new_scripts_score_as_the_standard_matcher_has_it(spark):
+    from marginalia.functions.text import unit_tokens
+    from marginalia.operators.scoring import rewrite_scores
+
+    rows = [
+        ("a dog don't ran.", "a cat don't run.", "a cat don't ran."), ("ࡰ b c", "ࡰ c", "ࡰb c"), ("😀 中文 é", "😀 é é", "中文 é"),
+        ("x ₹ ⅷ y", "x ₹ y", "x ⅷ y"), ("e Ꟁf g", "e f g", "e f"),
+    ]
+    df = spark.createDataFrame(rows, "text string, prediction string, reference string")
+    tokens = [list(r) for r in df.select(*[unit_tokens(F.col(c)) for c in df.columns]).collect()]
+
+    def edits(a, b):
+        return {(i, j, " ".join(b[k:m])) for _, i, j, k, m in opcodes([(a, b)])}
+
+    pred, gold = [edits(t, p) for t, p, _ in tokens], [edits(t, g) for t, _, g in tokens]
+    both, n = sum(len(p & g) for p, g in zip(pred, gold)), sum(map(len, pred))
+    got = rewrite_scores(df).first()
+    assert got["edit_precision"] == pytest.approx(both / n)
+    assert got["edit_recall"] == pytest.approx(both / sum(map(len, gold)))
