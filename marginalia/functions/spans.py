@@ -91,12 +91,17 @@ def _printed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, line), "\n")
 
 
-def lines_of_edits(text: Column, correction: Column) -> Column:
+def lines_by_expression(text: Column, correction: Column) -> Column:
+    """``lines_of_edits`` without a batch step, for any row."""
+    return _corrected(text, correction, None, _printed, F.lit)
+
+
+def lines_of_edits(text: Column, correction: Column, closer: Column | None = None) -> Column:
     """Line edits for a marked-up correction; ``OK`` for none, ``NULL`` for unreadable.
 
-    Plain markup is read a batch of rows at a time.
+    Plain markup is read a batch of rows at a time; ``closer`` is the expression for the others, if it is at hand.
     """
-    return F.coalesce(printed_edits(text, correction), _corrected(text, correction, None, _printed, F.lit))
+    return F.coalesce(printed_edits(text, correction), lines_by_expression(text, correction) if closer is None else closer)
 
 
 def read_correction(text: Column, correction: Column, known: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,15 @@ def numbered_text(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("numbered", F.array_join(numbered, "\n"))
 
 
+@functools.cache
+def _closer_lines() -> Column:
+    """It has thousands of nodes, and building it takes longer than reading a long text; so it is kept."""
+    return S.lines_by_expression(F.col("text"), F.col("correction"))
+
+
 def edits_to_spans(df: DataFrame) -> DataFrame:
     """Add ``span_lines`` for ``text`` and ``correction``."""
-    return df.withColumn("span_lines", S.lines_of_edits(F.col("text"), F.col("correction")))
+    return df.withColumn("span_lines", S.lines_of_edits(F.col("text"), F.col("correction"), _closer_lines()))
 
 
 def spans_to_edits(df: DataFrame) -> DataFrame:

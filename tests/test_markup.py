@@ -363,12 +363,12 @@ ODD_MARKUP = [
 
 def test_a_batch_reads_markup_as_the_expressions_do(spark):
     from marginalia.functions import batches
-    from marginalia.functions.spans import _corrected, _printed
+    from marginalia.functions.spans import lines_by_expression
 
     rows = [(i, t, c) for i, (t, c) in enumerate((t, c) for t in ["plain", "a b", None] for c in ODD_MARKUP)]
     df = spark.createDataFrame(rows, "i int, text string, c string")
     t, c = F.col("text"), F.col("c")
-    got = df.select("c", _corrected(t, c, None, _printed, F.lit).alias("a"), batches.printed_edits(t, c).alias("b")).collect()
+    got = df.select("c", lines_by_expression(t, c).alias("a"), batches.printed_edits(t, c).alias("b")).collect()
     left = {r["c"] for r in got if r["b"] is None}
     assert all(r["a"] == r["b"] for r in got if r["b"] is not None)
     # Only what has an escape, a fault, a torn bracket or an unsure letter is left to the expressions.
